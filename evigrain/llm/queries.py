@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import license_scan
+from . import bpe, license_scan, packing
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op4_packing": packing.op4_packing,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE_SQL,
