@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, packing
+from . import bpe, gif_media, license_scan, packing, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op4_packing": packing.op4_packing,
+    "op5_gif_media": gif_media.op5_gif_media,
+    "op6_warc": warc.op6_warc,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE_SQL,
+    "op6_warc": warc.ORACLE_SQL,
 }
