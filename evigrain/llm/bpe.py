@@ -181,7 +181,7 @@ class Coder:
         pool[starts[hit]] = self.ids[at[hit]]
         if long:
             pool[np.concatenate([np.arange(starts[k], starts[k + 1]) for k in long])] = np.concatenate(list(long.values()))
-        return gather(pool, starts, sizes, codes, counts)
+        return gather(pool, starts[:-1], sizes, codes, counts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.length[ids]
@@ -198,7 +198,7 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def gather(pool, starts, sizes, codes, counts):
     """Concatenate pool[starts[c] : starts[c] + sizes[c]] over codes; offsets by text, which has counts[i] codes."""
     per = sizes[codes]
-    ids = pool[spread(starts[:-1][codes], per)]
+    ids = pool[spread(starts[codes], per)]
     ends = np.concatenate([[0], np.cumsum(per)])
     return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 

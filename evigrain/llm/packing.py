@@ -84,7 +84,9 @@ def places(plan, window: int = WINDOW) -> dict[int, np.ndarray]:
 class ChunkTokenizer:
     """Ids of texts through the ids of their distinct chunks between spaces and line ends.
 
-    The vocabulary's pre-tokens never reach over white space, so a text's ids are those of its chunks in a row.
+    The vocabulary's pre-tokens never reach over white space, so a text's ids are those of its chunks in a row. A chunk
+    of Latin-1 letters, with or without a full stop or comma behind, is one pre-token and maybe one more; such are
+    lower-cased here and encoded many at a time, as one text, which the vocabulary's word ends take apart again.
     """
 
     def __init__(self, path: str):
@@ -94,30 +96,89 @@ class ChunkTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.batch = getattr(self.inner, "encode_batch_fast", self.inner.encode_batch)
+        vocabulary = self.inner.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.starts = array("I"), array("q", [0])
+        self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
+
+    def _add(self, name: str, start: int, size: int) -> None:
+        self.index[name] = len(self.index)
+        self.starts.append(start)
+        self.sizes.append(size)
+
+    def _words(self, words: list[str]) -> None:
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = self.batch([" ".join(part)], add_special_tokens=False)[0].ids
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            at = len(self.flat)
+            self.flat.extend(ids)
+            first = np.concatenate([[0], ends[:-1]])
+            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part))))
+            self.starts.extend((at + first).tolist())
+            self.sizes.extend((ends - first).tolist())
+
+    def _rest(self, chunks: list[tuple[str, str]]) -> None:
+        for k in range(0, len(chunks), 2000):
+            part = chunks[k : k + 2000]
+            for (name, _), e in zip(part, self.batch([c for _, c in part], add_special_tokens=False)):
+                self._add(name, len(self.flat), len(e.ids))
+                self.flat.extend(e.ids)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets of n + 1)."""
+    def _learn(self, names: list[str]) -> None:
+        index, plain, tailed, rest, words = self.index, [], [], [], {}
+        for name in names:
+            s = name.rstrip(" \n")
+            if s and max(s) < "\u0100":
+                low = s.lower()
+                if low.isalpha():
+                    plain.append((name, low))
+                    words[low] = None
+                    continue
+                if low[-1] in ".," and low[:-1].isalpha():
+                    tailed.append((name, low[:-1], low[-1]))
+                    words[low[:-1]] = None
+                    continue
+            rest.append((name, s))
+        self._words([w for w in words if w not in index])
+        self._rest([(t, t) for t in ".," if t not in index] + [(n, s) for n, s in rest if n not in index])
+        starts, sizes, flat = self.starts, self.sizes, self.flat
+        for name, low in plain:
+            k = index[low]
+            if name != low:
+                self._add(name, starts[k], sizes[k])
+        for name, low, tail in tailed:
+            k, t = index[low], index[tail]
+            self._add(name, len(flat), sizes[k] + sizes[t])
+            flat.extend(flat[starts[k] : starts[k] + sizes[k]])
+            flat.extend(flat[starts[t] : starts[t] + sizes[t]])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets of n + 1) of texts given as bytes and offsets."""
         if len(self.index) > MEMORY:
             self.clear()
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        words = pa.array([w for c in chunks for w in c], pa.large_string()).dictionary_encode()
-        unique, index = words.dictionary.to_pylist(), self.index
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:] = (data == 32) | (data == 10)
+        cut[offsets] = True
+        ends = np.flatnonzero(cut)[1:]
+        bounds = np.concatenate([[0], ends])
+        chunks = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        unique, index = chunks.dictionary.to_pylist(), self.index
         new = [w for w in unique if w not in index]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.batch(part, add_special_tokens=False)):
-                index[w] = len(self.starts) - 1
-                self.flat.extend(e.ids)
-                self.starts.append(len(self.flat))
+        if new:
+            self._learn(new)
         known = np.array([index[w] for w in unique], np.int64)
-        codes = known[words.indices.to_numpy(zero_copy_only=False)]
-        starts, flat = np.array(self.starts, np.int64), np.array(self.flat, np.uint32)
-        return gather(flat, starts, np.diff(starts), codes, np.array([len(c) for c in chunks], np.int64))
+        codes = known[chunks.indices.to_numpy(zero_copy_only=False)]
+        starts, sizes = np.frombuffer(self.starts, np.int64).copy(), np.frombuffer(self.sizes, np.int64).copy()
+        return gather(np.array(self.flat, np.uint32), starts, sizes, codes, np.diff(np.searchsorted(ends, offsets, "right")))
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, local long"
@@ -129,9 +190,10 @@ def cut_pieces(docs: DataFrame, path: str, window: int, end: int, text: str, key
         tok, part, seen = ChunkTokenizer(path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
             keys, texts = batch.column(0).cast(pa.int64()), batch.column(1)
-            _, offsets = utf8_view(texts)
-            for a, b in slices(offsets, 4 << 20):
-                ids, at = tok.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
+            data, offsets = utf8_view(texts)
+            for a, b in slices(offsets, 8 << 20):
+                span = offsets[a : b + 1]
+                ids, at = tok.encode(data[span[0] : span[-1]], span - span[0])
                 rows = []
                 for key_, x, y in zip(keys.slice(a, b - a).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                     own = np.append(ids[x:y], np.uint32(end)).astype("<u4")

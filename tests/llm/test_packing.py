@@ -38,7 +38,11 @@ def test_chunks_equal_whole_texts():
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
     texts = ["", " ", "It's  a\ttest\n\nOf Ünïcode, é ΣΑΣ. <|endoftext|> 12 34!!", "İstanbul ̈x", "a" * 500, "日本語 テスト　x y\x1cz"]
-    ids, at = packing.ChunkTokenizer(PATH).encode(texts)
+    from evigrain.llm.common import utf8_view
+    import pyarrow as pa
+
+    texts += ["Le. le, LE ,le le.. É é. ªº µ ß.", "word\nword word\n", "don't I'll ' 's"]
+    ids, at = packing.ChunkTokenizer(PATH).encode(*utf8_view(pa.array(texts)))
     for text, x, y in zip(texts, at[:-1], at[1:]):
         assert ids[x:y].tolist() == t.encode(text, add_special_tokens=False).ids
 
