@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, gif_media, license_scan, packing, warc
+from . import bpe, embedding_dedup, gif_media, license_scan, packing, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op4_packing": packing.op4_packing,
     "op5_gif_media": gif_media.op5_gif_media,
     "op6_warc": warc.op6_warc,
+    "op7_embedding_near_dedup": embedding_dedup.op7_embedding_near_dedup,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 ORACLES = {
