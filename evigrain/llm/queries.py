@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, gif_media, license_scan, packing, warc
+from . import bpe, embedding_dedup, gif_media, license_scan, packing, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_packing": packing.op4_packing,
     "op5_gif_media": gif_media.op5_gif_media,
     "op6_warc": warc.op6_warc,
