@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, and costs one pass."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evigrain-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evigrain_path = path
     return out
@@ -64,6 +64,34 @@ def attach_by_key(rows: DataFrame, stats: DataFrame, key: str, count: str) -> Da
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
+#: Bits of an id filter: 4 Mi, so half a megabyte is shipped, whatever the number of ids.
+FILTER_BITS = 1 << 22
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits of the ids (the one long column of `ids`) modulo FILTER_BITS; at most FILTER_BITS / 32 rows reach the driver."""
+    at = ids.select(F.pmod(F.col(ids.columns[0]), F.lit(FILTER_BITS)).cast("int").alias("at"))
+    words = at.select(F.shiftright("at", 5).alias("w"), F.expr("shiftleft(1L, at & 31)").alias("b"))
+    got = words.where("w is not null").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
+    return np.unpackbits(out.view(np.uint8), bitorder="little")
+
+
+def split_by_filter(rows: DataFrame, key: str, bits: np.ndarray, inside: bool) -> DataFrame:
+    """The rows whose id may be (inside) or can't be among those of an id filter; null ids can't. No shuffle."""
+    packed, at = np.packbits(bits), rows.columns.index(key)
+
+    def run(batches):
+        bits = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            ids = batch.column(at).cast(pa.int64())
+            hit = bits[ids.fill_null(0).to_numpy(zero_copy_only=False) & (FILTER_BITS - 1)] & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit if inside else ~hit))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

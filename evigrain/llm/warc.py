@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, materialize, partitions, read_table
+from .common import attach_by_key, id_filter, materialize, partitions, read_table, split_by_filter
 
 CHUNK = 1 << 16
 #: Payloads below this size are never replaced by a revisit.
@@ -128,8 +128,11 @@ def write_archives(pages: DataFrame, payload: str = "html", url: str = "url", ke
     digests = rows.where(F.octet_length("body") >= least).select("page_id", F.sha2("body", 256).alias("digest"))
     groups = digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     revisits = attach_by_key(digests, groups, "digest", "n").where("page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    # the digest is compared again, for keys that occur with several payloads
-    rows = rows.join(revisits.withColumnRenamed("digest", "same"), "page_id", "left")
+    # the digest is compared again, for keys that occur with several payloads; only rows that may be revisits move
+    revisits = materialize(revisits.withColumnRenamed("digest", "same"), "revisits")
+    bits = id_filter(revisits.select("page_id"))
+    alone = split_by_filter(rows, "page_id", bits, inside=False).select("*", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("same"))
+    rows = alone.unionByName(split_by_filter(rows, "page_id", bits, inside=True).join(revisits, "page_id", "left"))
 
     def run(batches):
         archive, seq, out, held = TaskContext.get().partitionId(), 0, [], 0
@@ -154,7 +157,7 @@ def write_archives(pages: DataFrame, payload: str = "html", url: str = "url", ke
         if out:
             yield flush()
 
-    return materialize(rows.select("page_id", "url", "body", "refers_to", "same").mapInArrow(run, CHUNKS), "warc")
+    return materialize(rows.select("page_id", "url", "body", "refers_to", "same").mapInArrow(run, CHUNKS), "warc", "zstd")
 
 
 def read_archives(chunks: DataFrame) -> DataFrame:
