@@ -96,6 +96,29 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def runs_of(batches, keys: int):
+    """Tables of consecutive rows that agree in their first `keys` columns, from batches sorted by them."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        change[0] = True
+        for c in range(keys):
+            v = batch.column(c).to_numpy(zero_copy_only=False)
+            change[1:] |= v[1:] != v[:-1]
+        cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(batch.column(c)[a].as_py() for c in range(keys))
+            if key != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 # --- components -----------------------------------------------------------------------------------------
 
 
