@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, gif_media, jaccard_join, license_scan, packing, toxicity, warc
+from . import bpe, embedding_dedup, gif_media, jaccard_join, license_scan, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
     "op5_gif_media": gif_media.op5_gif_media,
     "op6_warc": warc.op6_warc,
