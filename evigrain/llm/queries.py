@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, gif_media, jaccard_join, license_scan, packing, quality, toxicity, warc
+from . import bpe, embedding_dedup, gif_media, jaccard_join, license_scan, line_dedup, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_gif_media": gif_media.op5_gif_media,
     "op6_warc": warc.op6_warc,
     "op7_embedding_near_dedup": embedding_dedup.op7_embedding_near_dedup,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
