@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,12 +82,51 @@ def places(plan, window: int = WINDOW) -> dict[int, np.ndarray]:
     return {s: np.array(rows, np.int64) for s, rows in out.items()}
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(97, 123)]] = True
+_PLAIN_OR_SPACE = _PLAIN.copy()
+_PLAIN_OR_SPACE[[32, 10]] = True
+
+
+def chunks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(chunks, number of each text's) of texts without combining marks.
+
+    Texts are lower-cased as far as Latin-1 goes, and cut at spaces and line ends, which go, and around a full stop or
+    comma between a letter or digit and one, white space or the end. Each cut is one between pre-tokens.
+    """
+    low = _LOWER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capital = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    low[capital] += 32
+    letter = _PLAIN[low]
+    letter[at[(low[at] != 0x97) & (low[at] != 0xB7)]] = True
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    point = (data[1:] == 46) | (data[1:] == 44)
+    point &= letter[:-1] & ~edge[1:-1]
+    point[:-1] &= _PLAIN_OR_SPACE[low[2:]] | edge[2:-1]
+    point = np.flatnonzero(point) + 1
+    space = (data == 32) | (data == 10)
+    edge[1:] |= space
+    edge[point] = True
+    edge[point + 1] = True
+    place = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(~space, out=place[1:])
+    ends = place[edge]
+    ends = ends[np.flatnonzero(np.diff(ends, prepend=0))]
+    bounds = np.concatenate([[0], ends])
+    chunks = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(low[~space])])
+    return chunks, np.diff(np.searchsorted(ends, place[offsets], "right"))
+
+
 class ChunkTokenizer:
-    """Ids of texts through the ids of their distinct chunks between spaces and line ends.
+    """Ids of texts through the ids of their distinct chunks.
 
-    The vocabulary's pre-tokens never reach over white space, so a text's ids are those of its chunks in a row. A chunk
-    of Latin-1 letters, with or without a full stop or comma behind, is one pre-token and maybe one more; such are
-    lower-cased here and encoded many at a time, as one text, which the vocabulary's word ends take apart again.
+    The vocabulary's pre-tokens never reach over a cut, so a text's ids are those of its chunks in a row. Chunks of
+    Latin-1 letters are one pre-token each and are encoded many at a time, as one text, which the vocabulary's word
+    ends take apart again; all others, and texts with combining marks, are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -105,80 +145,67 @@ class ChunkTokenizer:
         self.index: dict[str, int] = {}
         self.flat, self.starts, self.sizes = array("I"), array("q"), array("q")
 
-    def _add(self, name: str, start: int, size: int) -> None:
-        self.index[name] = len(self.index)
-        self.starts.append(start)
-        self.sizes.append(size)
-
-    def _words(self, words: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
+        words = [w for w in new if w.isalpha() and max(w) < "\u0100"]
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            ids = self.batch([" ".join(part)], add_special_tokens=False)[0].ids
+            ids = np.array(self.batch([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the vocabulary doesn't mark the ends of words")
-            at = len(self.flat)
-            self.flat.extend(ids)
             first = np.concatenate([[0], ends[:-1]])
             self.index.update(zip(part, range(len(self.index), len(self.index) + len(part))))
-            self.starts.extend((at + first).tolist())
-            self.sizes.extend((ends - first).tolist())
-
-    def _rest(self, chunks: list[tuple[str, str]]) -> None:
-        for k in range(0, len(chunks), 2000):
-            part = chunks[k : k + 2000]
-            for (name, _), e in zip(part, self.batch([c for _, c in part], add_special_tokens=False)):
-                self._add(name, len(self.flat), len(e.ids))
+            self.starts.frombytes((len(self.flat) + first).astype(np.int64).tobytes())
+            self.sizes.frombytes((ends - first).astype(np.int64).tobytes())
+            self.flat.frombytes(ids.tobytes())
+        rest = [w for w in new if w not in self.index]
+        for k in range(0, len(rest), 2000):
+            part = rest[k : k + 2000]
+            for w, e in zip(part, self.batch(part, add_special_tokens=False)):
+                self.index[w] = len(self.index)
+                self.starts.append(len(self.flat))
+                self.sizes.append(len(e.ids))
                 self.flat.extend(e.ids)
 
-    def _learn(self, names: list[str]) -> None:
-        index, plain, tailed, rest, words = self.index, [], [], [], {}
-        for name in names:
-            s = name.rstrip(" \n")
-            if s and max(s) < "\u0100":
-                low = s.lower()
-                if low.isalpha():
-                    plain.append((name, low))
-                    words[low] = None
-                    continue
-                if low[-1] in ".," and low[:-1].isalpha():
-                    tailed.append((name, low[:-1], low[-1]))
-                    words[low[:-1]] = None
-                    continue
-            rest.append((name, s))
-        self._words([w for w in words if w not in index])
-        self._rest([(t, t) for t in ".," if t not in index] + [(n, s) for n, s in rest if n not in index])
-        starts, sizes, flat = self.starts, self.sizes, self.flat
-        for name, low in plain:
-            k = index[low]
-            if name != low:
-                self._add(name, starts[k], sizes[k])
-        for name, low, tail in tailed:
-            k, t = index[low], index[tail]
-            self._add(name, len(flat), sizes[k] + sizes[t])
-            flat.extend(flat[starts[k] : starts[k] + sizes[k]])
-            flat.extend(flat[starts[t] : starts[t] + sizes[t]])
-
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of n + 1) of texts given as bytes and offsets."""
-        if len(self.index) > MEMORY:
-            self.clear()
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        cut = np.zeros(len(data) + 1, bool)
-        cut[1:] = (data == 32) | (data == 10)
-        cut[offsets] = True
-        ends = np.flatnonzero(cut)[1:]
-        bounds = np.concatenate([[0], ends])
-        chunks = pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        marks = np.flatnonzero((data == 0xCC) | (data == 0xCD))  # the first bytes of combining marks
+        odd = np.unique(np.searchsorted(offsets, marks, "right") - 1)
+        if not len(odd):
+            return self._encode(data, offsets)
+        ids, sizes, a = [], [], 0
+        for k in [*odd.tolist(), len(offsets) - 1]:
+            if k > a:
+                own, at = self.encode(data[offsets[a] : offsets[k]], offsets[a : k + 1] - offsets[a])
+                ids.append(own)
+                sizes.append(np.diff(at))
+            if k < len(offsets) - 1:
+                own = self.batch([data[offsets[k] : offsets[k + 1]].tobytes().decode()], add_special_tokens=False)[0].ids
+                ids.append(np.array(own, np.uint32))
+                sizes.append(np.array([len(own)]))
+            a = k + 1
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.index) > MEMORY:
+            self.clear()
+        chunks, counts = chunks_of(data, offsets)
+        chunks = chunks.dictionary_encode()
         unique, index = chunks.dictionary.to_pylist(), self.index
         new = [w for w in unique if w not in index]
         if new:
             self._learn(new)
         known = np.array([index[w] for w in unique], np.int64)
         codes = known[chunks.indices.to_numpy(zero_copy_only=False)]
-        starts, sizes = np.frombuffer(self.starts, np.int64).copy(), np.frombuffer(self.sizes, np.int64).copy()
-        return gather(np.array(self.flat, np.uint32), starts, sizes, codes, np.diff(np.searchsorted(ends, offsets, "right")))
+        return gather(np.array(self.flat, np.uint32), np.array(self.starts, np.int64), np.array(self.sizes, np.int64), codes, counts)
+
+
+@lru_cache(maxsize=1)
+def tokenizer(path: str) -> ChunkTokenizer:
+    """One a worker, so that its memory serves all tasks there."""
+    return ChunkTokenizer(path)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, local long"
@@ -187,7 +214,7 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def cut_pieces(docs: DataFrame, path: str, window: int, end: int, text: str, key: str) -> DataFrame:
     def run(batches):
-        tok, part, seen = ChunkTokenizer(path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        tok, part, seen = tokenizer(path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
             keys, texts = batch.column(0).cast(pa.int64()), batch.column(1)
             data, offsets = utf8_view(texts)

@@ -41,7 +41,7 @@ def test_chunks_equal_whole_texts():
     from evigrain.llm.common import utf8_view
     import pyarrow as pa
 
-    texts += ["Le. le, LE ,le le.. É é. ªº µ ß.", "word\nword word\n", "don't I'll ' 's"]
+    texts += ["Le. le, LE ,le le.. É é. ªº µ ß.", "word\nword word\n", "don't I'll ' 's", "J\u030c E\u0301 I\u0307.", "ÀÉ×÷ÿ. Æ,b 3.14,x a.,b ..c c. d.\n. ,", "ends.", ",starts", ".", "ǰ Ω. Я, x.Я"]
     ids, at = packing.ChunkTokenizer(PATH).encode(*utf8_view(pa.array(texts)))
     for text, x, y in zip(texts, at[:-1], at[1:]):
         assert ids[x:y].tolist() == t.encode(text, add_special_tokens=False).ids
