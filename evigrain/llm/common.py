@@ -158,13 +158,6 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     return nodes.distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def find_root(parent: np.ndarray, x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
-
-
 # --- hashing of words -----------------------------------------------------------------------------------
 
 _M = np.uint64(0x9E3779B97F4A7C15)

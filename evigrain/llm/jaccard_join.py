@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import spread
 from .common import (
     attach_by_key,
     connected_components,
     discard,
-    find_root,
     id_filter,
     materialize,
     partitions,
@@ -147,84 +147,69 @@ def meetings(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], size: int, p
 
 
 class Region:
-    """Exact joining of one region's documents: roots become equal where a chain of links connects documents."""
+    """Exact joining of one region's documents: labels become equal where a chain of links connects documents."""
 
     def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
         self.n = np.array([len(s) for s in sets], np.int64)
         _, code = np.unique(np.concatenate(sets), return_inverse=True)
         self.code = code.astype(np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.n)])
-        self.mark = np.zeros(int(self.code.max()) + 1, np.int64)
-        self.parent = np.arange(len(sets))
+        order = np.argsort(self.code, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.n)[order]  # documents of each shingle
+        self.first = np.searchsorted(self.code[order], np.arange(int(self.code.max()) + 2))
+        self.label = np.arange(len(sets))
         self.percent, self.radius = percent, 1 - percent / 100
-        self.compared = 0
 
-    def roots(self, members: np.ndarray) -> np.ndarray:
-        return np.array([find_root(self.parent, int(x)) for x in members])
-
-    def part(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = self.n[members]
-        starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        return self.code[np.repeat(self.at[members] - starts, size) + np.arange(int(size.sum()))], starts
-
-    def compare(self, x: int, members: np.ndarray, part=None) -> np.ndarray:
+    def compare(self, x: int, members: np.ndarray) -> np.ndarray:
         """Distances of x from members; those linked are joined."""
-        flat, starts = part or self.part(members)
         own = self.code[self.at[x] : self.at[x + 1]]
-        self.mark[own] = 1
-        shared = np.add.reduceat(self.mark[flat], starts)
-        self.mark[own] = 0
-        self.compared += len(members)
+        start, size = self.first[own], self.first[own + 1] - self.first[own]
+        shared = np.bincount(self.owner[spread(start, size)], minlength=len(self.n))[members]
         union = self.n[x] + self.n[members] - shared
-        root = find_root(self.parent, x)
-        for y in members[100 * shared >= self.percent * union].tolist():
-            other = find_root(self.parent, y)
-            if other != root:
-                self.parent[max(root, other)] = min(root, other)
-                root = min(root, other)
+        for other in np.unique(self.label[members[100 * shared >= self.percent * union]]).tolist():
+            mine = int(self.label[x])
+            if other != mine:
+                self.label[self.label == max(mine, other)] = min(mine, other)
         return 1 - shared / union
 
-    def join(self, members: np.ndarray, depth: int = 0) -> None:
+    def join(self, members: np.ndarray) -> None:
         if len(members) < 2:
             return
         if len(members) <= 24:
             for k in range(len(members) - 1):
                 x, rest = int(members[k]), members[k + 1 :]
-                rest = rest[self.roots(rest) != find_root(self.parent, x)]
+                rest = rest[self.label[rest] != self.label[x]]
                 if len(rest):
                     self.compare(x, rest)
             return
-        part = self.part(members)
-        pivots, far = [0], [self.compare(int(members[0]), members, part)]
+        pivots, far = [0], [self.compare(int(members[0]), members)]
         near = far[0].copy()
         while near.max() > 2 * self.radius and len(pivots) < min(PIVOTS, len(members)):
             pivots.append(int(near.argmax()))
-            far.append(self.compare(int(members[pivots[-1]]), members, part))
+            far.append(self.compare(int(members[pivots[-1]]), members))
             near = np.minimum(near, far[-1])
         far = np.array(far)
         home = far.argmin(axis=0)
+        inside = home == np.arange(len(pivots))[:, None]
+        window = inside | (far <= near + 2 * self.radius + 1e-12)
+        # pivots divide when the regions, boundary documents included, hold little more than the documents
+        divide = window.sum() <= 1.5 * len(members) and window.sum(axis=1).max() <= 0.7 * len(members)
         for r in range(len(pivots)):
-            inside = home == r
-            window = inside | (far[r] <= near + 2 * self.radius + 1e-12)
-            if len(np.unique(self.roots(members[window]))) < 2:
-                continue
-            if window.sum() <= 0.7 * len(members) and depth < 40:
-                self.join(members[window], depth + 1)
-            else:
-                self.scan(members, inside, window, far[r])
+            if len(np.unique(self.label[members[window[r]]])) > 1:
+                if divide:
+                    self.join(members[window[r]])
+                else:
+                    self.scan(members, inside[r], window[r], far[r])
 
     def scan(self, members, inside, window, d) -> None:
         """Compare pairs with one document inside, whose components differ and whose distances from the pivot allow a link."""
-        roots = self.roots(members[window])
-        most = np.bincount(roots).argmax()
+        most = int(members[window][np.bincount(self.label[members[window]])[self.label[members[window]]].argmax()])
         for k in np.flatnonzero(window).tolist():
             x = int(members[k])
-            root = find_root(self.parent, x)
-            if root == find_root(self.parent, int(most)):
+            if self.label[x] == self.label[most]:
                 continue  # pairs with others are compared from their side
-            other = (window if inside[k] else inside) & (np.abs(d - d[k]) <= self.radius + 1e-12)
-            rest = members[other]
-            rest = rest[self.roots(rest) != root]
+            rest = members[(window if inside[k] else inside) & (np.abs(d - d[k]) <= self.radius + 1e-12)]
+            rest = rest[self.label[rest] != self.label[x]]
             if len(rest):
                 self.compare(x, rest)
 
@@ -233,7 +218,7 @@ def join_region(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT)
     """The smallest id of each document's component."""
     region = Region(sets, percent)
     region.join(np.arange(len(sets)))
-    roots = region.roots(np.arange(len(sets)))
+    roots = region.label
     low = np.full(len(sets), np.iinfo(np.int64).max)
     np.minimum.at(low, roots, ids)
     return low[roots]
