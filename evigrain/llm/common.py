@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 500
 
 
+#: Rows of an Arrow batch: texts are long, and executors small.
+BATCH_ROWS = 2000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. From here on the session's Arrow batches are small enough for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

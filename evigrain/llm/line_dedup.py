@@ -26,7 +26,7 @@ DEPTH = 3
 SIMILAR = 0.7
 DOCUMENTS = 5
 DIVERSE = 0.3
-_VARIABLE = re.compile(r"\S*[0-9]\S*")
+_DIGIT = re.compile("[0-9]")
 
 
 def _hash(s: str) -> int:
@@ -35,11 +35,11 @@ def _hash(s: str) -> int:
 
 def parse(line: str) -> tuple[int, int, list[str]] | None:
     """(leaf, line key, tokens) of a line; None for a blank one."""
-    if _VARIABLE.search(line):
-        line = _VARIABLE.sub("<*>", line)
     tokens = line.split()
     if not tokens:
         return None
+    if _DIGIT.search(line):
+        tokens = ["<*>" if _DIGIT.search(t) else t for t in tokens]
     return _hash(f"{len(tokens)} {' '.join(tokens[:DEPTH])}"), _hash(" ".join(tokens)), tokens
 
 
