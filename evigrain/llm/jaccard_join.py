@@ -19,6 +19,7 @@ Equal shingle sets are one class: they are recognised by digest, and only a task
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,13 @@ SHINGLE = 5
 #: Shingles that a task holds of one region.
 REGION = 4_000_000
 PIVOTS = 48
-#: The global order: counts by hash bucket of the most frequent buckets of each task and of all, of bounded number.
-BUCKET_BITS = 22
-LOCAL_TOP, GLOBAL_TOP = 16_384, 65_536
+#: The global order: documents by hash bucket of their shingles, counted over all; 16 MB as levels, whatever the input.
+BUCKET_BITS = 24
+PARTS = 1024
+WIDTH = (1 << BUCKET_BITS) // PARTS
+
+
+FACTS = ["kind", "id", "n", "digest", "counts"]
 
 
 def digest_of(shingles: np.ndarray) -> str:
@@ -55,15 +60,16 @@ def digest_of(shingles: np.ndarray) -> str:
 
 
 def profile(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: (doc_id, number of shingles, digest of the set) of each row; kind 1: (bucket, documents) of frequent buckets."""
+    """kind 0: (doc_id, number of shingles, digest of the set) of each row; kind 1: a task's counts of a part of the buckets."""
 
     def run(batches):
-        counts, held, pending = np.zeros(1 << BUCKET_BITS, np.int32), [], 0
+        counts, held, pending = np.zeros(1 << BUCKET_BITS, np.uint8), [], 0
         shift = np.uint64(64 - BUCKET_BITS)
 
         def add():
             if held:
-                np.add(counts, np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=len(counts)).astype(np.int32), out=counts)
+                at, n = np.unique((np.concatenate(held) >> shift).astype(np.int32), return_counts=True)
+                counts[at] = np.minimum(counts[at] + n, 255)
                 held.clear()
 
         for batch in batches:
@@ -73,26 +79,52 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
                 digests.append(digest_of(s) if len(s) else None)
                 held.append(s)
                 pending += len(s)
-                if pending > 4_000_000:
+                if pending > 2_000_000:
                     add()
                     pending = 0
             k = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.string())], ["kind", "id", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.nulls(k, pa.binary())], FACTS)
         add()
-        top = np.flatnonzero(counts > 1)
-        if len(top) > LOCAL_TOP:
-            top = top[np.argpartition(-counts[top], LOCAL_TOP)[:LOCAL_TOP]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(top), np.int32)), pa.array(top.astype(np.int64)), pa.array(counts[top].astype(np.int64)), pa.nulls(len(top), pa.string())], ["kind", "id", "n", "digest"])
+        parts = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(counts.reshape(PARTS, WIDTH)) if c.any()]
+        k = len(parts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(k, np.int32)), pa.array([i for i, _ in parts], pa.int64()), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.string()), pa.array([c for _, c in parts], pa.binary())], FACTS
+        )
 
-    return docs.mapInArrow(run, "kind int, id long, n long, digest string")
+    return docs.mapInArrow(run, "kind int, id long, n long, digest string, counts binary")
 
 
-def meetings(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:
+def bucket_levels(facts: DataFrame) -> np.ndarray:
+    """A level of each bucket, higher for more documents; tasks' counts are added up part by part on the executors."""
+
+    def run(batches):
+        now, total = None, None
+
+        def level():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.minimum(255, np.rint(8 * np.log2(1 + total))).astype(np.uint8).tobytes()], pa.binary())], ["id", "levels"])
+
+        for batch in batches:
+            for i, c in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if i != now:
+                    if total is not None:
+                        yield level()
+                    now, total = i, np.zeros(WIDTH, np.int64)
+                total += np.frombuffer(zlib.decompress(c.as_py()), np.uint8)
+        if total is not None:
+            yield level()
+
+    parts = facts.where("kind = 1").select("id", "counts").repartition(partitions(facts.sparkSession), "id").sortWithinPartitions("id")
+    got = parts.mapInArrow(run, "id long, levels binary").toArrow()
+    out = np.zeros((PARTS, WIDTH), np.uint8)
+    for i, c in zip(got["id"].to_pylist(), got["levels"]):
+        out[i] = np.frombuffer(c.as_py(), np.uint8)
+    return out.ravel()
+
+
+def meetings(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> DataFrame:
     """(a, b): documents that meet in the region of a shingle pivot, each with the first one of its stretch there."""
 
     def emit(batches):
-        rank = np.zeros(1 << BUCKET_BITS, np.int32)
-        rank[order[0]] = order[1]
         shift, seen = np.uint64(64 - BUCKET_BITS), set()
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).to_pylist()
@@ -113,8 +145,7 @@ def meetings(docs: DataFrame, order: tuple[np.ndarray, np.ndarray], size: int, p
                     continue
                 seen.add(own)
                 first = n - (percent * n + 99) // 100 + 1
-                key = rank[(s >> shift).astype(np.int64)]
-                tokens.append(s[:first] if not key[: first + 1].any() else s[np.argsort(key, kind="stable")[:first]])
+                tokens.append(s[np.argsort(rank[(s >> shift).astype(np.int64)], kind="stable")[:first]])
                 owner.append(ident)
                 sizes.append(n)
                 held += first
@@ -234,9 +265,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     facts = materialize(profile(docs, size), "shingles")
     known = facts.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "digest")
-    top = facts.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(GLOBAL_TOP).toArrow()
-    order = top["id"].to_numpy(), np.minimum(top["n"].to_numpy(), 1 << 30).astype(np.int32)
-    met = materialize(meetings(docs, order, size, percent), "meetings")
+    met = materialize(meetings(docs, bucket_levels(facts), size, percent), "meetings")
     regions = materialize(connected_components(met, "regions").withColumnRenamed("id", "doc_id").withColumnRenamed("component", "region"), "regions")
     discard(met)
     bits = id_filter(regions.select("doc_id"))
