@@ -26,6 +26,8 @@ DEPTH = 3
 SIMILAR = 0.7
 DOCUMENTS = 5
 DIVERSE = 0.3
+#: Recurring lines up to which their keys (8 bytes each) go to every task; beyond, each document's are joined to it.
+RECURRING = 1_000_000
 _DIGIT = re.compile("[0-9]")
 
 
@@ -101,7 +103,7 @@ def leaf_lines(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     packed = np.packbits(bits)
 
     def run(batches):
-        bits, seen = np.unpackbits(packed).tolist(), set()
+        bits, seen = np.unpackbits(packed).tobytes(), set()
         for batch in batches:
             for _, texts in _texts(batch, 1):
                 rows = []
@@ -152,7 +154,7 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, documents: int, diverse:
     return grown.join(merged.select("leaf", "template"), ["leaf", "template"], "left_semi").select(key, "documents").unionByName(alone)
 
 
-def clean(docs: DataFrame, documents: int = DOCUMENTS, diverse: float = DIVERSE, text: str = "text", key: str = "doc_id", report: bool = False) -> DataFrame:
+def clean(docs: DataFrame, documents: int = DOCUMENTS, diverse: float = DIVERSE, text: str = "text", key: str = "doc_id", report: bool = False, most: int = RECURRING) -> DataFrame:
     """The rows of docs, without the lines of recurring templates in their texts.
 
     With report, (doc_id, n_lines, n_dropped, text) instead. An n_chars column follows the new text. Null texts stay
@@ -162,28 +164,30 @@ def clean(docs: DataFrame, documents: int = DOCUMENTS, diverse: float = DIVERSE,
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     lines = materialize(line_table(plain), "lines")
     found = materialize(recurring_lines(plain, lines, documents, diverse), "recurring")
-    hits = attach_by_key(lines.select("doc_id", F.struct("leaf", "line").alias("k")), found, "k", "documents")
-    drops = materialize(hits.groupBy("doc_id").agg(F.collect_set("k.line").alias("_drop")), "drops")
-    bits = id_filter(drops.select("doc_id"))
     own, at, ident = docs.columns, docs.columns.index(text), docs.columns.index(key)
-    touched = split_by_filter(docs, key, bits, inside=True)
-    touched = touched.join(drops.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left").drop("_id")
-    other = split_by_filter(docs, key, bits, inside=False).withColumn("_drop", F.lit(None).cast("array<long>"))
     size = own.index("n_chars") if "n_chars" in own else None
-    schema = docs.schema
+    schema, known = docs.schema, None
+    if found.limit(most + 1).count() <= most:
+        known = np.sort(found.select("k.line").distinct().toArrow()["line"].to_numpy())  # `most` numbers at the most
+        rows = docs
+    else:
+        rows = _with_drops(docs, lines, found, key)
 
     def run(batches):
         for batch in batches:
-            gone, changed, counts = batch.column(len(own)), [], []
+            gone = batch.column(len(own)) if known is None else None
+            changed, counts = [], []
             for a, texts in _texts(batch, at):
                 for i, t in enumerate(texts, a):
-                    drop = gone[i].as_py()
-                    rows = t.split("\n")
-                    kept = rows
-                    if drop:
-                        drop = set(drop)
-                        kept = [r for r in rows if not ((p := parse(r)) and p[1] in drop)]
-                    counts.append((len(rows), len(rows) - len(kept)))
+                    kept = whole = t.split("\n")
+                    drop = np.sort(np.array(gone[i].as_py() or [], np.int64)) if known is None else known
+                    if len(drop):
+                        keys = [p[1] if (p := parse(r)) else None for r in whole]
+                        some = np.array([k for k in keys if k is not None], np.int64)
+                        place = np.minimum(np.searchsorted(drop, some), len(drop) - 1)
+                        bad = set(some[drop[place] == some].tolist())
+                        kept = [r for r, k in zip(whole, keys) if k is None or k not in bad] if bad else whole
+                    counts.append((len(whole), len(whole) - len(kept)))
                     changed.append("\n".join(kept))
             new = pa.array([c if ok else None for c, ok in zip(changed, batch.column(at).is_valid().to_pylist())], pa.string())
             if report:
@@ -197,7 +201,18 @@ def clean(docs: DataFrame, documents: int = DOCUMENTS, diverse: float = DIVERSE,
                 columns[size] = length
             yield pa.RecordBatch.from_arrays(columns, own)
 
-    return touched.unionByName(other).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string" if report else schema)
+    return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string" if report else schema)
+
+
+def _with_drops(docs: DataFrame, lines: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """docs with _drop, the keys of each row's recurring lines; only rows that may have some are shuffled."""
+    hits = attach_by_key(lines.select("doc_id", F.struct("leaf", "line").alias("k")), found, "k", "documents")
+    drops = materialize(hits.groupBy("doc_id").agg(F.collect_set("k.line").alias("_drop")), "drops")
+    bits = id_filter(drops.select("doc_id"))
+    touched = split_by_filter(docs, key, bits, inside=True)
+    touched = touched.join(drops.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left").drop("_id")
+    return touched.unionByName(split_by_filter(docs, key, bits, inside=False).withColumn("_drop", F.lit(None).cast("array<long>")))
+
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

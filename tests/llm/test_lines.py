@@ -73,6 +73,8 @@ def test_templates_against_brute_force(spark):
     rows, boiler, passage = corpus()
     rows += [(500, None), (501, ""), (502, "\n\n \n"), (503, boiler), (504, ("z " * 50_000).strip())]
     df = spark.createDataFrame([(a, b, len(b or ""), 1) for a, b in rows], "doc_id long, text string, n_chars long, leaf int")
+    joined = sorted(((r.doc_id, r.text) for r in l.clean(df, most=0).collect()), key=str)
+    assert joined == brute(rows)
     got = l.clean(df)
     assert got.columns == df.columns
     got = got.collect()
