@@ -25,6 +25,8 @@ PASSAGE = 512
 TRAIN, PASSAGES = 2500, 24
 HIDDEN, GATE, STEPS = 24, 12, 250
 PREDICT = 0.3
+#: Bytes of texts that are described at once.
+RUN = 1 << 18
 #: Every FOLDS-th row by crc32 of its id is held out.
 FOLDS = 5
 
@@ -114,7 +116,7 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         data, offsets = utf8_view(texts)
         out = np.zeros(len(texts))
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, RUN):
             part = offsets[a : b + 1]
             x, owner = passages(data[part[0] : part[-1]], part - part[0])
             out[a:b] = self.forward(x, owner, b - a)[-1]
@@ -164,7 +166,7 @@ def train(texts: list[str], quality: list[int]) -> Model:
         return Model(np.zeros(WIDE), np.ones(WIDE), p | {"d": np.array([4.0 if not len(y) or y[0] else -4.0])})
     data, offsets = utf8_view(pa.array(texts, pa.large_string()))
     xs, owners = [], []
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, RUN):
         part = offsets[a : b + 1]
         x, owner = passages(data[part[0] : part[-1]], part - part[0])
         rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
