@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import _BYTE, _LOWER, _power, mix, read_table, slices, utf8_view
 
 #: Bounds of the fit: labelled rows of each class, and features.
-TRAIN = 4000
+TRAIN = 2500
 FEATURES = 1500
 #: Grade 1 up to 1 such word, 2 up to 4, 3 beyond.
 GRADES = (1, 4)
@@ -115,14 +115,16 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         return none
     own, feature, word, words = [], [], [], 0
     for a, b, o, f, w in sparse_rows(pa.array(texts, pa.large_string())):
-        own.append(o + a)
+        own.append((o + a).astype(np.int32))
         feature.append(f)
-        word.append(w + words)
+        word.append((w + words).astype(np.int32))
         words += int(w.max(initial=-1)) + 1
-    own, feature, word = np.concatenate(own), np.concatenate(feature), np.concatenate(word)
-    names, code = np.unique(feature, return_inverse=True)
-    cell, count = np.unique(own * len(names) + code, return_counts=True)
+    names, code = np.unique(np.concatenate(feature), return_inverse=True)
+    del feature
+    own, word, code = np.concatenate(own), np.concatenate(word), code.astype(np.int32)
+    cell, count = np.unique(own.astype(np.int64) * len(names) + code, return_counts=True)
     row, col = cell // max(1, len(names)), cell % max(1, len(names))
+    del cell
     bad = np.bincount(col, y[row], len(names))
     good = np.bincount(col, 1 - y[row], len(names))
     lift = (bad + 0.05) / (y.sum() + 1) / ((good + 0.5) / ((1 - y).sum() + 1))
