@@ -1,10 +1,569 @@
-"""Registry of the engine's queries and their SQL."""
+"""The engine's queries over the driver's tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+from .functions import text as tx
+from .functions import vectors as vx
+from .operators import catalog, evaluation, evidence, layout, matching, profiles, retrieval
+from .operators.shared import first_of, top_k
+from .plans import filters
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- retrieval ------------------------------------------------------------------------------------------
+
+BM25_SQL = """
+with q as (select item_id as query_id, text as query from benchmark where item_id < 10),
+d as (select doc_id as chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:[._+/-][a-z0-9]+)*') as terms from documents),
+s as (select count(*) as n, avg(len(terms)) as mean from d),
+qt as (select query_id, term, count(*) as times from (select query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+(?:[._+/-][a-z0-9]+)*')) as term from q) group by all),
+p as (select chunk_id, length, term, count(*) as tf from (select chunk_id, len(terms) as length, unnest(terms) as term from d) where term in (select term from qt) group by all),
+f as (select term, count(*) as df from p group by term),
+c as (select query_id, chunk_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))) as score
+      from p join f using (term) join qt using (term), s group by all),
+bm as (select query_id, chunk_id, score, row_number() over (partition by query_id order by round(score, 9) desc, cast(chunk_id as varchar)) as rank from c)"""
+
+DENSE_SQL = """
+with v as (select vec_id as chunk_id, embedding::double[] as e, label from embeddings),
+q as (select chunk_id as query_id, e as q from v where chunk_id < 10),
+c as (select query_id, chunk_id, label, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) as score from v, q),
+de as (select query_id, chunk_id, label, score, row_number() over (partition by query_id order by round(score, 9) desc, cast(chunk_id as varchar)) as rank from c)"""
+
+
+def _bm25(spark, d, k):
+    q = table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.bm25_search(table(spark, d, "documents"), q, k, tokenizer=tx.latin_tokens, key="doc_id")
+
+
+def _dense(spark, d, k):
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.dense_search(v, q, k, key="vec_id")
+
+
+def _rounded(df, c="score"):
+    return df.withColumn(c, F.round(c, 6))
+
+
+@query(BM25_SQL + " select query_id, chunk_id, round(score, 6) as score, cast(rank as integer) as rank from bm where rank <= 10")
+def bm25_topk(spark, d):
+    """All benchmark queries against all documents (top-k report)."""
+    return _rounded(_bm25(spark, d, 10))
+
+
+@query(DENSE_SQL + " select query_id, chunk_id, round(score, 6) as score, cast(rank as integer) as rank from de where rank <= 10")
+def dense_topk(spark, d):
+    """Exact nearest vectors (top-k report)."""
+    return _rounded(_dense(spark, d, 10))
+
+
+RRF_SQL = (
+    BM25_SQL
+    + """,
+r as (select query_id, chunk_id, 1.0::double / (60 + rank) as w from bm where rank <= 50),
+v as (select vec_id as chunk_id, embedding::double[] as e from embeddings),
+x as (select a.chunk_id as query_id, b.chunk_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) as score from v a, v b where a.chunk_id < 10),
+y as (select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, cast(chunk_id as varchar)) as rank from x),
+u as (select * from r union all select query_id, chunk_id, 1.0::double / (60 + rank) from y where rank <= 50),
+g as (select query_id, chunk_id, sum(w) as score, count(*) as methods from u group by all)
+select query_id, chunk_id, round(score, 9) as score, methods, cast(rank as integer) as rank from (
+  select *, row_number() over (partition by query_id order by round(score, 12) desc, cast(chunk_id as varchar)) as rank from g) where rank <= 10"""
+)
+
+
+@query(RRF_SQL)
+def rrf_fusion(spark, d):
+    """BM25 and vectors fused by reciprocal ranks."""
+    fused = retrieval.reciprocal_rank_fusion({"dense": _dense(spark, d, 50), "bm25": _bm25(spark, d, 50)}, 10)
+    return fused.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.size("component_ranks").cast("long").alias("methods"), "rank")
+
+
+@query(
+    BM25_SQL
+    + """, t as (select bm.query_id, bm.chunk_id, bm.rank as source_rank, length(text) % 7 + 0.0::double as rerank_score from bm join documents on doc_id = chunk_id where rank <= 20)
+select query_id, chunk_id, cast(source_rank as integer) as source_rank, rerank_score, cast(rank as integer) as rank from (
+  select *, row_number() over (partition by query_id order by rerank_score desc, source_rank, cast(chunk_id as varchar)) as rank from t) where rank <= 5"""
+)
+def rerank_stable(spark, d):
+    """A pair scorer reorders candidates; ties keep their source order."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    q = table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    got = retrieval.rerank(_bm25(spark, d, 20), lambda q, t: F.length(t) % 7, 5, docs, q)
+    return got.select("query_id", "chunk_id", "source_rank", "rerank_score", "rank")
+
+
+@query(
+    DENSE_SQL
+    + """, g as (select * from de where rank <= 30),
+b as (select *, row_number() over (partition by query_id, label order by round(score, 9) desc, cast(chunk_id as varchar)) as o from g),
+m as (select *, case when o = 1 then 0 else 1 end as turn from b),
+k as (select *, row_number() over (partition by query_id order by turn, round(score, 9) desc, cast(chunk_id as varchar)) as n from m)
+select query_id, chunk_id, label, round(score, 6) as score, cast(row_number() over (partition by query_id order by round(score, 9) desc, cast(chunk_id as varchar)) as integer) as rank from k where n <= 8"""
+)
+def diverse_merge(spark, d):
+    """The best of each label first, then the rest."""
+    ranked = _dense(spark, d, 30).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id")
+    return _rounded(retrieval.diverse_merge(ranked, 8, "label")).select("query_id", "chunk_id", "label", "score", "rank")
+
+
+@query(
+    """
+with v as (select vec_id, embedding::double[] as e, label from embeddings), q as (select vec_id as query_id, e as q from v where vec_id < 20),
+s as (select query_id, label, vec_id, least(1, greatest(0, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))))) as s from v, q),
+r as (select *, row_number() over (partition by query_id, label order by round(s, 9) desc, cast(vec_id as varchar)) as n from s)
+select query_id, label, count(*) as evidence_count, round(max(s), 6) as best_similarity, array_to_string(list_sort(list_distinct(flatten(list([vec_id % 5, vec_id % 5 + 1, vec_id % 5 + 2])))), ',') as pages
+from r where n <= 3 and s >= 0.1 group by all"""
+)
+def paper_evidence_summary(spark, d):
+    """Each query's evidence by group, with all pages of its page ranges."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label", F.lit("").alias("text"), (F.col("vec_id") % 5).alias("page_start"), (F.col("vec_id") % 5 + 2).alias("page_end"))
+    q = v.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "embedding")
+    found = retrieval.paper_evidence(v, q, "label", 3, threshold=0.1)
+    return _rounded(retrieval.summarize_papers(found, ["query_id", "label"]), "best_similarity").withColumn("pages", F.array_join("pages", ","))
+
+
+# --- evaluation -----------------------------------------------------------------------------------------
+
+
+@query(
+    DENSE_SQL
+    + """, run as (select query_id, chunk_id, rank from de where rank <= 10),
+rel as (select q.query_id, v.chunk_id, v.chunk_id % 3 + 1 as g from q join v x on x.chunk_id = q.query_id join v on v.label = x.label),
+ide as (select query_id, g, row_number() over (partition by query_id order by g desc, chunk_id) as rank from rel),
+hit as (select query_id, g, rank from run join rel using (query_id, chunk_id)),
+k as (select unnest([5, 10]) as cutoff),
+b as (select cutoff, query_id, count(*) as n, sum(case when rank <= cutoff then (pow(2, g) - 1) / log2(rank + 1) end) as i from ide, k group by all),
+h as (select cutoff, query_id, count(*) as n, sum((pow(2, g) - 1) / log2(rank + 1)) as d, max(1.0::double / rank) as r from hit, k where rank <= cutoff group by all)
+select cast(cutoff as integer) as cutoff, count(*) as queries, round(avg(coalesce(h.n / b.n, 0)), 6) as recall, round(avg(coalesce(r, 0)), 6) as mrr, round(avg(coalesce(d / i, 0)), 6) as ndcg
+from b left join h using (cutoff, query_id) group by cutoff"""
+)
+def eval_metrics(spark, d):
+    """Recall, MRR and nDCG of the vector ranking; relevant are vectors of the query's label."""
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
+    rel = v.join(F.broadcast(q), "label").select("query_id", F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 3 + 1).alias("relevance"))
+    return evaluation.evaluate(rel, _dense(spark, d, 10))
+
+
+@query("select event_type, count(value) as n, avg(value) as mean, median(value) as p50, percentile_disc(0.95) within group (order by value) as p95, max(value) as max from events group by event_type")
+def latency_stats(spark, d):
+    return evaluation.latency(table(spark, d, "events"), "value", ["event_type"])
+
+
+@query("select doc_id, cast(max(quality) as integer) as relevance from labels group by doc_id")
+def qrels_max_dedupe(spark, d):
+    return table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("relevance"))
+
+
+# --- filters and records --------------------------------------------------------------------------------
+
+
+@query(
+    """select p_partkey, p_size >= 10 as gte, p_size + 5 <= 30 as lte, p_size <= 20 and p_size + 5 >= 20 as eq, p_size >= 10 and p_size + 5 <= 40 as between_ from part"""
+)
+def metric_range_filter(spark, d):
+    """Ranges satisfy a bound as a whole; eq is containment."""
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.lit("m").alias("definition_id"), F.lit("u").alias("canonical_unit"), F.lit("measured").alias("evidence_level"), F.lit("").alias("test_condition"), F.lit("range").alias("value_type"),
+        F.col("p_size").cast("double").alias("normalized_min"), (F.col("p_size") + 5).cast("double").alias("normalized_max"), F.lit(None).cast("double").alias("normalized_value"),
+    )
+    c = lambda op, a, b=None: filters.Constraint("m", op, a, b, "u", ("measured",)).matches()
+    return rows.select("p_partkey", c("gte", 10).alias("gte"), c("lte", 30).alias("lte"), c("eq", 20).alias("eq"), c("between", 10, 40).alias("between_"))
+
+
+@query(
+    """select l_orderkey as chunk_id from lineitem group by 1 having count_if(l_quantity >= 40) > 0 and count_if(l_discount <= 0.02) > 0"""
+)
+def multi_constraint_chunks(spark, d):
+    """Orders with a record for each constraint: relational division in one aggregation."""
+    li = table(spark, d, "lineitem")
+    cols = [F.lit("measured").alias("evidence_level"), F.lit("").alias("test_condition"), F.lit("point").alias("value_type"), F.lit(None).cast("double").alias("normalized_min"), F.lit(None).cast("double").alias("normalized_max")]
+    both = F.explode(F.array(F.struct(F.lit("q").alias("definition_id"), F.col("l_quantity").alias("v")), F.struct(F.lit("d").alias("definition_id"), F.col("l_discount").alias("v"))))
+    records = li.select(F.col("l_orderkey").alias("chunk_id"), both.alias("m")).select("chunk_id", "m.definition_id", F.lit("u").alias("canonical_unit"), F.col("m.v").alias("normalized_value"), *cols)
+    return filters.matching_chunks(records, (filters.Constraint("q", "gte", 40.0, None, "u", ("measured",)), filters.Constraint("d", "lte", 0.02, None, "u", ("measured",))))
+
+
+UNITS = [("thickness", "um", 1.0), ("thickness", "nm", 0.001), ("thickness", "mm", 1000.0)]
+
+
+@query(
+    """with u(unit, scale) as (values ('μm', 1.0::double), ('n m', 0.001::double), ('MM', 1000.0::double)),
+r as (select l_orderkey, l_linenumber, l_quantity, case l_linenumber % 3 when 0 then 'μm' when 1 then 'n m' else 'MM' end as unit from lineitem)
+select l_orderkey, l_linenumber, round(l_quantity * scale, 6) as normalized_value, 'um' as canonical_unit from r join u using (unit)"""
+)
+def unit_normalize(spark, d):
+    """Values in spellings of units brought to the canonical unit."""
+    from .operators.metrics import normalize_units
+
+    units = spark.createDataFrame([(m, u, s, 0.0, "um") for m, u, s in UNITS], "metric_id string, unit_key string, scale double, offset double, canonical_unit string")
+    n = F.col("l_linenumber") % 3
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.lit("thickness").alias("m"), F.when(n == 0, "μm").when(n == 1, "n m").otherwise("MM").alias("unit"))
+    return _rounded(normalize_units(rows, units, "m", "l_quantity", "unit"), "normalized_value").select("l_orderkey", "l_linenumber", "normalized_value", "canonical_unit")
+
+
+# --- catalog --------------------------------------------------------------------------------------------
+
+
+def _papers(spark, d):
+    """Parts as papers, their brand as teacher."""
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"), F.concat(F.lit("f"), "p_partkey", F.lit(".pdf")).alias("file_name"), F.col("p_brand").alias("teacher"), F.array("p_type").alias("authors"),
+        F.array().cast("array<string>").alias("keywords"), F.lit("unclassified").alias("direction"), F.when(F.col("p_size") > 25, "indexed").otherwise("parsed").alias("ingestion_status"), F.col("p_size").alias("year"),
+    )
+
+
+def _tags(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("paper_id"), F.col("l_returnflag").alias("value"), F.when(F.col("l_linenumber") == 1, "rejected").otherwise("suggested").alias("review_status"))
+    return li.distinct()
+
+
+@query(
+    """select p_partkey as paper_id, p_name as title from part where (p_name ilike '%a%' or p_brand ilike '%a%' or ('f' || p_partkey || '.pdf') ilike '%a%' or p_type ilike '%a%'
+  or exists (select 1 from lineitem where l_partkey = p_partkey and l_linenumber <> 1 and l_returnflag ilike '%a%')) and p_brand ilike '%1%'
+  and exists (select 1 from lineitem where l_partkey = p_partkey and l_linenumber <> 1 and l_returnflag ilike '%R%')"""
+)
+def catalog_search(spark, d):
+    return catalog.search(_papers(spark, d), _tags(spark, d), query="a", teacher="1", tag="R").select("paper_id", "title")
+
+
+@query("select p_partkey as paper_id, p_name as title from part where p_brand ilike '%1%' order by lower(p_brand), lower(p_name), p_partkey limit 18 offset 18")
+def catalog_page(spark, d):
+    """The second page (paging is the feature)."""
+    rows = catalog.search(_papers(spark, d), _tags(spark, d), teacher="1")
+    return catalog.page(rows, [F.lower("teacher"), F.lower("title"), F.col("paper_id")], 2, 18)[0].select("paper_id", "title")
+
+
+@query("select source as teacher, count(*) as papers from documents group by source")
+def teacher_facets(spark, d):
+    return catalog.facets(table(spark, d, "documents").withColumnRenamed("source", "teacher"), "teacher")
+
+
+@query("select count(distinct source) as facets from documents")
+def facet_count(spark, d):
+    return catalog.facet_count(table(spark, d, "documents"), "source")
+
+
+@query("select count(*) as papers, count_if(o_orderstatus in ('O', 'P')) as parsed, count(distinct case when trim(o_orderpriority) <> '' then o_orderpriority end) as owners from orders")
+def catalog_stats(spark, d):
+    return catalog.stats(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority", ("O", "P"))
+
+
+@query("select d.doc_id from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 0)")
+def semi_join_tags(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").where("toxic = 0"), "doc_id", "left_semi")
+
+
+@query("select d.doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def anti_join_unlabeled(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query("select sha256(text) as paper_id, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
+def sha_dedupe(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("paper_id")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("select user_id, arg_max(event_type, (ts, event_id, event_type)) as event_type, max(ts) as ts from events group by user_id")
+def latest_state(spark, d):
+    """State machine: the last event of each key."""
+    return catalog.latest_state(table(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
+
+
+@query(
+    """with n as (select o_custkey as paper_id, o_orderdate as updated_at, o_orderstatus as title from orders where o_orderkey % 2 = 0), o as (select o_custkey as paper_id, o_orderdate as updated_at, o_orderstatus as title from orders where o_orderkey % 2 = 1),
+oo as (select paper_id, max(updated_at) as updated_at, arg_max(title, (updated_at, title)) as title, min(updated_at) as created_at from o group by 1),
+nn as (select paper_id, max(updated_at) as updated_at, arg_max(title, (updated_at, title)) as title from n group by 1)
+select coalesce(nn.paper_id, oo.paper_id) as paper_id, coalesce(nn.updated_at, oo.updated_at) as updated_at, coalesce(nn.title, oo.title) as title, coalesce(oo.created_at, nn.updated_at) as created_at from nn full join oo on nn.paper_id = oo.paper_id"""
+)
+def upsert_keep_first(spark, d):
+    """Upsert that keeps the first timestamp."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("paper_id"), F.col("o_orderdate").alias("updated_at"), F.col("o_orderstatus").alias("title"), "o_orderkey")
+    last = lambda p: o.where(p).groupBy("paper_id").agg(F.max(F.struct("updated_at", "title")).alias("m"), F.min("updated_at").alias("f")).select("paper_id", "m.updated_at", "m.title", "f")
+    old = last("o_orderkey % 2 = 1").withColumnRenamed("f", "created_at")
+    new = last("o_orderkey % 2 = 0").withColumn("created_at", F.col("updated_at")).drop("f")
+    return catalog.upsert(old, new, ["paper_id"])
+
+
+@query(
+    """with t as (select l_orderkey as paper_id, l_returnflag as category, lower(trim(l_linestatus)) as normalized_value, l_linestatus as value, l_discount as confidence, case when l_tax > 0.05 then 'confirmed' when l_tax < 0.02 then 'rejected' else 'suggested' end as review_status, l_linenumber from lineitem),
+o as (select *, row_number() over (partition by paper_id, category, normalized_value order by case when review_status = 'confirmed' then 0 else 1 end, case category when 'R' then 1 when 'A' then 2 else 99 end, confidence desc, value) as k from t where review_status <> 'rejected' and category <> 'N')
+select paper_id, category, value, confidence, cast(place as integer) as place from (select *, row_number() over (partition by paper_id order by case when review_status = 'confirmed' then 0 else 1 end, case category when 'R' then 1 when 'A' then 2 else 99 end, confidence desc, value) as place from o where k = 1) where place <= 2"""
+)
+def visible_tags(spark, d):
+    t = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("paper_id"), F.col("l_returnflag").alias("category"), F.lower(F.trim("l_linestatus")).alias("normalized_value"), F.col("l_linestatus").alias("value"), F.col("l_discount").alias("confidence"),
+        F.when(F.col("l_tax") > 0.05, "confirmed").when(F.col("l_tax") < 0.02, "rejected").otherwise("suggested").alias("review_status"),
+    )
+    return catalog.visible_tags(t, ["R", "A"], ["N"], 2).select("paper_id", "category", "value", "confidence", "place")
+
+
+RULES = [
+    {"category": "topic", "value": "licence", "keywords": ["license", "licensed", "rights reserved"], "confidence": 0.9},
+    {"category": "topic", "value": "insult", "keywords": ["idiot", "clown"], "confidence": 0.8},
+]
+
+
+@query(
+    """with k(value, word, confidence) as (values ('licence', 'license', 0.9::double), ('licence', 'licensed', 0.9::double), ('licence', 'rights reserved', 0.9::double), ('insult', 'idiot', 0.8::double), ('insult', 'clown', 0.8::double))
+select doc_id as paper_id, 'topic' as category, value, confidence, count(*) as words from documents, k where contains(lower(text), word) group by all"""
+)
+def keyword_tags(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    got = catalog.suggested_tags(rows, RULES, "text")
+    return got.select("paper_id", "category", "value", "confidence", F.size(F.split("evidence", ", ")).cast("long").alias("words"))
+
+
+# --- layout and text ------------------------------------------------------------------------------------
+
+
+@query(
+    """with l as (select doc_id, source, line from (select doc_id, source, unnest(string_split(text, chr(10))) as line from documents) where trim(line) <> ''),
+p as (select source, count(distinct doc_id) as pages from documents group by source)
+select source, line as key from l join p using (source) where pages >= 3 group by source, line, pages having count(distinct doc_id) >= greatest(3, ceil(pages * 0.15))"""
+)
+def recurring_blocks(spark, d):
+    """Lines that recur in a source's documents, as running heads recur on pages."""
+    docs = table(spark, d, "documents")
+    pages = docs.groupBy("source").agg(F.countDistinct("doc_id").alias("pages"))
+    rows = docs.select("doc_id", "source", F.explode(F.split("text", "\n")).alias("key")).where(F.trim("key") != "").join(F.broadcast(pages), "source")
+    return layout.recurring(rows, "source", "doc_id", "key", "pages")
+
+
+def _sections_sql() -> str:
+    excerpt = "substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 180)"
+    rules = " ".join(f"when regexp_matches(x, '(?i){p}') then '{k}'" for k, p in layout.SECTIONS)
+    return f"select doc_id, case when regexp_matches(x, '\\.{{6,}}|…{{3,}}') then 'contents' {rules} else 'unknown' end as section_type from (select doc_id, {excerpt} as x from documents)"
+
+
+@query(_sections_sql())
+def section_classify(spark, d):
+    return table(spark, d, "documents").select("doc_id", layout.section_type(F.lit(layout.UNKNOWN_PATH), F.col("text"))["section_type"].alias("section_type"))
+
+
+@query(
+    """select page_id, case when regexp_matches(x, '(?i)^(?:图\\s*[A-Za-z一二三四五六七八九十\\d]|Fig(?:ure)?\\.?\\s*\\d)') then 'figure_caption' when regexp_matches(x, '(?i)^(?:表\\s*[A-Za-z一二三四五六七八九十\\d]|Table\\s*\\d)') then 'table_caption' else 'paragraph' end as block_type
+from (select page_id, case page_id % 3 when 0 then 'Figure ' || page_id when 1 then 'table ' || page_id else html end as x from pages)"""
+)
+def block_classify(spark, d):
+    n = F.col("page_id") % 3
+    text = F.when(n == 0, F.concat(F.lit("Figure "), "page_id")).when(n == 1, F.concat(F.lit("table "), "page_id")).otherwise(F.col("html"))
+    return table(spark, d, "pages").select("page_id", layout.block_type(text).alias("block_type"))
+
+
+@query(
+    """with x as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents)
+select doc_id, case when contains(t, '......') or contains(t, '………………') then '目录点线' when len(regexp_extract_all(t, '\\[\\s*\\d+\\s*\\]')) >= 3 or len(regexp_extract_all(t, '\\[J\\]')) + len(regexp_extract_all(lower(t), 'et al\\.')) >= 3 then '参考文献格式' end as reason from x"""
+)
+def reject_low_quality(spark, d):
+    return table(spark, d, "documents").select("doc_id", evidence.rejection_reason(F.col("text")).alias("reason"))
+
+
+@query()
+def chunk_lines(spark, d):
+    """Section-bounded chunks of whole documents, a line a block."""
+    blocks = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i + 1).alias("block_number"), F.lit("paragraph").alias("block_type"), t.alias("text")))
+    page = F.array(F.struct(F.lit(1).alias("page"), F.col("text"), blocks.alias("blocks")))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_name"), page.alias("pages"), F.array().cast("array<struct<level:int,title:string,page:int>>").alias("toc"))
+    return layout.chunk_documents(docs)
+
+
+@query("select doc_id, page, cast(start as bigint) as start, cast(start + n as bigint) as \"end\" from (select doc_id, page, n, coalesce(sum(n + 1) over (partition by doc_id order by page rows between unbounded preceding and 1 preceding), 0) as start from (select conv_id as doc_id, turn as page, length(trim(text)) as n from conversations where trim(text) <> ''))")
+def page_offsets(spark, d):
+    return layout.page_offsets(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text"))
+
+
+@query("select conv_id, turn, len(regexp_extract_all(text, '\\[(\\d+)\\]')) as n, len(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: try_cast(x as integer)), lambda x: x is null or x < 1 or x > 2))) as bad from conversations")
+def citation_check(spark, d):
+    t = table(spark, d, "conversations")
+    return t.select("conv_id", "turn", F.regexp_count("text", F.lit(r"\[(\d+)\]")).cast("long").alias("n"), F.size(tx.bad_citations(F.col("text"), F.lit(2))).cast("long").alias("bad"))
+
+
+@query("select event_type, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as total from events group by event_type")
+def json_props(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy("event_type").agg(F.sum(F.get_json_object(tx.json_object(F.col("props")), "$.k").cast("long")).alias("total"))
+
+
+@query(
+    """with s as (select conv_id, list(role order by turn) as r from conversations group by conv_id)
+select conv_id, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') as roles from s"""
+)
+def ordered_distinct(spark, d):
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return c.select("conv_id", F.array_join(matching.ordered_distinct(F.transform("t", lambda x: x["role"])), ",").alias("roles"))
+
+
+CLAIM_SQL = """with l as (select source as teacher, doc_id as title, trim(regexp_replace(line, '\\s+', ' ', 'g')) as v from (select source, doc_id, unnest(string_split(text, chr(10))) as line from documents)),
+k as (select *, regexp_replace(lower(v), '[^0-9a-z一-鿿]+', '', 'g') as key from l where v <> ''),
+w as (select teacher, key, v, count(*) as n from k group by all),
+b as (select teacher, key, v as value from (select *, row_number() over (partition by teacher, key order by n desc, length(v), lower(v), v) as r from w) where r = 1),
+p as (select teacher, key, count(*) as occurrences, count(distinct title) as papers from k group by all)
+select teacher, key, value, occurrences, papers from b join p using (teacher, key) where papers >= 3"""
+
+
+@query(CLAIM_SQL)
+def claim_representative(spark, d):
+    """Equal lines of a source's documents as one claim, in its most frequent wording."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("teacher"), F.col("doc_id").alias("title"), F.explode(F.split("text", "\n")).alias("value"))
+    return profiles.group_claims(docs, ["teacher"]).where("papers >= 3").select("teacher", "key", "value", "occurrences", "papers")
+
+
+DIRECTIONS = {"directions": [{"direction_id": "a", "aliases": ["src1"], "keywords": ["license", "rights"]}, {"direction_id": "b", "aliases": [], "keywords": ["idiot", "clown", "stupid", "trash", "scum"]}]}
+
+
+@query(
+    """with x as (select doc_id, source, lower(substring(text, 1, 60)) as h, lower(text) as t from documents),
+s as (select doc_id, source, """
+    + " + ".join(f"case when contains(h, '{w}') then 3 when contains(t, '{w}') then 1 else 0 end" for w in DIRECTIONS["directions"][0]["keywords"])
+    + " as a, "
+    + " + ".join(f"case when contains(h, '{w}') then 3 when contains(t, '{w}') then 1 else 0 end" for w in DIRECTIONS["directions"][1]["keywords"])
+    + """ as b from x)
+select doc_id, case when source = 'src1' then 'a' when greatest(a, b) >= 2 and a > b then 'a' when greatest(a, b) >= 2 and b > a then 'b' else 'unclassified' end as direction_id,
+  case when source = 'src1' then 1.0::double when greatest(a, b) >= 2 and a <> b then round(greatest(a, b) / (a + b), 4) else 0.0::double end as direction_confidence from s"""
+)
+def direction_classify(spark, d):
+    from .operators.directions import classify
+    from .sources.ontology import Directions
+
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("direction"), F.substring("text", 1, 60).alias("title"), "text")
+    return classify(docs, Directions.read(DIRECTIONS), F.col("text")).select("doc_id", "direction_id", "direction_confidence")
+
+
+# --- matching and scores --------------------------------------------------------------------------------
+
+
+@query(
+    """select c_custkey, round(100 * (0.45 * greatest(0, least(1, c_acctbal / 10000)) + 0.25 * greatest(0, least(1, c_nationkey / 20.0::double)) + 0.15 * 0.5
+  + 0.15 * greatest(0, least(1, c_custkey % 7 / 5.0::double))), 2) as score from customer"""
+)
+def weighted_score(spark, d):
+    c = table(spark, d, "customer")
+    parts = {"semantic_similarity": F.col("c_acctbal") / 10000, "technical_capability_coverage": F.col("c_nationkey") / 20.0, "application_domain_match": F.lit(0.5), "paper_evidence_count": F.col("c_custkey") % 7 / 5.0}
+    return c.select("c_custkey", F.round(vx.weighted(parts, vx.MATCH_WEIGHTS), 2).alias("score"))
+
+
+@query(
+    """with x as (select c_custkey, case when c_acctbal > 0 then c_acctbal / 100 end as a, case when c_custkey % 3 > 0 then c_nationkey * 4.0::double end as b from customer),
+y as (select c_custkey, (coalesce(a * 0.35, 0) + coalesce(b * 0.35, 0)) / nullif(case when a is not null then 0.35::double else 0 end + case when b is not null then 0.35::double else 0 end, 0) as s from x)
+select c_custkey, round_even(s / 5, 0) * 5 as score, case when s is null then '未知' when round_even(s / 5, 0) * 5 < 40 then '低' when round_even(s / 5, 0) * 5 < 60 then '中低' when round_even(s / 5, 0) * 5 < 80 then '中' else '较高' end as band from y"""
+)
+def known_only_score(spark, d):
+    c = table(spark, d, "customer")
+    none = F.lit(None).cast("double")
+    parts = {"demand_fit": F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 100), "evidence_strength": F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey") * 4.0), "engineering_maturity": none, "landing_constraints": none}
+    s = vx.to_step(vx.known_mean(parts, vx.TRANSFER_WEIGHTS))
+    return c.select("c_custkey", s.alias("score"), vx.band(s).alias("band"))
+
+
+@query(
+    """with v as (select vec_id, label, embedding::double[] as e from embeddings), n as (select vec_id as need_id, e as q from v where vec_id < 50),
+s as (select need_id, label as teacher, vec_id, least(1, greatest(0, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))))) as s from v, n where vec_id >= 100)
+select need_id, teacher, round(max(s), 6) as similarity, arg_max(vec_id, (s, -vec_id)) as item from s group by all"""
+)
+def argmax_match(spark, d):
+    """The most similar item of each group for each need."""
+    v = table(spark, d, "embeddings")
+    left = v.where("vec_id < 50").select(F.col("vec_id").alias("need_id"), F.col("embedding").alias("v"))
+    right = v.where("vec_id >= 100").select(F.col("label").alias("teacher"), F.col("vec_id").alias("place"), F.col("vec_id").alias("name"), F.col("embedding").alias("v"))
+    return _rounded(matching.best_items(left, right, ["need_id"], ["teacher"]), "similarity")
+
+
+@query(
+    """with v as (select vec_id, label, embedding::double[] as e from embeddings), n as (select vec_id as need_id, e as q from v where vec_id < 20),
+s as (select need_id, label as teacher, vec_id, least(1, greatest(0, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))))) as s from v, n),
+r as (select *, row_number() over (partition by need_id, teacher order by s desc, vec_id) as k from s)
+select need_id, teacher, round(avg(s), 6) as semantic_similarity from r where k <= 3 group by all"""
+)
+def top3_mean(spark, d):
+    v = table(spark, d, "embeddings")
+    needs = v.where("vec_id < 20").select(F.col("vec_id").alias("need_id"), F.col("embedding").alias("vector"))
+    people = v.groupBy(F.col("label").alias("teacher")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: F.struct(x["vec_id"].cast("string").alias("name"), x["embedding"].alias("vector"))).alias("items"))
+    return _rounded(matching.semantic_scores(needs, people), "semantic_similarity")
+
+
+@query(
+    """with r as (select label as grp, 'f' || (vec_id % 3) as field, vec_id % 40 as chunk_id, row_number() over (partition by label, vec_id % 3 order by vec_id) as rank from embeddings),
+t as (select *, cast(substring(field, 2) as integer) + 1 as pos from r where rank <= 4),
+f as (select grp, chunk_id, min((rank, pos)) as turn, string_agg(field, ',' order by rank, pos) as matched_fields from t group by all)
+select grp, chunk_id, matched_fields, format('S{:02d}', place) as source_label from (select *, row_number() over (partition by grp order by turn, chunk_id) as place from f) where place <= 6"""
+)
+def round_robin_select(spark, d):
+    from pyspark.sql import Window
+
+    v = table(spark, d, "embeddings").select(F.col("label").alias("grp"), F.concat(F.lit("f"), F.col("vec_id") % 3).alias("field"), (F.col("vec_id") % 40).alias("chunk_id"), "vec_id")
+    ranked = v.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "field").orderBy("vec_id"))).drop("vec_id")
+    return evidence.round_robin(ranked, ["f0", "f1", "f2"], ["grp"], 4, 6).select("grp", "chunk_id", F.array_join("matched_fields", ",").alias("matched_fields"), "source_label")
+
+
+@query(
+    """with recursive e as (select conv_id, turn as a, turn + 1 as b from conversations c where exists (select 1 from conversations n where n.conv_id = c.conv_id and n.turn = c.turn + 1)),
+r(conv_id, a, b, k) as (select conv_id, a, b, 1 from e union all select r.conv_id, r.a, e.b, k + 1 from r join e on e.conv_id = r.conv_id and e.a = r.b where k < 100)
+select conv_id || '-' || b as version_id, conv_id || '-' || a as ancestor_id, k as distance from r"""
+)
+def version_chain(spark, d):
+    from .sources.files import version_chain as chain
+
+    c = table(spark, d, "conversations").select("conv_id", "turn").distinct()
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.concat_ws("-", "conv_id", "turn").alias("parent_version_id"))
+    return chain(c.join(before, ["conv_id", "turn"], "left").select(F.concat_ws("-", "conv_id", "turn").alias("version_id"), "parent_version_id"))
+
+
+@query("select 'both' as kind, count(*) as n from (select doc_id from documents intersect select doc_id from labels) union all select 'unlabelled', count(*) from (select doc_id from documents except select doc_id from labels) union all select 'either', count(*) from (select doc_id from labels union select item_id from benchmark)")
+def set_ops(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
+    bench = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))
+    n = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return n(docs.intersect(labels), "both").union(n(docs.subtract(labels), "unlabelled")).union(n(labels.union(bench).distinct(), "either"))
+
+
+@query("select event_type, min(event_id) as event_id from events group by event_type")
+def best_per_key(spark, d):
+    return first_of(table(spark, d, "events"), ["event_type"], [F.col("event_id")]).select("event_type", "event_id")
+
+
+@query("select event_type, user_id, cast(rank as integer) as rank from (select event_type, user_id, row_number() over (partition by event_type order by n desc, user_id) as rank from (select event_type, user_id, count(*) as n from events group by all)) where rank <= 5")
+def topk_per_group(spark, d):
+    n = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    return top_k(n, ["event_type"], [F.desc("n"), F.col("user_id")], 5).select("event_type", "user_id", "rank")
+
+
+@query("select count(distinct sha256(text)) as rows_kept from documents")
+def stream_dedupe(spark, d):
+    """A file stream, worked off and deduplicated by content into a memory table."""
+    import uuid
+
+    from .streaming import ingest
+
+    name = f"stream_{uuid.uuid4().hex}"
+    path = f"{d}/documents.parquet"
+    schema = spark.read.parquet(path).schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(path)
+    kept = ingest.once_per_content(rows.select("text"), ["text"])
+    kept.select("content_id").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).agg(F.count("*").alias("rows_kept"))
+
+
+def FLAGSHIP(spark, d):
+    """Vectors and BM25 fused, for the first benchmark items."""
+    return rrf_fusion(spark, d)
