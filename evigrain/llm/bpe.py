@@ -22,7 +22,7 @@ from .common import mix, read_table, slices, utf8_view
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Remembered pre-tokens of a worker; beyond, the memory starts anew. Results don't depend on it.
-MEMORY = 400_000
+MEMORY = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

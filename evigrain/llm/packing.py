@@ -27,7 +27,7 @@ VOCABULARY = "word_bpe_49k.json"
 WINDOW = 4096
 END = 2
 #: Remembered chunks of a worker; beyond, the memory starts anew. Results don't depend on it.
-MEMORY = 600_000
+MEMORY = 300_000
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -218,7 +218,7 @@ def cut_pieces(docs: DataFrame, path: str, window: int, end: int, text: str, key
         for batch in batches:
             keys, texts = batch.column(0).cast(pa.int64()), batch.column(1)
             data, offsets = utf8_view(texts)
-            for a, b in slices(offsets, 8 << 20):
+            for a, b in slices(offsets, 4 << 20):
                 span = offsets[a : b + 1]
                 ids, at = tok.encode(data[span[0] : span[-1]], span - span[0])
                 rows = []

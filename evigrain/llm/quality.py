@@ -22,7 +22,7 @@ from .common import read_table, slices, utf8_view, word_hashes
 
 PASSAGE = 512
 #: Bounds of the fit.
-TRAIN, PASSAGES = 2500, 24
+TRAIN, PASSAGES = 1200, 24
 HIDDEN, GATE, STEPS = 24, 12, 250
 PREDICT = 0.3
 #: Bytes of texts that are described at once.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import _BYTE, _LOWER, _power, mix, read_table, slices, utf8_view
 
 #: Bounds of the fit: labelled rows of each class, and features.
-TRAIN = 2500
+TRAIN = 2000
 FEATURES = 1500
 #: Grade 1 up to 1 such word, 2 up to 4, 3 beyond.
 GRADES = (1, 4)
