@@ -85,14 +85,13 @@ def sentences(c: Column) -> Column:
 
 
 def compact(c: Column, limit: int) -> Column:
-    """An excerpt of at most `limit` characters: up to the last sentence end behind 55 % of it, else cut with an ellipsis."""
+    """An excerpt: a longer text is cut behind the last sentence end if that is behind 55 % of the limit, else at the limit."""
     text = squeeze(c)
     head = F.substring(text, 1, limit)
-    stop = F.greatest(*[F.length(head) - F.locate(m, F.reverse(head)) + 1 for m in "。；;."])
-    stop = F.when(head.rlike("[。；;.]"), stop).otherwise(0)
-    return F.when(F.length(text) <= limit, text).when(stop >= int(limit * 0.55), F.substring(head, F.lit(1), stop)).otherwise(
-        F.concat(F.rtrim(F.substring(head, 1, limit - 1)), F.lit("…"))
-    )
+    last = lambda m: F.when(F.contains(head, F.lit(m)), F.length(head) - F.locate(m, F.reverse(head)) + 1).otherwise(0)
+    stop = F.greatest(*[last(m) for m in "。！？;."])
+    cut = F.when(stop - 1 >= int(limit * 0.55), F.substring(head, F.lit(1), stop)).otherwise(head)
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(cut), F.lit("……")))
 
 
 def bad_citations(answer: Column, sources: Column) -> Column:

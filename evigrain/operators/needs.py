@@ -223,7 +223,8 @@ def parse(requests: DataFrame, text: str = "request_text") -> DataFrame:
 def invalid(profiles: DataFrame, key: str = "need_id") -> DataFrame:
     """(key, field, value): values without evidence, and evidence without a value. Empty for valid profiles."""
     fields = ("technical_problems", "required_capabilities", "constraints", "keywords", "existing_foundations", "excluded_approaches")
-    pairs = F.concat(*[F.transform(f, lambda v, f=f: F.struct(F.lit(f).alias("field"), v.alias("value"))) for f in fields])
+    named = lambda f: F.transform(f, lambda v: F.struct(F.lit(f).alias("field"), v.alias("value")))
+    pairs = F.concat(*[named(f) for f in fields])
     said = profiles.select(key, F.explode(pairs).alias("p")).select(key, "p.*")
     proof = profiles.select(key, F.explode("evidence_map").alias("e")).select(key, "e.field", "e.value").where(F.col("field").isin(*fields))
     return said.exceptAll(proof).union(proof.exceptAll(said))

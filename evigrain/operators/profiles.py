@@ -23,7 +23,8 @@ INDUSTRIES = {
 def claims(records: DataFrame) -> DataFrame:
     """(teacher, title, author, field, claim, sources) of capability records; a claim without sources is an error."""
     fields = [*FIELDS, "industry_potential"]
-    said = F.concat(*[F.transform(f, lambda c, f=f: F.struct(F.lit(f).alias("field"), c.alias("claim"))) for f in fields])
+    named = lambda f: F.transform(f, lambda c: F.struct(F.lit(f).alias("field"), c.alias("claim")))
+    said = F.concat(*[named(f) for f in fields])
     each = records.select("paper.teacher", "paper.title", "paper.author", "evidence_map", F.explode(said).alias("s"))
     proof = F.filter("evidence_map", lambda e: (e["field"] == F.col("s.field")) & (e["claim"] == F.col("s.claim")))
     sources = F.when(F.size(proof) > 0, F.array_distinct(proof[0]["sources"])).otherwise(F.raise_error(F.concat(F.lit("no source for "), F.col("s.claim"))).cast("array<struct<chunk_id:string,page_start:int,page_end:int>>"))

@@ -74,7 +74,8 @@ def modules(profiles: DataFrame) -> DataFrame:
     """One row a module: its capability (or problem, without capabilities), the related problem and its metrics."""
     caps, problems = ordered_distinct(F.col("required_capabilities")), ordered_distinct(F.col("technical_problems"))
     rows = profiles.select("need_id", "product", "target_metrics", problems.alias("_p"), (F.size(caps) > 0).alias("is_capability"), F.posexplode(F.when(F.size(caps) > 0, caps).otherwise(problems)).alias("at", "name"))
-    related = F.coalesce(*[F.when(F.contains("name", F.lit(h)), F.get(F.filter("_p", lambda p, ws=ws: _has(p, ws)), F.lit(0))) for h, ws in PROBLEM_HINTS.items()])
+    first = lambda ws: F.get(F.filter("_p", lambda p: _has(p, ws)), F.lit(0))
+    related = F.coalesce(*[F.when(F.contains("name", F.lit(h)), first(ws)) for h, ws in PROBLEM_HINTS.items()])
     fits = lambda m: F.coalesce(*[F.when(m["name"] == n, _has(F.col("name"), ws)) for n, ws in METRIC_HINTS.items()], F.lit(False))
     return rows.select(
         "need_id", F.format_string("M%02d", F.col("at") + 1).alias("module_id"), "name", "is_capability", "product", F.when(F.col("is_capability"), related).otherwise(F.col("name")).alias("problem"), F.filter("target_metrics", fits).alias("metrics")

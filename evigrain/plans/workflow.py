@@ -1,17 +1,21 @@
 """The need-to-solution workflow as one plan over many needs, with a trace and fail-fast steps.
 
-Embedding is an adapter: a function of a DataFrame with a text column that adds a vector column. The default hashes
-tokens, needs no model and is the same everywhere.
+Embedding is an adapter: a function of a DataFrame and the names of its text column and of the vector column to add.
+The default hashes tokens, needs no model and is the same everywhere.
 """
 
 from __future__ import annotations
 
 import time
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.text import tokens
 from ..operators import matching, needs, solutions
@@ -20,19 +24,41 @@ from ..operators.retrieval import paper_evidence
 DIMENSIONS = 64
 
 
-def hashed_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Unit vector of signed token counts by hash; null for texts without tokens."""
-    at = F.transform(tokens(text), lambda t: F.xxhash64(t))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(at, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dimensions)) == i, F.when(F.shiftright(h, 40) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(raw, lambda x: x / length))
+def _unit(words) -> list[float] | None:
+    v = np.zeros(DIMENSIONS)
+    for w in () if words is None else words:
+        h = zlib.crc32(w.encode())
+        v[h % DIMENSIONS] += 1.0 if h >> 20 & 1 else -1.0
+    n = np.linalg.norm(v)
+    return (v / n).tolist() if n else None
 
 
-Embed = Callable[[Column], Column]
+def hashed_vectors(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """rows with a unit vector of signed token counts by hash; null without tokens. Terms are made by the JVM."""
+    names = [c for c in rows.columns if c != out]
+    schema = StructType([*[rows.schema[c] for c in names], StructField(out, ArrayType(DoubleType()))])
+    terms = rows.select(*names, tokens(F.col(text)).alias("_terms"))
 
+    def run(batches):
+        for batch in batches:
+            vectors = [_unit(w) for w in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(vectors, pa.list_(pa.float64()))], [*names, out])
 
-def embedded(names: Column, embed: Embed) -> Column:
-    return F.transform(names, lambda n: F.struct(n.alias("name"), embed(n).alias("vector")))
+    return terms.mapInArrow(run, schema)
+
+
+#: Adds a vector column for a text column; may drop no row.
+Embed = Callable[[DataFrame, str, str], DataFrame]
+
+
+def with_vectors(rows: DataFrame, key: str, lists: dict[str, Column], embed: Embed) -> DataFrame:
+    """(key, each list as array<struct(name, vector)>): all names of all lists are embedded in one pass, equal ones of a row once."""
+    each = rows.select(key, F.explode(F.array(*[F.struct(F.lit(k).alias("list"), c.alias("names")) for k, c in lists.items()])).alias("x"))
+    # rows without names stay as rows with a null name; nothing is joined with itself
+    names = embed(each.select(key, "x.list", F.posexplode_outer("x.names").alias("at", "name")), "name", "vector")
+    packed = names.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("list", "at", "name", "vector"))).alias("all"))
+    own = lambda k: F.transform(F.filter("all", lambda x: (x["list"] == k) & x["name"].isNotNull()), lambda x: F.struct(x["name"].alias("name"), x["vector"].alias("vector")))
+    return packed.select(key, *[own(k).alias(k) for k in lists])
 
 
 def need_query() -> Column:
@@ -57,10 +83,11 @@ class State:
     trace: list[dict] = field(default_factory=list)
 
 
-def run(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, embed: Embed = hashed_vector, k: int = 5) -> State:
+def run(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, embed: Embed = hashed_vectors, k: int = 5) -> State:
     """requests: need_id, request_text, confirmed; profiles: operators.profiles.profiles(); chunks: chunk_id, text, teacher, embedding, page_start, page_end.
 
-    The tables of the state are lazy; a step that fails ends the run, and the trace says which.
+    The tables of the state are lazy and kept once computed (unpersist() frees them); a step that fails ends the run,
+    and the trace says which.
     """
     state = State()
     t = state.tables
@@ -73,10 +100,13 @@ def run(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, embed: Embe
 
     def research():
         domain = F.array_join(F.filter(F.array("industry", "product"), lambda v: v != needs.UNKNOWN), "；")
-        t["needs"] = t["profiles"].select("need_id", embed(need_query()).alias("vector"), embed(F.nullif(domain, F.lit(""))).alias("domain_vector"), embedded(matching.ordered_distinct(F.col("required_capabilities")), embed).alias("capabilities"))
+        wanted = {"whole": F.array(need_query()), "domain": F.array(F.nullif(domain, F.lit(""))), "capabilities": matching.ordered_distinct(F.col("required_capabilities"))}
+        only = lambda c: F.get(c, F.lit(0))["vector"]
+        found = with_vectors(t["profiles"], "need_id", wanted, embed)
+        t["needs"] = found.select("need_id", only("whole").alias("vector"), only("domain").alias("domain_vector"), "capabilities")
         both = lambda *cs: matching.ordered_distinct(F.concat(*cs))
         items = both("research_directions", "core_capabilities", "application_domains", "potential_industries")
-        t["people"] = profiles.select("teacher", embedded(items, embed).alias("items"), embedded(both("core_capabilities", "research_directions"), embed).alias("technologies"), embedded(both("application_domains", "potential_industries"), embed).alias("applications"))
+        t["people"] = with_vectors(profiles, "teacher", {"items": items, "technologies": both("core_capabilities", "research_directions"), "applications": both("application_domains", "potential_industries")}, embed)
 
     def paper():
         t["evidence"] = paper_evidence(chunks, t["needs"].select(F.col("need_id").alias("query_id"), F.col("vector").alias("embedding")), "teacher", k, matching.PAPER_THRESHOLD).withColumnRenamed("query_id", "need_id")
@@ -86,7 +116,7 @@ def run(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, embed: Embe
 
     def solution():
         t["modules"] = solutions.modules(t["profiles"])
-        asked = t["modules"].select(F.concat_ws("|", "need_id", "module_id").alias("query_id"), embed(F.concat_ws("\n", "name", "problem", "product")).alias("embedding"))
+        asked = embed(t["modules"].select(F.concat_ws("|", "need_id", "module_id").alias("query_id"), F.concat_ws("\n", "name", "problem", "product").alias("q")), "q", "embedding")
         found = paper_evidence(chunks, asked, "teacher", k, matching.PAPER_THRESHOLD)
         split = F.split("query_id", r"\|")
         found = found.select(split[0].alias("need_id"), split[1].alias("module_id"), "teacher", "chunk_id", "similarity")
@@ -105,7 +135,10 @@ def run(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, embed: Embe
         entry = {"step": step.__name__, "status": "completed"}
         state.trace.append(entry)
         try:
+            before = set(t)
             step()
+            for name in set(t) - before:  # later steps read it several times
+                t[name] = t[name].persist()
         except Exception as e:
             entry |= {"status": "failed", "error": str(e)[:500]}
             raise
