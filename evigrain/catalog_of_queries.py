@@ -564,6 +564,195 @@ def stream_dedupe(spark, d):
     return spark.table(name).agg(F.count("*").alias("rows_kept"))
 
 
+# --- records, needs, profiles, solutions ----------------------------------------------------------------
+
+MEASURES = {"metrics": [{"metric_id": "size", "aliases": ["size", "length"], "canonical_unit": "mm", "directions": [], "units": [{"symbol": "mm", "aliases": [], "scale": 1.0}, {"symbol": "cm", "aliases": [], "scale": 10.0}]}]}
+
+
+@query(
+    """select p_partkey, round(p_size * case when p_partkey % 2 = 0 then 1 else 10 end, 6)::double as normalized_min, round((p_size + 3) * case when p_partkey % 2 = 0 then 1 else 10 end, 6)::double as normalized_max,
+  case when p_partkey % 3 = 0 then 'measured' else 'reported' end as evidence_level, 'range' as value_type from part"""
+)
+def metric_extract(spark, d):
+    """Quantities read from sentences made of parts' sizes."""
+    from .operators.metrics import extract
+    from .sources.ontology import Ontology
+
+    unit = F.when(F.col("p_partkey") % 2 == 0, "mm").otherwise("cm")
+    text = F.concat(F.when(F.col("p_partkey") % 3 == 0, "本文。本文 size 为 ").otherwise("The length is "), "p_size", F.lit("–"), F.col("p_size") + 3, F.lit(" "), unit, F.lit("。no digits here。"))
+    chunks = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("chunk_id"), F.lit("p").alias("paper_id"), F.lit("unclassified").alias("direction"), F.lit("results").alias("section_type"), text.alias("text"))
+    got = extract(chunks, Ontology.read(MEASURES))
+    return got.select(F.col("chunk_id").cast("long").alias("p_partkey"), F.round("normalized_min", 6).alias("normalized_min"), F.round("normalized_max", 6).alias("normalized_max"), "evidence_level", "value_type")
+
+
+@query(
+    """select c_custkey, case c_custkey % 3 when 0 then '工业检测' when 1 then '医疗影像' else '未明确' end as industry, case c_custkey % 3 when 0 then 'X射线探测器' else '未明确' end as product,
+  case when c_custkey % 2 = 0 then '低成本材料' else '' end as capabilities, case when c_custkey % 3 = 0 then 1 else 0 end as targets from customer"""
+)
+def need_parse(spark, d):
+    """Structured needs from request texts made of customers."""
+    from .operators import needs
+
+    n = F.col("c_custkey")
+    text = F.concat(F.when(n % 3 == 0, "工业探伤用 X 射线探测器，成本不超过 100 元，").when(n % 3 == 1, "用于医学成像。").otherwise("hello。"), F.when(n % 2 == 0, "需要低成本方案。").otherwise(""))
+    got = needs.parse(table(spark, d, "customer").select("c_custkey", text.alias("request_text")))
+    return got.select("c_custkey", "industry", "product", F.array_join("required_capabilities", ",").alias("capabilities"), F.size("target_metrics").alias("targets"))
+
+
+def _profiles_of_parts(spark, d):
+    """Capability records: a part is a paper of its brand, its type a claim."""
+    p = table(spark, d, "part")
+    e = lambda f, c: F.struct(F.lit(f).alias("field"), c.alias("claim"), F.array(F.struct(F.concat(F.lit("c"), F.col("p_partkey") % 50).alias("chunk_id"), F.lit(1).alias("page_start"), F.lit(2).alias("page_end"))).alias("sources"))
+    kind = F.col("p_type")
+    return p.select(
+        F.struct(F.lit("f").alias("file_name"), F.col("p_name").alias("title"), (F.col("p_size") % 7).cast("string").alias("author"), F.col("p_brand").alias("teacher"), F.lit(2020).alias("year")).alias("paper"),
+        F.lit("").alias("research_problem"), F.array(kind).alias("research_direction"), F.array(F.upper(kind)).alias("core_technologies"), F.array().cast("array<string>").alias("applications"), F.array().cast("array<string>").alias("industry_potential"),
+        F.array(e("research_direction", kind), e("core_technologies", F.upper(kind))).alias("evidence_map"),
+    )
+
+
+@query(
+    """select p_brand as teacher, count(*) as paper_count, count(distinct p_size % 7) as author_count, count(distinct p_partkey % 50) as evidence_chunk_count,
+  count(distinct regexp_replace(lower(p_type), '[^0-9a-z]+', '', 'g')) as directions from part group by p_brand"""
+)
+def teacher_profiles(spark, d):
+    got = profiles.profiles(_profiles_of_parts(spark, d))
+    return got.select("teacher", "paper_count", "author_count", "evidence_chunk_count", F.size("research_directions").cast("long").alias("directions"))
+
+
+def _solution_inputs(spark, d):
+    from .operators import solutions
+
+    n = F.col("c_custkey")
+    metric = F.struct(F.lit("TM01").alias("metric_id"), F.lit("成本").alias("name"), F.lit("<=").alias("operator"), F.lit("1").alias("value_text"), F.lit("").alias("unit"), F.when(n % 5 == 0, "").otherwise("cond").alias("test_condition"), F.lit("raw").alias("raw_text"), F.lit(True).alias("first"))
+    some = lambda p, *v: F.when(p, F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>"))
+    prof = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("need_id"), (n % 4 != 0).alias("confirmed"), F.when(n % 7 == 0, "未明确").otherwise("i").alias("industry"), F.lit("p").alias("product"), some(n % 2 == 0, "材料或制备成本偏高").alias("technical_problems"),
+        some(n % 3 != 0, "低成本材料", "大面积制备").alias("required_capabilities"), some(F.lit(True), "c").alias("constraints"), some(F.lit(True), "f").alias("existing_foundations"), some(F.lit(True), "x").alias("excluded_approaches"),
+        some(F.lit(False), "u").alias("unparsed_fragments"), F.when(n % 6 != 0, F.array(metric)).otherwise(F.array_except(F.array(metric), F.array(metric))).alias("target_metrics"),
+    )
+    mods = solutions.modules(prof)
+    found = mods.where((F.col("module_id") == "M01") | (F.col("need_id") % 10 < 5)).select("need_id", "module_id", F.lit("t").alias("teacher"), F.lit("ch").alias("chunk_id"), (F.lit(0.5) + F.col("need_id") % 4 * 0.1).alias("similarity"))
+    return prof, mods, solutions.support(mods, found, prof.select("need_id", F.lit("t").alias("teacher")))
+
+
+SOLUTION_SQL = """
+with c as (select c_custkey as n from customer),
+m as (select n, case when n % 3 <> 0 then 2 when n % 2 = 0 then 1 else 0 end as modules from c),
+s as (select n, modules, case when modules = 0 then 0 when modules = 1 or n % 10 < 5 then modules else 1 end as ok, n % 4 <> 0 as confirmed, n % 6 <> 0 as has, n % 6 <> 0 and n % 5 <> 0 as cond, 50 + n % 4 * 10.0 as sim from m),
+g as (select *, case when not confirmed or ok = 0 then 'blocked' when has and ok = modules then 'passed' else 'provisional' end as status,
+  case when n % 7 = 0 then 1 else 0 end + case when n % 3 = 0 then 1 else 0 end + case when not has then 1 else 0 end + case when has and not cond then 1 else 0 end as blocking from s),
+t as (select *, case when modules > 0 then round_even(100.0::double * ok / modules, 0) end as fit from g),
+k as (select *, round_even((coalesce(fit * 0.35, 0) + coalesce(case when ok > 0 then round_even(sim, 0) * 0.35 end, 0)) / nullif(case when fit is not null then 0.35 else 0 end + case when ok > 0 then 0.35 else 0 end, 0) / 5, 0) * 5 as known from t)"""
+
+
+@query(SOLUTION_SQL + " select n as need_id, status, cast(case when status = 'blocked' then 0 else 1 end as integer) as solutions from g")
+def solution_gate(spark, d):
+    from .operators import solutions
+
+    prof, _, sup = _solution_inputs(spark, d)
+    return solutions.gate(prof, sup)
+
+
+@query(
+    SOLUTION_SQL
+    + """ select n as need_id, cast(known as integer) as known_score, cast(round_even(100 * (case when modules > 0 then ok::double / modules else 0 end * 0.6 + case when cond then 0.4 else 0 end), 0) as integer) as evidence_completeness,
+  case when not confirmed then 'pause_for_confirmation' when modules = 0 or ok < modules then 'pause_for_evidence' when not cond or blocking > 0 then 'proceed_to_clarification' else 'proceed_to_feasibility' end as decision from k"""
+)
+def transfer_evaluation(spark, d):
+    from .operators import solutions
+
+    prof, _, sup = _solution_inputs(spark, d)
+    return solutions.transfer(prof, sup, solutions.clarification(prof)).select("need_id", "known_score", "evidence_completeness", "decision")
+
+
+@query(SOLUTION_SQL + " select n as need_id, cast(count(*) as bigint) as edges, cast(any_value(case when modules > 1 then modules + 3 else modules + 2 end) as bigint) as nodes from (select n, modules, unnest(range(case when modules > 1 then 2 * modules + 1 else 2 * modules end)) from g where status <> 'blocked') group by n")
+def route_graph(spark, d):
+    from .operators import solutions
+
+    prof, _, sup = _solution_inputs(spark, d)
+    nodes, edges = solutions.route(sup, solutions.gate(prof, sup))
+    return edges.groupBy("need_id").agg(F.count("*").alias("edges")).join(nodes.groupBy("need_id").agg(F.count("*").alias("nodes")), "need_id")
+
+
+@query(SOLUTION_SQL + " select n as need_id, cast(blocking as bigint) as blocking from g where blocking > 0")
+def clarification_questions(spark, d):
+    from .operators import solutions
+
+    q = solutions.clarification(_solution_inputs(spark, d)[0])
+    return q.where("severity = 'blocking'").groupBy("need_id").agg(F.count("*").alias("blocking"))
+
+
+@query("select conv_id as need_id, turn as node_id from conversations where 1 = 0")
+def dag_acyclic(spark, d):
+    """Turns that follow each other form no cycle: nothing is left when sources are taken off."""
+    from .operators import solutions
+
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("need_id"), F.col("turn").alias("node_id")).distinct()
+    nxt = c.select("need_id", (F.col("node_id") + 1).alias("node_id"), F.col("node_id").alias("source"))
+    edges = c.join(nxt, ["need_id", "node_id"]).select("need_id", "source", F.col("node_id").alias("target"))
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evigrain-"))
+    return solutions.cyclic_nodes(c, edges)
+
+
+@query(
+    """with c as (select conv_id as caption_id, conv_id % 20 as page, conv_id % 7 * 50.0 as x0, 400.0 as y0 from (select distinct conv_id from conversations)),
+i as (select p_partkey as image_id, p_partkey % 20 as page, p_size * 10.0 as x0, p_size * 8.0 as y0, p_size * 10.0 + 120 as x1, p_size * 8.0 + 90 as y1 from part),
+j as (select caption_id, image_id, greatest(0, c.y0 - y1) as gap from c join i using (page) where y1 <= c.y0 + 20 + 18 and greatest(0, least(x1, c.x0 + 100) - greatest(i.x0, c.x0)) / 100 >= 0.12 and greatest(0, c.y0 - y1) <= 420)
+select caption_id, arg_min(image_id, (gap, image_id)) as image_id, min(gap)::double as gap from (select caption_id from c) left join j using (caption_id) group by caption_id"""
+)
+def nearest_image(spark, d):
+    """Spatial join: each caption's nearest image above it on its page."""
+    c = table(spark, d, "conversations").select("conv_id").distinct()
+    x = F.col("conv_id") % 7 * 50.0
+    captions = c.select(F.col("conv_id").alias("caption_id"), F.lit("d").alias("doc_id"), (F.col("conv_id") % 20).alias("page"), x.alias("x0"), F.lit(400.0).alias("y0"), (x + 100).alias("x1"), F.lit(420.0).alias("y1"), F.lit(1000.0).alias("page_height"))
+    s = F.col("p_size")
+    images = table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), F.lit("d").alias("doc_id"), (F.col("p_partkey") % 20).alias("page"), (s * 10.0).alias("x0"), (s * 8.0).alias("y0"), (s * 10.0 + 120).alias("x1"), (s * 8.0 + 90).alias("y1"))
+    return layout.nearest_images(captions, images)
+
+
+@query(
+    """with t as (select conv_id as doc_id, turn % 3 as page, turn as block_number, 'x = ' || turn || case when turn % 2 = 0 then ' (1.' || turn || ')' else '' end as text from conversations),
+s as (select *, case when contains(text, '(') then 9 else 0 end as score from t),
+b as (select *, row_number() over (partition by doc_id, page order by score desc, block_number) as k from s where score > 0)
+select doc_id, page, block_number, score, cast(row_number() over (partition by doc_id order by page) as integer) as rank from b where k = 1"""
+)
+def formula_blocks(spark, d):
+    c = table(spark, d, "conversations")
+    text = F.concat(F.lit("x = "), "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" (1."), "turn", F.lit(")"))).otherwise(""))
+    got = evidence.formula_blocks(c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") % 3).alias("page"), F.col("turn").alias("block_number"), text.alias("text")))
+    return got.select("doc_id", "page", "block_number", "score", "rank")
+
+
+@query()
+def reading_evidence(spark, d):
+    """Sections' evidence of each source's documents (tested on small rows: the choice is sequential)."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("paper_id"), F.format_string("c%09d", "doc_id").alias("chunk_id"), "text", layout.section_type(F.lit(layout.UNKNOWN_PATH), F.col("text"))["section_type"].alias("section_type"), F.lit("").alias("section_path"), F.lit(9).alias("page_start"))
+    plan = [("legal", ("contents",), ("license", "rights")), ("tone", (), ("idiot", "clown")), ("end", ("conclusion",), ("summary",))]
+    return evidence.reading_evidence(docs, plan=plan)
+
+
+@query(
+    """select o_orderkey as paper_id from orders where o_orderstatus in ('O', 'F') order by case o_orderstatus when 'O' then 0 else 1 end, lower(o_orderpriority), o_orderkey limit 50"""
+)
+def work_candidates(spark, d):
+    """The next bounded batch of work: primary state first, then failed ones (the batch size is the feature)."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("paper_id"), F.lit("t").alias("teacher"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") == "O", "metadata_pending").when(F.col("o_orderstatus") == "F", "failed").otherwise("parsed").alias("ingestion_status"))
+    return catalog.candidates(o, "metadata_pending", 50, True).select("paper_id")
+
+
+@query("select l_orderkey as doc_id, round(max(l_extendedprice), 2) as v from lineitem where l_orderkey % 2 = 0 group by 1 having count(*) >= 5")
+def new_file_scan(spark, d):
+    """Incremental scan: what a cache of (path, length, modified) doesn't know, then an aggregate over it."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("path"), F.col("l_linenumber").alias("length"), F.col("l_shipdate").alias("modified"), "l_orderkey", "l_extendedprice")
+    cache = li.where("l_orderkey % 2 = 1").select("path", "length", "modified")
+    new = catalog.new_files(li, cache)
+    return new.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.round(F.max("l_extendedprice"), 2).alias("v"), F.count("*").alias("n")).where("n >= 5").drop("n")
+
+
 def FLAGSHIP(spark, d):
     """Vectors and BM25 fused, for the first benchmark items."""
     return rrf_fusion(spark, d)
