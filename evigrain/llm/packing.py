@@ -27,7 +27,7 @@ VOCABULARY = "word_bpe_49k.json"
 WINDOW = 4096
 END = 2
 #: Remembered chunks of a worker; beyond, the memory starts anew. Results don't depend on it.
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
