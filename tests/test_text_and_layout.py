@@ -114,3 +114,20 @@ def test_evidence_choices(spark):
     blocks = spark.createDataFrame([("d", 1, 1, "before"), ("d", 1, 2, "E = mc (2.1)"), ("d", 1, 3, "after one"), ("d", 1, 4, "a = b"), ("d", 2, 1, "no formula")], "doc_id string, page int, block_number int, text string")
     f = evidence.formula_blocks(blocks).collect()
     assert [(r.source_label, r.page, r.score, r.context) for r in f] == [("Q01", 1, 9, "before after one")]
+
+
+def test_captions_and_joined_lines(spark):
+    cap = lambda t: one(spark, layout.caption_parts(F.col("t")), t=t)
+    assert tuple(cap("图 2-1： 器件结构.")) == ("figure", "图2-1", "器件结构")
+    assert tuple(cap("Table 3")) == ("table", "Table3", "Table 3") and tuple(cap("Fig. 4 x")) == ("figure", "Fig4", "x")
+    assert cap("plain") is None
+    assert one(spark, layout.join_lines(F.col("t")), t=["a^{1", "", "b"]) == "a^{1\nb"
+    assert one(spark, layout.join_lines(F.col("t")), t=["x^{-", " ", "y"]) == "x^{-\ny"
+    assert one(spark, layout.join_lines(F.col("t")), t=["cm^{-}", "^{2} s", "_{a}", "^{b}"]) == "cm^{-2} s\n_{a}\n^{b}"
+
+
+def test_summaries(spark):
+    c = spark.createDataFrame([("f", "abc"), ("f", "a")], "file_name string, text string")
+    assert tuple(layout.chunk_summary(c, ["file_name"]).first()) == ("f", 4, 2, 2.0)
+    b = spark.createDataFrame([("f", 1, "paragraph", 2), ("f", 2, "figure_caption", 0)], "file_name string, page int, block_type string, script_span_count int")
+    assert tuple(layout.layout_audit(b, ["file_name"]).first()) == ("f", 2, 2, 1, 0, 2)
