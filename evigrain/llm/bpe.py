@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import mix, read_table, slices, utf8_view
+from .common import mix, read_table, slices, tidy, utf8_view
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Remembered pre-tokens of a worker; beyond, the memory starts anew. Results don't depend on it.
@@ -231,7 +231,7 @@ def encode_table(docs: DataFrame, path: str, pattern: str, text: str = "text", k
                     d2.append(hashlib.sha256(c.decode(ids[x:y])).hexdigest())
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a).cast(pa.int64()), pa.array(n), pa.array(d1), pa.array(d2)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(key, text).mapInArrow(run, SCHEMA)
+    return docs.select(key, text).mapInArrow(tidy(run), SCHEMA)
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -95,13 +98,28 @@ def split_by_filter(rows: DataFrame, key: str, bits: np.ndarray, inside: bool) -
             hit = bits[ids.fill_null(0).to_numpy(zero_copy_only=False) & (FILTER_BITS - 1)] & ids.is_valid().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(hit if inside else ~hit))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)
 
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def tidy(run):
+    """run, giving unused memory back to the system when a task ends: workers live on, and executors are small."""
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return outer
+
+
 def runs_of(batches, keys: int):
     """Tables of consecutive rows that agree in their first `keys` columns, from batches sorted by them."""
     held, now = [], None

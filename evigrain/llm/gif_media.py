@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, utf8_view
+from .common import materialize, read_table, tidy, utf8_view
 
 WIDTH = 64
 FRAME_ROWS = 1024
@@ -242,7 +242,7 @@ def frame_table(media: DataFrame, data: str = "media", key: str = "id") -> DataF
                 kinds = [pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return media.select(F.col(key).cast("long"), data).mapInArrow(run, FRAMES)
+    return media.select(F.col(key).cast("long"), data).mapInArrow(tidy(run), FRAMES)
 
 
 def samples_of(data: bytes) -> tuple[bytes, str]:
@@ -274,7 +274,7 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
                     held, k = held + len(media[-1]), k + 1
                 yield pa.RecordBatch.from_arrays([keys.slice(first, k - first), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(key, text).mapInArrow(run, STORED)
+    return docs.select(key, text).mapInArrow(tidy(run), STORED)
 
 
 def read_back(stored: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def read_back(stored: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
-    return stored.mapInArrow(run, READ)
+    return stored.mapInArrow(tidy(run), READ)
 
 
 def op5_gif_media(spark, sf_dir: str) -> DataFrame:

@@ -38,6 +38,7 @@ from .common import (
     runs_of,
     shingle_sets,
     split_by_filter,
+    tidy,
 )
 
 #: Two documents link when 100 * shared >= PERCENT * union.
@@ -91,7 +92,7 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
             [pa.array(np.ones(k, np.int32)), pa.array([i for i, _ in parts], pa.int64()), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.string()), pa.array([c for _, c in parts], pa.binary())], FACTS
         )
 
-    return docs.mapInArrow(run, "kind int, id long, n long, digest string, counts binary")
+    return docs.mapInArrow(tidy(run), "kind int, id long, n long, digest string, counts binary")
 
 
 def bucket_levels(facts: DataFrame) -> np.ndarray:
@@ -114,7 +115,7 @@ def bucket_levels(facts: DataFrame) -> np.ndarray:
             yield level()
 
     parts = facts.where("kind = 1").select("id", "counts").repartition(partitions(facts.sparkSession), "id").sortWithinPartitions("id")
-    got = parts.mapInArrow(run, "id long, levels binary").toArrow()
+    got = parts.mapInArrow(tidy(run), "id long, levels binary").toArrow()
     out = np.zeros((PARTS, WIDTH), np.uint8)
     for i, c in zip(got["id"].to_pylist(), got["levels"]):
         out[i] = np.frombuffer(c.as_py(), np.uint8)
@@ -172,9 +173,9 @@ def meetings(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> Data
             last, head, before = token[-1], first[-1], n[-1]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    found = docs.mapInArrow(emit, "token long, id long, n int")
+    found = docs.mapInArrow(tidy(emit), "token long, id long, n int")
     found = found.repartition(partitions(docs.sparkSession), "token").sortWithinPartitions("token", "n", "id")
-    return found.mapInArrow(meet, "a long, b long").distinct()
+    return found.mapInArrow(tidy(meet), "a long, b long").distinct()
 
 
 class Region:
@@ -288,7 +289,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
                 root = join_region(ids, [found[k] for k in some], percent)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root)], ["a", "b"])
 
-    links = materialize(gathered.mapInArrow(run, "a long, b long").where("a <> b"), "links")
+    links = materialize(gathered.mapInArrow(tidy(run), "a long, b long").where("a <> b"), "links")
     discard(regions)
     labels = connected_components(links, "components").withColumnRenamed("id", "doc_id").withColumnRenamed("component", "label")
     classes = known.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, attach_by_key, id_filter, materialize, partitions, read_table, runs_of, slices, split_by_filter, utf8_view
+from .common import FILTER_BITS, attach_by_key, id_filter, materialize, partitions, read_table, runs_of, slices, split_by_filter, tidy, utf8_view
 
 DEPTH = 3
 SIMILAR = 0.7
@@ -95,7 +95,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "leaf", "line", "company"])
 
-    return docs.mapInArrow(run, "doc_id long, leaf long, line long, company long")
+    return docs.mapInArrow(tidy(run), "doc_id long, leaf long, line long, company long")
 
 
 def leaf_lines(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -116,7 +116,7 @@ def leaf_lines(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["leaf", "line", "tokens"])
 
-    return docs.mapInArrow(run, "leaf long, line long, tokens string")
+    return docs.mapInArrow(tidy(run), "leaf long, line long, tokens string")
 
 
 def recurring_lines(docs: DataFrame, lines: DataFrame, documents: int, diverse: float) -> DataFrame:
@@ -144,7 +144,7 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, documents: int, diverse:
             yield from out.combine_chunks().to_batches()
 
     key = F.struct("leaf", "line").alias("k")
-    grown = materialize(ordered.mapInArrow(run, "leaf long, line long, template long, companies long, documents long"), "templates")
+    grown = materialize(ordered.mapInArrow(tidy(run), "leaf long, line long, template long, companies long, documents long"), "templates")
     merged = attach_by_key(
         met.join(leaves, "leaf", "left_semi").select(key, "company", "documents"), grown.select(key, "leaf", "template", F.col("companies").alias("c")), "k", "c"
     )
@@ -201,7 +201,7 @@ def clean(docs: DataFrame, documents: int = DOCUMENTS, diverse: float = DIVERSE,
                 columns[size] = length
             yield pa.RecordBatch.from_arrays(columns, own)
 
-    return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string" if report else schema)
+    return rows.mapInArrow(tidy(run), "doc_id long, n_lines long, n_dropped long, text string" if report else schema)
 
 
 def _with_drops(docs: DataFrame, lines: DataFrame, found: DataFrame, key: str) -> DataFrame:

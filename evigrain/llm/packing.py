@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import gather
-from .common import materialize, read_table, slices, utf8_view
+from .common import materialize, read_table, slices, tidy, utf8_view
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 4096
 END = 2
 #: Remembered chunks of a worker; beyond, the memory starts anew. Results don't depend on it.
-MEMORY = 150_000
+MEMORY = 300_000
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -235,7 +235,7 @@ def cut_pieces(docs: DataFrame, path: str, window: int, end: int, text: str, key
                         ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local"],
                     )
 
-    return docs.select(key, text).mapInArrow(run, PIECES)
+    return docs.select(key, text).mapInArrow(tidy(run), PIECES)
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -270,7 +270,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, text:
     ranked = pieces.join(ahead, ["part", "length"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("ahead") + F.col("local")).alias("rank")
     )
-    return ranked.mapInArrow(run, PACKED)
+    return ranked.mapInArrow(tidy(run), PACKED)
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

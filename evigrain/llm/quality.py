@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, utf8_view, word_hashes
+from .common import read_table, slices, tidy, utf8_view, word_hashes
 
 PASSAGE = 512
 #: Bounds of the fit.
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
             ids = batch.column(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(held_out(ids.to_pylist())), pa.array(s), pa.array((s >= PREDICT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(key, text).mapInArrow(run, SCORES)
+    return docs.select(key, text).mapInArrow(tidy(run), SCORES)
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -213,7 +213,7 @@ def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.score(batch.column(at)) >= PREDICT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _LOWER, _power, mix, read_table, slices, utf8_view
+from .common import _BYTE, _LOWER, _power, mix, read_table, slices, tidy, utf8_view
 
 #: Bounds of the fit: labelled rows of each class, and features.
 TRAIN = 2000
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
                 ["doc_id", "p_toxic", "expected_severity", "grade", "rejected"],
             )
 
-    return docs.select(key, text).mapInArrow(run, SCORES)
+    return docs.select(key, text).mapInArrow(tidy(run), SCORES)
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -188,7 +188,7 @@ def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.at_least(batch.column(at))[:, 0] < REJECT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

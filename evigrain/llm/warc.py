@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, id_filter, materialize, partitions, read_table, split_by_filter
+from .common import attach_by_key, id_filter, materialize, partitions, read_table, split_by_filter, tidy
 
 CHUNK = 1 << 16
 #: Payloads below this size are never replaced by a revisit.
@@ -157,7 +157,7 @@ def write_archives(pages: DataFrame, payload: str = "html", url: str = "url", ke
         if out:
             yield flush()
 
-    return materialize(rows.select("page_id", "url", "body", "refers_to", "same").mapInArrow(run, CHUNKS), "warc", "zstd")
+    return materialize(rows.select("page_id", "url", "body", "refers_to", "same").mapInArrow(tidy(run), CHUNKS), "warc", "zstd")
 
 
 def read_archives(chunks: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def read_archives(chunks: DataFrame) -> DataFrame:
 
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     ordered = chunks.select("archive", "data", "seq").repartition(partitions(chunks.sparkSession), "archive").sortWithinPartitions("archive", "seq")
-    return ordered.select("archive", "data").mapInArrow(run, RECORDS)
+    return ordered.select("archive", "data").mapInArrow(tidy(run), RECORDS)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
