@@ -93,7 +93,8 @@ def block_matches(docs: DataFrame, templates=None, containment: float = CONTAINM
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of docs: word count, places of the phrases, labels of phrases and of template matches, score.
 
-    Null and empty texts: 0 words, no places, empty labels, score 0. An empty table gives an empty result.
+    Null and empty texts: 0 words, no places, empty labels, score 0. An empty table gives an empty result. Rows that
+    share a key share their template matches; a row with a null key has those of the phrases only.
     """
     trimmed = F.trim(F.regexp_replace(ascii_lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS, " "))
     d = docs.select(F.col(key), trimmed.alias("norm"))
