@@ -691,10 +691,11 @@ def dag_acyclic(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("need_id"), F.col("turn").alias("node_id")).distinct()
     nxt = c.select("need_id", (F.col("node_id") + 1).alias("node_id"), F.col("node_id").alias("source"))
     edges = c.join(nxt, ["need_id", "node_id"]).select("need_id", "source", F.col("node_id").alias("target"))
-    if not spark.sparkContext.getCheckpointDir():
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():  # the cluster's shared folder; a new one only where none is named, as in tests
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evigrain-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evigrain-"))
     return solutions.cyclic_nodes(c, edges)
 
 
