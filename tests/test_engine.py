@@ -273,3 +273,14 @@ def test_streams(spark, tmp_path):
     seen = []
     ingest.run_batches(ingest.uploads(spark, str(tmp_path / "box")), lambda df, n: seen.extend(df.select("paper_id").collect()), str(tmp_path / "cp2"))
     assert len(seen) == 1
+
+
+def test_dense_search_both_ways(spark, monkeypatch):
+    rows = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0]), (103, [1.0, None, 2.0])]
+    c = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([("a", [1.0, 2.0, 0.5]), ("b", [0.0, 0.0, 0.0]), ("c", None), ("d", [2.0, 0.0, 1.0]), ("e", [3.0])], "query_id string, embedding array<double>")
+    got = lambda: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in retrieval.dense_search(c, q, 7).collect())
+    block = got()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 0)
+    assert block == got() and {x[0] for x in block} == {"a", "d", "e"} and len(block) == 15
+    assert retrieval.dense_search(c, q.limit(0), 3).count() == 0 and retrieval.dense_search(c.limit(0), q, 3).count() == 0
