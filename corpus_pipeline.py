@@ -39,7 +39,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces of token sequences."""
     import public_tokenizers as P
 
-    return packing.pack(docs, P.path(packing.VOCABULARY))
+    return packing.pack(docs, P.path(packing.VOCABULARY), run_bytes=2 << 20)
 
 
 STAGES = [

@@ -26,6 +26,8 @@ from .common import materialize, read_table, slices, tidy, utf8_view
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 4096
 END = 2
+#: Bytes of texts that are tokenized at once.
+RUN = 4 << 20
 #: Remembered chunks of a worker; beyond, the memory starts anew. Results don't depend on it.
 MEMORY = 300_000
 
@@ -212,13 +214,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def cut_pieces(docs: DataFrame, path: str, window: int, end: int, text: str, key: str) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, window: int, end: int, text: str, key: str, run_bytes: int) -> DataFrame:
     def run(batches):
         tok, part, seen = tokenizer(path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
             keys, texts = batch.column(0).cast(pa.int64()), batch.column(1)
             data, offsets = utf8_view(texts)
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, run_bytes):
                 span = offsets[a : b + 1]
                 ids, at = tok.encode(data[span[0] : span[-1]], span - span[0])
                 rows = []
@@ -238,13 +240,14 @@ def cut_pieces(docs: DataFrame, path: str, window: int, end: int, text: str, key
     return docs.select(key, text).mapInArrow(tidy(run), PIECES)
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, text: str = "text", key: str = "doc_id", run_bytes: int = RUN) -> DataFrame:
     """One row per piece, with the sequence that holds it and its offset there.
 
     Null and empty texts are the end id alone. Repeated rows and keys are packed as often as they occur. An empty
-    table gives an empty result. Of a sequence that isn't full, only its end is padding.
+    table gives an empty result. Of a sequence that isn't full, only its end is padding. run_bytes: texts that a worker
+    tokenizes at once, which trades its memory against its time and changes no result.
     """
-    pieces = materialize(cut_pieces(docs, path, window, end, text, key), "pieces")
+    pieces = materialize(cut_pieces(docs, path, window, end, text, key, run_bytes), "pieces")
     # ranks among equal lengths: counted within each task above, so that one frequent length is nobody's burden
     tasks = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
