@@ -27,9 +27,9 @@ VOCABULARY = "word_bpe_49k.json"
 WINDOW = 4096
 END = 2
 #: Bytes of texts that are tokenized at once.
-RUN = 4 << 20
+RUN = 8 << 20
 #: Remembered chunks of a worker; beyond, the memory starts anew. Results don't depend on it.
-MEMORY = 300_000
+MEMORY = 600_000
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -237,7 +237,7 @@ def cut_pieces(docs: DataFrame, path: str, window: int, end: int, text: str, key
                         ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local"],
                     )
 
-    return docs.select(key, text).mapInArrow(tidy(run), PIECES)
+    return docs.select(key, text).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, text: str = "text", key: str = "doc_id", run_bytes: int = RUN) -> DataFrame:
