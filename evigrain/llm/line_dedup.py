@@ -4,10 +4,11 @@ A line's tokens are its words between white space; those with a digit are variab
 the number of tokens and the first DEPTH tokens; a leaf's lines are compared with its templates, most frequent first,
 join the most similar one with SIMILAR of their tokens equal, or found a new one, and places that differ become <*>.
 
-A template recurs when at least DOCUMENTS documents hold it in different company: its documents are counted by the
-smallest leaf among their other lines, and these must be DOCUMENTS too and DIVERSE of its documents. So boilerplate and
-passages spread over unlike documents are dropped wherever they stand, while the lines of a group of copies or near
-copies stay, as their company is the same; such groups are the near-duplicate stage's to judge.
+A template recurs when at least DOCUMENTS unlike documents hold it, however many copies there are of any of them. Two
+of its documents are alike when all their other lines begin alike (DEPTH first tokens) or all end alike (DEPTH last
+tokens), or when both are like a third one. So boilerplate and passages spread over unlike documents are dropped
+wherever they stand, while the lines of a group of copies, or of near copies with a word edited here or there, stay, as
+the group counts once; such groups are the near-duplicate stage's to judge.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, attach_by_key, id_filter, materialize, partitions, read_table, runs_of, slices, split_by_filter, tidy, utf8_view
+from .common import FILTER_BITS, attach_by_key, connected_components, id_filter, materialize, partitions, read_table, runs_of, slices, split_by_filter, tidy, utf8_view
 
 DEPTH = 3
 SIMILAR = 0.7
 DOCUMENTS = 5
+#: Read by the brute force of an older rule in the tests only.
 DIVERSE = 0.3
 #: Recurring lines up to which their keys (8 bytes each) go to every task; beyond, each document's are joined to it.
 RECURRING = 1_000_000
 _DIGIT = re.compile("[0-9]")
+_HALF = 1 << 63
 
 
 def _hash(s: str) -> int:
@@ -45,10 +48,15 @@ def parse(line: str) -> tuple[int, int, list[str]] | None:
     return _hash(f"{len(tokens)} {' '.join(tokens[:DEPTH])}"), _hash(" ".join(tokens)), tokens
 
 
-def company(leaves: set[int]) -> dict[int, int]:
-    """For each leaf of a document, the smallest of its other leaves; itself where it is the only one."""
-    low = sorted(leaves)[:2]
-    return {x: low[0] if x != low[0] else low[-1] for x in leaves}
+def ends(tokens: list[str]) -> tuple[int, int]:
+    """Keys of the first and of the last DEPTH tokens of a line."""
+    return _hash(" ".join(tokens[:DEPTH])), _hash(" ".join(tokens[-DEPTH:]))
+
+
+def company(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """For the ends of each line of a document, one key for all other beginnings and one for all other ends."""
+    heads, tails = sum({h for h, _ in found}), sum({t for _, t in found})
+    return [((heads - h + _HALF) % (2 * _HALF) - _HALF, (tails - t + _HALF) % (2 * _HALF) - _HALF) for h, t in found]
 
 
 def grow(lines: list[list[str]]) -> list[int]:
@@ -80,7 +88,7 @@ def _texts(batch, at: int):
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, k = (leaf, line), company): each different line of each document."""
+    """(doc_id, leaf, line, heads, tails): each different line of each document, with its company."""
 
     def run(batches):
         for batch in batches:
@@ -88,14 +96,14 @@ def line_table(docs: DataFrame) -> DataFrame:
             for a, texts in _texts(batch, 1):
                 rows = []
                 for i, text in enumerate(texts):
-                    found = {p[:2] for line in set(text.split("\n")) if (p := parse(line))}
-                    by = company({leaf for leaf, _ in found})
+                    found = {p[:2]: p[2] for line in set(text.split("\n")) if (p := parse(line))}
                     ident = ids[a + i].as_py()
-                    rows += [(ident, leaf, line, by[leaf]) for leaf, line in sorted(found)]
+                    rows += [(ident, *k, *by) for k, by in zip(found, company([ends(t) for t in found.values()]))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "leaf", "line", "company"])
+                    names = ["doc_id", "leaf", "line", "heads", "tails"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-    return docs.mapInArrow(tidy(run), "doc_id long, leaf long, line long, company long")
+    return docs.mapInArrow(tidy(run), "doc_id long, leaf long, line long, heads long, tails long")
 
 
 def leaf_lines(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -119,14 +127,38 @@ def leaf_lines(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return docs.mapInArrow(tidy(run), "leaf long, line long, tokens string")
 
 
-def recurring_lines(docs: DataFrame, lines: DataFrame, documents: int, diverse: float) -> DataFrame:
-    """(k, documents): the lines whose template recurs."""
+def unlike(pairs: DataFrame, documents: int) -> DataFrame:
+    """(leaf, template) of templates with `documents` groups of unlike documents or more; pairs: (leaf, template, heads, tails).
+
+    A group is a connected component of pairs that share heads or tails. Pairs that share neither with another are
+    groups of their own; components are computed only of templates that these don't decide.
+    """
+    at = ["leaf", "template"]
+    pairs = materialize(pairs.select(*at, "heads", "tails").distinct(), "pairs")
+    by_head = pairs.groupBy(*at, "heads").agg(F.min("tails").alias("tails"), F.max("tails").alias("other"))
+    by_tail = pairs.groupBy(*at, "tails").agg(F.min("heads").alias("heads"), F.max("heads").alias("other"))
+    apart = by_head.where("tails = other").drop("other").join(by_tail.where("heads = other").drop("other"), [*at, "heads", "tails"])
+    # groups are at least as many as pairs apart, and at most as many as heads or tails
+    bounds = by_head.groupBy(*at).agg(F.count("*").alias("h")).where(F.col("h") >= documents)
+    bounds = bounds.join(by_tail.groupBy(*at).agg(F.count("*").alias("t")).where(F.col("t") >= documents), at)
+    bounds = materialize(bounds.join(apart.groupBy(*at).agg(F.count("*").alias("n")), at, "left").select(*at, F.coalesce("n", F.lit(0)).alias("n")), "bounds")
+    sure, open_ = bounds.where(F.col("n") >= documents).select(*at), bounds.where(F.col("n") < documents).select(*at)
+    if open_.isEmpty():
+        return sure
+    node = lambda side: F.xxhash64(*at, F.lit(side), side)
+    edges = materialize(pairs.join(open_, at, "left_semi").select(*at, node("heads").alias("a"), node("tails").alias("b")), "edges")
+    groups = edges.select(*at, F.col("a").alias("id")).join(connected_components(edges, "groups"), "id").select(*at, "component").distinct()
+    return sure.unionByName(groups.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") >= documents).select(*at))
+
+
+def recurring_lines(docs: DataFrame, lines: DataFrame, documents: int) -> DataFrame:
+    """(k, documents): the lines whose template recurs, each with the number of its own documents."""
     spark = docs.sparkSession
-    recurs = (F.col("documents") >= documents) & (F.col("companies") >= F.greatest(F.lit(documents), F.lit(diverse) * F.col("documents")))
-    met = materialize(lines.groupBy("leaf", "line", "company").agg(F.count("*").alias("documents")), "company")
+    met = materialize(lines.groupBy("leaf", "line", "heads", "tails").agg(F.count("*").alias("documents")), "company")
     per_line = materialize(met.groupBy("leaf", "line").agg(F.sum("documents").alias("documents"), F.count("*").alias("companies")), "per-line")
-    leaves = per_line.groupBy("leaf").agg(F.sum("documents").alias("d"), F.count("*").alias("n")).where((F.col("d") >= documents) & (F.col("n") > 1))
-    leaves = materialize(leaves.select("leaf"), "leaves")
+    leaves = per_line.groupBy("leaf").agg(F.sum("documents").alias("d"), F.count("*").alias("n")).where(F.col("d") >= documents)
+    leaves = materialize(leaves.select("leaf", "n"), "leaves")
+    single, leaves = leaves.where("n = 1").select("leaf"), leaves.where("n > 1").select("leaf")
     bits = id_filter(leaves)
     texts = leaf_lines(docs, bits).groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
     ordered = (
@@ -145,16 +177,18 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, documents: int, diverse:
 
     key = F.struct("leaf", "line").alias("k")
     grown = materialize(ordered.mapInArrow(tidy(run), "leaf long, line long, template long, companies long, documents long"), "templates")
-    merged = attach_by_key(
-        met.join(leaves, "leaf", "left_semi").select(key, "company", "documents"), grown.select(key, "leaf", "template", F.col("companies").alias("c")), "k", "c"
+    pairs = attach_by_key(
+        met.join(leaves, "leaf", "left_semi").select(key, "heads", "tails"), grown.select(key, "leaf", "template", F.col("companies").alias("c")), "k", "c"
+    ).select("leaf", "template", "heads", "tails")
+    alone = met.join(single, "leaf", "left_semi").select("leaf", F.col("line").alias("template"), "heads", "tails")
+    found = materialize(unlike(pairs.unionByName(alone), documents), "unlike")
+    whole = grown.select("leaf", "line", "template", "documents").unionByName(
+        per_line.join(single, "leaf", "left_semi").select("leaf", "line", F.col("line").alias("template"), "documents")
     )
-    merged = merged.groupBy("leaf", "template", "company").agg(F.sum("documents").alias("documents"))
-    merged = merged.groupBy("leaf", "template").agg(F.sum("documents").alias("documents"), F.count("*").alias("companies")).where(recurs)
-    alone = per_line.join(leaves, "leaf", "left_anti").where(recurs).select(key, "documents")
-    return grown.join(merged.select("leaf", "template"), ["leaf", "template"], "left_semi").select(key, "documents").unionByName(alone)
+    return whole.join(found, ["leaf", "template"], "left_semi").select(key, "documents")
 
 
-def clean(docs: DataFrame, documents: int = DOCUMENTS, diverse: float = DIVERSE, text: str = "text", key: str = "doc_id", report: bool = False, most: int = RECURRING) -> DataFrame:
+def clean(docs: DataFrame, documents: int = DOCUMENTS, text: str = "text", key: str = "doc_id", report: bool = False, most: int = RECURRING) -> DataFrame:
     """The rows of docs, without the lines of recurring templates in their texts.
 
     With report, (doc_id, n_lines, n_dropped, text) instead. An n_chars column follows the new text. Null texts stay
@@ -163,7 +197,7 @@ def clean(docs: DataFrame, documents: int = DOCUMENTS, diverse: float = DIVERSE,
     """
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     lines = materialize(line_table(plain), "lines")
-    found = materialize(recurring_lines(plain, lines, documents, diverse), "recurring")
+    found = materialize(recurring_lines(plain, lines, documents), "recurring")
     own, at, ident = docs.columns, docs.columns.index(text), docs.columns.index(key)
     size = own.index("n_chars") if "n_chars" in own else None
     schema, known = docs.schema, None

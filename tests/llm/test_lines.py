@@ -99,3 +99,38 @@ def test_documents(spark, sf_dir):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute(rows)
     before = dict(rows)
     assert all(r.n_lines == len(before[r.doc_id].split("\n")) and r.n_lines - r.n_dropped == len(r.text.split("\n")) or r.text == "" for r in got)
+
+
+def own(i, n=6):
+    return f"alpha{'bcdefghij'[i % 9]}{'bcdefghij'[i // 9 % 9]}{'bcdefghij'[i // 81 % 9]} " + " ".join(f"w{chr(98 + (i * 7 + k * 5) % 24)}{chr(98 + i % 24)}{chr(98 + i // 24)}" for k in range(n))
+
+
+def cleaned(spark, rows):
+    return {r.doc_id: r.text for r in l.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_copies_do_not_hide_a_recurring_line(spark):
+    passage = "this passage stands in many documents that are otherwise unlike"
+    rows = [(i, f"{own(2 * i)}\n{passage}\n{own(2 * i + 1)}") for i in range(10)]
+    rows += [(100 + i, f"first of the copies\n{passage}\nlast of the copies") for i in range(200)]
+    got = cleaned(spark, rows)
+    assert all(passage not in t for t in got.values())
+    assert all(t == "first of the copies\nlast of the copies" for i, t in got.items() if i >= 100)
+    assert all(got[i] == f"{own(2 * i)}\n{own(2 * i + 1)}" for i in range(10))
+
+
+def test_boilerplate_does_not_hide_boilerplate(spark):
+    shared = [f"boiler plate {c} of the {c} site" for c in "abcdefgh"]
+    got = cleaned(spark, [(i, "\n".join([*shared, own(i)])) for i in range(60)])
+    assert got == {i: own(i) for i in range(60)}
+
+
+def test_near_copies_stay(spark):
+    """Edits of a word at a line's beginning, in its midst or at its end leave a group of near copies one group."""
+    base = [own(k, 9) for k in range(6)]
+    rows = [(0, "\n".join(base))]
+    for i in range(1, 60):
+        ws = [x.split(" ") for x in base]
+        ws[i % 6][i // 6] = f"edit{chr(98 + i % 24)}{chr(98 + i // 24)}"
+        rows.append((i, "\n".join(map(" ".join, ws))))
+    assert cleaned(spark, rows) == dict(rows)
