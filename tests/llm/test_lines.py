@@ -134,3 +134,11 @@ def test_near_copies_stay(spark):
         ws[i % 6][i // 6] = f"edit{chr(98 + i % 24)}{chr(98 + i // 24)}"
         rows.append((i, "\n".join(map(" ".join, ws))))
     assert cleaned(spark, rows) == dict(rows)
+
+
+def test_variants_in_a_document_count_it_once(spark):
+    """Variants of a template hide nothing when their documents are unlike, and are no documents of their own."""
+    post = lambda i, k: f"Posted today by n{chr(98 + i % 24)}{chr(98 + k)} in s{chr(98 + k)} news for all our many readers"
+    rows = [(i, "\n".join([own(i), *(post(i, k) for k in range(6))])) for i in range(20)]
+    assert cleaned(spark, rows) == {i: own(i) for i in range(20)}
+    assert cleaned(spark, rows[:4]) == dict(rows[:4])
