@@ -32,7 +32,7 @@ FOLDS = 5
 
 _CLASS = np.full(256, 11, np.int64)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[32] = 0, 1, 2, 3
-_CLASS[[10, 13, 9]] = 4
+_CLASS[9:14] = 4  # with the blank, the white space of word_hashes
 _CLASS[[ord("."), ord(","), ord(";"), ord(":"), ord("'"), ord('"'), ord("-"), ord("("), ord(")")]] = 5
 _CLASS[[ord("!"), ord("?")]] = 6
 _CLASS[[ord("|")]] = 7
@@ -66,24 +66,23 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         cell = place[1:] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:]
         x[:, KINDS : KINDS + KINDS * KINDS] = np.bincount(cell[next_to], minlength=total * KINDS * KINDS).reshape(total, -1) / n[:, None]
         # words, where they begin: share that repeats the word before or is in the passage already, mean length, number
-        h, at = word_hashes(data, offsets)
+        h, _ = word_hashes(data, offsets)
         space = (kind == 3) | (kind == 4)
         start = ~space
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         start[1:] &= space[:-1] | edge[1:-1]
         first = np.flatnonzero(start)
-        if len(first) == len(h):  # otherwise other white space divides words too, and these features stay 0
-            where = place[first]
-            words = np.bincount(where, minlength=total).astype(np.float32)
-            some = np.maximum(words, 1)
-            again = (h[1:] == h[:-1]) & (where[1:] == where[:-1])
-            x[:, -4] = np.bincount(where[1:][again], minlength=total) / some
-            order = np.lexsort((h, where))
-            same = (h[order][1:] == h[order][:-1]) & (where[order][1:] == where[order][:-1])
-            x[:, -3] = np.bincount(where[order][1:][same], minlength=total) / some
-            x[:, -2] = np.bincount(place[~space], minlength=total) / some / 16
-            x[:, -1] = words / 128
+        where = place[first]
+        words = np.bincount(where, minlength=total).astype(np.float32)
+        some = np.maximum(words, 1)
+        again = (h[1:] == h[:-1]) & (where[1:] == where[:-1])
+        x[:, -4] = np.bincount(where[1:][again], minlength=total) / some
+        order = np.lexsort((h, where))
+        same = (h[order][1:] == h[order][:-1]) & (where[order][1:] == where[order][:-1])
+        x[:, -3] = np.bincount(where[order][1:][same], minlength=total) / some
+        x[:, -2] = np.bincount(place[~space], minlength=total) / some / 16
+        x[:, -1] = words / 128
     return x, owner
 
 

@@ -66,3 +66,14 @@ def test_documents(spark, sf_dir):
     assert got.count() == docs.count()
     rows = got.join(read_table(spark, sf_dir, "labels"), "doc_id").where("held_out").select("predicted", "quality").collect()
     assert sum(r.predicted == r.quality for r in rows) >= 0.8 * len(rows)
+
+
+def test_scores_do_not_depend_on_neighbours():
+    """All ASCII white space divides words, so no text takes the word features from others, nor from itself."""
+    texts, y = corpus(120)
+    model = q.train(texts, y)
+    odd = ["a\x0cb\x0b\x0cc", "one\x0btwo", "\x0c"]
+    alone = [float(model.score(pa.array([t]))[0]) for t in texts + odd]
+    assert np.allclose(model.score(pa.array(texts + odd)), alone, atol=1e-9)
+    x, owner = q.passages(*q.utf8_view(pa.array(["the the cat\x0cthe\x0bend", "the the cat the end"])))
+    assert owner.tolist() == [0, 1] and np.array_equal(x[0, -4:], x[1, -4:]) and (x[0, -4:] > 0).all()
