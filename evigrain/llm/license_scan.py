@@ -1,7 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates, DataFrame functions only.
 
-A block is a line of a text, a template is the word set of a license notice. A block is labelled when it contains
-CONTAINMENT of a template's words. Words are ordered by their frequency over all blocks, rarest first. A block with
+A block is a line of a text, or what stands around a line's end: as many words on either side as the longest template
+has but one, over further line ends, so that a wrapped notice is in a block whole. A template is the word set of a
+license notice. A block is labelled when it contains CONTAINMENT of a template's words. Words are ordered by their frequency over all blocks, rarest first. A block with
 nb template words and a template with nt, of which `need` must be shared, can only match when they share a word among
 their first nb - need + 1 and nt - need + 1 (prefix), when nb >= need (length), and when the words behind one shared
 word suffice (position). What passes is counted exactly. Templates are a fixed list, so the index of their prefixes
@@ -10,6 +11,7 @@ is broadcast with a known size; the frequencies sent to the driver are those of
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +51,27 @@ def _array(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def _blocks(text: Column, reach: int) -> Column:
+    """The words of each line, and of each line end with `reach` words on either side."""
+    low = ascii_lower(text)
+    # runs of separators become one blank, or one line end between blanks where they hold one
+    flat = F.regexp_replace(F.regexp_replace(low, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " "), r" *\n[ \n]*", " \n ")
+    word = lambda w: w != "\n"
+    # no two line ends are neighbours, so 2 * reach places hold `reach` words where the text has them
+
+    def around(ws, i):
+        before = F.filter(F.slice(ws, F.greatest(i - 2 * reach, F.lit(0)) + 1, F.least(i, F.lit(2 * reach))), word)
+        after = F.filter(F.slice(ws, i + 2, F.lit(2 * reach)), word)
+        return F.concat(F.slice(before, F.greatest(F.size(before) - reach, F.lit(0)) + 1, F.lit(reach)), F.slice(after, F.lit(1), F.lit(reach)))
+
+    def ends(ws):
+        at = F.filter(F.transform(ws, lambda w, i: F.when(w == "\n", i)), lambda i: i.isNotNull())
+        return F.transform(at, lambda i: around(ws, i))
+
+    # as a lambda's variable the words are split once, not for every line end
+    return F.concat(F.transform(F.split(low, "\n"), _words), F.flatten(F.transform(F.array(F.split(F.trim(flat), " ")), ends)))
+
+
 def block_matches(docs: DataFrame, templates=None, containment: float = CONTAINMENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, label, score): each row's matched labels with the best containment of a template of that label.
 
@@ -58,9 +81,16 @@ def block_matches(docs: DataFrame, templates=None, containment: float = CONTAINM
     spark = docs.sparkSession
     sets = [(label, sorted(set(t.split()))) for label, t in templates]
     vocabulary = sorted({w for _, ws in sets for w in ws})
-    blocks = docs.select(F.col(key).alias("key"), F.explode(F.split(ascii_lower(F.col(text)), "\n")).alias("block"))
+    # a text without enough words of any template has no block that has them
+    def enough(own):
+        return reduce(Column.__or__, [F.size(F.array_intersect(own, _array(ws))) >= ceil(containment * len(ws) - 1e-9) for _, ws in sets])
+
+    own = F.array(F.array_intersect(_array(vocabulary), _words(ascii_lower(F.col(text)))))
+    some = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.exists(own, enough))
+    reach = max((len(t.split()) for _, t in templates), default=1) - 1
+    blocks = some.select("key", F.explode(_blocks(F.col("text"), reach)).alias("block"))
     counted = (
-        blocks.select(F.explode(F.array_intersect(_array(vocabulary), _words(F.col("block")))).alias("w"))
+        blocks.select(F.explode(F.array_intersect(_array(vocabulary), F.col("block"))).alias("w"))
         .groupBy("w")
         .count()
         .collect()
@@ -76,7 +106,7 @@ def block_matches(docs: DataFrame, templates=None, containment: float = CONTAINM
     index = spark.createDataFrame(index, "w string, t int, label string, j int, nt int, need int, words array<string>")
     nb = F.size("own")
     return (
-        blocks.select("key", F.array_intersect(_array(order), _words(F.col("block"))).alias("own"))
+        blocks.select("key", F.array_intersect(_array(order), F.col("block")).alias("own"))
         .where(nb >= least)
         .select("key", "own", F.posexplode(F.slice("own", F.lit(1), nb - least + 1)).alias("i", "w"))
         .join(F.broadcast(index), "w")

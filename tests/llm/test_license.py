@@ -68,3 +68,19 @@ def test_sql_gives_the_same(spark, sf_dir):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = s.op1_license_scan(spark, sf_dir)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal",
+    "bsd": "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+    "gpl-3": "This program is free software: you can redistribute it\r\n# and/or modify it under the terms\r\n#\r\n# of the GNU General Public License as",
+    "mpl-2": "This\nSource\nCode\nForm\nis\nsubject\nto\nthe\nterms\nof\nthe\nMozilla\nPublic\nLicense,\nv. 2.0.",
+}
+
+
+def test_notices_over_line_ends(spark):
+    rows = list(enumerate(WRAPPED.values())) + [(10 + i, f"other words before\n\n{t}\nand after\n") for i, t in enumerate(WRAPPED.values())]
+    far = "\n".join(("this source code form is subject to", "filler " * 60, "the terms of the mozilla public license v 2 0"))
+    rows += [(20, far), (21, "all\n" + "filler " * 60 + "\nrights reserved")]
+    got = {r.doc_id: r.labels for r in s.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(enumerate(WRAPPED)), **{10 + i: k for i, k in enumerate(WRAPPED)}, 20: "", 21: ""}
