@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,17 +116,25 @@ def new_versions(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.drop("_need").withColumn("profile_sha256", F.sha2("profile", 256)).select(*old.columns)
 
 
-def version_chain(versions_: DataFrame, depth: int = 100) -> DataFrame:
-    """(version_id, ancestor_id, distance) of all ancestors."""
-    versions_.select("version_id", "parent_version_id").createOrReplaceTempView("_versions")
-    return versions_.sparkSession.sql(
-        f"""with recursive chain(version_id, ancestor_id, distance) as (
-          select version_id, parent_version_id, 1 from _versions where parent_version_id is not null
-          union all
-          select c.version_id, v.parent_version_id, c.distance + 1 from chain c join _versions v on c.ancestor_id = v.version_id
-          where v.parent_version_id is not null and c.distance < {int(depth)})
-        select * from chain"""
-    )
+def version_chain(versions_: DataFrame) -> DataFrame:
+    """(version_id, ancestor_id, distance) of all ancestors; a version that is its own ancestor is an error.
+
+    Each round adds the ancestors up to twice as far, by joining the farthest pairs with all known ones, and is
+    written to the checkpoint folder; it ends when no row is added.
+    """
+    sc = versions_.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evigrain-"))
+    known = versions_.where("parent_version_id is not null").select("version_id", F.col("parent_version_id").alias("ancestor_id"), F.lit(1).alias("distance")).checkpoint()
+    reach = 1
+    while True:
+        require_none(known.where("version_id = ancestor_id"), "a version is its own ancestor")
+        last = known.where(F.col("distance") == reach).select("version_id", F.col("ancestor_id").alias("_by"))
+        rest = known.select(F.col("version_id").alias("_by"), "ancestor_id", (F.col("distance") + reach).alias("distance"))
+        new = last.join(rest, "_by").select("version_id", "ancestor_id", "distance").checkpoint()
+        if new.isEmpty():
+            return known
+        known, reach = known.unionByName(new).checkpoint(), 2 * reach
 
 
 def write_partitioned(rows: DataFrame, path: str, key: str, compression: str = "gzip") -> None:

@@ -284,3 +284,11 @@ def test_dense_search_both_ways(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 0)
     assert block == got() and {x[0] for x in block} == {"a", "d", "e"} and len(block) == 15
     assert retrieval.dense_search(c, q.limit(0), 3).count() == 0 and retrieval.dense_search(c.limit(0), q, 3).count() == 0
+
+
+def test_version_chain_of_any_length(spark):
+    rows = [(f"v{i}", f"v{i - 1}" if i else None) for i in range(151)]
+    got = files.version_chain(spark.createDataFrame(rows, "version_id string, parent_version_id string")).collect()
+    assert sorted((int(r.version_id[1:]), int(r.ancestor_id[1:]), r.distance) for r in got) == [(i, j, i - j) for i in range(151) for j in range(i)]
+    with pytest.raises(ValueError, match="own ancestor"):
+        files.version_chain(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "version_id string, parent_version_id string"))
