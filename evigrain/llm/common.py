@@ -10,37 +10,49 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot when it has this share of all rows or more; so there are at most 1 / HOT_SHARE hot keys, whatever the input.
 HOT_SHARE = 1 / 500
 
 
-#: Rows of an Arrow batch: texts are long, and executors small.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch: texts are long, and executors small. A single longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder. From here on the session's Arrow batches are small enough for long texts."""
+    """A table of a folder. Spark reads the batches' bounds when a plan runs, so they can only be set for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a new one of our own."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset and the master is local (tests), a new folder; on a cluster executors would write to disks of
+    their own, and results would lack rows, so there it is an error.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="evigrain-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Folders that materialize() has made and discard() has not removed, for clear().
+_made: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, and costs one pass."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evigrain-{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evigrain_path = path
@@ -49,11 +61,47 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Remove a table made by materialize() that nothing will read again."""
-    spark, path = df.sparkSession, getattr(df, "_evigrain_path", None)
+    path = getattr(df, "_evigrain_path", None)
     if path:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _remove(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove all tables that this process has made and not removed yet, once no result is read any more; their number."""
+    n = len(_made)
+    for path in list(_made):
+        _remove(spark, path)
+    return n
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    with contextlib.suppress(ValueError):
+        _made.remove(path)
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes on disk of a table made by materialize()."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._evigrain_path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def labelled_sample(docs: DataFrame, known: DataFrame, rows: int, size: int, text: str, key: str) -> DataFrame:
+    """(key, y, t): whole texts of labelled rows to fit on, in the order of a hash of their id.
+
+    known: (key, y), one row an id. Of each class at most `rows` rows with at most `size` bytes of text together, without
+    texts of more than size / 16 bytes; equal rows count once. So neither long texts nor repeated ids have no bound.
+    """
+    order = F.xxhash64(key), F.col(key)
+    chosen = [known.where(F.col("y") == y).orderBy(*order).limit(rows) for y in (0, 1)]
+    some = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") <= size // 16)
+    some = some.join(F.broadcast(chosen[0].unionByName(chosen[1])), key).select(key, "y", "t").distinct()
+    w = Window.partitionBy("y").orderBy(*order, "t")
+    first = some.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rows)
+    so_far = F.sum(F.octet_length("t")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return first.withColumn("_b", so_far).where(F.col("_b") <= size).select(key, "y", "t")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,10 +1,12 @@
 """Toxicity: cumulative-link (proportional odds) regression over sparse text features.
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector for all grades, ordered thresholds. Features are words and
-word beginnings, x = log(1 + count). Labels say toxic or not; a toxic training text is graded 1 to 3 by how many of its
-words are of those that only toxic training texts have (GRADES), so severity is learned from 0/1 labels. The fit is on
-the driver, over TRAIN labelled rows of each class at most, chosen by a hash of their id; scoring is one pass without a
-shuffle. A document is rejected when P(grade >= 1) reaches REJECT.
+word beginnings, x = log(1 + count). Labels say toxic or not, so toxic training rows are graded 1 to GRADES by each
+other: in two halves, a row's severity is the score that a model of the other half gives it, and its grade the part of
+all toxic rows' severities that it falls in. Training features are made, counted and chosen on the executors; the
+driver gets the chosen ones' counts in at most TRAIN labelled rows of each class, with TRAIN_BYTES of text at most,
+chosen by a hash of their id. Scoring is one pass without a shuffle. A document is rejected when P(grade >= 1) reaches
+REJECT.
 """
 
 from __future__ import annotations
@@ -16,25 +18,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _LOWER, _power, mix, read_table, slices, tidy, utf8_view
+from .common import _BYTE, _LOWER, _power, labelled_sample, materialize, mix, read_table, slices, tidy, utf8_view
 
-#: Bounds of the fit: labelled rows of each class, and features.
-TRAIN = 2000
-FEATURES = 1500
-#: Grade 1 up to 1 such word, 2 up to 4, 3 beyond.
-GRADES = (1, 4)
+#: Bounds of the fit: labelled rows of each class, and bytes of their texts.
+TRAIN, TRAIN_BYTES = 2000, 32 << 20
+GRADES = 3
 REJECT = 0.5
-#: Least likelihood ratio of a feature.
-EVIDENCE = 16
-PREFIXES = (5, 6)
+#: A feature's least toxic rows, ratio of rates, and likelihood ratio against one that says nothing.
+LEAST, LIFT, EVIDENCE = 2, 4, 8
+#: What toxic training rows weigh together, clean ones being 1.
+BALANCE = 0.5
+PREFIXES = (4, 5, 6)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, 64-bit feature, word's number) of each word and word beginning of each text."""
+def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, 64-bit feature) of each word and word beginning of each text."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     word = _LETTER[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -46,23 +48,39 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     np.cumsum(_BYTE[_LOWER[data]] * _power("m", len(data))[: len(data)], dtype=np.uint64, out=total[1:])
     inverse = _power("inv", len(data))
     owner = np.searchsorted(offsets, s, "right") - 1
-    own, feature, word = [owner], [mix((total[e] - total[s]) * inverse[s] + np.uint64(1))], [np.arange(len(s))]
+    own, feature = [owner], [mix((total[e] - total[s]) * inverse[s] + np.uint64(1))]
     for n in PREFIXES:
         long = np.flatnonzero(e - s > n)
         own.append(owner[long])
-        word.append(long)
         feature.append(mix((total[s[long] + n] - total[s[long]]) * inverse[s[long]] + np.uint64(1000 + n)))
-    return np.concatenate(own), np.concatenate(feature), np.concatenate(word)
+    return np.concatenate(own), np.concatenate(feature)
 
 
 def sparse_rows(texts: pa.Array):
-    """(first, last, text numbers, features, word numbers) of runs of texts."""
+    """(first, last, text numbers, features) of runs of texts."""
     data, offsets = utf8_view(texts)
     for a, b in slices(offsets):
         part = offsets[a : b + 1]
         yield a, b, *text_features(data[part[0] : part[-1]], part - part[0])
 
 
+def cells(texts: pa.Array, known: np.ndarray | None = None):
+    """(text, feature, count) of each feature of each text; with `known`, sorted, of those only and by their place there."""
+    for a, _, own, feature in sparse_rows(texts):
+        if known is not None:
+            if not len(known):
+                continue
+            k = np.minimum(np.searchsorted(known, feature), len(known) - 1)
+            hit = known[k] == feature
+            own, feature = own[hit], k[hit]
+        order = np.lexsort((feature, own))
+        own, feature = own[order], feature[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (feature[1:] != feature[:-1])
+        first = np.flatnonzero(new)
+        yield own[first] + a, feature[first], np.diff(np.append(first, len(own)))
+
+
 @dataclass
 class Model:
     features: np.ndarray  # sorted
@@ -72,28 +90,26 @@ class Model:
     def at_least(self, texts: pa.Array) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, .. of each text."""
         score = np.zeros(len(texts))
-        if len(self.features):
-            for a, b, own, feature, _ in sparse_rows(texts):
-                k = np.searchsorted(self.features, feature)
-                k[k == len(self.features)] = 0
-                hit = self.features[k] == feature
-                cell, n = np.unique(own[hit] * len(self.features) + k[hit], return_counts=True)
-                score[a:b] += np.bincount(cell // len(self.features), np.log1p(n) * self.weights[cell % len(self.features)], b - a)
+        for own, k, n in cells(texts, self.features):
+            score += np.bincount(own, np.log1p(n) * self.weights[k], len(texts))
         return 1 / (1 + np.exp(np.clip(self.thetas[None, :] - score[:, None], -50, 50)))
 
 
-def fit_cumulative(x: np.ndarray, y: np.ndarray, grades: int, penalty: float = 1e-3, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, ordered thetas) by Adam on the mean negative log-likelihood; thetas are a first one and log gaps."""
-    n, d = x.shape
-    share = np.array([(y <= k).mean() for k in range(grades - 1)]).clip(0.02, 0.98)
+def fit_cumulative(row, col, value, shape, y: np.ndarray, grades: int, weight=None, penalty: float = 1e-3, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, ordered thetas) by Adam on the weighted mean negative log-likelihood; thetas are a first one and log gaps.
+
+    x is sparse: value at (row, col), of shape (rows, features).
+    """
+    n, d = shape
+    weight = np.full(n, 1 / n) if weight is None else weight
+    share = np.array([weight[y <= k].sum() for k in range(grades - 1)]).clip(0.02, 0.98)
     first = np.log(share / (1 - share))
     p = np.concatenate([np.zeros(d), first[:1], np.log(np.maximum(np.diff(first), 0.1))]).astype(np.float64)
     m, v = np.zeros_like(p), np.zeros_like(p)
-    weight = np.full(n, 1 / n)
     for t in range(1, steps + 1):
         gaps = np.exp(p[d + 1 :])
         theta = p[d] + np.concatenate([[0], np.cumsum(gaps)])
-        z = x @ p[:d].astype(x.dtype)
+        z = np.bincount(row, value * p[col], n)
         bound = np.concatenate([[-np.inf], theta, [np.inf]])
         with np.errstate(over="ignore"):
             hi, lo = (1 / (1 + np.exp(-(bound[y + k] - z))) for k in (1, 0))
@@ -101,62 +117,109 @@ def fit_cumulative(x: np.ndarray, y: np.ndarray, grades: int, penalty: float = 1
         dh, dl = hi * (1 - hi) / prob, lo * (1 - lo) / prob
         gz = weight * (dh - dl)
         gt = np.array([-(weight * dh)[y == k].sum() + (weight * dl)[y == k + 1].sum() for k in range(grades - 1)])
-        g = np.concatenate([x.T @ gz.astype(x.dtype) + penalty * p[:d], [gt.sum()], [gt[k + 1 :].sum() * gaps[k] for k in range(grades - 2)]])
+        g = np.concatenate([np.bincount(col, value * gz[row], d) + penalty * p[:d], [gt.sum()], [gt[k + 1 :].sum() * gaps[k] for k in range(grades - 2)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return p[:d], p[d] + np.concatenate([[0], np.cumsum(np.exp(p[d + 1 :]))])
 
 
-def train(texts: list[str], toxic: list[int]) -> Model:
-    """Fit on labelled texts. Without both classes nothing is toxic."""
-    y = np.array(toxic, np.int64)
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([50.0, 51.0, 52.0]))
-    if not len(y) or y.min() == y.max():
-        return none
-    own, feature, word, words = [], [], [], 0
-    for a, b, o, f, w in sparse_rows(pa.array(texts, pa.large_string())):
-        own.append((o + a).astype(np.int32))
-        feature.append(f)
-        word.append((w + words).astype(np.int32))
-        words += int(w.max(initial=-1)) + 1
-    names, code = np.unique(np.concatenate(feature), return_inverse=True)
-    del feature
-    own, word, code = np.concatenate(own), np.concatenate(word), code.astype(np.int32)
-    cell, count = np.unique(own.astype(np.int64) * len(names) + code, return_counts=True)
-    row, col = cell // max(1, len(names)), cell % max(1, len(names))
-    del cell
-    bad = np.bincount(col, y[row], len(names))
-    good = np.bincount(col, 1 - y[row], len(names))
-    lift = (bad + 0.05) / (y.sum() + 1) / ((good + 0.5) / ((1 - y).sum() + 1))
-    total, base = bad + good, y.mean()
+def choose(bad: np.ndarray, good: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Which features say enough, by the toxic and clean rows that have each."""
+    lift = (bad + 0.05) / (toxic + 1) / ((good + 0.5) / (clean + 1))
+    total, base = bad + good, toxic / (toxic + clean)
     with np.errstate(divide="ignore", invalid="ignore"):
         terms = [np.where(k > 0, k * np.log(k / (total * q)), 0.0) for k, q in ((bad, base), (good, 1 - base))]
-    evidence = 2 * (terms[0] + terms[1])  # likelihood ratio against a feature that says nothing
-    chosen = np.flatnonzero((bad >= 3) & (lift > 4) & (evidence >= EVIDENCE))
-    chosen = np.sort(chosen[np.lexsort((names[chosen], -(bad * np.log(lift))[chosen]))][:FEATURES])
-    if not len(chosen):
-        return none
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[col] >= 0
-    x = np.zeros((len(y), len(chosen)), np.float32)
-    x[row[keep], place[col[keep]]] = np.log1p(count[keep])
-    only = (good == 0) & (bad >= 3)
-    first = np.unique(word[only[code]], return_index=True)[1]  # a word counts once, whatever begins it
-    hits = np.bincount(own[only[code]][first], minlength=len(y))
-    grade = np.where(y == 1, 1 + np.searchsorted(np.array(GRADES), hits, "left"), 0)
-    weights, thetas = fit_cumulative(x, grade, len(GRADES) + 2)
-    return Model(names[chosen], weights, thetas)
-
-
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", target: str = "toxic") -> Model:
-    """Fit on at most TRAIN labelled rows of each class, whatever the sizes; ids with two labels count as toxic."""
+    return (bad >= LEAST) & (lift > LIFT) & (2 * (terms[0] + terms[1]) >= EVIDENCE)
+
+
+def grades_of(severity: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """1 to `grades` for parts of equal size, by severity; equal ones are graded alike, as the lower."""
+    return 1 + np.searchsorted(np.quantile(severity, np.arange(1, grades) / grades), severity, "left")
+
+
+def _weights(y: np.ndarray) -> np.ndarray:
+    """Clean rows weigh what there are of them, toxic rows BALANCE times that together."""
+    w = np.where(y > 0, BALANCE * (y == 0).sum() / max(1, (y > 0).sum()), 1.0)
+    return w / w.sum()
+
+
+def learn(features: np.ndarray, row, col, count, toxic: np.ndarray) -> Model:
+    """The model of training rows given by the counts of chosen features."""
+    if not len(features) or not len(toxic) or toxic.min() == toxic.max():
+        return NOTHING
+    value, n = np.log1p(count), len(toxic)
+    half, severity = np.zeros(n, np.int64), np.zeros(n)
+    for c in (0, 1):
+        half[np.flatnonzero(toxic == c)[1::2]] = 1
+    for h in (0, 1):
+        own = half[row] == h
+        w, _ = fit_cumulative(row[own], col[own], value[own], (n, len(features)), toxic, 2, _weights(toxic) * (half == h) * 2, steps=150)
+        severity[half != h] = np.bincount(row[~own], value[~own] * w[col[~own]], n)[half != h]
+    y = np.zeros(n, np.int64)
+    y[toxic == 1] = grades_of(severity[toxic == 1])
+    # parts may fall together where severities are equal
+    known, y = np.unique(y, return_inverse=True)
+    weights, thetas = fit_cumulative(row, col, value, (n, len(features)), y, len(known), _weights(y))
+    return Model(features, weights, np.append(thetas, thetas[-1] + 50.0 * np.arange(1, GRADES - len(thetas) + 1)))
+
+
+#: Without both classes, or features that say enough, nothing is toxic.
+NOTHING = Model(np.zeros(0, np.uint64), np.zeros(0), 50.0 + np.arange(GRADES))
+
+
+def train(texts: list[str], toxic: list[int]) -> Model:
+    """Fit on labelled texts in this process, as fit() does on the executors."""
+    texts, y = pa.array(texts, pa.large_string()), np.array(toxic, np.int64)
+    names = [np.unique(f) for _, f, _ in cells(texts)]
+    names = np.unique(np.concatenate(names)) if names else np.zeros(0, np.uint64)
+    bad, good = np.zeros(len(names)), np.zeros(len(names))
+    for own, f, _ in cells(texts):
+        k = np.searchsorted(names, f)
+        bad += np.bincount(k, y[own], len(names))
+        good += np.bincount(k, 1 - y[own], len(names))
+    features = names[choose(bad, good, int(y.sum()), int((1 - y).sum()))] if len(names) else names
+    parts = list(zip(*cells(texts, features)))
+    return learn(features, *map(np.concatenate, parts), y) if parts else NOTHING
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", target: str = "toxic", where=None) -> Model:
+    """Fit on a bounded sample of labelled rows (common.labelled_sample), of those that meet `where`, a condition on key.
+
+    Rows without id or label don't count; an id with two labels counts as toxic; no labelled row: nothing is toxic.
+    """
     known = labels.where(F.col(key).isNotNull() & F.col(target).isNotNull()).groupBy(key).agg(F.max(target).cast("int").alias("y"))
-    order = F.xxhash64(F.col(key)), F.col(key)
-    chosen = known.where("y = 0").orderBy(*order).limit(TRAIN).unionByName(known.where("y = 1").orderBy(*order).limit(TRAIN))
-    rows = docs.select(key, F.col(text).alias("t")).join(F.broadcast(chosen), key).select(key, "t", "y").collect()
-    rows = sorted({(r[key], r["t"] or "", r["y"]) for r in rows})
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    known = known if where is None else known.where(where)
+    sample = materialize(labelled_sample(docs, known, TRAIN, TRAIN_BYTES, text, key), "toxicity")
+    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}  # two rows
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not toxic or not clean:
+        return NOTHING
+
+    def count(batches):
+        for batch in batches:
+            y = batch.column(0).to_numpy().astype(np.int64)
+            for own, f, _ in cells(batch.column(1)):
+                names, k = np.unique(f, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *[pa.array(np.bincount(k, part[own], len(names)).astype(np.int64)) for part in (y, 1 - y)]], ["f", "bad", "good"])
+
+    seen = sample.select("y", "t").mapInArrow(tidy(count), "f long, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    # features below the floors stay on the executors
+    seen = seen.where((F.col("bad") >= LEAST) & ((F.col("bad") + 0.05) / (toxic + 1) > LIFT * (F.col("good") + 0.5) / (clean + 1))).toArrow()
+    names, bad, good = (seen[c].to_numpy() for c in ("f", "bad", "good"))
+    features = np.sort(names.view(np.uint64)[choose(bad, good, toxic, clean)])
+
+    def hits(batches):
+        for batch in batches:
+            held = [[] for _ in range(batch.num_rows)]
+            for own, k, n in cells(batch.column(2), features):
+                for i, j, c in zip(own.tolist(), k.tolist(), n.tolist()):
+                    held[i].append((j, c))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *[pa.array([[x[i] for x in h] for h in held], pa.list_(pa.int32())) for i in (0, 1)]], ["key", "y", "f", "n"])
+
+    rows = sorted((tuple(r) for r in sample.select(key, "y", "t").mapInArrow(tidy(hits), "key long, y int, f array<int>, n array<int>").collect()), key=str)
+    size = np.array([len(r[2]) for r in rows], np.int64)
+    flat = lambda i: np.array([v for r in rows for v in r[i]], np.int64)
+    return learn(features, np.repeat(np.arange(len(rows)), size), flat(2), flat(3), np.array([r[1] for r in rows], np.int64))
 
 
 SCORES = "doc_id long, p_toxic double, expected_severity double, grade int, rejected boolean"
@@ -165,7 +228,9 @@ SCORES = "doc_id long, p_toxic double, expected_severity double, grade int, reje
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: P(grade >= 1), the expected grade, the likeliest grade, and whether it is rejected.
 
-    Null and empty texts have no features and get the thresholds' own probabilities.
+    Null and empty texts have no features and get the thresholds' own probabilities. Rows are scored one by one: equal
+    texts and repeated rows get equal scores wherever they stand; grades of equal probability count as the lower. Very
+    long texts are scored whole. An empty table gives an empty result.
     """
 
     def run(batches):
@@ -181,7 +246,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows that aren't rejected, with all their columns; no shuffle."""
+    """The rows that aren't rejected, with all their columns, whatever these are called; no shuffle. Null texts stay."""
     at = docs.columns.index(text)
 
     def run(batches):
@@ -192,5 +257,6 @@ def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every whole text of documents, scored by a model that is fitted on labels; see score() for nulls and the like."""
     docs = read_table(spark, sf_dir, "documents")
     return score(docs, fit(docs, read_table(spark, sf_dir, "labels")))
