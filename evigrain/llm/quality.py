@@ -3,9 +3,9 @@
 A passage is PASSAGE bytes of a text. It is described by its bytes' classes, the pairs of classes that follow each
 other, and how its words repeat, and encoded by one tanh layer, h. Attention weights are the softmax over the passages
 of w.(tanh(V h) * sigmoid(U h)); the document is the weighted mean of its passages' h, scored by a logistic unit. All
-layers are learned together from document labels, by Adam on the driver, over TRAIN labelled documents of each class
-at most, chosen by a hash of their id, and PASSAGES passages of each document at most while fitting. Scoring takes
-every passage of every text, in one pass without a shuffle.
+layers are learned together from document labels, by Adam on the driver, over all passages of at most TRAIN labelled
+documents of each class with TRAIN_BYTES of text at most, chosen by a hash of their id. Scoring takes every passage of
+every text, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, slices, tidy, utf8_view, word_hashes
+from .common import labelled_sample, read_table, slices, tidy, utf8_view, word_hashes
 
 PASSAGE = 512
-#: Bounds of the fit.
-TRAIN, PASSAGES = 1200, 24
+#: Bounds of the fit: labelled rows of each class, and bytes of their texts.
+TRAIN, TRAIN_BYTES = 1200, 4 << 20
 HIDDEN, GATE, STEPS = 24, 12, 250
 PREDICT = 0.3
 #: Bytes of texts that are described at once.
@@ -104,8 +104,10 @@ class Model:
     p: dict[str, np.ndarray]
 
     def forward(self, x: np.ndarray, owner: np.ndarray, n: int):
+        return self.forward_scaled(np.clip((x - self.mean) / self.scale, -8, 8), owner, n)
+
+    def forward_scaled(self, x: np.ndarray, owner: np.ndarray, n: int):
         p = self.p
-        x = np.clip((x - self.mean) / self.scale, -8, 8)
         h = np.tanh(x @ p["E"] + p["e"])
         t, s = np.tanh(h @ p["V"]), sigmoid(h @ p["U"])
         a = softmax_by((t * s) @ p["w"], owner, n)
@@ -137,8 +139,9 @@ def fit_bags(x: np.ndarray, owner: np.ndarray, y: np.ndarray, seed: int = 0, ste
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     model, n = Model(mean, scale, p), len(y)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    x = np.clip((x - mean) / scale, -8, 8)
     for step in range(1, steps + 1):
-        xs, h, t, s, a, z, out = model.forward(x, owner, n)
+        xs, h, t, s, a, z, out = model.forward_scaled(x, owner, n)
         gz = weight * (out - y)
         g = {"c": z.T @ gz, "d": gz.sum(keepdims=True)}
         dz = gz[:, None] * p["c"][None, :]
@@ -168,24 +171,17 @@ def train(texts: list[str], quality: list[int]) -> Model:
     for a, b in slices(offsets, RUN):
         part = offsets[a : b + 1]
         x, owner = passages(data[part[0] : part[-1]], part - part[0])
-        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        size = np.bincount(owner)[owner]
-        # evenly spread ones where there are more
-        pick = (rank * PASSAGES) // np.maximum(size, PASSAGES) != ((rank - 1) * PASSAGES) // np.maximum(size, PASSAGES)
-        pick |= (size <= PASSAGES) | (rank == 0)
-        xs.append(x[pick])
-        owners.append(owner[pick] + a)
+        xs.append(x)
+        owners.append(owner + a)
     return fit_bags(np.concatenate(xs), np.concatenate(owners), y)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", target: str = "quality") -> Model:
-    """Fit on labelled rows that aren't held out; ids with two labels count as the lower."""
+    """Fit on a bounded sample of labelled rows that aren't held out; ids with two labels count as the lower."""
     known = labels.where(F.col(key).isNotNull() & F.col(target).isNotNull()).groupBy(key).agg(F.min(target).cast("int").alias("y"))
     known = known.where(F.crc32(F.col(key).cast("string")) % FOLDS != 0)
-    order = F.xxhash64(F.col(key)), F.col(key)
-    chosen = known.where("y = 0").orderBy(*order).limit(TRAIN).unionByName(known.where("y = 1").orderBy(*order).limit(TRAIN))
-    rows = docs.select(key, F.col(text).alias("t")).join(F.broadcast(chosen), key).select(key, "t", "y").collect()
-    rows = sorted({(r[key], r["t"] or "", r["y"]) for r in rows})
+    rows = labelled_sample(docs, known, TRAIN, TRAIN_BYTES, text, key).collect()  # TRAIN and TRAIN_BYTES bound it
+    rows = sorted((r[key], r["t"], r["y"]) for r in rows)
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
@@ -193,7 +189,12 @@ SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: whether its id is held out, its score, and whether that reaches PREDICT. Null texts are empty."""
+    """Per row: whether its id is held out, its score, and whether that reaches PREDICT.
+
+    Null texts are empty; an empty text has one passage without features, and so a score of its own. Rows are scored one
+    by one: equal texts and repeated rows get equal scores whatever their neighbours; a score of PREDICT is predicted 1.
+    Very long texts are scored whole. An empty table gives an empty result.
+    """
 
     def run(batches):
         for batch in batches:
@@ -205,7 +206,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
 
 
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows that are predicted to be good, with all their columns; no shuffle."""
+    """The rows that are predicted to be good, with all their columns, whatever these are called; no shuffle."""
     at = docs.columns.index(text)
 
     def run(batches):
@@ -216,5 +217,6 @@ def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
+    """Every whole text of documents, scored by a model fitted on labels that aren't held out; see score() for edge cases."""
     docs = read_table(spark, sf_dir, "documents")
     return score(docs, fit(docs, read_table(spark, sf_dir, "labels")))

@@ -34,6 +34,58 @@ def test_gradients():
     assert np.allclose(np.bincount(owner, a), 1)
 
 
+def test_gradients_against_differences():
+    """One step of the fit without momentum's history moves each weight against the loss' numeric gradient."""
+    rng = np.random.default_rng(4)
+    x, owner, y = rng.normal(size=(30, 5)), np.sort(np.arange(30) % 7), np.array([0, 1, 1, 0, 1, 0, 1.0])
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    start, moved = (q.fit_bags(x, owner, y, steps=k, rate=1e-6, penalty=0) for k in (0, 1))
+
+    def loss(model):
+        p = model.forward(x, owner, len(y))[-1]
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+
+    for k, a in start.p.items():
+        flat = a.reshape(-1)
+        for i in range(0, len(flat), max(1, len(flat) // 6)):
+            was = flat[i]
+            flat[i] = was + 1e-5
+            up = loss(start)
+            flat[i] = was - 1e-5
+            slope = (up - loss(start)) / 2e-5
+            flat[i] = was
+            if abs(slope) > 1e-7:  # Adam's first step is the gradient's sign
+                assert np.sign(moved.p[k].reshape(-1)[i] - was) == -np.sign(slope)
+
+
+def test_all_passages_of_long_texts_are_learned_from():
+    texts, y = corpus(60)
+    seen = []
+    was, q.fit_bags = q.fit_bags, lambda x, owner, y: seen.append((len(x), np.bincount(owner)))
+    try:
+        q.train(texts + ["long text " * 30_000], y + [1])
+    finally:
+        q.fit_bags = was
+    assert seen[0][1][-1] == -(-300_000 // q.PASSAGE) and seen[0][0] == seen[0][1].sum()
+
+
+def test_repeated_rows_and_batches(spark):
+    texts, y = corpus(120)
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(texts)] + [(1, texts[1])] * 3 + [(500 + k, texts[0]) for k in range(6)], "doc_id long, text string")
+    model = q.fit(docs, spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int"))
+    got = [sorted({(r.doc_id, round(r.score, 9)) for r in q.score(docs.repartition(n), model).collect()}) for n in (1, 7)]
+    assert got[0] == got[1] and len({s for d, s in got[0] if d == 0 or d >= 500}) == 1
+
+
+def test_held_out_rows_of_the_documents(spark):
+    """AUC and recall on held-out rows at sf0.1."""
+    d = "/root/testdata/sf0.1"
+    rows = q.op3_quality(spark, d).where("held_out").join(read_table(spark, d, "labels"), "doc_id").select("score", "predicted", "quality").collect()
+    good, poor = (np.array([r.score for r in rows if r.quality == v]) for v in (1, 0))
+    assert (good[:, None] > poor[None, :]).mean() > 0.99
+    assert np.mean([r.predicted == 0 for r in rows if r.quality == 0]) > 0.95 and np.mean([r.predicted for r in rows if r.quality == 1]) > 0.99
+
+
 def test_held_out_accuracy():
     texts, y = corpus()
     model = q.train(texts[:300], y[:300])
