@@ -31,8 +31,17 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale, np.linalg.norm(unit - scale[:, None] * q, axis=1) + 1e-12
 
 
+def level(v: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest part to 0.5 to 1: squares of the largest parts can
+    neither overflow nor vanish, and cosines stay what they are, as no digit changes."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool):
-    """For each row of a, the rows of b (behind it, if same) with a cosine of threshold or more: (i, js) where any."""
+    """For each row of a, the rows of b (behind it, if same) with a cosine of threshold or more: (i, js) where any.
+
+    Rows are finite, not zero and of level(); a cosine of exactly the threshold links; equal rows link.
+    """
     ua, ub = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
     (qa, sa, ea), (qb, sb, eb) = quantise(ua), quantise(ub)
     kind = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64  # products of int8 are exact in it
@@ -56,9 +65,13 @@ def near_components(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     """One row per vector: links to other vectors of its label and dimension, its component, and whether it is kept.
 
     Without a label or a usable vector (null, empty, zero, null or non-finite parts): no links, a component of its own.
-    Ties: cosine = threshold is a link. Repeated rows are vectors of their own and link with each other.
+    Ties: cosine = threshold is a link. Repeated rows are vectors of their own and link with each other. Finite parts
+    of any size are compared, as vectors are scaled first. An empty table gives an empty result.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    # floats stay floats until a tile needs them: half the bytes to shuffle, and no digit lost
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
+    v = F.col(vector) if kind in ("float", "double") else F.col(vector).cast("array<double>")
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("usable", F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     good = rows.where("usable").select("vec_id", F.struct("label", "v").alias("k"))
@@ -76,7 +89,7 @@ def near_components(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         at, rep, n = (table[c].to_numpy() for c in ("b", "rep", "n"))
         order = np.lexsort((rep, at))
         flat = table["v"].combine_chunks()
-        v = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)[order]
+        v = level(flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)[order])
         at, rep, n = at[order], rep[order], n[order]
         cut = int((at == first).sum())
         same = first == second
@@ -110,4 +123,5 @@ def near_components(vectors: DataFrame, threshold: float = THRESHOLD, block: int
 
 
 def op7_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """All rows of embeddings by cosine within their labels; see near_components() for unusable vectors."""
     return near_components(read_table(spark, sf_dir, "embeddings"))

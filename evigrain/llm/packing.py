@@ -10,6 +10,7 @@ used as often as the counts allow. Pieces then take the plan's places by their r
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -128,7 +129,8 @@ class ChunkTokenizer:
 
     The vocabulary's pre-tokens never reach over a cut, so a text's ids are those of its chunks in a row. Chunks of
     Latin-1 letters are one pre-token each and are encoded many at a time, as one text, which the vocabulary's word
-    ends take apart again; all others, and texts with combining marks, are encoded one by one.
+    ends take apart again; all others, and texts with combining marks, are encoded one by one. So are texts that hold a
+    special token's spelling, in any case, as the vocabulary reads those before it cuts.
     """
 
     def __init__(self, path: str):
@@ -136,7 +138,8 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        names = [t.content.lower().encode() for t in self.inner.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.batch = getattr(self.inner, "encode_batch_fast", self.inner.encode_batch)
         vocabulary = self.inner.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -173,8 +176,10 @@ class ChunkTokenizer:
         """(ids, offsets of n + 1) of texts given as bytes and offsets."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        marks = np.flatnonzero((data == 0xCC) | (data == 0xCD))  # the first bytes of combining marks
-        odd = np.unique(np.searchsorted(offsets, marks, "right") - 1)
+        odd = np.flatnonzero((data == 0xCC) | (data == 0xCD))  # the first bytes of combining marks
+        if self.special is not None:
+            odd = np.append(odd, np.array([m.start() for m in self.special.finditer(_LOWER[data].tobytes())], np.int64))
+        odd = np.unique(np.searchsorted(offsets, odd, "right") - 1)
         if not len(odd):
             return self._encode(data, offsets)
         ids, sizes, a = [], [], 0
@@ -184,7 +189,7 @@ class ChunkTokenizer:
                 ids.append(own)
                 sizes.append(np.diff(at))
             if k < len(offsets) - 1:
-                own = self.batch([data[offsets[k] : offsets[k + 1]].tobytes().decode()], add_special_tokens=False)[0].ids
+                own = self.inner.encode(data[offsets[k] : offsets[k + 1]].tobytes().decode(), add_special_tokens=False).ids
                 ids.append(np.array(own, np.uint32))
                 sizes.append(np.array([len(own)]))
             a = k + 1
@@ -277,6 +282,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, text:
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents as pieces of sequences of at most 4096 tokens; see pack() for nulls, repeats and empty tables."""
     import public_tokenizers as P
 
     return pack(read_table(spark, sf_dir, "documents"), P.path(VOCABULARY))

@@ -48,6 +48,14 @@ def test_against_brute_force(spark):
     assert e.near_components(df.limit(0)).count() == 0
 
 
+def test_parts_of_any_size(spark):
+    rows = [(1, [1e200, 0.0], 0), (2, [1e200, 1e199], 0), (3, [3e-220, 0.0], 0), (4, [0.0, 1e-300], 0), (5, [1e308, 1e308], 1), (6, [-1e308, -1e308], 1), (7, [2e-308, 2e-308], 1), (8, [5e-324, 0.0], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in e.near_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 0, 4), (5, 1, 5), (6, 0, 6), (7, 1, 5), (8, 3, 1)]
+    ints = spark.createDataFrame([(1, [3, 4], 0), (2, [6, 8], 0)], "vec_id long, embedding array<int>, label int")
+    assert [r.n_links for r in e.near_components(ints).collect()] == [1, 1]
+
+
 def test_embeddings_table(spark, sf_dir):
     rows = [(r.vec_id, r.embedding, r.label) for r in read_table(spark, sf_dir, "embeddings").collect()]
     got = e.op7_embedding_near_dedup(spark, sf_dir).collect()

@@ -36,12 +36,12 @@ def test_plan_uses_every_piece_once():
 
 def test_chunks_equal_whole_texts():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     texts = ["", " ", "It's  a\ttest\n\nOf Ünïcode, é ΣΑΣ. <|endoftext|> 12 34!!", "İstanbul ̈x", "a" * 500, "日本語 テスト　x y\x1cz"]
     from evigrain.llm.common import utf8_view
     import pyarrow as pa
 
     texts += ["Le. le, LE ,le le.. É é. ªº µ ß.", "word\nword word\n", "don't I'll ' 's", "J\u030c E\u0301 I\u0307.", "ÀÉ×÷ÿ. Æ,b 3.14,x a.,b ..c c. d.\n. ,", "ends.", ",starts", ".", "ǰ Ω. Я, x.Я"]
+    texts += ["a<|endoftext|>b", "<|startoftext|> x. <|ENDOFTEXT|> <|endoftext|", "<|endoftext|><|endoftext|>", "plain again"]
     ids, at = packing.ChunkTokenizer(PATH).encode(*utf8_view(pa.array(texts)))
     for text, x, y in zip(texts, at[:-1], at[1:]):
         assert ids[x:y].tolist() == t.encode(text, add_special_tokens=False).ids
@@ -49,7 +49,6 @@ def test_chunks_equal_whole_texts():
 
 def check(rows, texts, window=4096):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -73,10 +72,12 @@ def check(rows, texts, window=4096):
 
 
 def test_small_table(spark):
-    rows = [(1, None), (2, ""), (3, "hello world " * 3000), (4, "x"), (5, "x"), (6, "some words here")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("none", "none")
+    rows = [(1, None), (2, ""), (3, "hello world " * 3000), (4, "x"), (5, "x"), (6, "some words here"), (7, "the end <|endoftext|> is near")]
+    df = spark.createDataFrame([(*r, 9, "r", 1) for r in rows], "doc_id long, text string, length int, rank string, sequence_id int")
     check(packing.pack(df, PATH).collect(), dict(rows))
     assert packing.pack(df.limit(0), PATH).count() == 0
+    twice = packing.pack(df.unionByName(df), PATH).collect()
+    assert sum(r.length for r in twice) == 2 * sum(r.length for r in packing.pack(df, PATH).collect())
 
 
 def test_documents(spark, sf_dir):
