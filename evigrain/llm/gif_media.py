@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -159,11 +159,16 @@ class Frame:
     canvas: np.ndarray
 
 
-def decode(data: bytes, canvases: bool = True) -> tuple[int, int, list[Frame]]:
-    """(width, height, frames): each frame's samples, and the RGBA canvas as shown, after the frames before it."""
+def frames_of(data: bytes):
+    """The screen's (width, height), then each frame; a frame's canvas is the RGBA screen as shown until the next is taken.
+
+    The canvas is painted as the format says: by the frame's palette, transparent samples left as they were, and
+    between frames by the disposal of the one before (kept, cleared where it stood, or set back). One screen is held.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
+    yield width, height
     at, shared = 13, np.zeros((0, 3), np.uint8)
 
     def colours(at: int, flags: int):
@@ -179,9 +184,9 @@ def decode(data: bytes, canvases: bool = True) -> tuple[int, int, list[Frame]]:
 
     if flags & 0x80:
         shared, at = colours(at, flags)
-    canvas = np.zeros((height, width, 4), np.uint8)
-    frames, clock, control = [], 0, (0, 0, -1)
-    while at < len(data) and data[at] != 0x3B:
+    canvas = np.zeros((height, width), np.uint32)  # one RGBA pixel an element
+    clock, control = 0, (0, 0, -1)
+    while data[at] != 0x3B:
         if data[at] == 0x21:
             body, end = blocks(at + 2)
             if data[at + 1] == 0xF9:
@@ -196,70 +201,106 @@ def decode(data: bytes, canvases: bool = True) -> tuple[int, int, list[Frame]]:
         if flags & 0x80:
             palette, at = colours(at, flags)
         least = data[at]
+        if not 2 <= least <= 8:
+            raise ValueError("LZW codes of an unknown size")
         body, at = blocks(at + 1)
         samples = np.frombuffer(lzw_expand(body, least)[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         if flags & 0x40:
             order = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
             samples = samples[np.argsort(order)]
         disposal, delay, transparent = control
-        shown = None
-        if canvases:
-            before = canvas.copy() if disposal == 3 else None
-            y, x = min(height, top + h), min(width, left + w)
-            part, inside = canvas[top:y, left:x], samples[: max(0, y - top), : max(0, x - left)]
-            paint = inside != transparent
-            part[paint] = np.concatenate([palette, np.full((len(palette), 1), 255, np.uint8)], 1)[inside[paint]]
-            shown = canvas.copy()
-            if disposal == 2:
-                part[:] = 0
-            elif disposal == 3:
-                canvas = before
-        frames.append(Frame(left, top, samples, clock, 10 * delay, disposal, transparent, palette, shown))
+        y, x = min(height, top + h), min(width, left + w)
+        part, inside = canvas[top:y, left:x], samples[: max(0, y - top), : max(0, x - left)]
+        before = part.copy() if disposal == 3 else None
+        colour = np.full((256, 4), 255, np.uint8)
+        colour[:, :3] = 0  # samples beyond the palette are black
+        colour[: len(palette), :3] = palette
+        colour = colour.view(np.uint32).ravel()
+        if transparent < 0:
+            part[:] = colour[inside]
+        else:
+            np.copyto(part, colour[inside], where=inside != transparent)
+        yield Frame(left, top, samples, clock, 10 * delay, disposal, transparent, palette, canvas.view(np.uint8).reshape(height, width, 4))
+        if disposal == 2:
+            part[:] = 0
+        elif disposal == 3:
+            part[:] = before
         clock, control = clock + 10 * delay, (0, 0, -1)
-    return width, height, frames
 
 
-def histogram(frame: Frame) -> list[int]:
+def decode(data: bytes) -> tuple[int, int, list[Frame]]:
+    """(width, height, frames), each frame with a canvas of its own."""
+    found = frames_of(data)
+    width, height = next(found)
+    return width, height, [replace(f, canvas=f.canvas.copy()) for f in found]
+
+
+def histogram(frame: Frame) -> list[list[int]]:
     """Pixels of the canvas by red, green and blue level, BINS each; transparent ones are left out."""
-    opaque = frame.canvas[frame.canvas[..., 3] > 0]
-    return np.concatenate([np.bincount(opaque[:, c] // (256 // BINS), minlength=BINS) for c in range(3)]).tolist()
+    opaque = frame.canvas.reshape(-1, 4)
+    if not (opaque[:, 3] == 255).all():
+        opaque = opaque[opaque[:, 3] > 0]
+    return [np.bincount(opaque[:, c] // (256 // BINS), minlength=BINS).tolist() for c in range(3)]
+
+
+#: What a broken GIF raises.
+BROKEN = (ValueError, IndexError, struct.error)
+FRAME = "frame int, left int, top int, width int, height int, start_ms long, delay_ms long, disposal int, transparent int, red array<int>, green array<int>, blue array<int>"
+_INTS = pa.list_(pa.int32())
+_FRAME = pa.struct([("frame", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("red", _INTS), ("green", _INTS), ("blue", _INTS)])
 
 
-FRAMES = "id long, frame int, left int, top int, width int, height int, start_ms long, delay_ms long, disposal int, transparent int, histogram array<long>"
+def _timed(n: int, f: Frame) -> dict:
+    r, g, b = histogram(f)
+    return {"frame": n, "left": f.left, "top": f.top, "width": f.indices.shape[1], "height": f.indices.shape[0], "start_ms": f.start_ms, "delay_ms": f.delay_ms, "disposal": f.disposal, "transparent": f.transparent, "red": r, "green": g, "blue": b}
 
 
 def frame_table(media: DataFrame, data: str = "media", key: str = "id") -> DataFrame:
-    """One row per frame of each GIF; null or empty media have none. Broken GIFs raise."""
+    """(id, frame, .., histograms, error): one row per frame of each GIF.
+
+    Null and empty media have none. A broken GIF has the frames before the break, then a row with the error only.
+    """
 
     def run(batches):
         for batch in batches:
             rows = []
-            for ident, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for n, f in enumerate(decode(body)[2] if body else []):
-                    rows.append((ident, n, f.left, f.top, f.indices.shape[1], f.indices.shape[0], f.start_ms, f.delay_ms, f.disposal, f.transparent, histogram(f)))
+            for ident, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                body = body.as_py()
+                try:
+                    found = frames_of(body) if body else iter(())
+                    next(found, None)
+                    for n, f in enumerate(found):
+                        rows.append({"id": ident, **_timed(n, f)})
+                except BROKEN as e:
+                    rows.append({"id": ident, "error": str(e)})
             if rows:
-                names = [x.split()[0] for x in FRAMES.split(", ")]
-                kinds = [pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return media.select(F.col(key).cast("long"), data).mapInArrow(tidy(run), FRAMES)
+    schema = pa.schema([("id", pa.int64()), *_FRAME, ("error", pa.string())])
+    return media.select(F.col(key).cast("long"), data).mapInArrow(tidy(run), f"id long, {FRAME}, error string")
 
 
-def samples_of(data: bytes) -> tuple[bytes, str]:
-    """The samples as the palette shows them, and a feature: frames, length in ms, and the sum of grey histograms."""
-    _, _, frames = decode(data, canvases=False)
-    grey = [f.palette[:, 0][f.indices] for f in frames]
-    payload = b"".join(g.tobytes() for g in grey)
-    counts = sum(np.bincount(g.ravel() // (256 // BINS), minlength=BINS) for g in grey)
-    return payload, f"{len(frames)};{frames[-1].start_ms + frames[-1].delay_ms};" + ",".join(map(str, counts.tolist()))
+def samples_of(data: bytes) -> tuple[bytes, list[dict]]:
+    """The bytes that the frames show, in red, where each stands on the canvas; and the timed frames."""
+    found, parts, timed = frames_of(data), [], []
+    next(found)
+    for n, f in enumerate(found):
+        h, w = f.indices.shape
+        parts.append(np.ascontiguousarray(f.canvas[f.top : f.top + h, f.left : f.left + w, 0]).tobytes())
+        timed.append(_timed(n, f))
+    return b"".join(parts), timed
 
 
 STORED = "doc_id long, n_bytes long, media binary"
-READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+READ = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<struct<{FRAME.replace(' ', ':').replace(',:', ',')}>>, error string"
 
 
 def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_bytes, media): each text's UTF-8, zero-filled to a positive multiple of 64, as a GIF. Null: empty."""
+    """(doc_id, n_bytes, media): each text's UTF-8, zero-filled to a positive multiple of 64, as a GIF.
+
+    Null texts are empty. Rows are independent, so copies and repeated rows get equal media; very long texts become many
+    frames of one GIF. An empty table gives an empty result.
+    """
 
     def run(batches):
         for batch in batches:
@@ -278,20 +319,44 @@ def store(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
 
 def read_back(stored: DataFrame) -> DataFrame:
+    """Per row of store(): digests of the stored bytes and of the payload that the canvas shows, and the timed frames.
+
+    A null or broken GIF has null digests and an error; other rows, repeated ones too, don't suffer from it. An empty
+    table gives an empty result.
+    """
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.list_(_FRAME)), ("error", pa.string())]
+    )
+
     def run(batches):
         for batch in batches:
             rows = []
             for ident, n, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                media = media.as_py()
-                payload, feature = samples_of(media)
-                rows.append((ident, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            names = [x.split()[0] for x in READ.split(", ")]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                media, row = media.as_py(), {"doc_id": ident, "n_bytes": n}
+                rows.append(row)
+                if media is None:
+                    row["error"] = "no media"
+                    continue
+                row |= {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()}
+                try:
+                    payload, row["frames"] = samples_of(media)
+                    row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:])}
+                except BROKEN as e:
+                    row["error"] = str(e)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     return stored.mapInArrow(tidy(run), READ)
 
 
+def described(media: DataFrame) -> DataFrame:
+    """read_back()'s table with `feature` for its frames: their number, their time in ms, and the sum of their red histograms."""
+    last = F.element_at("frames", -1)
+    counts = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), BINS), lambda s, f: F.zip_with(s, f["red"], lambda a, b: a + b))
+    feature = F.concat_ws(";", F.size("frames").cast("string"), (last["start_ms"] + last["delay_ms"]).cast("string"), F.array_join(F.transform(counts, lambda x: x.cast("string")), ","))
+    return media.withColumn("feature", F.when(F.size("frames") > 0, feature)).drop("frames")
+
+
 def op5_gif_media(spark, sf_dir: str) -> DataFrame:
-    return read_back(materialize(store(read_table(spark, sf_dir, "documents")), "gif"))
+    """Every whole text stored as a GIF; the table of its timed frames is written and the features come from that."""
+    return described(materialize(read_back(materialize(store(read_table(spark, sf_dir, "documents")), "gif")), "frames"))

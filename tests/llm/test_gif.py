@@ -67,14 +67,39 @@ def test_interlaced_rows():
 def test_tables(spark):
     rows = [(1, None, 1), (2, "", 2), (3, "é" * 33, 3), (4, "x" * 70_000, 4), (5, "é" * 33, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, media int")
-    got = {r.doc_id: r for r in g.read_back(g.store(df)).collect()}
+    media = g.read_back(g.store(df))
+    got = {r.doc_id: r for r in media.collect()}
     for k, t, _ in rows:
         body = (t or "").encode()
         pad = body + b"\0" * (-len(body) % 64 or (64 if not body else 0))
         r = got[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(body), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
     assert got[3][1:] == got[5][1:] and got[1][1:] == got[2][1:]
+    assert all(r.error is None for r in got.values())
     frames = g.frame_table(g.store(df), key="doc_id").collect()
-    assert sum(r.id == 4 for r in frames) == 2 and all(sum(r.histogram) == 3 * 64 * min(1024, -(-max(1, rows[r.id - 1][1] and len(rows[r.id - 1][1].encode()) or 1) // 64)) for r in frames)
+    assert sum(r.id == 4 for r in frames) == 2 and len(got[4].frames) == 2
+    for r in frames:
+        body = (rows[r.id - 1][1] or "").encode()
+        shown = min(1024, -(-max(1, len(body)) // 64)) * 64
+        assert sum(r.red) == sum(r.green) == sum(r.blue) == shown and r.error is None
+    feature = {r.doc_id: r.feature for r in g.described(media).collect()}
+    assert feature[4].startswith("2;200;") and sum(map(int, feature[4].split(";")[2].split(","))) == 2 * 1024 * 64
+    assert feature[1] == "1;100;64," + ",".join(["0"] * 15)
+    assert g.described(g.read_back(g.store(df.limit(0)))).count() == 0
+
+
+def test_broken_media_are_rows(spark):
+    body = np.random.default_rng(5).integers(0, 256, 64 * 1500, dtype=np.uint8).tobytes()
+    good = g.encode_payload(body)
+    loop = tiny([(0, 0, 2, 2, 1, -1, [1, 1, 1, 1]), (0, 0, 1, 1, 2, -1, [2]), (1, 1, 1, 1, 3, -1, [3]), (0, 0, 2, 2, 0, 0, [0, 2, 0, 0])])
+    rows = [(1, 1, good), (2, 1, b"PNG"), (3, 1, good[:2000]), (4, 1, None), (5, 1, good[: len(good) // 2]), (6, 1, loop), (7, 1, b"GIF89a"), (6, 1, loop)]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in g.described(g.read_back(df)).collect()}
+    assert [k for k, r in sorted(got.items()) if r.error is None] == [1, 6] and got[2].error == "not a GIF" and got[4].error == "no media"
+    assert got[1].payload_sha256 == hashlib.sha256(body).hexdigest() and got[3].payload_sha256 is None and got[3].feature is None
+    table = [r for r in g.frame_table(df, key="doc_id").collect() if r.id == 6]
+    assert [(r.frame, r.start_ms, r.delay_ms, r.disposal, r.transparent) for r in table[:4]] == [(0, 0, 50, 1, -1), (1, 50, 50, 2, -1), (2, 100, 50, 3, -1), (3, 150, 50, 0, 0)]
+    at = lambda c: [(getattr(r, c)[0], getattr(r, c)[-1]) for r in table[:4]]
+    assert at("red") == [(0, 4), (1, 3), (1, 2), (1, 2)] and at("green") == [(4, 0), (3, 1), (3, 0), (2, 1)] and at("blue") == [(4, 0), (4, 0), (2, 1), (3, 0)]
     with pytest.raises(Exception, match="not a GIF"):
         g.decode(b"PNG")
