@@ -82,8 +82,10 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def size_of(df: DataFrame) -> int:
-    """Bytes on disk of a table made by materialize()."""
+    """Bytes on disk of a table made by materialize(), 0 for others."""
     spark = df.sparkSession
+    if not hasattr(df, "_evigrain_path"):
+        return 0
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._evigrain_path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 

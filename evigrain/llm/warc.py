@@ -1,9 +1,11 @@
 """WARC archives as chunked record tables.
 
-An archive is a table of chunk rows (archive, seq, record_id, chunk, data, digest): the data of an archive's rows, in
-the order of seq, is a WARC 1.1 file. A payload is written as slices of at most CHUNK bytes, each with the SHA-256 of
-the payload so far, and read back as a stream, so that no more than a chunk and a header are held beside the source.
-Records whose payload was seen before are revisits: headers only, with the digest and the record they refer to.
+An archive is a table of chunk rows (archive, seq, record, record_id, chunk, data, digest): the data of an archive's
+rows, in the order of seq, is a WARC 1.1 file of about ARCHIVE bytes, a task writing as many as it needs. A payload is
+written as slices of at most CHUNK bytes, each with the SHA-256 of the payload so far, and read back as a stream, so
+that no more than a chunk and a header are held beside the source. Records are numbered within their archive, and read
+back by (archive, record): neither a big archive nor a frequent key is one task's burden. Records whose payload was
+seen before are revisits: headers only, with the digest and the record they refer to.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_by_key, id_filter, materialize, partitions, read_table, split_by_filter, tidy
+from .common import attach_by_key, id_filter, materialize, partitions, read_table, size_of, split_by_filter, tidy
 
 CHUNK = 1 << 16
+#: Bytes behind which a task begins a new archive, and stored bytes that a task reads back.
+ARCHIVE, TASK = 256 << 20, 16 << 20
 #: Payloads below this size are never replaced by a revisit.
 LEAST = 100
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:evigrain:page:"
-CHUNKS = "archive long, seq long, record_id string, chunk int, data binary, digest string"
-RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+CHUNKS = "archive long, seq long, record long, record_id string, chunk int, data binary, digest string"
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"
 
 
 def _header(fields: list[tuple[str, str]], first: str) -> bytes:
@@ -118,10 +122,12 @@ class RecordReader:
             raise ValueError("the archive ends within a record")
 
 
-def write_archives(pages: DataFrame, payload: str = "html", url: str = "url", key: str = "page_id", least: int = LEAST, chunk: int = CHUNK) -> DataFrame:
-    """The chunk table of all pages' records, in the shared folder; each task writes an archive of its own.
+def write_archives(pages: DataFrame, payload: str = "html", url: str = "url", key: str = "page_id", least: int = LEAST, chunk: int = CHUNK, limit: int = ARCHIVE) -> DataFrame:
+    """The chunk table of all pages' records, in the shared folder; each task writes archives of its own.
 
-    Null payloads are empty. Rows with the same key and payload are responses each.
+    Null payloads and urls are empty, a null key stays null. Rows with the same key and payload are responses each; of
+    equal payloads the smallest key is the response. Other columns are left out, whatever they are called. An empty
+    table gives an empty one.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), body.alias("body"))
@@ -135,12 +141,11 @@ def write_archives(pages: DataFrame, payload: str = "html", url: str = "url", ke
     rows = alone.unionByName(split_by_filter(rows, "page_id", bits, inside=True).join(revisits, "page_id", "left"))
 
     def run(batches):
-        archive, seq, out, held = TaskContext.get().partitionId(), 0, [], 0
+        archive, seq, record, size, out, held = TaskContext.get().partitionId() << 24, 0, 0, 0, [], 0
 
         def flush():
-            cols = list(zip(*out)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["archive", "seq", "record_id", "chunk", "data", "digest"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["archive", "seq", "record", "record_id", "chunk", "data", "digest"])
 
         for batch in batches:
             ids, urls, bodies, refers, same = (batch.column(i) for i in range(5))
@@ -149,43 +154,69 @@ def write_archives(pages: DataFrame, payload: str = "html", url: str = "url", ke
                 digest = hashlib.sha256(view).hexdigest()
                 to = refers[i].as_py() if same[i].as_py() == digest else None
                 for rid, n, data, so_far in record_chunks(ids[i].as_py(), urls[i].as_py(), view, digest, to, chunk):
-                    out.append((archive, seq, rid, n, data, so_far))
-                    seq, held = seq + 1, held + len(data)
+                    out.append((archive, seq, record, rid, n, data, so_far))
+                    seq, held, size = seq + 1, held + len(data), size + len(data)
                     if held > 4 << 20:
                         yield flush()
                         out, held = [], 0
+                record += 1
+                if size > limit:
+                    archive, seq, record, size = archive + 1, 0, 0, 0
         if out:
             yield flush()
 
     return materialize(rows.select("page_id", "url", "body", "refers_to", "same").mapInArrow(tidy(run), CHUNKS), "warc", "zstd")
 
 
-def read_archives(chunks: DataFrame) -> DataFrame:
-    """One row per record, from the bytes alone; wrong or cut archives raise."""
+def read_archives(chunks: DataFrame, task: int = TASK) -> DataFrame:
+    """One row per record of write_archives()' table, from the bytes alone.
+
+    A record that is cut, or isn't what its header says, has its page_id and an error. An empty table gives an empty
+    result.
+    """
 
     def run(batches):
-        now, reader, found = None, None, []
+        now, reader, rid, found = None, None, None, []
+
+        def fail(e) -> dict:
+            ident = rid.removeprefix(URN)
+            return {"page_id": None if ident == "None" else int(ident), "error": str(e)}
+
+        def close():
+            try:
+                if reader:
+                    reader.close()
+            except ValueError as e:
+                found.append(fail(e))
+
         for batch in batches:
-            archives, data = batch.column(0).to_pylist(), batch.column(1)
-            for i, a in enumerate(archives):
-                if a != now:
-                    if reader:
-                        reader.close()
-                    now, reader = a, RecordReader()
-                found += reader.feed(data[i].as_buffer())
+            keys, data = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(3)
+            for i, key in enumerate(keys):
+                if key != now:
+                    close()
+                    now, reader, rid = key, RecordReader(), batch.column(2)[i].as_py()
+                if reader:
+                    try:
+                        found += reader.feed(data[i].as_buffer())
+                    except (ValueError, KeyError) as e:
+                        found.append(fail(e))
+                        reader = None  # what follows of it is lost
             if found:
                 yield pa.RecordBatch.from_pylist(found, schema=schema)
-                found = []
-        if reader:
-            reader.close()
+                found.clear()
+        close()
+        if found:
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    ordered = chunks.select("archive", "data", "seq").repartition(partitions(chunks.sparkSession), "archive").sortWithinPartitions("archive", "seq")
-    return ordered.select("archive", "data").mapInArrow(tidy(run), RECORDS)
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("error", pa.string())])
+    tasks = max(partitions(chunks.sparkSession), -(-size_of(chunks) // task))
+    ordered = chunks.select("archive", "record", "record_id", "data", "seq").repartition(tasks, "archive", "record").sortWithinPartitions("archive", "record", "seq")
+    return ordered.select("archive", "record", "record_id", "data").mapInArrow(tidy(run), RECORDS)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    return read_archives(write_archives(read_table(spark, sf_dir, "pages")))
+    """A record per row of pages, written to archives and read back; see write_archives() for nulls and repeats."""
+    return read_archives(write_archives(read_table(spark, sf_dir, "pages"))).drop("error")
 
 
 ORACLE_SQL = """

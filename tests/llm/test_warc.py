@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from evigrain.llm import warc
 
@@ -38,3 +39,18 @@ def test_table(spark):
     got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_archives(warc.write_archives(df)).collect()}
     assert got == {(9, "revisit", 2, 300000), (2, "response", None, 300000), (3, "response", None, 0), (4, "response", None, 0), (5, "response", None, 100), (6, "revisit", 5, 100), (7, "response", None, 1), (8, "response", None, 1)}
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
+
+
+def test_archives_are_rolled_and_broken_records_are_rows(spark):
+    rows = [(i, f"u{i}", f"{i} " * 3000) for i in range(1, 21)]
+    chunks = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), limit=30_000).persist()
+    per = [r.n for r in chunks.groupBy("archive").agg(F.countDistinct("record").alias("n")).collect()]
+    assert len(per) > 3 and sum(per) == 20
+    first = chunks.where("archive = 0").orderBy("seq").collect()
+    reader = warc.RecordReader()
+    assert [x["page_id"] for c in first for x in reader.feed(c.data)] and not reader.close()
+    lost = chunks.where("not (record_id like '%:3' and chunk = 1)").withColumn("data", F.when(F.col("record_id").like("%:7") & (F.col("chunk") == 1), F.lit(b"x" * 10)).otherwise(F.col("data")))
+    lost = lost.where("not (record_id like '%:9' and chunk = 2)")
+    got = {r.page_id: r for r in warc.read_archives(lost).collect()}
+    assert len(got) == 20 and sorted(k for k, r in got.items() if r.error) == [3, 7, 9]
+    assert all(r.payload_digest == hashlib.sha256((f"{k} " * 3000).encode()).hexdigest() for k, r in got.items() if not r.error)
