@@ -144,6 +144,8 @@ def meetings(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> Data
                 own = digest_of(s)
                 if own in seen:
                     continue
+                if len(seen) > 1_000_000:  # what is sent twice meets itself
+                    seen.clear()
                 seen.add(own)
                 first = n - (percent * n + 99) // 100 + 1
                 tokens.append(s[np.argsort(rank[(s >> shift).astype(np.int64)], kind="stable")[:first]])

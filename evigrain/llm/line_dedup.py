@@ -26,8 +26,6 @@ from .common import FILTER_BITS, attach_by_key, connected_components, id_filter,
 DEPTH = 3
 SIMILAR = 0.7
 DOCUMENTS = 5
-#: Read by the brute force of an older rule in the tests only.
-DIVERSE = 0.3
 #: Recurring lines up to which their keys (8 bytes each) go to every task; beyond, each document's are joined to it.
 RECURRING = 1_000_000
 _DIGIT = re.compile("[0-9]")
@@ -119,6 +117,8 @@ def leaf_lines(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     for line in set(text.split("\n")):
                         p = parse(line)
                         if p and bits[p[0] & (FILTER_BITS - 1)] and p[:2] not in seen:
+                            if len(seen) > 1_000_000:  # what is sent twice is counted once later
+                                seen.clear()
                             seen.add(p[:2])
                             rows.append((p[0], p[1], " ".join(p[2])))
                 if rows:
@@ -248,6 +248,6 @@ def _with_drops(docs: DataFrame, lines: DataFrame, found: DataFrame, key: str) -
     return touched.unionByName(split_by_filter(docs, key, bits, inside=False).withColumn("_drop", F.lit(None).cast("array<long>")))
 
 
-
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """documents without the lines of recurring templates; see clean() for nulls, repeats and empty tables."""
     return clean(read_table(spark, sf_dir, "documents"), report=True)
