@@ -142,6 +142,8 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if lacking := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"the vocabulary lacks the bytes {lacking}")
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = list(ranks)
         self.ids = np.array([ranks[t] for t in self.tokens], np.uint32)
@@ -214,7 +216,9 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode_table(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: number of ids, digests of the ids and of the bytes that they decode to.
 
-    Null and empty texts have no ids. Rows are independent: copies, ties and repeated keys need no care.
+    Null and empty texts have no ids. Rows are independent: copies, ties and repeated keys need no care. Texts and
+    pre-tokens of any length are encoded whole. A vocabulary that lacks a byte is an error. An empty table gives an
+    empty result.
     """
 
     def run(batches):
@@ -235,6 +239,7 @@ def encode_table(docs: DataFrame, path: str, pattern: str, text: str = "text", k
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every whole text of documents encoded and decoded again; see encode_table() for nulls and repeats."""
     import public_tokenizers as P
 
     return encode_table(read_table(spark, sf_dir, "documents"), P.path(VOCABULARY), P.PATTERN)

@@ -165,6 +165,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Every whole text of documents; see scan() for nulls, repeats and empty tables."""
     return scan(read_table(spark, sf_dir, "documents"))
 
 

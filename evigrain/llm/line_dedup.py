@@ -239,13 +239,13 @@ def clean(docs: DataFrame, documents: int = DOCUMENTS, text: str = "text", key:
 
 
 def _with_drops(docs: DataFrame, lines: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """docs with _drop, the keys of each row's recurring lines; only rows that may have some are shuffled."""
+    """docs with _evigrain_drop, the keys of each row's recurring lines; only rows that may have some are shuffled."""
     hits = attach_by_key(lines.select("doc_id", F.struct("leaf", "line").alias("k")), found, "k", "documents")
-    drops = materialize(hits.groupBy("doc_id").agg(F.collect_set("k.line").alias("_drop")), "drops")
+    drops = materialize(hits.groupBy("doc_id").agg(F.collect_set("k.line").alias("_evigrain_drop")), "drops")
     bits = id_filter(drops.select("doc_id"))
     touched = split_by_filter(docs, key, bits, inside=True)
-    touched = touched.join(drops.withColumnRenamed("doc_id", "_id"), F.col(key) == F.col("_id"), "left").drop("_id")
-    return touched.unionByName(split_by_filter(docs, key, bits, inside=False).withColumn("_drop", F.lit(None).cast("array<long>")))
+    touched = touched.join(drops.withColumnRenamed("doc_id", "_evigrain_id"), F.col(key) == F.col("_evigrain_id"), "left").drop("_evigrain_id")
+    return touched.unionByName(split_by_filter(docs, key, bits, inside=False).withColumn("_evigrain_drop", F.lit(None).cast("array<long>")))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pytest
 import public_tokenizers as P
 import tiktoken
 
@@ -36,7 +37,8 @@ def test_perfect_hash_is_minimal_and_rejects_strangers():
 
 def test_table_with_nulls_and_extra_columns(spark):
     ranks, enc = reference()
-    rows = [(1, None, "x"), (2, "", "y"), (3, "Hello wörld", "z"), (3, "Hello wörld", "z")]
+    long = "ab" * 300_000 + " word" * 200_000
+    rows = [(1, None, "x"), (2, "", "y"), (3, "Hello wörld", "z"), (3, "Hello wörld", "z"), (4, long, "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids_sha256 string")
     got = sorted(bpe.encode_table(df, P.path(bpe.VOCABULARY), P.PATTERN).collect())
     empty = hashlib.sha256(b"").hexdigest()
@@ -44,4 +46,7 @@ def test_table_with_nulls_and_extra_columns(spark):
     want = enc.encode_ordinary("Hello wörld")
     assert got[2].n_tokens == len(want) and got[2] == got[3]
     assert got[2].ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+    assert got[4].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() and got[4].ids_sha256 == hashlib.sha256(np.array(enc.encode_ordinary(long), "<u4").tobytes()).hexdigest()
+    with pytest.raises(ValueError, match="lacks"):
+        bpe.Coder({b"a": 0}, P.PATTERN)
     assert bpe.encode_table(df.limit(0), P.path(bpe.VOCABULARY), P.PATTERN).count() == 0
