@@ -262,8 +262,8 @@ def near_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     """(doc_id, n_shingles, component_id) of each row; component_id is the smallest doc_id that links reach.
 
     Null, empty and wordless texts have no shingles and are alone. Texts with fewer words than a shingle are one shingle.
-    Rows with equal texts are linked, also where they repeat a doc_id. A doc_id with unlike texts has a row for each, which
-    are joined as one document that has all their links. Rows without doc_id are linked to equal texts only. Ties: exactly
+    Rows with equal texts are linked, also where they repeat a doc_id. A doc_id with unlike texts has a row for each; their
+    components may be joined, as links are between ids. Rows without doc_id are linked to equal texts only. Ties: exactly
     `percent` links. An empty table gives an empty result.
     """
     spark = docs.sparkSession
