@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import vectors as vx
 from .operators import catalog, evaluation, evidence, layout, matching, profiles, retrieval
-from .operators.shared import first_of, top_k
+from .operators.shared import first_of, shared_path, top_k
 from .plans import filters
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from .registry import ORACLES, QUERIES, query, table
 
 # --- retrieval ------------------------------------------------------------------------------------------
 
 BM25_SQL = """
-with q as (select item_id as query_id, text as query from benchmark where item_id < 10),
+with q as (select item_id as query_id, text as query from benchmark where item_id % 100 = 0),
 d as (select doc_id as chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:[._+/-][a-z0-9]+)*') as terms from documents),
 s as (select count(*) as n, avg(len(terms)) as mean from d),
 qt as (select query_id, term, count(*) as times from (select query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+(?:[._+/-][a-z0-9]+)*')) as term from q) group by all),
@@ -46,19 +26,19 @@ bm as (select query_id, chunk_id, score, row_number() over (partition by query_i
 
 DENSE_SQL = """
 with v as (select vec_id as chunk_id, embedding::double[] as e, label from embeddings),
-q as (select chunk_id as query_id, e as q from v where chunk_id < 10),
+q as (select chunk_id as query_id, e as q from v where chunk_id % 100 = 0),
 c as (select query_id, chunk_id, label, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) as score from v, q),
 de as (select query_id, chunk_id, label, score, row_number() over (partition by query_id order by round(score, 9) desc, cast(chunk_id as varchar)) as rank from c)"""
 
 
 def _bm25(spark, d, k):
-    q = table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    q = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return retrieval.bm25_search(table(spark, d, "documents"), q, k, tokenizer=tx.latin_tokens, key="doc_id")
 
 
 def _dense(spark, d, k):
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return retrieval.dense_search(v, q, k, key="vec_id")
 
 
@@ -68,13 +48,13 @@ def _rounded(df, c="score"):
 
 @query(BM25_SQL + " select query_id, chunk_id, round(score, 6) as score, cast(rank as integer) as rank from bm where rank <= 10")
 def bm25_topk(spark, d):
-    """All benchmark queries against all documents (top-k report)."""
+    """Benchmark items with an id divisible by 100 against all documents (top-k report)."""
     return _rounded(_bm25(spark, d, 10))
 
 
 @query(DENSE_SQL + " select query_id, chunk_id, round(score, 6) as score, cast(rank as integer) as rank from de where rank <= 10")
 def dense_topk(spark, d):
-    """Exact nearest vectors (top-k report)."""
+    """Exact nearest vectors of those with an id divisible by 100 (top-k report)."""
     return _rounded(_dense(spark, d, 10))
 
 
@@ -83,7 +63,7 @@ RRF_SQL = (
     + """,
 r as (select query_id, chunk_id, 1.0::double / (60 + rank) as w from bm where rank <= 50),
 v as (select vec_id as chunk_id, embedding::double[] as e from embeddings),
-x as (select a.chunk_id as query_id, b.chunk_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) as score from v a, v b where a.chunk_id < 10),
+x as (select a.chunk_id as query_id, b.chunk_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) as score from v a, v b where a.chunk_id % 100 = 0),
 y as (select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, cast(chunk_id as varchar)) as rank from x),
 u as (select * from r union all select query_id, chunk_id, 1.0::double / (60 + rank) from y where rank <= 50),
 g as (select query_id, chunk_id, sum(w) as score, count(*) as methods from u group by all)
@@ -108,7 +88,7 @@ select query_id, chunk_id, cast(source_rank as integer) as source_rank, rerank_s
 def rerank_stable(spark, d):
     """A pair scorer reorders candidates; ties keep their source order."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    q = table(spark, d, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    q = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     got = retrieval.rerank(_bm25(spark, d, 20), lambda q, t: F.length(t) % 7, 5, docs, q)
     return got.select("query_id", "chunk_id", "source_rank", "rerank_score", "rank")
 
@@ -129,7 +109,7 @@ def diverse_merge(spark, d):
 
 @query(
     """
-with v as (select vec_id, embedding::double[] as e, label from embeddings), q as (select vec_id as query_id, e as q from v where vec_id < 20),
+with v as (select vec_id, embedding::double[] as e, label from embeddings), q as (select vec_id as query_id, e as q from v where vec_id % 100 = 0),
 s as (select query_id, label, vec_id, least(1, greatest(0, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))))) as s from v, q),
 r as (select *, row_number() over (partition by query_id, label order by round(s, 9) desc, cast(vec_id as varchar)) as n from s)
 select query_id, label, count(*) as evidence_count, round(max(s), 6) as best_similarity, array_to_string(list_sort(list_distinct(flatten(list([vec_id % 5, vec_id % 5 + 1, vec_id % 5 + 2])))), ',') as pages
@@ -138,7 +118,7 @@ from r where n <= 3 and s >= 0.1 group by all"""
 def paper_evidence_summary(spark, d):
     """Each query's evidence by group, with all pages of its page ranges."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label", F.lit("").alias("text"), (F.col("vec_id") % 5).alias("page_start"), (F.col("vec_id") % 5 + 2).alias("page_end"))
-    q = v.where("chunk_id < 20").select(F.col("chunk_id").alias("query_id"), "embedding")
+    q = v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
     found = retrieval.paper_evidence(v, q, "label", 3, threshold=0.1)
     return _rounded(retrieval.summarize_papers(found, ["query_id", "label"]), "best_similarity").withColumn("pages", F.array_join("pages", ","))
 
@@ -161,7 +141,7 @@ from b left join h using (cutoff, query_id) group by cutoff"""
 def eval_metrics(spark, d):
     """Recall, MRR and nDCG of the vector ranking; relevant are vectors of the query's label."""
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
     rel = v.join(F.broadcast(q), "label").select("query_id", F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 3 + 1).alias("relevance"))
     return evaluation.evaluate(rel, _dense(spark, d, 10))
 
@@ -477,27 +457,27 @@ def known_only_score(spark, d):
 
 
 @query(
-    """with v as (select vec_id, label, embedding::double[] as e from embeddings), n as (select vec_id as need_id, e as q from v where vec_id < 50),
-s as (select need_id, label as teacher, vec_id, least(1, greatest(0, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))))) as s from v, n where vec_id >= 100)
-select need_id, teacher, round(max(s), 6) as similarity, arg_max(vec_id, (s, -vec_id)) as item from s group by all"""
+    """with v as (select vec_id, label, embedding::double[] as e from embeddings), n as (select vec_id as need_id, e as q from v where vec_id % 100 = 0),
+s as (select need_id, label as teacher, vec_id, least(1, greatest(0, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))))) as s from v, n)
+select need_id, teacher, round(max(s), 6) as similarity, arg_max(vec_id, (round(s, 9), -vec_id)) as item from s group by all"""
 )
 def argmax_match(spark, d):
     """The most similar item of each group for each need."""
     v = table(spark, d, "embeddings")
-    left = v.where("vec_id < 50").select(F.col("vec_id").alias("need_id"), F.col("embedding").alias("v"))
-    right = v.where("vec_id >= 100").select(F.col("label").alias("teacher"), F.col("vec_id").alias("place"), F.col("vec_id").alias("name"), F.col("embedding").alias("v"))
-    return _rounded(matching.best_items(left, right, ["need_id"], ["teacher"]), "similarity")
+    left = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("need_id"), F.col("embedding").alias("v"))
+    right = v.select(F.col("label").alias("teacher"), F.col("vec_id").alias("place"), F.col("vec_id").alias("name"), F.col("embedding").alias("v"))
+    return _rounded(matching.best_items(left, right, ["need_id"], "teacher"), "similarity")
 
 
 @query(
-    """with v as (select vec_id, label, embedding::double[] as e from embeddings), n as (select vec_id as need_id, e as q from v where vec_id < 20),
+    """with v as (select vec_id, label, embedding::double[] as e from embeddings), n as (select vec_id as need_id, e as q from v where vec_id % 100 = 0),
 s as (select need_id, label as teacher, vec_id, least(1, greatest(0, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))))) as s from v, n),
-r as (select *, row_number() over (partition by need_id, teacher order by s desc, vec_id) as k from s)
+r as (select *, row_number() over (partition by need_id, teacher order by round(s, 9) desc, vec_id) as k from s)
 select need_id, teacher, round(avg(s), 6) as semantic_similarity from r where k <= 3 group by all"""
 )
 def top3_mean(spark, d):
     v = table(spark, d, "embeddings")
-    needs = v.where("vec_id < 20").select(F.col("vec_id").alias("need_id"), F.col("embedding").alias("vector"))
+    needs = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("need_id"), F.col("embedding").alias("vector"))
     people = v.groupBy(F.col("label").alias("teacher")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: F.struct(x["vec_id"].cast("string").alias("name"), x["embedding"].alias("vector"))).alias("items"))
     return _rounded(matching.semantic_scores(needs, people), "semantic_similarity")
 
@@ -518,7 +498,7 @@ def round_robin_select(spark, d):
 
 @query(
     """with recursive e as (select conv_id, turn as a, turn + 1 as b from conversations c where exists (select 1 from conversations n where n.conv_id = c.conv_id and n.turn = c.turn + 1)),
-r(conv_id, a, b, k) as (select conv_id, a, b, 1 from e union all select r.conv_id, r.a, e.b, k + 1 from r join e on e.conv_id = r.conv_id and e.a = r.b where k < 100)
+r(conv_id, a, b, k) as (select conv_id, a, b, 1 from e union all select r.conv_id, r.a, e.b, k + 1 from r join e on e.conv_id = r.conv_id and e.a = r.b where true)
 select conv_id || '-' || b as version_id, conv_id || '-' || a as ancestor_id, k as distance from r"""
 )
 def version_chain(spark, d):
@@ -550,18 +530,14 @@ def topk_per_group(spark, d):
 
 @query("select count(distinct sha256(text)) as rows_kept from documents")
 def stream_dedupe(spark, d):
-    """A file stream, worked off and deduplicated by content into a memory table."""
-    import uuid
-
+    """A file stream, worked off and deduplicated by content into Parquet."""
     from .streaming import ingest
 
-    name = f"stream_{uuid.uuid4().hex}"
-    path = f"{d}/documents.parquet"
+    path, out = f"{d}/documents.parquet", shared_path(spark, "stream")
     schema = spark.read.parquet(path).schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(path)
-    kept = ingest.once_per_content(rows.select("text"), ["text"])
-    kept.select("content_id").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).agg(F.count("*").alias("rows_kept"))
+    ingest.run_available(ingest.once_per_content(rows.select("text"), ["text"]).select("content_id"), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.schema("content_id string").parquet(f"{out}/rows").agg(F.count("*").alias("rows_kept"))
 
 
 # --- records, needs, profiles, solutions ----------------------------------------------------------------
@@ -683,19 +659,20 @@ def clarification_questions(spark, d):
     return q.where("severity = 'blocking'").groupBy("need_id").agg(F.count("*").alias("blocking"))
 
 
-@query("select conv_id as need_id, turn as node_id from conversations where 1 = 0")
+@query(
+    """with c as (select distinct conv_id, turn from conversations), l as (select conv_id, min(turn) as low, max(turn) as high from c group by conv_id)
+select conv_id as need_id, turn as node_id from c join l using (conv_id) where low < high and (conv_id % 5 = 0 or conv_id % 7 = 0 and high - low >= 2 and turn > low)"""
+)
 def dag_acyclic(spark, d):
-    """Turns that follow each other form no cycle: nothing is left when sources are taken off."""
+    """Turns that follow each other, with an edge back to the first in some conversations and to the second in others."""
     from .operators import solutions
 
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("need_id"), F.col("turn").alias("node_id")).distinct()
+    ends = c.groupBy("need_id").agg(F.min("node_id").alias("low"), F.max("node_id").alias("high")).where("low < high")
     nxt = c.select("need_id", (F.col("node_id") + 1).alias("node_id"), F.col("node_id").alias("source"))
     edges = c.join(nxt, ["need_id", "node_id"]).select("need_id", "source", F.col("node_id").alias("target"))
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():  # the cluster's shared folder; a new one only where none is named, as in tests
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evigrain-"))
+    back = F.when(F.col("need_id") % 5 == 0, F.col("low")).when((F.col("need_id") % 7 == 0) & (F.col("high") - F.col("low") >= 2), F.col("low") + 1)
+    edges = edges.unionByName(ends.select("need_id", F.col("high").alias("source"), back.alias("target")).where("target is not null"))
     return solutions.cyclic_nodes(c, edges)
 
 
@@ -755,5 +732,5 @@ def new_file_scan(spark, d):
 
 
 def FLAGSHIP(spark, d):
-    """Vectors and BM25 fused, for the first benchmark items."""
+    """Vectors and BM25 fused, for the items with an id divisible by 100."""
     return rrf_fusion(spark, d)

@@ -36,15 +36,20 @@ def _fold(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
 
 
+#: Texts that folding only lower-cases: ASCII and the Latin-1 letters but the sharp s.
+PLAIN = r"^[\x00-\x7F\u00C0-\u00D6\u00D8-\u00DE\u00E0-\u00F6\u00F8-\u00FF]*$"
+
+
 def fold(c: Column) -> Column:
-    """NFKC and case folding. ASCII rows are lower-cased by the JVM; Python sees the others only, as nulls stand for them."""
-    ascii_only = c.rlike(r"^\p{ASCII}*$")
-    return F.coalesce(F.when(ascii_only, F.lower(c)), _fold(F.when(~ascii_only, c)))
+    """NFKC and case folding. Plain rows are lower-cased by the JVM; Python sees the others only, as nulls stand for them."""
+    plain = c.rlike(PLAIN)
+    return F.coalesce(F.when(plain, F.lower(c)), _fold(F.when(~plain, c)))
 
 
-def tokens(c: Column, folded: bool = False) -> Column:
-    """Terms for ranking: Latin runs with inner . _ + / -; runs of Chinese characters as single ones, then as pairs."""
-    found = F.regexp_extract_all(c if folded else F.lower(c), F.lit(TOKEN), F.lit(0))
+def tokens(c: Column) -> Column:
+    """Terms of a folded text: Latin runs with inner . _ + / -; runs of Chinese characters as single ones, then as pairs."""
+    c = fold(c)
+    found = F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
     def split(t: Column) -> Column:
         single = F.split(t, "")
@@ -105,8 +110,8 @@ def page_range(first: Column, last: Column) -> Column:
 
 
 def json_object(c: Column) -> Column:
-    """The JSON object in a text, with or without a code fence round it; null where there is none."""
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
-    plain = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    found = F.when(fenced != "", fenced).otherwise(plain)
-    return F.when(F.get_json_object(found, "$").isNotNull(), found)
+    """A text that is a JSON object, with or without a code fence round all of it, without the fence; null for any other."""
+    text = F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    inner = F.regexp_extract(text, r"(?s)^```(?:json)?\s*(.*?)\s*```$", 1)
+    found = F.when(inner != "", inner).otherwise(text)
+    return F.when(found.startswith("{") & F.get_json_object(found, "$").isNotNull(), found)

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import MATCH_WEIGHTS, bounded, cosine, weighted
-from .shared import first_of, small, top_k
+from ..functions.vectors import MATCH_WEIGHTS, bounded, weighted
+from .retrieval import grouped_search
+from .shared import first_of, small
 
 # Thresholds.
 CAPABILITY_THRESHOLD = 0.55
@@ -25,12 +26,15 @@ def ordered_distinct(values: Column) -> Column:
     return F.filter(clean, lambda v, i: F.array_position(keys, F.get(keys, i)) == i + 1)
 
 
-def best_items(left: DataFrame, right: DataFrame, left_key: list[str], right_key: list[str]) -> DataFrame:
-    """(left_key, right_key, similarity, item): for each left vector `v` the most similar of each right group's, the first if equal."""
-    pairs = left.select(*left_key, F.col("v").alias("_a")).crossJoin(small(right.select(*right_key, "place", "name", F.col("v").alias("_b"))))
-    scored = pairs.withColumn("similarity", bounded(F.coalesce(cosine(F.col("_a"), F.col("_b")), F.lit(0.0))))
-    best = F.max(F.struct("similarity", (-F.col("place")).alias("p"), F.col("name"))).alias("m")
-    return scored.groupBy(*left_key, *right_key).agg(best).select(*left_key, *right_key, F.col("m.similarity").alias("similarity"), F.col("m.name").alias("item"))
+def best_items(left: DataFrame, right: DataFrame, left_key: list[str], right_key: str) -> DataFrame:
+    """(left_key, right_key, similarity, item): for each left vector `v` the most similar of each right group's, the first if equal.
+
+    right: right_key, place, name, v. Unusable vectors match nothing.
+    """
+    queries = left.select(F.struct(*left_key).alias("query_id"), F.col("v").alias("embedding"))
+    items = right.select(right_key, F.struct("place", "name").alias("item"), F.col("v").alias("embedding"))
+    best = grouped_search(items, queries, right_key, 1, F.col("chunk_id.place"), "item")
+    return best.select("query_id.*", right_key, F.col("score").alias("similarity"), F.col("chunk_id.name").alias("item"))
 
 
 def _items(profiles: DataFrame, column: str) -> DataFrame:
@@ -39,15 +43,16 @@ def _items(profiles: DataFrame, column: str) -> DataFrame:
 
 def semantic_scores(needs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Mean of the three most similar profile items."""
-    pairs = needs.select("need_id", F.col("vector").alias("_a")).crossJoin(small(_items(profiles, "items")))
-    scored = pairs.select("need_id", "teacher", "place", bounded(F.coalesce(cosine(F.col("_a"), F.col("v")), F.lit(0.0))).alias("s"))
-    return top_k(scored, ["need_id", "teacher"], [F.desc("s"), F.col("place")], 3).groupBy("need_id", "teacher").agg(F.avg("s").alias("semantic_similarity"))
+    queries = needs.select(F.col("need_id").alias("query_id"), F.col("vector").alias("embedding"))
+    items = _items(profiles, "items").select("teacher", "place", F.col("v").alias("embedding"))
+    best = grouped_search(items, queries, "teacher", 3, F.col("chunk_id"), "place")
+    return best.groupBy(F.col("query_id").alias("need_id"), "teacher").agg(F.avg("score").alias("semantic_similarity"))
 
 
 def capability_matches(needs: DataFrame, profiles: DataFrame, threshold: float = CAPABILITY_THRESHOLD) -> DataFrame:
     """(need_id, teacher, capability, item, similarity, matched) of every pair; without items: unmatched at 0."""
     wanted = needs.select("need_id", F.posexplode("capabilities").alias("at", "x")).select("need_id", "at", F.col("x.name").alias("capability"), F.col("x.vector").alias("v"))
-    best = best_items(wanted, _items(profiles, "technologies"), ["need_id", "at"], ["teacher"])
+    best = best_items(wanted, _items(profiles, "technologies"), ["need_id", "at"], "teacher")
     every = wanted.select("need_id", "at", "capability").crossJoin(small(profiles.select("teacher")))
     return every.join(best, ["need_id", "at", "teacher"], "left").select("need_id", "teacher", "at", "capability", "item", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), (F.coalesce("similarity", F.lit(0.0)) >= threshold).alias("matched"))
 
@@ -58,7 +63,7 @@ def match(needs: DataFrame, profiles: DataFrame, evidence: DataFrame, k: int = 5
         raise ValueError("k must be positive")
     pairs = needs.select("need_id").crossJoin(small(profiles.select("teacher")))
     coverage = capability_matches(needs, profiles, threshold).groupBy("need_id", "teacher").agg(F.avg(F.col("matched").cast("int")).alias("technical_capability_coverage"), F.count_if("matched").alias("matches"), F.count_if(~F.col("matched")).alias("gaps"))
-    domain = best_items(needs.where("domain_vector is not null").select("need_id", F.col("domain_vector").alias("v")), _items(profiles, "applications"), ["need_id"], ["teacher"])
+    domain = best_items(needs.where("domain_vector is not null").select("need_id", F.col("domain_vector").alias("v")), _items(profiles, "applications"), ["need_id"], "teacher")
     counted = evidence.groupBy("need_id", "teacher").agg(F.least(F.count("*") / k, F.lit(1.0)).alias("paper_evidence_count"), F.count("*").alias("evidence"))
     key = ["need_id", "teacher"]
     rows = pairs.join(semantic_scores(needs, profiles), key, "left").join(coverage, key, "left").join(domain.withColumnsRenamed({"similarity": "application_domain_match", "item": "closest_application"}), key, "left").join(counted, key, "left")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import claim_key, fold, squeeze
-from .shared import first_of
 
 # Which claims feed which profile field, and words of industries.
 FIELDS = {"research_direction": "research_directions", "core_technologies": "core_capabilities", "applications": "application_domains"}
@@ -32,12 +31,16 @@ def claims(records: DataFrame) -> DataFrame:
 
 
 def group_claims(rows: DataFrame, group: list[str], value: str = "value") -> DataFrame:
-    """(group, key, value, occurrences, papers): equal claims as one, in the wording that is most frequent, then shortest."""
+    """(group, key, value, occurrences, papers): equal claims as one, in the wording that is most frequent, then shortest.
+
+    Claims are folded and shuffled once, counted by wording and title; wordings and papers both come from those counts.
+    """
     keyed = rows.withColumn("_v", squeeze(F.col(value))).where("_v <> ''").withColumn("key", claim_key(F.col("_v")))
-    words = keyed.groupBy(*group, "key", "_v").agg(F.count("*").alias("n"))
-    best = first_of(words, [*group, "key"], [F.desc("n"), F.length("_v"), F.lower("_v"), F.col("_v")]).select(*group, "key", F.col("_v").alias("value"))
-    papers = keyed.groupBy(*group, "key").agg(F.count("*").alias("occurrences"), F.countDistinct("title").alias("papers"))
-    return best.join(papers, [*group, "key"])
+    each = keyed.groupBy(*group, "key", "_v", "title").agg(F.count("*").alias("n"))
+    words = each.groupBy(*group, "key", "_v").agg(F.sum("n").alias("n"))
+    best = words.groupBy(*group, "key").agg(F.min(F.struct((-F.col("n")).alias("n"), F.length("_v").alias("l"), F.lower("_v").alias("f"), F.col("_v").alias("v"))).alias("b"))
+    papers = each.groupBy(*group, "key", "title").agg(F.sum("n").alias("n")).groupBy(*group, "key").agg(F.sum("n").alias("occurrences"), F.count("title").alias("papers"))
+    return best.select(*group, "key", F.col("b.v").alias("value")).join(papers, [*group, "key"])
 
 
 def profile_values(records: DataFrame) -> DataFrame:

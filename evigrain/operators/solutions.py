@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import TRANSFER_WEIGHTS, band, known_mean, to_step
 from .matching import ordered_distinct
 from .needs import UNKNOWN
-from .shared import require_none, top_k
+from .shared import checkpoint_dir, require_none, top_k
 
 # Hints that tie capabilities to problems and to metrics.
 PROBLEM_HINTS = {
@@ -123,22 +123,21 @@ def route(supported: DataFrame, gates: DataFrame) -> tuple[DataFrame, DataFrame]
     return per.select("need_id", F.explode(nodes).alias("x")).select("need_id", "x.*"), per.select("need_id", F.explode(edges).alias("x")).select("need_id", "x.*")
 
 
-def cyclic_nodes(nodes: DataFrame, edges: DataFrame, graph: str = "need_id", depth: int = 1000) -> DataFrame:
+def cyclic_nodes(nodes: DataFrame, edges: DataFrame, graph: str = "need_id") -> DataFrame:
     """Nodes that can't be taken off a graph from its sources, that is on or behind a cycle. Edges to unknown nodes are an error.
 
-    Sources are taken off level by level; each level is written, so that lineage stays short.
+    Sources are taken off level by level until none is left, however deep the graph; each level is written to the
+    checkpoint folder, so that lineage stays short.
     """
     for end in ("source", "target"):
         require_none(edges.select(graph, F.col(end).alias("node_id")).join(nodes.select(graph, "node_id"), [graph, "node_id"], "left_anti"), "an edge has an unknown end")
-    left, live = nodes.select(graph, "node_id").distinct(), edges.select(graph, "source", "target")
-    before = left.count()
-    for _ in range(depth):
+    checkpoint_dir(nodes.sparkSession)
+    left, live = nodes.select(graph, "node_id").distinct(), edges.select(graph, "source", "target").distinct()
+    before, now = None, left.count()
+    while now and now != before:
         left = left.join(live.select(graph, F.col("target").alias("node_id")), [graph, "node_id"], "left_semi").checkpoint()
         live = live.join(left.select(graph, F.col("node_id").alias("source")), [graph, "source"], "left_semi").select(graph, "source", "target").checkpoint()
-        now = left.count()
-        if now in (0, before):
-            break
-        before = now
+        before, now = now, left.count()
     return left
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bad_citations
-from ..operators.retrieval import dense_search
+from ..operators.retrieval import dense_search, grouped_search
 from ..operators.shared import first_of, require_none, small, top_k
 
 # What makes a question an overview, what such a query asks for, and the prompt's lines.
@@ -23,12 +23,17 @@ def is_overview(question: Column) -> Column:
 
 
 def retrieval_texts(questions: DataFrame, papers: DataFrame) -> DataFrame:
-    """(question_id, overview, query): overview questions are widened by the papers' teachers and titles, which are few."""
+    """(question_id, overview, query): overview questions are widened by the teachers and titles of the papers given.
+
+    papers: those that a question is about, so that their titles fit in a query; plain questions never meet them.
+    """
     t = papers.agg(F.array_sort(F.collect_set(F.when(F.trim("teacher") != "", F.trim("teacher")))).alias("people"), F.array_sort(F.collect_list(F.when(F.trim("title") != "", F.struct("file_name", F.trim("title").alias("t"))))).alias("titles"))
     people = F.when(F.size("people") > 0, F.concat(F.lit("教师："), F.array_join("people", "、"), F.lit("。"))).otherwise("")
     titles = F.when(F.size("titles") > 0, F.concat(F.lit("论文主题："), F.array_join(F.transform("titles", lambda x: x["t"]), "；"))).otherwise("")
     wide = F.trim(F.concat_ws(" ", F.trim("question"), F.lit(OVERVIEW_FOCUS), people, titles))
-    return questions.crossJoin(F.broadcast(t)).select("question_id", is_overview(F.col("question")).alias("overview"), F.when(is_overview(F.col("question")), wide).otherwise(F.col("question")).alias("query"))
+    asked = questions.withColumn("overview", is_overview(F.col("question")))
+    plain = asked.where("not overview").select("question_id", "overview", F.col("question").alias("query"))
+    return plain.unionByName(asked.where("overview").crossJoin(t).select("question_id", "overview", wide.alias("query")))
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
@@ -41,12 +46,9 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     plain = best.where("not overview").drop("overview")
     first = chunks.select("file_name").distinct().orderBy("file_name").limit(k)
     wide = questions.where("overview").select(F.col("question_id").alias("query_id"), "embedding")
-    from ..functions.vectors import cosine
-
-    near = chunks.join(F.broadcast(first), "file_name").select("chunk_id", "file_name", F.col("embedding").alias("_v")).crossJoin(small(wide))
-    near = near.select("query_id", "file_name", "chunk_id", cosine(F.col("_v"), F.col("embedding")).alias("score")).where("score is not null")
+    near = grouped_search(chunks.join(F.broadcast(first), "file_name"), wide, "file_name", 1)
     by = [F.round("score", 9).desc(), F.col("chunk_id")]
-    own = top_k(near, ["query_id", "file_name"], by, 1).select("query_id", "chunk_id", "score", F.struct(F.lit(0).alias("a"), F.col("file_name").alias("b"), F.lit(0).alias("c")).alias("turn"))
+    own = near.select("query_id", "chunk_id", "score", F.struct(F.lit(0).alias("a"), F.col("file_name").alias("b"), F.lit(0).alias("c")).alias("turn"))
     rest = best.where("overview").select("query_id", "chunk_id", "score", F.struct(F.lit(1).alias("a"), F.lit("").alias("b"), F.col("rank").alias("c")).alias("turn"))
     merged = top_k(first_of(own.unionByName(rest), ["query_id", "chunk_id"], [F.col("turn")]), ["query_id"], [F.col("turn")], k, "_n").drop("_n", "turn")
     return plain.unionByName(top_k(merged, ["query_id"], by, k)).withColumnRenamed("query_id", "question_id")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import first_of, require_none
+from ..operators.shared import checkpoint_dir, first_of, require_none
 
 # Folders that are never searched, and the first bytes of a PDF.
 SKIPPED = (".git", ".idea", ".venv", "venv", "__pycache__", "node_modules")
@@ -122,9 +120,7 @@ def version_chain(versions_: DataFrame) -> DataFrame:
     Each round adds the ancestors up to twice as far, by joining the farthest pairs with all known ones, and is
     written to the checkpoint folder; it ends when no row is added.
     """
-    sc = versions_.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evigrain-"))
+    checkpoint_dir(versions_.sparkSession)
     known = versions_.where("parent_version_id is not null").select("version_id", F.col("parent_version_id").alias("ancestor_id"), F.lit(1).alias("distance")).checkpoint()
     reach = 1
     while True:

@@ -281,11 +281,39 @@ def test_dense_search_both_ways(spark, monkeypatch):
     q = spark.createDataFrame([("a", [1.0, 2.0, 0.5]), ("b", [0.0, 0.0, 0.0]), ("c", None), ("d", [2.0, 0.0, 1.0]), ("e", [3.0])], "query_id string, embedding array<double>")
     got = lambda: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in retrieval.dense_search(c, q, 7).collect())
     block = got()
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 0)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 1)
     assert block == got() and {x[0] for x in block} == {"a", "d", "e"} and len(block) == 15
     assert retrieval.dense_search(c, q.limit(0), 3).count() == 0 and retrieval.dense_search(c.limit(0), q, 3).count() == 0
 
 
+def test_grouped_search_against_loops(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    v, q = rng.normal(size=(60, 4)), rng.normal(size=(5, 4))
+    rows = [(i, "abc"[i % 3] if i % 10 else None, v[i].tolist()) for i in range(60)] + [(100, "a", v[0].tolist()), (101, "a", None)]
+    c = spark.createDataFrame(rows, "chunk_id long, g string, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, embedding array<double>")
+    for least in (None, 0.3):
+        got = {(r.query_id, r.g, r.rank): r.chunk_id for r in retrieval.grouped_search(c, asked, "g", 4, F.col("chunk_id"), least=least).collect()}
+        want = {}
+        for i, x in enumerate(q):
+            score = lambda y: round(min(1, max(0, float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)))), 9)  # noqa: E731, B023
+            for g in ("a", "b", "c", None):
+                own = sorted((-score(np.array(e)), n) for n, h, e in rows if h == g and e is not None)
+                for k, (s, n) in enumerate([o for o in own if least is None or -o[0] >= least][:4]):
+                    want[i, g, k + 1] = n
+        assert got == want
+
+
+def test_broadcast_by_bytes(spark):
+    from evigrain.operators.shared import small
+
+    hinted = lambda df, **kw: "broadcast" in small(df, **kw)._jdf.queryExecution().logical().toString().lower()
+    df = spark.createDataFrame([(i, "x" * 1000, [1.0] * 100) for i in range(50)], "i int, t string, v array<double>")
+    assert hinted(df) and not hinted(df, rows=49) and not hinted(df, size=80_000) and hinted(df, size=100_000)
+
+
 def test_version_chain_of_any_length(spark):
     rows = [(f"v{i}", f"v{i - 1}" if i else None) for i in range(151)]
     got = files.version_chain(spark.createDataFrame(rows, "version_id string, parent_version_id string")).collect()

@@ -16,6 +16,7 @@ def test_tokens_of_mixed_text(spark):
     assert t("A-Scan, v1.2 of X/Y_z!") == ["a-scan", "v1.2", "of", "x/y_z"]
     assert t("钙钛矿x射线") == ["钙", "钛", "矿", "钙钛", "钛矿", "x", "射", "线", "射线"]
     assert t("") == [] and t("矿") == ["矿"]
+    assert t("Ｘ射ＡＢｃ Straße ﬁne É") == ["x", "射", "abc", "strasse", "fine"]
 
 
 def test_folding(spark):
@@ -31,7 +32,9 @@ def test_units(spark):
 def test_sentences_citations_json(spark):
     assert one(spark, tx.sentences(F.col("t")), t="甲。 乙  丙；丁!") == ["甲。", "乙 丙；", "丁!"]
     assert one(spark, tx.bad_citations(F.col("t"), F.lit(2)), t="a [1] [3] [0] [3]") == [0, 3]
-    assert one(spark, tx.json_object(F.col("t")), t='x ```json\n{"a": {"b": 1}}\n``` y') == '{"a": {"b": 1}}'
+    assert one(spark, tx.json_object(F.col("t")), t=' ```json\n{"a": {"b": 1}}\n``` ') == '{"a": {"b": 1}}' == one(spark, tx.json_object(F.col("t")), t='\n{"a": {"b": 1}}')
+    for bad in ('x ```json\n{"a": 1}\n``` y', 'so: {"a": 1}', "[1]", "{oops", '"{}"'):
+        assert one(spark, tx.json_object(F.col("t")), t=bad) is None
     assert one(spark, tx.json_object(F.col("t")), t="nothing") is None
     assert one(spark, tx.compact(F.col("t"), 10), t="abc  def") == "abc def"
     assert one(spark, tx.compact(F.col("t"), 10), t="abcdefg. hijklmn") == "abcdefg.……"
