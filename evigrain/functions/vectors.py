@@ -36,6 +36,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n)
 
 
+def strict_cosine(a: Column, b: Column) -> Column:
+    """Cosine for callers who want an error, not null, for empty, zero or unequally long vectors."""
+    return F.coalesce(cosine(a, b), F.raise_error(F.lit("vectors must be of one length and not zero")).cast("double"))
+
+
 def bounded(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 

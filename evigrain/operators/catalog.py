@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
-from .shared import first_of, small
+from .shared import first_of, require_none, small
 
 # The states and tag vocabularies.
 STATUSES = ("discovered", "metadata_pending", "parsing", "parsed", "indexing", "indexed", "failed", "index_failed")
 PARSED = ("parsed", "indexing", "indexed", "index_failed")
 REVIEWS = ("suggested", "confirmed", "rejected")
+SOURCES = ("local", "upload", "sample")
+YEARS = (1800, 2200)
 RECOVERY = {"parsing": "metadata_pending", "indexing": "parsed"}
 TAG_CATEGORIES = ("research_direction", "material", "device", "method", "metric", "application", "teacher", "author", "year", "custom")
 TAG_SOURCES = ("metadata", "filename_rule", "content_rule", "model", "user")
@@ -58,6 +60,82 @@ def search(papers: DataFrame, tags: DataFrame, *, query="", teacher="", title=""
     return rows
 
 
+def choose_papers(papers: DataFrame, keyword: str = "") -> DataFrame:
+    """Papers with a keyword in title, file name or an author, without regard to case; none at all is an error."""
+    if not keyword.strip():
+        return papers
+    inside = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(keyword.lower()))
+    found = papers.where(inside(F.col("title")) | inside(F.col("file_name")) | inside(F.array_join("authors", "\n")))
+    if found.isEmpty():
+        raise ValueError(f"no paper for {keyword}")
+    return found
+
+
+def invalid_papers(papers: DataFrame) -> DataFrame:
+    """Papers that break a rule, with the first rule they break."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    low, high = YEARS
+    rule = (
+        F.when(blank("paper_id") | blank("sha256"), "an id is missing")
+        .when(F.col("paper_id") != F.col("sha256"), "the id is not the digest")
+        .when(blank("file_name") | blank("file_path") | blank("title"), "a name is missing")
+        .when(~F.coalesce(F.col("ingestion_status").isin(*STATUSES), F.lit(False)), "unknown status")
+        .when(~F.coalesce(F.col("source_type").isin(*SOURCES), F.lit(False)), "unknown source")
+        .when(~F.col("year").between(low, high), "year out of range")
+        .when((F.col("page_count") < 0) | (F.col("file_size_bytes") < 0), "a negative size")
+    )
+    return papers.withColumn("rule", rule).where("rule is not null")
+
+
+def invalid_tags(tags: DataFrame) -> DataFrame:
+    """Tags that break a rule, with the first rule they break."""
+    known = lambda c, values: F.coalesce(F.col(c).isin(*values), F.lit(False))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    rule = (
+        F.when(blank("paper_id") | blank("value"), "paper or value is missing")
+        .when(~known("category", TAG_CATEGORIES), "unknown category")
+        .when(~known("source", TAG_SOURCES), "unknown source")
+        .when(~known("review_status", REVIEWS), "unknown review status")
+        .when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence out of range")
+    )
+    return tags.withColumn("rule", rule).where("rule is not null")
+
+
+def parsed_as_papers(parsed: DataFrame, seed: DataFrame, digests: DataFrame, now: Column) -> DataFrame:
+    """Catalog rows for parsed papers (file_name, total_pages, parser_version), to be upserted; a seed's metadata go first.
+
+    seed: sources.files.metadata_seed(); digests: (file_name, paper_id, file_path) of the files. Without a seed the title
+    is the file's stem and the direction unclassified. A parsed paper without its file is an error.
+    """
+    require_none(parsed.select("file_name").join(digests, "file_name", "left_anti"), "a parsed paper's file is unknown")
+    rows = parsed.select("file_name", "total_pages", "parser_version").join(digests, "file_name").join(small(seed), "file_name", "left")
+    text = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), other)
+    return rows.select(
+        "paper_id", F.col("paper_id").alias("sha256"), "file_name", "file_path", text("title", stem(F.col("file_name"))).alias("title"), F.coalesce("authors", F.array().cast("array<string>")).alias("authors"), text("teacher", F.lit("")).alias("teacher"), "year",
+        text("direction", F.lit("unclassified")).alias("direction"), F.nullif("total_pages", F.lit(0)).alias("page_count"), F.lit("local").alias("source_type"), F.lit("parsed").alias("ingestion_status"), text("parser_version", F.lit("legacy")).alias("parser_version"),
+        text("authorization_note", F.lit("")).alias("authorization_note"), now.alias("created_at"), now.alias("updated_at"),
+    )
+
+
+def stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"(.)\.[^.]*$", "$1")
+
+
+def with_metadata(chunks: DataFrame, papers: DataFrame) -> DataFrame:
+    """Chunks with their paper's catalog metadata by file name; a chunk of an unknown file keeps nulls."""
+    own = papers.select("file_name", *[c for c in ("paper_id", "title", "authors", "teacher", "year", "direction") if c in papers.columns and c not in chunks.columns])
+    return chunks.join(small(first_of(own, ["file_name"], [F.col(own.columns[1])])), "file_name", "left")
+
+
+def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Chunks with vectors, replaced by chunk_id; vectors of several lengths, or chunks without one, are an error."""
+    require_none(new.where(F.coalesce(F.size("embedding"), F.lit(0)) < 1).select("chunk_id"), "a chunk has no vector")
+    sizes = [r[0] for r in old.select(F.size("embedding").alias("n")).union(new.select(F.size("embedding"))).distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of several lengths: {sorted(sizes)}")
+    return old.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(first_of(new, ["chunk_id"], [F.xxhash64("embedding")]))
+
+
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> tuple[DataFrame, dict]:
     """A page of rows and {total, page, pages}; numbers beyond the last give the last."""
     if size <= 0:
@@ -121,11 +199,11 @@ def recover(papers: DataFrame) -> DataFrame:
     return papers.withColumn("ingestion_status", out)
 
 
-def candidates(papers: DataFrame, first: str, limit: int, retry_failed: bool = False, teacher: str = "") -> DataFrame:
+def candidates(papers: DataFrame, first: str, limit: int, retry_failed: bool = False, teacher: str = "", failed: str = "failed") -> DataFrame:
     """Papers to work on next: those in the first state, then failed ones if asked, up to limit."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be 1 to 100")
-    turn = F.when(F.col("ingestion_status") == first, 0).when((F.col("ingestion_status") == "failed") & F.lit(retry_failed), 1)
+    turn = F.when(F.col("ingestion_status") == first, 0).when((F.col("ingestion_status") == failed) & F.lit(retry_failed), 1)
     rows = papers.where(F.col("teacher") == teacher) if teacher else papers
     return rows.withColumn("_turn", turn).where("_turn is not null").orderBy("_turn", F.lower("title"), "paper_id").limit(limit).drop("_turn")
 
@@ -141,8 +219,6 @@ def with_tag_ids(tags: DataFrame) -> DataFrame:
 
 def upsert_tags(old: DataFrame, new: DataFrame, papers: DataFrame) -> DataFrame:
     """Tags by id; those of unknown papers are refused, first timestamps stay."""
-    from .shared import require_none
-
     require_none(new.join(papers.select("paper_id"), "paper_id", "left_anti"), "a tag's paper is unknown")
     return upsert(old, with_tag_ids(new), ["tag_id"])
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeeze
+from .retrieval import grouped_search
 from .shared import first_of, top_k
 
 # Marks of unusable text, and the sections of a reading with their types and words.
@@ -23,7 +24,6 @@ LOW_QUALITY = [
     "电子文档的内容和纸质",
     "我要感谢",
     "感谢我的导师",
-    "感谢徐修文",
     "同门伙伴",
     "父母的付出",
 ]
@@ -41,10 +41,13 @@ EQUATION_NUMBER = r"[（(]\s*\d+(?:\.\d+)+\s*[）)]"
 REFERENCES_START = r"学位论文\s+参考文献|参考文献\s*\[\s*1\s*\]"
 
 
-def rejection_reason(text: Column) -> Column:
-    """Why a chunk is no evidence, or null: a marker in it, dotted leaders, or the form of a bibliography."""
+def rejection_reason(text: Column, more=()) -> Column:
+    """Why a chunk is no evidence, or null: a marker in it, dotted leaders, or the form of a bibliography.
+
+    more: a library's own markers, such as the names that its acknowledgements thank; they are configuration.
+    """
     t = squeeze(text)
-    marked = F.coalesce(*[F.when(F.contains(t, F.lit(m)), F.lit(m)) for m in LOW_QUALITY])
+    marked = F.coalesce(*[F.when(F.contains(t, F.lit(m)), F.lit(m)) for m in (*LOW_QUALITY, *more)])
     leaders = F.contains(t, F.lit("......")) | F.contains(t, F.lit("…" * 6))
     cites = F.regexp_count(t, F.lit(r"\[\s*\d+\s*\]"))
     signals = F.regexp_count(t, F.lit(r"\[J\]")) + F.regexp_count(F.lower(t), F.lit(r"et al\."))
@@ -69,6 +72,34 @@ def round_robin(ranked: DataFrame, fields: list[str], group: list[str], per_fiel
     return once.select(*[c for c in once.columns if c not in ("turn", "field", "fields", "rank")], F.transform("fields", lambda x: x["field"]).alias("matched_fields"), F.format_string("S%02d", "place").alias("source_label"))
 
 
+def capability_evidence(chunks: DataFrame, fields: DataFrame, order: list[str], per_field: int = 5, most: int = 20, more=()) -> DataFrame:
+    """Each paper's evidence for an extraction: (file_name, chunk_id, place, matched_fields, source_label).
+
+    fields: (query_id, embedding) of what is looked for, in `order`. Of a paper's nearest chunks for a field those of
+    the main text that nothing speaks against count, and the fields choose in turn.
+    """
+    if per_field <= 0 or most <= 0:
+        raise ValueError("per_field and most must be positive")
+    near = grouped_search(chunks, fields, "file_name", max(5 * per_field, 10)).drop("file_name")
+    texts = chunks.select("chunk_id", "file_name", "text", "page_start").join(main_text_end(chunks), "file_name")
+    good = near.join(texts, "chunk_id").where((F.col("page_start") <= F.col("end_page")) & rejection_reason(F.col("text"), more).isNull())
+    ranked = good.select("file_name", F.col("query_id").alias("field"), "chunk_id", F.row_number().over(Window.partitionBy("file_name", "query_id").orderBy("rank")).alias("rank"))
+    return round_robin(ranked, order, ["file_name"], per_field, most)
+
+
+def source_problems(records: DataFrame, chunks: DataFrame, key: str = "_source_file") -> DataFrame:
+    """(key, chunk_id, problem) of cited sources that no chunk bears out: unknown, of another paper, or beyond its pages.
+
+    records: capability records; chunks: chunk_id, file_name, page_start, page_end.
+    """
+    cited = records.select(key, F.col("paper.file_name").alias("_paper"), F.explode("evidence_map").alias("e")).select(key, "_paper", F.explode("e.sources").alias("s"))
+    cited = cited.select(key, "_paper", "s.chunk_id", F.col("s.page_start").alias("_a"), F.col("s.page_end").alias("_b"))
+    rows = cited.join(chunks.select("chunk_id", "file_name", "page_start", "page_end"), "chunk_id", "left")
+    inside = (F.col("page_start") <= F.col("_a")) & (F.col("_a") <= F.col("_b")) & (F.col("_b") <= F.col("page_end"))
+    problem = F.when(F.col("file_name").isNull(), "unknown chunk").when(F.col("file_name") != F.col("_paper"), "chunk of another paper").when(~F.coalesce(inside, F.lit(False)), "pages outside the chunk")
+    return rows.select(key, "chunk_id", problem.alias("problem")).where("problem is not null").distinct()
+
+
 def usable(chunks: DataFrame) -> DataFrame:
     return chunks.where((F.length(F.regexp_replace("text", r"\s+", "")) >= USABLE_CHARACTERS) & ~F.coalesce("section_type", F.lit("")).isin(*SKIPPED_SECTIONS))
 

@@ -119,9 +119,9 @@ CLAUSE_ENDS = r"[，。；;\n]+"
 
 
 def normalize(text: Column) -> Column:
-    """Spacing only: wording and punctuation stay. An empty request is an error."""
+    """Spacing only: wording and punctuation stay; null is empty."""
     t = F.regexp_replace(F.regexp_replace(F.trim(text), r"[ \t　]+", " "), r"\s*\n\s*", "\n")
-    return F.when(F.coalesce(t, F.lit("")) == "", F.raise_error(F.lit("an empty request"))).otherwise(t)
+    return F.trim(F.coalesce(t, F.lit("")))
 
 
 def clauses(text: Column) -> Column:
@@ -188,9 +188,12 @@ def target_metrics(text: Column) -> Column:
 
 
 def parse(requests: DataFrame, text: str = "request_text") -> DataFrame:
-    """requests with industry, product, lists of values, target_metrics, evidence and unparsed_fragments."""
+    """requests with industry, product, lists of values, target_metrics, evidence, unparsed_fragments and error.
+
+    An empty request has an error and no values; it doesn't hinder the others.
+    """
     t = F.col("original_request")
-    rows = requests.withColumn("original_request", normalize(F.col(text)))
+    rows = requests.withColumn("original_request", normalize(F.col(text))).withColumn("error", F.when(t == "", "an empty request"))
     marked = lambda words: F.array_distinct(F.filter(clauses(t), lambda c: F.size(phrases(c, words)) > 0))
     limits = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(NUMERIC_LIMIT), F.lit(0)), lambda x: F.trim(x)))
     rows = rows.withColumns(

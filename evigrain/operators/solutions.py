@@ -162,6 +162,59 @@ def transfer(profiles: DataFrame, supported: DataFrame, questions: DataFrame) ->
     )
 
 
+def review(recommended: DataFrame, evidence: DataFrame, technologies: DataFrame, sources: DataFrame) -> DataFrame:
+    """(need_id, teacher, status, paper_evidence_count, profile_evidence_checked, issues) of each recommendation.
+
+    evidence: need_id, teacher, evidence_teacher; technologies: need_id, teacher, item; sources: (teacher, item, sources),
+    a row for each paper that says an item, with the number of its places. A technology is traceable when some paper
+    says it and every such paper names a place.
+    """
+    key = ["need_id", "teacher"]
+    shown = evidence.groupBy(*key).agg(F.count("*").alias("shown"), F.count_if(~F.col("evidence_teacher").eqNullSafe(F.col("teacher"))).alias("foreign"))
+    told = sources.groupBy("teacher", "item").agg(F.count_if(F.coalesce("sources", F.lit(0)) < 1).alias("blank"))
+    traced = technologies.join(told, ["teacher", "item"], "left").groupBy(*key).agg(F.count("*").alias("checked"), F.count_if(F.coalesce("blank", F.lit(1)) > 0).alias("untraced"))
+    rows = recommended.select(*key).join(shown, key, "left").join(traced, key, "left").fillna(0, ["shown", "foreign", "checked", "untraced"])
+    found = {"no evidence from papers": F.col("shown") == 0, "evidence of another teacher": F.col("foreign") > 0, "a technology without a source": F.col("untraced") > 0}
+    issues = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in found.items()]))
+    return rows.select(*key, F.when(F.size(issues) == 0, "passed").otherwise("needs_review").alias("status"), F.col("shown").alias("paper_evidence_count"), F.col("checked").alias("profile_evidence_checked"), issues.alias("issues"))
+
+
+def overall(reviews: DataFrame) -> DataFrame:
+    """(need_id, overall_status, checked): passed where all of a need's recommendations pass."""
+    return reviews.groupBy("need_id").agg(F.when(F.every(F.col("status") == "passed"), "passed").otherwise("needs_review").alias("overall_status"), F.count("*").alias("checked"))
+
+
+def known_weight(scores: dict[str, Column]) -> Column:
+    """What the known parts of a transfer weigh together, to two places."""
+    return F.round(sum((F.when(scores[n].isNotNull(), w).otherwise(0.0) for n, w in TRANSFER_WEIGHTS.items()), F.lit(0.0)), 2)
+
+
+#: What a module's evidence must say of itself.
+EVIDENCE_FIELDS = ("chunk_id", "similarity")
+
+
+def invalid_bundles(profiles: DataFrame, supported: DataFrame, edges: DataFrame, nodes: DataFrame, fields=EVIDENCE_FIELDS) -> DataFrame:
+    """(need_id, problem, about) of solutions that can't be traced: what a bundle is checked for before it is handed out.
+
+    profiles: need_id, original_request, evidence_map; supported: need_id, module_id, name, supported, evidence; edges and
+    nodes: a route's. A module's name must be a value of the need with phrases that stand in the request.
+    """
+    twice = supported.groupBy("need_id", "module_id").count().where("count > 1").select("need_id", F.lit("a module occurs twice").alias("problem"), F.col("module_id").alias("about"))
+    rows = supported.select("need_id", "module_id", "name", "supported", "evidence").join(profiles.select("need_id", "original_request", "evidence_map"), "need_id", "left")
+    said = F.flatten(F.transform(F.filter("evidence_map", lambda e: e["value"] == F.col("name")), lambda e: e["phrases"]))
+    lost = F.exists(said, lambda p: ~F.contains(F.lower("original_request"), F.lower(p)))
+    gaps = F.exists(F.coalesce("evidence", F.expr("filter(evidence, x -> false)")), lambda e: F.greatest(*[e[f].isNull() for f in fields]))
+    problem = (
+        F.when(F.coalesce(F.size(said), F.lit(0)) < 1, "a module without a phrase of the request")
+        .when(lost, "a phrase that is not in the request")
+        .when(F.col("supported") & (F.coalesce(F.size("evidence"), F.lit(0)) < 1), "a supported module without evidence")
+        .when(F.coalesce(gaps, F.lit(False)), "evidence that lacks a field")
+    )
+    traced = rows.select("need_id", problem.alias("problem"), F.col("module_id").alias("about")).where("problem is not null")
+    loops = cyclic_nodes(nodes, edges).select("need_id", F.lit("a route with a cycle").alias("problem"), F.col("node_id").alias("about"))
+    return twice.unionByName(traced).unionByName(loops)
+
+
 def landing_plan(nodes: DataFrame, decisions: DataFrame) -> DataFrame:
     """(need_id, milestone_id, node_id, name, blocked_by): a milestone a node; the first names a decision that isn't to proceed."""
     number = F.substring("node_id", 2, 9).cast("int")
@@ -170,12 +223,17 @@ def landing_plan(nodes: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.select("need_id", F.format_string("L%02d", number).alias("milestone_id"), "node_id", "name", stop.alias("blocked_by"))
 
 
-def drawio(nodes: DataFrame, edges: DataFrame, need: str) -> str:
-    """Diagram XML of one need's route; a route has as many nodes as the need has modules, and some more."""
+def diagram(name: str, nodes: list[tuple[str, str]], edges: list[tuple[str, str]], columns: int = 4) -> str:
+    """Diagram XML of (id, label) nodes in rows of `columns`, and (source, target) edges."""
     from xml.sax.saxutils import quoteattr
 
+    cells = [f'<mxCell id={quoteattr(n)} value={quoteattr(label)} vertex="1" parent="1"><mxGeometry x="{40 + 220 * (i % columns)}" y="{40 + 120 * (i // columns)}" width="180" height="70" as="geometry"/></mxCell>' for i, (n, label) in enumerate(nodes)]
+    cells += [f'<mxCell id="E{i}" edge="1" parent="1" source={quoteattr(a)} target={quoteattr(b)}><mxGeometry relative="1" as="geometry"/></mxCell>' for i, (a, b) in enumerate(edges)]
+    return f'<mxfile><diagram name={quoteattr(name)}><mxGraphModel><root><mxCell id="0"/><mxCell id="1" parent="0"/>{"".join(cells)}</root></mxGraphModel></diagram></mxfile>'
+
+
+def drawio(nodes: DataFrame, edges: DataFrame, need: str) -> str:
+    """Diagram of one need's route; a route has as many nodes as the need has modules, and some more."""
     found = nodes.where(F.col("need_id") == need).orderBy("node_id").collect()
-    cells = [f'<mxCell id={quoteattr(r.node_id)} value={quoteattr(f"{r.node_id} {r.name}")} vertex="1" parent="1"><mxGeometry x="{40 + 220 * (i % 4)}" y="{40 + 120 * (i // 4)}" width="180" height="70" as="geometry"/></mxCell>' for i, r in enumerate(found)]
-    for i, e in enumerate(edges.where(F.col("need_id") == need).orderBy("source", "target").collect()):
-        cells.append(f'<mxCell id="E{i}" edge="1" parent="1" source={quoteattr(e.source)} target={quoteattr(e.target)}><mxGeometry relative="1" as="geometry"/></mxCell>')
-    return '<mxfile><diagram name="route"><mxGraphModel><root><mxCell id="0"/><mxCell id="1" parent="0"/>' + "".join(cells) + "</root></mxGraphModel></diagram></mxfile>"
+    links = edges.where(F.col("need_id") == need).orderBy("source", "target").collect()
+    return diagram("route", [(r.node_id, f"{r.node_id} {r.name}") for r in found], [(e.source, e.target) for e in links])

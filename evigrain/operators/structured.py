@@ -60,6 +60,81 @@ def valid_claims(claims: Column, labels: Column, most: int = MOST_CLAIMS) -> Col
     return F.when(bad, F.raise_error(F.lit("a claim without a known label"))).otherwise(cut)
 
 
+CLAIM = "struct<text string, source_labels array<string>>"
+CLAIMS = "array<struct<claim string, source_labels array<string>>>"
+READING = (
+    f"executive_summary {CLAIM}, research_problem {CLAIM}, innovations {CLAIMS}, key_findings {CLAIMS}, transfer_assets {CLAIMS}, limitations {CLAIMS}, "
+    "method_steps array<struct<name string, description string, source_labels array<string>>>, figure_interpretations array<struct<asset_id string, observation string, meaning string, source_labels array<string>>>, "
+    "formula_interpretations array<struct<source_id string, formula string, meaning string, conditions string, source_labels array<string>>>, uncertainties array<string>"
+)
+MOST_STEPS = 10
+CLAIM_LISTS = ("innovations", "key_findings", "transfer_assets", "limitations")
+
+
+def parse_readings(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """rows (answer, evidence_labels, figure_labels, formula_labels) with `reading` and `problem`, null for valid ones.
+
+    Texts are squeezed, repeated labels and empty entries dropped, lists cut at what a reading may have. Whatever is said
+    needs labels, all known; a figure's or formula's reading must cite that figure or formula.
+    """
+    rows = rows.withColumn("_r", F.from_json(json_object(F.col(answer)), READING)).withColumn("_known", F.array_distinct(F.concat("evidence_labels", "figure_labels", "formula_labels")))
+    labels = lambda x: F.coalesce(F.array_distinct(F.transform(x["source_labels"], lambda v: F.trim(v))), F.array().cast("array<string>"))
+    text = lambda c: squeeze(F.coalesce(c, F.lit("")))
+
+    def clean(name: str, most: Column | int, *fields: str) -> Column:
+        kept = F.transform(F.slice(F.coalesce(f"_r.{name}", F.from_json(F.lit("[]"), rows.schema["_r"].dataType[name].dataType)), F.lit(1), F.lit(most) if isinstance(most, int) else most), lambda x: F.struct(*[text(x[f]).alias(f) for f in fields], labels(x).alias("source_labels")))
+        return F.filter(kept, lambda x: F.concat(*[x[f] for f in fields]) != "")
+
+    single = lambda name: F.struct(text(F.col(f"_r.{name}.text")).alias("text"), F.coalesce(F.array_distinct(f"_r.{name}.source_labels"), F.array().cast("array<string>")).alias("source_labels"))
+    parts = {n: single(n) for n in ("executive_summary", "research_problem")}
+    parts |= {n: clean(n, MOST_CLAIMS, "claim") for n in CLAIM_LISTS}
+    parts["method_steps"] = clean("method_steps", MOST_STEPS, "name", "description")
+    parts["figure_interpretations"] = clean("figure_interpretations", F.size("figure_labels"), "asset_id", "observation", "meaning")
+    parts["formula_interpretations"] = clean("formula_interpretations", F.size("formula_labels"), "source_id", "formula", "meaning", "conditions")
+    said = F.filter(F.transform(F.slice(F.coalesce("_r.uncertainties", F.array().cast("array<string>")), 1, MOST_STEPS), squeeze), lambda v: v != "")
+    rows = rows.withColumn("reading", F.when(F.col("_r").isNotNull(), F.struct(*[c.alias(n) for n, c in parts.items()], said.alias("uncertainties"))))
+    lists = (*CLAIM_LISTS, "method_steps", "figure_interpretations", "formula_interpretations")
+    every = F.concat(F.array(*[F.struct(F.col(f"reading.{n}.text").alias("t"), F.col(f"reading.{n}.source_labels").alias("l")) for n in ("executive_summary", "research_problem")]), *[F.transform(f"reading.{n}", lambda x: F.struct(F.lit("x").alias("t"), x["source_labels"].alias("l"))) for n in lists])
+    foreign = lambda name, own, known: F.exists(f"reading.{name}", lambda x: ~F.array_contains(F.col(known), x[own]))
+    silent = lambda name, own: F.exists(f"reading.{name}", lambda x: ~F.array_contains(x["source_labels"], x[own]))
+    problem = (
+        F.when(F.col("reading").isNull(), "no JSON object")
+        .when(F.exists(every, lambda e: F.size(F.array_except(e["l"], F.col("_known"))) > 0), "an unknown label")
+        .when(F.exists(every, lambda e: (e["t"] != "") & (F.size(e["l"]) < 1)), "a claim without labels")
+        .when(foreign("figure_interpretations", "asset_id", "figure_labels"), "an unknown figure")
+        .when(foreign("formula_interpretations", "source_id", "formula_labels"), "an unknown formula")
+        .when(silent("figure_interpretations", "asset_id") | silent("formula_interpretations", "source_id"), "a reading that doesn't cite its object")
+    )
+    return rows.withColumn("problem", problem).drop("_r", "_known")
+
+
+def deep_reports(readings: DataFrame) -> DataFrame:
+    """(paper_id, report): valid readings (paper_id, title, reading) as Markdown, each claim with its labels."""
+    cite = lambda x: F.concat(F.lit(" ["), F.array_join(x["source_labels"], ", "), F.lit("]"))
+    whole = lambda n: F.when(F.col(f"reading.{n}.text") != "", F.concat(f"reading.{n}.text", cite(F.col(f"reading.{n}"))))
+    many = lambda n, show: F.array_join(F.transform(f"reading.{n}", lambda x: F.concat(F.lit("- "), show(x), cite(x))), "\n")
+    steps = lambda x: F.concat_ws(": ", F.nullif(x["name"], F.lit("")), F.nullif(x["description"], F.lit("")))
+    parts = {"executive_summary": whole("executive_summary"), "research_problem": whole("research_problem"), "method_steps": many("method_steps", steps)} | {n: many(n, lambda x: x["claim"]) for n in CLAIM_LISTS}
+    parts |= {"figure_interpretations": many("figure_interpretations", lambda x: F.concat_ws(" ", x["asset_id"], x["observation"], x["meaning"])), "formula_interpretations": many("formula_interpretations", lambda x: F.concat_ws(" ", x["source_id"], x["formula"], x["meaning"], x["conditions"]))}
+    parts["uncertainties"] = F.array_join(F.transform("reading.uncertainties", lambda v: F.concat(F.lit("- "), v)), "\n")
+    body = [F.concat(F.lit(f"## {n.replace('_', ' ')}\n\n"), F.coalesce(F.nullif(c, F.lit("")), F.lit("待核对"))) for n, c in parts.items()]
+    return readings.where("problem is null").select("paper_id", F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), *body).alias("report"))
+
+
+def reading_route(readings: DataFrame) -> DataFrame:
+    """(paper_id, place, node_id, kind, label, sources) of valid readings: problem, method steps, three findings, three assets.
+
+    Each node leads to the next; solutions.diagram() draws one paper's.
+    """
+    node = lambda kind, letter: lambda x, i: F.struct(F.format_string(f"{letter}%02d", i + 1).alias("node_id"), F.lit(kind).alias("kind"), x["t"].alias("label"), F.array_join(x["source_labels"], "、").alias("sources"))
+    as_text = lambda n, f: F.transform(f"reading.{n}", lambda x: F.struct(f(x).alias("t"), x["source_labels"].alias("source_labels")))
+    problem = F.array(F.struct(F.col("reading.research_problem.text").alias("t"), F.col("reading.research_problem.source_labels").alias("source_labels")))
+    steps = as_text("method_steps", lambda x: F.concat_ws("：", F.nullif(x["name"], F.lit("")), F.nullif(x["description"], F.lit(""))))
+    three = lambda n: F.slice(as_text(n, lambda x: x["claim"]), 1, 3)
+    nodes = F.concat(F.transform(problem, node("goal", "P")), F.transform(steps, node("method", "M")), F.transform(three("key_findings"), node("finding", "R")), F.transform(three("transfer_assets"), node("transfer", "T")))
+    return readings.where("problem is null").select("paper_id", F.posexplode(nodes).alias("place", "n")).select("paper_id", (F.col("place") + 1).alias("place"), "n.*")
+
+
 def metric_text(m: Column) -> Column:
     parts = F.transform(F.array(m["name"], m["operator"], m["value_text"], m["unit"], m["test_condition"]), lambda x: F.trim(x))
     return F.array_join(F.filter(parts, lambda x: x != ""), " ")

@@ -17,10 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions.text import tokens
+from ..functions.text import LATIN_TOKEN, tokens
 from ..operators import matching, needs, solutions
 from ..operators.retrieval import paper_evidence
+from ..operators.shared import require_none
 
+# Fixed value: what a Chinese retrieval model wants before a query.
+QUERY_INSTRUCTION = "为这个句子生成表示以用于检索相关文章："
 DIMENSIONS = 64
 
 
@@ -83,7 +86,26 @@ class State:
     trace: list[dict] = field(default_factory=list)
 
 
-def run(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, embed: Embed = hashed_vectors, k: int = 5) -> State:
+def checked(embed: Embed, longest: int | None = None, instruction: str = "") -> Embed:
+    """An embedder that refuses empty texts and those of more than `longest` Latin words and Chinese characters, and puts an instruction before each.
+
+    Queries take QUERY_INSTRUCTION, documents none. Null texts stay without a vector.
+    """
+
+    def run_(rows: DataFrame, text: str, out: str) -> DataFrame:
+        t = F.col(text)
+        bad = F.when(F.trim(t) == "", "a text to embed is empty")
+        if longest is not None:
+            terms = F.regexp_count(F.lower(t), F.lit(LATIN_TOKEN)) + F.regexp_count(t, F.lit("[㐀-鿿]"))
+            bad = bad.when(terms > longest, F.concat(F.lit(f"a text to embed has more than {longest} terms: "), F.substring(t, 1, 40)))
+        asked = F.when(bad.isNotNull(), F.raise_error(bad)).otherwise(F.concat(F.lit(instruction), t))
+        own = [c for c in rows.columns if c != out]
+        return embed(rows.withColumn("_asked", asked), "_asked", out).select(*own, out)
+
+    return run_
+
+
+def run(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, embed: Embed = hashed_vectors, k: int = 5, sources: DataFrame | None = None) -> State:
     """requests: need_id, request_text, confirmed; profiles: operators.profiles.profiles(); chunks: chunk_id, text, teacher, embedding, page_start, page_end.
 
     The tables of the state are lazy and kept once computed (unpersist() frees them); a step that fails ends the run,
@@ -91,9 +113,12 @@ def run(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, embed: Embe
     """
     state = State()
     t = state.tables
+    if sources is None:  # what profiles hold was said with sources, or operators.profiles had refused it
+        sources = profiles.select("teacher", F.explode(matching.ordered_distinct(F.concat("core_capabilities", "research_directions"))).alias("item"), F.lit(1).alias("sources"))
 
     def requirement():
         t["profiles"] = needs.parse(requests)
+        require_none(t["profiles"].where("error is not null").select("need_id", "error"), "a request can't be read")
 
     def clarification():
         t["questions"] = solutions.clarification(t["profiles"])
@@ -126,6 +151,10 @@ def run(requests: DataFrame, profiles: DataFrame, chunks: DataFrame, embed: Embe
 
     def review():
         t["transfer"] = solutions.transfer(t["profiles"], t["support"], t["questions"])
+        chosen = matching.recommended(t["matches"]).select("need_id", "teacher")
+        technologies = matching.capability_matches(t["needs"], t["people"]).where("matched").select("need_id", "teacher", "item")
+        t["review"] = solutions.review(chosen, t["evidence"].withColumn("evidence_teacher", F.col("teacher")), technologies, sources)
+        require_none(solutions.invalid_bundles(t["profiles"], t["support"], t["edges"], t["nodes"]), "a solution can't be traced")
 
     def report():
         t["landing_plan"] = solutions.landing_plan(t["nodes"], t["transfer"])

@@ -61,13 +61,18 @@ def accept_uploads(files: DataFrame, known: DataFrame) -> DataFrame:
 def parsed_papers(spark: SparkSession, path: str) -> DataFrame:
     """Parsed papers from JSON or gzipped JSON, one a file; a file of another shape is an error."""
     rows = spark.read.schema(PARSED).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return rows.withColumn("toc", F.filter("toc", lambda e: (e["page"] >= 1) & (F.trim(e["title"]) != "")))
+    kept = F.filter("toc", lambda e: (e["page"] >= 1) & (F.trim(e["title"]) != ""))
+    return rows.withColumn("toc", F.transform(kept, lambda e: F.struct(F.greatest(F.lit(1), F.coalesce(e["level"], F.lit(1))).alias("level"), e["title"].alias("title"), e["page"].alias("page"))))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects of a JSON-lines file; blank lines are skipped, a broken line is an error that shows it."""
-    rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-    require_none(rows.where("_bad is not null").select("_bad"), "a line is no JSON object")
+    """Objects of a JSON-lines file; blank lines are skipped, a line that is no object is an error with its number."""
+    rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    if rows.where(F.col("_bad").isNotNull() & F.struct("*").isNotNull()).limit(1).collect():
+        # numbers need whole files; only a broken one is read so
+        lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+        lines = lines.where("trim(text) <> ''").select("file", (F.col("line") + 1).alias("line"), F.substring("text", 1, 200).alias("text"), F.from_json("text", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})["_bad"].alias("bad"))
+        require_none(lines.where("bad is not null").orderBy("file", "line").select("file", "line", "text"), "a line is no JSON object")
     return rows.drop("_bad")
 
 
@@ -89,14 +94,41 @@ def capability_records(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, which may be a pattern, names something."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
+
+
 def metric_records(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """The metrics of all extraction files as rows; record: the schema of one."""
+    """The metrics of all extraction files as rows; record: the schema of one. No such folder: no rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], record)
     rows = spark.read.schema(f"schema_version string, metrics array<struct<{record}>>").option("multiLine", True).option("mode", "FAILFAST").json(path)
     out = rows.select(F.explode("metrics").alias("m")).select("m.*")
     require_none(out.groupBy("metric_id").count().where("count > 1 or metric_id is null"), "a metric id occurs twice or is missing")
     return out
 
 
+SEED = "papers array<struct<file_name string, title string, authors array<string>, teacher string, year int, direction string, authorization_note string>>"
+
+
+def metadata_seed(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, title, authors, teacher, year, direction, authorization_note) of a seed file; no such file: no rows.
+
+    File names are bare and occur once; authors are texts, of which blank ones go.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], SEED.removeprefix("papers array<struct<").removesuffix(">>"))
+    rows = spark.read.schema(SEED).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    require_none(rows.where("papers is null"), "a seed file without papers")
+    rows = rows.select(F.explode("papers").alias("p")).select("p.*").withColumn("file_name", F.trim("file_name"))
+    require_none(rows.where(F.coalesce(F.col("file_name"), F.lit("")).rlike(r"^$|[/\\]")), "a seed's file name is missing or a path")
+    require_none(rows.groupBy("file_name").count().where("count > 1"), "a seed's file name occurs twice")
+    authors = F.filter(F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda a: F.trim(a)), lambda a: a != "")
+    return rows.withColumn("authors", authors)
+
+
 def versions(spark: SparkSession, path: str, need_id: str | None = None) -> DataFrame:
     """Saved versions, newest first; a profile that doesn't fit its digest is an error."""
     rows = spark.read.schema(VERSION).json(path)
@@ -138,6 +170,9 @@ def write_partitioned(rows: DataFrame, path: str, key: str, compression: str = "
     rows.write.mode("overwrite").partitionBy(key).option("compression", compression).json(path)
 
 
-def install(rows: DataFrame, path: str) -> None:
-    """Write once: a folder that exists is an error."""
-    rows.write.mode("errorifexists").parquet(path)
+def install(tables: dict[str, DataFrame]) -> None:
+    """Write tables by path, once: none is written when one of the paths exists."""
+    if taken := [p for p in tables if exists(next(iter(tables.values())).sparkSession, p)]:
+        raise ValueError(f"there is something at {taken}")
+    for path, rows in tables.items():
+        rows.write.mode("errorifexists").parquet(path)
