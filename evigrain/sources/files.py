@@ -70,7 +70,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     if rows.where(F.col("_bad").isNotNull() & F.struct("*").isNotNull()).limit(1).collect():
         # numbers need whole files; only a broken one is read so
-        lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+        lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
         lines = lines.where("trim(text) <> ''").select("file", (F.col("line") + 1).alias("line"), F.substring("text", 1, 200).alias("text"), F.from_json("text", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})["_bad"].alias("bad"))
         require_none(lines.where("bad is not null").orderBy("file", "line").select("file", "line", "text"), "a line is no JSON object")
     return rows.drop("_bad")
