@@ -121,7 +121,7 @@ CLAUSE_ENDS = r"[，。；;\n]+"
 def normalize(text: Column) -> Column:
     """Spacing only: wording and punctuation stay; null is empty."""
     t = F.regexp_replace(F.regexp_replace(F.trim(text), r"[ \t　]+", " "), r"\s*\n\s*", "\n")
-    return F.trim(F.coalesce(t, F.lit("")))
+    return F.regexp_replace(F.coalesce(t, F.lit("")), r"^\s+|\s+$", "")
 
 
 def clauses(text: Column) -> Column:

@@ -46,9 +46,14 @@ def parse_extractions(rows: DataFrame, answer: str = "answer", labels: str = "la
     return rows.withColumn("problem", problem)
 
 
+def _valid(rows: DataFrame) -> DataFrame:
+    """The rows without a problem. Generated, the problem is computed once instead of again below every filter and field."""
+    return rows.select(*[c for c in rows.columns if c != "problem"], F.explode_outer(F.array("problem")).alias("problem")).where("problem is null").drop("problem")
+
+
 def resolve_sources(records: DataFrame, evidence: DataFrame, key: str = "paper_id") -> DataFrame:
     """(key, field, claim, sources): labels of valid records as chunks and pages. evidence: key, source_label, chunk_id, page_start, page_end."""
-    each = records.where("problem is null").select(key, F.explode("record.evidence_map").alias("e")).select(key, "e.field", "e.claim", F.explode("e.source_labels").alias("source_label"))
+    each = _valid(records).select(key, F.explode("record.evidence_map").alias("e")).select(key, "e.field", "e.claim", F.explode("e.source_labels").alias("source_label"))
     source = F.struct("source_label", "chunk_id", "page_start", "page_end")
     return each.join(evidence, [key, "source_label"]).groupBy(key, "field", "claim").agg(F.array_sort(F.collect_list(source)).alias("sources"))
 
@@ -118,7 +123,7 @@ def deep_reports(readings: DataFrame) -> DataFrame:
     parts |= {"figure_interpretations": many("figure_interpretations", lambda x: F.concat_ws(" ", x["asset_id"], x["observation"], x["meaning"])), "formula_interpretations": many("formula_interpretations", lambda x: F.concat_ws(" ", x["source_id"], x["formula"], x["meaning"], x["conditions"]))}
     parts["uncertainties"] = F.array_join(F.transform("reading.uncertainties", lambda v: F.concat(F.lit("- "), v)), "\n")
     body = [F.concat(F.lit(f"## {n.replace('_', ' ')}\n\n"), F.coalesce(F.nullif(c, F.lit("")), F.lit("待核对"))) for n, c in parts.items()]
-    return readings.where("problem is null").select("paper_id", F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), *body).alias("report"))
+    return _valid(readings).select("paper_id", F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), *body).alias("report"))
 
 
 def reading_route(readings: DataFrame) -> DataFrame:
@@ -132,7 +137,7 @@ def reading_route(readings: DataFrame) -> DataFrame:
     steps = as_text("method_steps", lambda x: F.concat_ws("：", F.nullif(x["name"], F.lit("")), F.nullif(x["description"], F.lit(""))))
     three = lambda n: F.slice(as_text(n, lambda x: x["claim"]), 1, 3)
     nodes = F.concat(F.transform(problem, node("goal", "P")), F.transform(steps, node("method", "M")), F.transform(three("key_findings"), node("finding", "R")), F.transform(three("transfer_assets"), node("transfer", "T")))
-    return readings.where("problem is null").select("paper_id", F.posexplode(nodes).alias("place", "n")).select("paper_id", (F.col("place") + 1).alias("place"), "n.*")
+    return _valid(readings).select("paper_id", F.posexplode(nodes).alias("place", "n")).select("paper_id", (F.col("place") + 1).alias("place"), "n.*")
 
 
 def metric_text(m: Column) -> Column:

@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from evigrain.catalog_of_queries import ORACLES, QUERIES
+from evigrain import catalog_of_queries, queries_of_records  # noqa: F401 - register the queries
+from evigrain.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="session")
