@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from .common import mix, read_table, slices, tidy, utf8_view
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Remembered pre-tokens of a worker; beyond, the memory starts anew. Results don't depend on it.
-MEMORY = 250_000
+#: Remembered pre-tokens of a worker, as their ids' bytes; beyond, the memory starts anew. Results don't depend on it.
+MEMORY = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -148,7 +149,7 @@ class Coder:
         self.tokens = list(ranks)
         self.ids = np.array([ranks[t] for t in self.tokens], np.uint32)
         self.whole = PerfectHash(self.tokens)
-        self.memory: dict[str, np.ndarray] = {}
+        self.memory: dict[str, bytes] = {}
         top = int(self.ids.max()) + 1 if len(self.ids) else 0
         by_id = [b""] * top
         for t, i in ranks.items():
@@ -168,21 +169,20 @@ class Coder:
         missed = np.flatnonzero(at < 0)
         if len(self.memory) > MEMORY:
             self.memory = {}
-        memory, ranks, long = self.memory, self.ranks, {}
-        for k, w in zip(missed.tolist(), words.take(pa.array(missed)).to_pylist()):
+        memory, ranks, merged = self.memory, self.ranks, []
+        for w in words.take(pa.array(missed)).to_pylist():
             ids = memory.get(w)
             if ids is None:
-                ids = np.array(merge_bytes(w.encode(), ranks), np.uint32)
+                ids = array("I", merge_bytes(w.encode(), ranks)).tobytes()
                 if len(w) < 64:
                     memory[w] = ids
-            long[k] = ids
-            sizes[k] = len(ids)
+            merged.append(ids)
+        sizes[missed] = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
         starts = np.concatenate([[0], np.cumsum(sizes)])
         pool = np.zeros(starts[-1], np.uint32)
         hit = np.flatnonzero(at >= 0)
         pool[starts[hit]] = self.ids[at[hit]]
-        if long:
-            pool[np.concatenate([np.arange(starts[k], starts[k + 1]) for k in long])] = np.concatenate(list(long.values()))
+        pool[spread(starts[missed], sizes[missed])] = np.frombuffer(b"".join(merged), np.uint32)
         return gather(pool, starts[:-1], sizes, codes, counts)
 
     def decode(self, ids: np.ndarray) -> bytes:
