@@ -125,3 +125,23 @@ def near_components(vectors: DataFrame, threshold: float = THRESHOLD, block: int
 def op7_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     """All rows of embeddings by cosine within their labels; see near_components() for unusable vectors."""
     return near_components(read_table(spark, sf_dir, "embeddings"))
+
+
+#: Every pair of a label is compared, so this is for small tables; ids are unlike and not null.
+ORACLE_SQL = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (
+  SELECT a.id AS a, b.id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.id <> b.id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+  SELECT vec_id AS id, vec_id AS other FROM embeddings
+  UNION
+  SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other
+), low AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+counts AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN low ON low.id = vec_id LEFT JOIN counts ON counts.id = vec_id
+"""

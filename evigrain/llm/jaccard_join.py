@@ -309,3 +309,32 @@ def near_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """All documents by the Jaccard similarity of their word shingles; see near_components() for edge cases."""
     return near_components(read_table(spark, sf_dir, "documents"))
+
+
+#: Every pair that shares a shingle is counted, so this is for small tables; ids are unlike and not null.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), runs AS (
+  SELECT r, unnest(list_zip(w, w[2:], w[3:], w[4:], w[5:], true)) AS z FROM words WHERE len(w) >= 5
+), shingles AS (
+  SELECT DISTINCT r, concat_ws(' ', z[1], z[2], z[3], z[4], z[5]) AS g FROM runs
+  UNION ALL
+  SELECT r, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4
+), sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.g = y.g AND x.r <> y.r GROUP BY ALL
+), links AS (
+  SELECT DISTINCT p.doc_id AS a, q.doc_id AS b FROM shared
+  JOIN sizes x ON x.r = shared.a JOIN sizes y ON y.r = shared.b JOIN words p ON p.r = shared.a JOIN words q ON q.r = shared.b
+  WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)
+), reach AS (
+  SELECT doc_id AS id, doc_id AS other FROM documents
+  UNION
+  SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other
+), low AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM words JOIN low ON low.id = doc_id LEFT JOIN sizes ON sizes.r = words.r
+"""

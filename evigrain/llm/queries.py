@@ -19,4 +19,6 @@ QUERIES = {
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
+    "op7_embedding_near_dedup": embedding_dedup.ORACLE_SQL,
+    "op9_jaccard_join": jaccard_join.ORACLE_SQL,
 }

@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 
 from evigrain.llm import embedding_dedup as e
@@ -45,6 +46,10 @@ def test_against_brute_force(spark):
     for block in (2048, 7):
         got = sorted((r.vec_id, r.n_links, r.component_id) for r in e.near_components(df, block=block).collect())
         assert got == brute(rows)
+    con = duckdb.connect()
+    con.sql("create table embeddings (vec_id bigint, embedding float[], label int)")
+    con.executemany("insert into embeddings values (?, ?, ?)", [list(r) for r in rows])
+    assert sorted(con.sql(f"select vec_id, n_links, component_id from ({e.ORACLE_SQL})").fetchall()) == brute(rows)
     assert e.near_components(df.limit(0)).count() == 0
 
 

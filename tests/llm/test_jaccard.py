@@ -1,5 +1,6 @@
 import re
 
+import duckdb
 import numpy as np
 
 from evigrain.llm import jaccard_join as j
@@ -80,6 +81,10 @@ def test_against_brute_force(spark):
     for region in (j.REGION, 900):
         got = sorted(tuple(r) for r in j.near_components(df, region=region).collect())
         assert got == want
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [list(r) for r in rows])
+    assert sorted(con.sql(f"select doc_id, n_shingles, component_id from ({j.ORACLE_SQL})").fetchall()) == want
     assert j.near_components(df.limit(0)).count() == 0
 
 
