@@ -3,6 +3,8 @@
 A line's tokens are its words between white space; those with a digit are variable and read <*>. The tree's levels are
 the number of tokens and the first DEPTH tokens; a leaf's lines are compared with its templates, most frequent first,
 join the most similar one with SIMILAR of their tokens equal, or found a new one, and places that differ become <*>.
+A leaf of any size is parsed in rounds: its LINES most frequent lines (fewer of long ones, TOKENS together) found
+templates in one task; then all its other lines, dealt over tasks, join these as they are; those left do so again.
 
 A template recurs when at least DOCUMENTS unlike documents hold it, however many copies there are of any of them. Two
 of its documents are alike when all their other lines begin alike (DEPTH first tokens) or all end alike (DEPTH last
@@ -15,17 +17,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, attach_by_key, connected_components, id_filter, materialize, partitions, read_table, runs_of, slices, split_by_filter, tidy, utf8_view
+from .common import FILTER_BITS, attach_by_key, connected_components, discard, id_filter, materialize, partitions, read_table, runs_of, slices, split_by_filter, tidy, utf8_view
 
 DEPTH = 3
 SIMILAR = 0.7
 DOCUMENTS = 5
+#: What of a leaf founds templates in one round, and what a task holds of it: lines, and tokens (but one line at least).
+LINES, TOKENS = 8192, 1 << 20
+#: A leaf's key holds the number of tokens (as many as these bits can say) above HASH_BITS bits of a hash.
+HASH_BITS, WIDTH_BITS = 44, 19
 #: Recurring lines up to which their keys (8 bytes each) go to every task; beyond, each document's are joined to it.
 RECURRING = 1_000_000
 _DIGIT = re.compile("[0-9]")
@@ -43,7 +50,16 @@ def parse(line: str) -> tuple[int, int, list[str]] | None:
         return None
     if _DIGIT.search(line):
         tokens = ["<*>" if _DIGIT.search(t) else t for t in tokens]
-    return _hash(f"{len(tokens)} {' '.join(tokens[:DEPTH])}"), _hash(" ".join(tokens)), tokens
+    width = min(len(tokens), (1 << WIDTH_BITS) - 1)
+    leaf = width << HASH_BITS | _hash(f"{len(tokens)} {' '.join(tokens[:DEPTH])}") & ((1 << HASH_BITS) - 1)
+    return leaf, _hash(" ".join(tokens)), tokens
+
+
+def at_once(lines: int = LINES, tokens: int = TOKENS) -> Column:
+    """Lines of a leaf that found templates in one round; one of lines too long for the leaf's key to tell their length."""
+    width = F.shiftright("leaf", HASH_BITS)
+    fit = F.greatest(F.lit(1), F.least(F.lit(lines), F.floor(F.lit(tokens) / width)))
+    return F.when(width < (1 << WIDTH_BITS) - 1, fit).otherwise(1).cast("int")
 
 
 def ends(tokens: list[str]) -> tuple[int, int]:
@@ -57,25 +73,112 @@ def company(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [((heads - h + _HALF) % (2 * _HALF) - _HALF, (tails - t + _HALF) % (2 * _HALF) - _HALF) for h, t in found]
 
 
+class Leaf:
+    """A leaf's templates, of lines of one length: places that differ are <*>."""
+
+    def __init__(self, width: int):
+        self.words: dict[str, int] = {"<*>": 0}
+        self.templates, self.size = np.zeros((4, width), np.int64), 0
+
+    def nearest(self, tokens: list[str]) -> tuple[int | None, np.ndarray]:
+        """The first of the templates most similar to a line, None where none is similar enough; the line's codes."""
+        row = np.array([self.words.setdefault(t, len(self.words)) for t in tokens], np.int64)
+        equal = (self.templates[: self.size] == row).sum(axis=1)
+        if self.size and equal.max() >= SIMILAR * len(row):
+            return int(equal.argmax()), row
+        return None, row
+
+    def add(self, tokens: list[str]) -> int:
+        """The number of the template that a line joins or founds."""
+        t, row = self.nearest(tokens)
+        if t is not None:
+            self.templates[t][self.templates[t] != row] = 0
+            return t
+        if self.size == len(self.templates):
+            self.templates = np.concatenate([self.templates, np.zeros_like(self.templates)])
+        self.templates[self.size] = row
+        self.size += 1
+        return self.size - 1
+
+    def patterns(self) -> list[str]:
+        words = list(self.words)
+        return [" ".join(words[c] for c in row) for row in self.templates[: self.size].tolist()]
+
+
 def grow(lines: list[list[str]]) -> list[int]:
     """The template of each of a leaf's lines, all of one length and in the order given, as the number of its first line."""
-    words: dict[str, int] = {"<*>": 0}
-    rows = np.array([[words.setdefault(t, len(words)) for t in tokens] for tokens in lines], np.int64)
-    width = rows.shape[1]
-    templates, first, out = np.zeros((4, width), np.int64), [], []
-    for k, row in enumerate(rows):
-        equal = (templates[: len(first)] == row).sum(axis=1)
-        if len(first) and equal.max() >= SIMILAR * width:
-            t = int(equal.argmax())
-            templates[t][templates[t] != row] = 0
-        else:
-            t = len(first)
-            if t == len(templates):
-                templates = np.concatenate([templates, np.zeros_like(templates)])
-            templates[t] = row
+    return grow_leaf(lines)[0]
+
+
+def grow_leaf(lines: list[list[str]]) -> tuple[list[int], list[str | None], list[int | None]]:
+    """grow(), and for lines that found a template its tokens in the end and its number."""
+    leaf, first = Leaf(len(lines[0])), []
+    found = [leaf.add(tokens) for tokens in lines]
+    for k, t in enumerate(found):
+        if t == len(first):
             first.append(k)
-        out.append(first[t])
-    return out
+    pattern, place = [None] * len(lines), [None] * len(lines)
+    for t, (k, p) in enumerate(zip(first, leaf.patterns())):
+        pattern[k], place[k] = p, t
+    return [first[t] for t in found], pattern, place
+
+
+def found_templates(rows: DataFrame, patterns: bool = False) -> DataFrame:
+    """(leaf, line, template, companies, documents) of lines (leaf, line, tokens, companies, documents), whole leaves each in
+    one task; with patterns also (pattern, place): tokens and number of the template that a line has founded."""
+    ordered = (
+        rows.select("leaf", (-F.col("documents")).alias("rank"), "line", "tokens", "companies")
+        .repartition(partitions(rows.sparkSession), "leaf")
+        .sortWithinPartitions("leaf", "rank", "line")
+    )
+
+    def run(batches):
+        for table in runs_of(batches, 1):
+            line = table["line"].to_numpy()
+            first, pattern, place = grow_leaf([t.split(" ") for t in table["tokens"].to_pylist()])
+            out = {"leaf": table["leaf"], "line": line, "template": line[first], "companies": table["companies"], "documents": pa.array(-table["rank"].to_numpy())}
+            if patterns:
+                out |= {"pattern": pa.array(pattern, pa.string()), "place": pa.array(place, pa.int32())}
+            yield from pa.table(out).combine_chunks().to_batches()
+
+    schema = "leaf long, line long, template long, companies long, documents long"
+    return ordered.mapInArrow(tidy(run), schema + ", pattern string, place int" if patterns else schema)
+
+
+def in_rounds(rows: DataFrame, lines: int, tokens: int) -> DataFrame:
+    """found_templates() of leaves that are too large for one task; rows also hold n, the number of the leaf's lines."""
+    schema = "leaf long, line long, tokens string, companies long, documents long, n long, template long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    most, own = at_once(lines, tokens), ["leaf", "line", "template", "companies", "documents"]
+    rest, done = materialize(rows.select(*names[:-1]), "large-leaves"), []
+
+    def join_templates(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("place")
+        texts, template, out = right["pattern"].to_pylist(), right["template"].to_pylist(), []
+        leaf = Leaf(len(texts[0].split(" "))) if texts else None
+        if leaf is not None:
+            leaf.templates = np.array([[leaf.words.setdefault(t, len(leaf.words)) for t in p.split(" ")] for p in texts], np.int64)
+            leaf.size = len(texts)
+        for line in left["tokens"].to_pylist():
+            t = leaf.nearest(line.split(" "))[0] if leaf is not None else None
+            out.append(None if t is None else template[t])
+        return left.select(names[:-1]).append_column("template", pa.array(out, pa.int64()))
+
+    while not rest.isEmpty():
+        w = Window.partitionBy("leaf").orderBy(F.desc("documents"), "line")
+        first = rest.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= lines).where(F.col("_n") <= most)
+        founded = materialize(found_templates(first, patterns=True), "founded")
+        shares = F.ceil(F.col("n") / most).cast("int")
+        others = rest.join(founded.select("leaf", "line"), ["leaf", "line"], "left_anti")
+        dealt = others.withColumn("share", F.pmod(F.xxhash64("line"), shares).cast("int"))
+        sizes = rest.groupBy("leaf").agg(F.max(shares).alias("shares"))
+        spread = founded.where("place is not null").join(sizes, "leaf").select("leaf", "template", "pattern", "place", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        joined = dealt.groupBy("leaf", "share").cogroup(spread.groupBy("leaf", "share")).applyInArrow(join_templates, schema)
+        joined = materialize(joined, "joined")
+        done += [founded.select(*own), joined.where("template is not null").select(*own)]
+        discard(rest)
+        rest = materialize(joined.where("template is null").drop("template"), "large-leaves")
+    return reduce(DataFrame.unionByName, done)
 
 
 def _texts(batch, at: int):
@@ -151,34 +254,25 @@ def unlike(pairs: DataFrame, documents: int) -> DataFrame:
     return sure.unionByName(groups.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") >= documents).select(*at))
 
 
-def recurring_lines(docs: DataFrame, lines: DataFrame, documents: int) -> DataFrame:
+def recurring_lines(docs: DataFrame, lines: DataFrame, documents: int, at_most: tuple[int, int] = (LINES, TOKENS)) -> DataFrame:
     """(k, documents): the lines whose template recurs, each with the number of its own documents."""
-    spark = docs.sparkSession
     met = materialize(lines.groupBy("leaf", "line", "heads", "tails").agg(F.count("*").alias("documents")), "company")
     per_line = materialize(met.groupBy("leaf", "line").agg(F.sum("documents").alias("documents"), F.count("*").alias("companies")), "per-line")
     leaves = per_line.groupBy("leaf").agg(F.sum("documents").alias("d"), F.count("*").alias("n")).where(F.col("d") >= documents)
     leaves = materialize(leaves.select("leaf", "n"), "leaves")
-    single, leaves = leaves.where("n = 1").select("leaf"), leaves.where("n > 1").select("leaf")
-    bits = id_filter(leaves)
+    single, leaves = leaves.where("n = 1").select("leaf"), leaves.where("n > 1")
+    bits = id_filter(leaves.select("leaf"))
     texts = leaf_lines(docs, bits).groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
-    ordered = (
-        texts.join(per_line.join(leaves, "leaf", "left_semi"), ["leaf", "line"])
-        .repartition(partitions(spark), "leaf")
-        .select("leaf", (-F.col("documents")).alias("rank"), "line", "tokens", "companies")
-        .sortWithinPartitions("leaf", "rank", "line")
-    )
-
-    def run(batches):
-        for table in runs_of(batches, 1):
-            line = table["line"].to_numpy()
-            template = line[grow([t.split(" ") for t in table["tokens"].to_pylist()])]
-            out = pa.table({"leaf": table["leaf"], "line": line, "template": template, "companies": table["companies"], "documents": pa.array(-table["rank"].to_numpy())})
-            yield from out.combine_chunks().to_batches()
-
+    small = F.col("n") <= at_once(*at_most)
+    if leaves.where(~small).isEmpty():
+        grown = found_templates(texts.join(per_line.join(leaves.select("leaf"), "leaf", "left_semi"), ["leaf", "line"]))
+    else:
+        counted = materialize(texts.join(attach_by_key(per_line, leaves, "leaf", "n"), ["leaf", "line"]), "leaf-lines")
+        grown = found_templates(counted.where(small)).unionByName(in_rounds(counted.where(~small), *at_most))
     key = F.struct("leaf", "line").alias("k")
-    grown = materialize(ordered.mapInArrow(tidy(run), "leaf long, line long, template long, companies long, documents long"), "templates")
+    grown = materialize(grown, "templates")
     pairs = attach_by_key(
-        met.join(leaves, "leaf", "left_semi").select(key, "heads", "tails"), grown.select(key, "leaf", "template", F.col("companies").alias("c")), "k", "c"
+        met.join(leaves.select("leaf"), "leaf", "left_semi").select(key, "heads", "tails"), grown.select(key, "leaf", "template", F.col("companies").alias("c")), "k", "c"
     ).select("leaf", "template", "heads", "tails")
     alone = met.join(single, "leaf", "left_semi").select("leaf", F.col("line").alias("template"), "heads", "tails")
     found = materialize(unlike(pairs.unionByName(alone), documents), "unlike")
@@ -188,7 +282,7 @@ def recurring_lines(docs: DataFrame, lines: DataFrame, documents: int) -> DataFr
     return whole.join(found, ["leaf", "template"], "left_semi").select(key, "documents")
 
 
-def clean(docs: DataFrame, documents: int = DOCUMENTS, text: str = "text", key: str = "doc_id", report: bool = False, most: int = RECURRING) -> DataFrame:
+def clean(docs: DataFrame, documents: int = DOCUMENTS, text: str = "text", key: str = "doc_id", report: bool = False, most: int = RECURRING, at_most: tuple[int, int] = (LINES, TOKENS)) -> DataFrame:
     """The rows of docs, without the lines of recurring templates in their texts.
 
     With report, (doc_id, n_lines, n_dropped, text) instead. An n_chars column follows the new text. Null texts stay
@@ -197,7 +291,7 @@ def clean(docs: DataFrame, documents: int = DOCUMENTS, text: str = "text", key:
     """
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     lines = materialize(line_table(plain), "lines")
-    found = materialize(recurring_lines(plain, lines, documents), "recurring")
+    found = materialize(recurring_lines(plain, lines, documents, at_most), "recurring")
     own, at, ident = docs.columns, docs.columns.index(text), docs.columns.index(key)
     size = own.index("n_chars") if "n_chars" in own else None
     schema, known = docs.schema, None

@@ -7,7 +7,7 @@ from evigrain.llm import line_dedup as l
 from evigrain.llm.common import read_table
 
 
-def brute(rows, documents=l.DOCUMENTS):
+def brute(rows, documents=l.DOCUMENTS, at_most=(l.LINES, l.TOKENS)):
     """[(doc_id, text)] by plain loops over tokens, with sets instead of hashes."""
     mask = lambda t: "<*>" if any(c in "0123456789" for c in t) else t
     split = lambda line: tuple(mask(t) for t in line.split())
@@ -23,15 +23,23 @@ def brute(rows, documents=l.DOCUMENTS):
     finishes = [{split(x)[-3:] for x in (t or "").split("\n") if x.split()} for _, t in rows]
     gone = set()
     for lines in leaves.values():
-        groups = []
-        for ws in sorted(lines, key=lambda ws: (-counts[ws], l.parse(" ".join(ws))[1])):
-            same = [sum(a == b for a, b in zip(g[0], ws)) for g in groups]
-            if same and max(same) >= l.SIMILAR * len(ws):
-                g = groups[same.index(max(same))]
-                g[0] = [a if a == b else "<*>" for a, b in zip(g[0], ws)]
-                g[1].append(ws)
-            else:
-                groups.append([list(ws), [ws]])
+        groups, left = [], sorted(lines, key=lambda ws: (-counts[ws], l.parse(" ".join(ws))[1]))
+        most = max(1, min(at_most[0], at_most[1] // len(left[0])))
+        while left:
+            now, others, here = left[:most], left[most:], []
+            left = []
+            for k, ws in enumerate(now + others):
+                same = [sum(a == b for a, b in zip(g[0], ws)) for g in here]
+                if same and max(same) >= l.SIMILAR * len(ws):
+                    g = here[same.index(max(same))]
+                    if k < len(now):
+                        g[0] = [a if a == b else "<*>" for a, b in zip(g[0], ws)]
+                    g[1].append(ws)
+                elif k < len(now):
+                    here.append([list(ws), [ws]])
+                else:
+                    left.append(ws)
+            groups += here
         for _, members in groups:
             # a document stands where its other lines' beginnings or ends are; those who share a place are alike
             at = {(n, ws): (("b", frozenset(begins[n] - {ws[:3]})), ("e", frozenset(finishes[n] - {ws[-3:]}))) for ws in members for n in held[ws]}
@@ -100,6 +108,21 @@ def test_documents(spark, sf_dir):
     assert all(r.n_lines == len(before[r.doc_id].split("\n")) and r.n_lines - r.n_dropped == len(r.text.split("\n")) or r.text == "" for r in got)
 
 
+def test_leaves_larger_than_a_task(spark):
+    """Rounds of any size follow the rule; no line is lost where a leaf holds more than a task does."""
+    rng = np.random.default_rng(2)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in "aeiou"]
+    rows = [(i, "\n".join(f"one leaf only {' '.join(rng.choice(words[: 3 + i % 4], 7))}" for _ in range(3)) + f"\n{own(i)}") for i in range(40)]
+    rows += [(100 + i, f"one leaf only but this one {own(i, 0)} is read by very many people") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = set()
+    for at_most in ((40, 1 << 20), (l.LINES, 700), (l.LINES, l.TOKENS)):
+        got = sorted(((r.doc_id, r.text) for r in l.clean(df, at_most=at_most).collect()), key=str)
+        assert got == brute(rows, at_most=at_most)
+        seen.add(str(got))
+    assert len(seen) > 1 and str(sorted(rows, key=str)) not in seen
+
+
 def own(i, n=6):
     return f"alpha{'bcdefghij'[i % 9]}{'bcdefghij'[i // 9 % 9]}{'bcdefghij'[i // 81 % 9]}{'bcdefghij'[i // 729]} " + " ".join(f"w{chr(98 + (i * 7 + k * 5) % 24)}{chr(98 + i % 24)}{chr(98 + i // 24)}" for k in range(n))
 
