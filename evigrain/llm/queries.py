@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, embedding_dedup, gif_media, jaccard_join, license_scan, line_dedup, packing, quality, toxicity, warc
+from . import alignment, bpe, embedding_dedup, gif_media, jaccard_join, language, license_scan, line_dedup, packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_language_id": language.op11_language_id,
     "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
 }
 ORACLES = {
