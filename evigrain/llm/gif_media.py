@@ -27,6 +27,8 @@ CLEAR, STOP, FIRST = 256, 257, 258
 #: Codes after a clear code until the table is full.
 RUN = 4096 - FIRST
 BINS = 16
+#: Pixels of a screen or frame that is decoded (a canvas takes 4 bytes each); larger ones are rows with an error.
+PIXELS = 1 << 24
 
 
 def code_widths(least: int, n: int) -> np.ndarray:
@@ -76,9 +78,9 @@ def lzw_compress(data: bytes) -> bytes:
     return np.packbits(bits[np.arange(12) < widths[:, None]].astype(np.uint8), bitorder="little").tobytes()
 
 
-def lzw_expand(data: bytes, least: int) -> bytes:
-    """The samples of a code stream; a stream without its stop code ends where its bytes end."""
-    clear = 1 << least
+def lzw_expand(data: bytes, least: int, most: int | None = None) -> bytes:
+    """The samples of a code stream; without its stop code, or with more than `most` samples, it is broken."""
+    clear, held, done = 1 << least, 0, False
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
     total, at, out = 8 * len(data), 0, []
     singles = [bytes([i]) for i in range(clear)] + [b"", b""]
@@ -86,7 +88,7 @@ def lzw_expand(data: bytes, least: int) -> bytes:
     starts = np.concatenate([[0], np.cumsum(widths)])
     table, last = list(singles), None
     fresh = True
-    while at + least < total:
+    while at + least < total and not done:
         if fresh:
             bit, size = at + starts[:-1], widths
         else:  # a full table is kept: all codes are as wide as can be
@@ -114,14 +116,19 @@ def lzw_expand(data: bytes, least: int) -> bytes:
                     table.append(last + piece[:1])
             out.append(piece)
             last = piece
+            held += len(piece)
+        if most is not None and held > most:
+            raise ValueError("LZW stream of more samples than its frame has")
         at = int(bit[n - 1] + size[n - 1]) if n else at
         if len(special):
             at = int(bit[n] + size[n])
             if codes[n] == clear + 1:
-                break
+                done = True
             table, last, fresh = list(singles), None, True
         else:
             fresh = False
+    if not done:
+        raise ValueError("LZW stream without its stop code")
     return b"".join(out)
 
 
@@ -162,12 +169,15 @@ class Frame:
 def frames_of(data: bytes):
     """The screen's (width, height), then each frame; a frame's canvas is the RGBA screen as shown until the next is taken.
 
-    The canvas is painted as the format says: by the frame's palette, transparent samples left as they were, and
+    A stream that ends too early or late for its frame, without its stop code, or with a code that can't stand there is an
+    error, as are screens and frames of more than PIXELS. The canvas is painted as the format says: by the frame's palette, transparent samples left as they were, and
     between frames by the disposal of the one before (kept, cleared where it stood, or set back). One screen is held.
     """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
+    if width * height > PIXELS:
+        raise ValueError("a screen of more pixels than are decoded")
     yield width, height
     at, shared = 13, np.zeros((0, 3), np.uint8)
 
@@ -203,8 +213,13 @@ def frames_of(data: bytes):
         least = data[at]
         if not 2 <= least <= 8:
             raise ValueError("LZW codes of an unknown size")
+        if w * h > PIXELS:
+            raise ValueError("a frame of more pixels than are decoded")
         body, at = blocks(at + 1)
-        samples = np.frombuffer(lzw_expand(body, least)[: w * h].ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        found = lzw_expand(body, least, w * h)
+        if len(found) < w * h:
+            raise ValueError("LZW stream of fewer samples than its frame has")
+        samples = np.frombuffer(found, np.uint8).reshape(h, w)
         if flags & 0x40:
             order = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
             samples = samples[np.argsort(order)]
@@ -235,24 +250,49 @@ def decode(data: bytes) -> tuple[int, int, list[Frame]]:
     return width, height, [replace(f, canvas=f.canvas.copy()) for f in found]
 
 
-def histogram(frame: Frame) -> list[list[int]]:
+def histogram(frame: Frame) -> np.ndarray:
     """Pixels of the canvas by red, green and blue level, BINS each; transparent ones are left out."""
     opaque = frame.canvas.reshape(-1, 4)
     if not (opaque[:, 3] == 255).all():
         opaque = opaque[opaque[:, 3] > 0]
-    return [np.bincount(opaque[:, c] // (256 // BINS), minlength=BINS).tolist() for c in range(3)]
+    level = opaque[:, :3] // (256 // BINS)
+    if len(level) and (level[:, 0] == level[:, 1]).all() and (level[:, 0] == level[:, 2]).all():
+        return np.tile(np.bincount(level[:, 0], minlength=BINS), (3, 1))
+    return np.stack([np.bincount(level[:, c], minlength=BINS) for c in range(3)])
 
 
 #: What a broken GIF raises.
-BROKEN = (ValueError, IndexError, struct.error)
+BROKEN = (ValueError, IndexError, struct.error, MemoryError)
 FRAME = "frame int, left int, top int, width int, height int, start_ms long, delay_ms long, disposal int, transparent int, red array<int>, green array<int>, blue array<int>"
 _INTS = pa.list_(pa.int32())
 _FRAME = pa.struct([("frame", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("red", _INTS), ("green", _INTS), ("blue", _INTS)])
 
 
-def _timed(n: int, f: Frame) -> dict:
-    r, g, b = histogram(f)
-    return {"frame": n, "left": f.left, "top": f.top, "width": f.indices.shape[1], "height": f.indices.shape[0], "start_ms": f.start_ms, "delay_ms": f.delay_ms, "disposal": f.disposal, "transparent": f.transparent, "red": r, "green": g, "blue": b}
+_NUMBERS = ["frame", "left", "top", "width", "height", "start_ms", "delay_ms", "disposal", "transparent"]
+
+
+class Timed:
+    """Timed frames, as columns."""
+
+    def __init__(self):
+        self.numbers, self.levels = [], []
+
+    def add(self, n: int, f: Frame) -> None:
+        h, w = f.indices.shape
+        self.numbers.append((n, f.left, f.top, w, h, f.start_ms, f.delay_ms, f.disposal, f.transparent))
+        self.levels.append(histogram(f))
+
+    def cut(self, n: int) -> None:
+        """Forget all but the first n."""
+        del self.numbers[n:], self.levels[n:]
+
+    def arrays(self) -> list[pa.Array]:
+        n = len(self.numbers)
+        numbers = np.array(self.numbers, np.int64).reshape(n, len(_NUMBERS))
+        levels = np.array(self.levels, np.int32).reshape(n, 3, BINS)
+        steps = pa.array(np.arange(n + 1, dtype=np.int32) * BINS)
+        lists = [pa.ListArray.from_arrays(steps, pa.array(levels[:, c].ravel())) for c in range(3)]
+        return [pa.array(numbers[:, k]).cast(_FRAME[k].type) for k in range(len(_NUMBERS))] + [x.cast(_INTS) for x in lists]
 
 
 def frame_table(media: DataFrame, data: str = "media", key: str = "id") -> DataFrame:
@@ -263,32 +303,37 @@ def frame_table(media: DataFrame, data: str = "media", key: str = "id") -> DataF
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for ident, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            timed, at, broken = Timed(), [], []
+            for k, body in enumerate(batch.column(1)):
                 body = body.as_py()
                 try:
                     found = frames_of(body) if body else iter(())
                     next(found, None)
                     for n, f in enumerate(found):
-                        rows.append({"id": ident, **_timed(n, f)})
+                        timed.add(n, f)
+                        at.append(k)
                 except BROKEN as e:
-                    rows.append({"id": ident, "error": str(e)})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                    broken.append((k, str(e) or type(e).__name__))
+            ids = batch.column(0)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *timed.arrays(), pa.nulls(len(at), pa.string())], schema=schema)
+            if broken:
+                which, why = zip(*broken)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), *(pa.nulls(len(which), f.type) for f in _FRAME), pa.array(why)], schema=schema)
 
     schema = pa.schema([("id", pa.int64()), *_FRAME, ("error", pa.string())])
     return media.select(F.col(key).cast("long"), data).mapInArrow(tidy(run), f"id long, {FRAME}, error string")
 
 
-def samples_of(data: bytes) -> tuple[bytes, list[dict]]:
-    """The bytes that the frames show, in red, where each stands on the canvas; and the timed frames."""
-    found, parts, timed = frames_of(data), [], []
+def samples_of(data: bytes, timed: Timed | None = None) -> bytes:
+    """The bytes that the frames show, in red, where each stands on the canvas; the timed frames are added to `timed`."""
+    found, parts = frames_of(data), []
     next(found)
     for n, f in enumerate(found):
         h, w = f.indices.shape
         parts.append(np.ascontiguousarray(f.canvas[f.top : f.top + h, f.left : f.left + w, 0]).tobytes())
-        timed.append(_timed(n, f))
-    return b"".join(parts), timed
+        if timed is not None:
+            timed.add(n, f)
+    return b"".join(parts)
 
 
 STORED = "doc_id long, n_bytes long, media binary"
@@ -330,21 +375,29 @@ def read_back(stored: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for ident, n, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                media, row = media.as_py(), {"doc_id": ident, "n_bytes": n}
+            timed, ends, rows = Timed(), [0], []
+            for n, media in zip(batch.column(1).to_pylist(), batch.column(2)):
+                media, before = media.as_py(), len(timed.numbers)
+                row = [None, None, None, None if media is None else len(media), None if media is None else hashlib.sha256(media).hexdigest(), "no media" if media is None else None]
+                if media is not None:
+                    try:
+                        payload = samples_of(media, timed)
+                        if n is not None and len(payload) < n:
+                            raise ValueError("frames of fewer samples than were stored")
+                        row[:3] = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])
+                    except BROKEN as e:
+                        timed.cut(before)
+                        row[5] = str(e) or type(e).__name__
                 rows.append(row)
-                if media is None:
-                    row["error"] = "no media"
-                    continue
-                row |= {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()}
-                try:
-                    payload, row["frames"] = samples_of(media)
-                    row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:])}
-                except BROKEN as e:
-                    row["error"] = str(e)
+                ends.append(len(timed.numbers))
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                size, sha, crc, length, stored_sha, error = zip(*rows)
+                whole = pa.array([sha_ is None for sha_ in sha])
+                frames = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(timed.arrays(), fields=list(_FRAME)), mask=whole)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(sha, pa.string()), pa.array(crc, pa.int64()), pa.array(length, pa.int64()), pa.array(stored_sha, pa.string()), frames.cast(schema.field("frames").type), pa.array(error, pa.string())],
+                    schema=schema,
+                )
 
     return stored.mapInArrow(tidy(run), READ)
 

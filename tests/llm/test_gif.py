@@ -26,7 +26,7 @@ def test_full_tables_and_runs():
 def test_payload_round_trip_over_frames():
     body = np.random.default_rng(2).integers(0, 256, 64 * 2500, dtype=np.uint8).tobytes()
     media = g.encode_payload(body)
-    assert g.samples_of(media)[0] == body
+    assert g.samples_of(media) == body
     w, h, frames = g.decode(media)
     assert (w, h, len(frames)) == (64, 1024, 3) and [f.start_ms for f in frames] == [0, 100, 200]
 
@@ -103,3 +103,50 @@ def test_broken_media_are_rows(spark):
     assert at("red") == [(0, 4), (1, 3), (1, 2), (1, 2)] and at("green") == [(4, 0), (3, 1), (3, 0), (2, 1)] and at("blue") == [(4, 0), (4, 0), (2, 1), (3, 0)]
     with pytest.raises(Exception, match="not a GIF"):
         g.decode(b"PNG")
+
+
+def without_blocks(media: bytes, drop: int) -> bytes:
+    """A GIF of one frame without `drop` of its data blocks; the terminator stays."""
+    at = media.index(b"\x2c", 13 + 768) + 11
+    first = at
+    for _ in range(drop):
+        at += 1 + media[at]
+    return media[:first] + media[at:]
+
+
+def test_damaged_streams_and_huge_screens_are_errors(spark):
+    body = np.random.default_rng(7).integers(0, 256, 64 * 160, dtype=np.uint8).tobytes()
+    good = g.encode_payload(body)
+    at = good.index(b"\x2c", 13 + 768) + 11
+    cut = good[: at + 256 * 10] + good[at + 256 * 20 :]  # blocks from the midst
+    stopped = good[: at + 256 * 5] + b"\0\x3b"  # the stream ends early, its block list well
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    frame = good[: at - 11] + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + good[at - 1 :]
+    taller = good[: at - 11] + b"\x2c" + struct.pack("<HHHHB", 0, 0, 64, 161, 0) + good[at - 1 :]
+    lower = good[: at - 11] + b"\x2c" + struct.pack("<HHHHB", 0, 0, 64, 159, 0) + good[at - 1 :]
+    rows = [good, without_blocks(good, 5), cut, stopped, huge, frame, taller, lower, good]
+    df = spark.createDataFrame([(k, len(body), m) for k, m in enumerate(rows)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in g.described(g.read_back(df)).collect()}
+    assert [k for k, r in sorted(got.items()) if r.error is None] == [0, 8] and got[0][1:] == got[8][1:]
+    assert all(r.payload_sha256 is None and r.feature is None and r.media_bytes for r in got.values() if r.error)
+    assert "stop code" in got[3].error and "screen" in got[4].error and "frame" in got[5].error and "fewer" in got[6].error and "more" in got[7].error
+    # fewer frames than the payload needs
+    two = g.encode_payload(bytes(64 * 1500))
+    second = two.rindex(b"\x21\xf9")
+    short = spark.createDataFrame([(1, 64 * 1500, two[:second] + b"\x3b")], "doc_id long, n_bytes long, media binary")
+    assert "fewer" in g.read_back(short).first().error and g.read_back(short.selectExpr("doc_id", "cast(null as long) n_bytes", "media")).first().payload_bytes == 64 * 1024
+    errors = [r for r in g.frame_table(df, key="doc_id").collect() if r.error]
+    assert {r.id for r in errors} == {1, 2, 3, 4, 5, 6, 7}
+
+
+def test_flipped_bits_lose_no_row(spark):
+    body = np.random.default_rng(8).integers(0, 256, 64 * 40, dtype=np.uint8).tobytes()
+    good, rng, rows = g.encode_payload(body), np.random.default_rng(9), []
+    for k in range(60):
+        bad = bytearray(good)
+        bad[int(rng.integers(13 + 768, len(good)))] ^= 1 << int(rng.integers(8))
+        rows.append((k, len(body), bytes(bad)))
+    got = g.read_back(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()
+    # GIF has no checksum: a flip may give other samples, but never fewer or invented ones
+    assert len(got) == 60 and all(r.error or r.payload_bytes == len(body) for r in got)
+    assert sum(r.error is not None for r in got) > 5
