@@ -87,3 +87,22 @@ def test_entries_join_to_the_text(text):
     own = al.aligner(*PATHS)
     ids = own.a.encode([text])[0]
     assert own.a.vocabulary.joined(ids).tobytes() == (" " + text).encode()
+
+
+def test_merging_by_ranks_equals_the_tokenizer(spark, sf_dir):
+    fast, slow = al.ByteLevel(PATHS[0]), al.ByteLevel(PATHS[0], ranks=False)
+    assert fast.words is not None and slow.words is None
+    texts = TEXTS + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += [" ".join(f"a{chr(c)}b1{chr(c)}{chr(c)} {chr(c)}\n{chr(c)} !{chr(c)}!" for c in points[k : k + 50]) for k in range(0, len(points), 350)]
+    for a, b, t in zip(fast.encode(texts), slow.encode(texts), texts):
+        assert a.tolist() == b.tolist(), t
+
+
+def test_ranks_are_not_used_where_merges_differ(tmp_path):
+    spec = json.load(open(PATHS[0], encoding="utf-8"))
+    merges = spec["model"]["merges"]
+    spec["model"]["merges"] = [*merges[1:200], merges[0], *merges[200:]]
+    changed = tmp_path / "v.json"
+    changed.write_text(json.dumps(spec), encoding="utf-8")
+    assert al.ByteLevel(str(changed)).words is None
