@@ -1,16 +1,22 @@
 """Line deduplication by a log-template tree of fixed depth.
 
 A line's tokens are its words between white space; those with a digit are variable and read <*>. The tree's levels are
-the number of tokens and the first DEPTH tokens; a leaf's lines are compared with its templates, most frequent first,
-join the most similar one with SIMILAR of their tokens equal, or found a new one, and places that differ become <*>.
-A leaf of any size is parsed in rounds: its LINES most frequent lines (fewer of long ones, TOKENS together) found
-templates in one task; then all its other lines, dealt over tasks, join these as they are; those left do so again.
+the number of tokens and the first DEPTH tokens. A leaf's lines, most frequent first, join the first of its templates
+with SIMILAR of their tokens equal, or found a new one; in the template's spelling the places that differ become <*>.
+A template is matched as it was founded, so a leaf may be parsed in rounds: its LINES most frequent lines (fewer of long
+ones, TOKENS together) found templates in one task; then all its other lines, dealt over tasks, join these; those left
+do so again. The templates are the same whatever a round holds.
 
 A template recurs when at least DOCUMENTS unlike documents hold it, however many copies there are of any of them. Two
 of its documents are alike when all their other lines begin alike (DEPTH first tokens) or all end alike (DEPTH last
-tokens), or when both are like a third one. So boilerplate and passages spread over unlike documents are dropped
-wherever they stand, while the lines of a group of copies, or of near copies with a word edited here or there, stay, as
-the group counts once; such groups are the near-duplicate stage's to judge.
+tokens), or when both are like a third one; unless their own lines tell them apart. Among documents whose lines all
+begin alike, a beginning is own when no line with it stands in half of them and either no ending does, or they differ
+in digits only; such lines, as a title or a time stamp are, must be equal in alike documents (and so with endings). In
+near copies with a word edited here or there most documents have each line as it was, so nothing is own.
+
+So boilerplate and passages spread over unlike documents are dropped wherever they stand and however the documents'
+other lines look, while the lines of a group of copies or near copies stay, as the group counts once; such groups are
+the near-duplicate stage's to judge.
 """
 
 from __future__ import annotations
@@ -67,32 +73,44 @@ def ends(tokens: list[str]) -> tuple[int, int]:
     return _hash(" ".join(tokens[:DEPTH])), _hash(" ".join(tokens[-DEPTH:]))
 
 
+def _wrapped(n: int) -> int:
+    return (n + _HALF) % (2 * _HALF) - _HALF
+
+
+def exact_lines(text: str) -> dict[int, tuple[tuple[int, int, list[str]], list[str]]]:
+    """{key: (parsed line, its tokens as they are)} of a text's different lines."""
+    out = {}
+    for line in set(text.split("\n")):
+        p = parse(line)
+        if p:
+            own = line.split()
+            out[p[1] if own == p[2] else _hash("\0" + " ".join(own))] = p, own
+    return out
+
+
 def company(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """For the ends of each line of a document, one key for all other beginnings and one for all other ends."""
     heads, tails = sum({h for h, _ in found}), sum({t for _, t in found})
-    return [((heads - h + _HALF) % (2 * _HALF) - _HALF, (tails - t + _HALF) % (2 * _HALF) - _HALF) for h, t in found]
+    return [(_wrapped(heads - h), _wrapped(tails - t)) for h, t in found]
 
 
 class Leaf:
-    """A leaf's templates, of lines of one length: places that differ are <*>."""
+    """A leaf's templates as they were founded, of lines of one length."""
 
     def __init__(self, width: int):
-        self.words: dict[str, int] = {"<*>": 0}
+        self.words: dict[str, int] = {}
         self.templates, self.size = np.zeros((4, width), np.int64), 0
 
-    def nearest(self, tokens: list[str]) -> tuple[int | None, np.ndarray]:
-        """The first of the templates most similar to a line, None where none is similar enough; the line's codes."""
+    def first(self, tokens: list[str]) -> tuple[int | None, np.ndarray]:
+        """The first template that a line is similar to, None where there is none; the line's codes."""
         row = np.array([self.words.setdefault(t, len(self.words)) for t in tokens], np.int64)
-        equal = (self.templates[: self.size] == row).sum(axis=1)
-        if self.size and equal.max() >= SIMILAR * len(row):
-            return int(equal.argmax()), row
-        return None, row
+        near = (self.templates[: self.size] == row).sum(axis=1) >= SIMILAR * len(row)
+        return (int(near.argmax()) if self.size and near.any() else None), row
 
     def add(self, tokens: list[str]) -> int:
         """The number of the template that a line joins or founds."""
-        t, row = self.nearest(tokens)
+        t, row = self.first(tokens)
         if t is not None:
-            self.templates[t][self.templates[t] != row] = 0
             return t
         if self.size == len(self.templates):
             self.templates = np.concatenate([self.templates, np.zeros_like(self.templates)])
@@ -100,32 +118,25 @@ class Leaf:
         self.size += 1
         return self.size - 1
 
-    def patterns(self) -> list[str]:
-        words = list(self.words)
-        return [" ".join(words[c] for c in row) for row in self.templates[: self.size].tolist()]
+
+def spelling(lines: list[list[str]]) -> str:
+    """A template's spelling: the founder's tokens, <*> where another of its lines differs."""
+    return " ".join(ts[0] if len(set(ts)) == 1 else "<*>" for ts in zip(*lines))
 
 
 def grow(lines: list[list[str]]) -> list[int]:
     """The template of each of a leaf's lines, all of one length and in the order given, as the number of its first line."""
-    return grow_leaf(lines)[0]
-
-
-def grow_leaf(lines: list[list[str]]) -> tuple[list[int], list[str | None], list[int | None]]:
-    """grow(), and for lines that found a template its tokens in the end and its number."""
     leaf, first = Leaf(len(lines[0])), []
     found = [leaf.add(tokens) for tokens in lines]
     for k, t in enumerate(found):
         if t == len(first):
             first.append(k)
-    pattern, place = [None] * len(lines), [None] * len(lines)
-    for t, (k, p) in enumerate(zip(first, leaf.patterns())):
-        pattern[k], place[k] = p, t
-    return [first[t] for t in found], pattern, place
+    return [first[t] for t in found]
 
 
-def found_templates(rows: DataFrame, patterns: bool = False) -> DataFrame:
+def found_templates(rows: DataFrame) -> DataFrame:
     """(leaf, line, template, companies, documents) of lines (leaf, line, tokens, companies, documents), whole leaves each in
-    one task; with patterns also (pattern, place): tokens and number of the template that a line has founded."""
+    one task; a template is named by the line that founds it."""
     ordered = (
         rows.select("leaf", (-F.col("documents")).alias("rank"), "line", "tokens", "companies")
         .repartition(partitions(rows.sparkSession), "leaf")
@@ -135,14 +146,11 @@ def found_templates(rows: DataFrame, patterns: bool = False) -> DataFrame:
     def run(batches):
         for table in runs_of(batches, 1):
             line = table["line"].to_numpy()
-            first, pattern, place = grow_leaf([t.split(" ") for t in table["tokens"].to_pylist()])
+            first = grow([t.split(" ") for t in table["tokens"].to_pylist()])
             out = {"leaf": table["leaf"], "line": line, "template": line[first], "companies": table["companies"], "documents": pa.array(-table["rank"].to_numpy())}
-            if patterns:
-                out |= {"pattern": pa.array(pattern, pa.string()), "place": pa.array(place, pa.int32())}
             yield from pa.table(out).combine_chunks().to_batches()
 
-    schema = "leaf long, line long, template long, companies long, documents long"
-    return ordered.mapInArrow(tidy(run), schema + ", pattern string, place int" if patterns else schema)
+    return ordered.mapInArrow(tidy(run), "leaf long, line long, template long, companies long, documents long")
 
 
 def in_rounds(rows: DataFrame, lines: int, tokens: int) -> DataFrame:
@@ -153,26 +161,26 @@ def in_rounds(rows: DataFrame, lines: int, tokens: int) -> DataFrame:
     rest, done = materialize(rows.select(*names[:-1]), "large-leaves"), []
 
     def join_templates(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("place")
-        texts, template, out = right["pattern"].to_pylist(), right["template"].to_pylist(), []
-        leaf = Leaf(len(texts[0].split(" "))) if texts else None
+        # the order in which they were founded
+        right = right.sort_by([("documents", "descending"), ("template", "ascending")])
+        founders, template, out = [t.split(" ") for t in right["tokens"].to_pylist()], right["template"].to_pylist(), []
+        leaf = Leaf(len(founders[0])) if founders else None
         if leaf is not None:
-            leaf.templates = np.array([[leaf.words.setdefault(t, len(leaf.words)) for t in p.split(" ")] for p in texts], np.int64)
-            leaf.size = len(texts)
+            leaf.templates = np.array([[leaf.words.setdefault(t, len(leaf.words)) for t in f] for f in founders], np.int64)
+            leaf.size = len(founders)
         for line in left["tokens"].to_pylist():
-            t = leaf.nearest(line.split(" "))[0] if leaf is not None else None
+            t = leaf.first(line.split(" "))[0] if leaf is not None else None
             out.append(None if t is None else template[t])
         return left.select(names[:-1]).append_column("template", pa.array(out, pa.int64()))
 
     while not rest.isEmpty():
         w = Window.partitionBy("leaf").orderBy(F.desc("documents"), "line")
-        first = rest.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= lines).where(F.col("_n") <= most)
-        founded = materialize(found_templates(first, patterns=True), "founded")
-        shares = F.ceil(F.col("n") / most).cast("int")
-        others = rest.join(founded.select("leaf", "line"), ["leaf", "line"], "left_anti")
-        dealt = others.withColumn("share", F.pmod(F.xxhash64("line"), shares).cast("int"))
-        sizes = rest.groupBy("leaf").agg(F.max(shares).alias("shares"))
-        spread = founded.where("place is not null").join(sizes, "leaf").select("leaf", "template", "pattern", "place", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+        first = materialize(rest.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= lines).where(F.col("_n") <= most).drop("_n"), "first-lines")
+        founded = materialize(found_templates(first), "founded")
+        founders = first.join(founded.where("line = template").select("leaf", "line"), ["leaf", "line"]).select("leaf", F.col("line").alias("template"), "tokens", "documents", F.ceil(F.col("n") / most).cast("int").alias("shares"))
+        others = rest.join(first.select("leaf", "line"), ["leaf", "line"], "left_anti")
+        dealt = others.withColumn("share", F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / most).cast("int")).cast("int"))
+        spread = founders.select("leaf", "template", "tokens", "documents", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
         joined = dealt.groupBy("leaf", "share").cogroup(spread.groupBy("leaf", "share")).applyInArrow(join_templates, schema)
         joined = materialize(joined, "joined")
         done += [founded.select(*own), joined.where("template is not null").select(*own)]
@@ -188,8 +196,12 @@ def _texts(batch, at: int):
         yield a, [t or "" for t in batch.column(at).slice(a, b - a).to_pylist()]
 
 
+LINE = "doc_id long, text long, leaf long, line long, heads long, tails long"
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, leaf, line, heads, tails): each different line of each document, with its company."""
+    """(doc_id, text, leaf, line, heads, tails): each different line of each document, with its company; text: a key of all
+    its lines. A row without leaf is the document itself, with all its beginnings and endings."""
 
     def run(batches):
         for batch in batches:
@@ -197,14 +209,81 @@ def line_table(docs: DataFrame) -> DataFrame:
             for a, texts in _texts(batch, 1):
                 rows = []
                 for i, text in enumerate(texts):
-                    found = {p[:2]: p[2] for line in set(text.split("\n")) if (p := parse(line))}
-                    ident = ids[a + i].as_py()
-                    rows += [(ident, *k, *by) for k, by in zip(found, company([ends(t) for t in found.values()]))]
+                    exact = exact_lines(text)
+                    if not exact:
+                        continue
+                    found = {p[:2]: p[2] for p, _ in exact.values()}
+                    both = [ends(t) for t in found.values()]
+                    ident, key = ids[a + i].as_py(), _wrapped(sum(exact))
+                    rows += [(ident, key, *k, *by) for k, by in zip(found, company(both))]
+                    rows.append((ident, key, None, None, _wrapped(sum({h for h, _ in both})), _wrapped(sum({t for _, t in both}))))
                 if rows:
-                    names = ["doc_id", "leaf", "line", "heads", "tails"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [c.split()[0] for c in LINE.split(", ")])
+
+    return docs.mapInArrow(tidy(run), LINE)
+
+
+def told_apart(docs: DataFrame, lines: DataFrame, documents: int) -> DataFrame:
+    """lines without the documents' rows, and with the company of documents whose own lines tell them apart changed by these.
 
-    return docs.mapInArrow(tidy(run), "doc_id long, leaf long, line long, heads long, tails long")
+    Only documents whose beginnings or whose endings all are those of `documents` different texts or more are read again,
+    one for each text.
+    """
+    whole = lines.where("leaf is null").select("doc_id", "text", F.col("heads").alias("h"), F.col("tails").alias("t"))
+    lines = lines.where("leaf is not null")
+    each = materialize(whole.groupBy("text", "h", "t").agg(F.min("doc_id").alias("doc_id")), "texts")
+    alike = {}
+    for side in ("h", "t"):
+        alike[side] = each.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") >= documents)
+    some = each.join(alike["h"].select("h"), "h", "left_semi").unionByName(each.join(alike["t"].select("t"), "t", "left_semi")).select("doc_id", "text").where("doc_id is not null")
+    some = materialize(some.distinct(), "alike")
+    if some.isEmpty():
+        return lines
+
+    def read(batches):
+        for batch in batches:
+            for a, texts in _texts(batch, 1):
+                wanted, rows = batch.column(2).slice(a, len(texts)).to_pylist(), []
+                for text, want in zip(texts, wanted):
+                    exact = exact_lines(text)
+                    if _wrapped(sum(exact)) != want:
+                        continue  # another row with this id
+                    ends_ = [ends(p[2]) for p, _ in exact.values()]
+                    h, t = (_wrapped(sum({e[k] for e in ends_})) for k in (0, 1))
+                    for (k, ((leaf, line, _), own)), (head, tail) in zip(exact.items(), ends_):
+                        first, last = ends(own)
+                        rows.append((want, leaf, line, k, h, head, last))
+                        rows.append((want, leaf, line, k, t, tail, first))
+                if rows:
+                    side = pa.array(np.arange(len(rows), dtype=np.int32) % 2)
+                    yield pa.RecordBatch.from_arrays([side, *(pa.array(c, pa.int64()) for c in zip(*rows))], ["side", "text", "leaf", "line", "exact", "alike", "end", "other"])
+
+    bits = id_filter(some.select("doc_id"))
+    # an id whose rows have one text gives it once for each row; equal rows are one text
+    near = split_by_filter(docs, "doc_id", bits, inside=True).join(some.withColumnRenamed("text", "key"), "doc_id").select("doc_id", docs.columns[1], "key")
+    own = near.mapInArrow(tidy(read), "side int, text long, leaf long, line long, exact long, alike long, end long, other long").distinct()
+    large = alike["h"].select(F.lit(0).alias("side"), F.col("h").alias("alike")).unionByName(alike["t"].select(F.lit(1).alias("side"), F.col("t").alias("alike")))
+    own = materialize(own.join(large, ["side", "alike"], "left_semi"), "near-lines")
+    at = ["side", "alike", "end"]
+    top = lambda c: own.groupBy(*at, c).agg(F.count("*").alias("n")).groupBy(*at).agg(F.max("n").alias(f"top_{c}"), F.sum("n").alias(f"all_{c}"))
+    shares = top("exact").join(top("other"), at).join(top("line"), at)
+    least = lambda c: 2 * F.col(f"top_{c}") < F.col(f"all_{c}")
+    marks = shares.where(least("exact") & (least("other") | ~least("line"))).select(*at)
+    told = materialize(own.join(marks, at, "left_semi"), "own-lines")
+    if told.isEmpty():
+        return lines
+    # what a text's own lines add to its company, but a line to its own
+    by_text = told.groupBy("text").pivot("side", [0, 1]).agg(F.bit_xor(F.xxhash64("exact"))).select("text", F.coalesce("0", F.lit(0).cast("long")).alias("h"), F.coalesce("1", F.lit(0).cast("long")).alias("t"))
+    by_line = told.groupBy("text", "leaf", "line").pivot("side", [0, 1]).agg(F.bit_xor(F.xxhash64("exact"))).select("text", "leaf", "line", F.coalesce("0", F.lit(0).cast("long")).alias("own_h"), F.coalesce("1", F.lit(0).cast("long")).alias("own_t"))
+    by_text = materialize(by_text, "told-apart")
+    bits = id_filter(by_text.select("text"))
+    sizes = lines.select("text").join(by_text.select("text"), "text", "left_semi").groupBy("text").agg(F.count("*").alias("n"))
+    maybe = split_by_filter(lines, "text", bits, inside=True)
+    changed = attach_by_key(maybe, by_text.join(sizes, "text"), "text", "n").drop("n").join(by_line, ["text", "leaf", "line"], "left")
+    nought = F.lit(0).cast("long")
+    changed = changed.select("doc_id", "text", "leaf", "line", F.col("heads").bitwiseXOR(F.col("h").bitwiseXOR(F.coalesce("own_h", nought))).alias("heads"), F.col("tails").bitwiseXOR(F.col("t").bitwiseXOR(F.coalesce("own_t", nought))).alias("tails"))
+    same = split_by_filter(lines, "text", bits, inside=False).unionByName(maybe.join(by_text.select("text"), "text", "left_anti").select(*lines.columns))
+    return materialize(same.unionByName(changed), "told-lines")
 
 
 def leaf_lines(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -290,7 +369,7 @@ def clean(docs: DataFrame, documents: int = DOCUMENTS, text: str = "text", key:
     as documents of their own. An empty table stays empty.
     """
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    lines = materialize(line_table(plain), "lines")
+    lines = told_apart(plain, materialize(line_table(plain), "lines"), documents)
     found = materialize(recurring_lines(plain, lines, documents, at_most), "recurring")
     own, at, ident = docs.columns, docs.columns.index(text), docs.columns.index(key)
     size = own.index("n_chars") if "n_chars" in own else None
