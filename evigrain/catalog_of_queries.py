@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import catalog, evaluation, evidence, layout, matching, profiles, retrieval
+from .operators import catalog, evaluation, evidence, inverted, layout, matching, profiles, retrieval, vector_index
 from .operators.shared import first_of, shared_path, top_k
 from .plans import filters
 from .registry import ORACLES, QUERIES, query, table
@@ -734,3 +734,57 @@ def new_file_scan(spark, d):
 def FLAGSHIP(spark, d):
     """Vectors and BM25 fused, for the items with an id divisible by 100."""
     return rrf_fusion(spark, d)
+
+
+# --- stored indexes -------------------------------------------------------------------------------------
+
+
+def _stored_index(spark, d):
+    """An index of all documents, made in two additions: those of one language, then the others."""
+    index = inverted.create(spark, shared_path(spark, "index"), "latin_tokens", buckets=32)
+    docs = table(spark, d, "documents")
+    index.add(docs.where("lang <=> 'en'"), 0, key="doc_id")
+    index.add(docs.where("not (lang <=> 'en')"), 1, key="doc_id")
+    return index
+
+
+@query(BM25_SQL + " select query_id, chunk_id, round(score, 6) as score, cast(rank as integer) as rank from bm where rank <= 10")
+def index_topk(spark, d):
+    """bm25_topk's answers from a stored index that has grown by a segment (top-k report)."""
+    q = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return _rounded(_stored_index(spark, d).search(q, 10))
+
+
+@query(
+    """with t as (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._+/-][a-z0-9]+)*')) as term, doc_id from documents)
+select term, count(distinct doc_id) as documents, count(*) as occurrences from t group by term"""
+)
+def index_terms(spark, d):
+    """Document and corpus frequencies of all terms, as the stored postings hold them."""
+    return _stored_index(spark, d).terms()
+
+
+def _stored_vectors(spark, d):
+    v = table(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    index = vector_index.train(spark, shared_path(spark, "vectors"), v, lists=32, parts=16)
+    index.add(v.where("label % 3 = 0"), 0)
+    index.add(v.where("not (label % 3 <=> 0)"), 1)
+    return index, v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+
+
+@query(DENSE_SQL + " select query_id, chunk_id, round(score, 6) as score, cast(rank as integer) as rank from de where rank <= 10")
+def vector_index_topk(spark, d):
+    """dense_topk's answers from inverted lists, those that can't hold one left out (top-k report)."""
+    index, q = _stored_vectors(spark, d)
+    return _rounded(index.exact(q, 10))
+
+
+@query(
+    DENSE_SQL
+    + """, fi as (select query_id, chunk_id, label, score, row_number() over (partition by query_id order by round(score, 9) desc, cast(chunk_id as varchar)) as rank from c where label between 2 and 6)
+select query_id, chunk_id, round(score, 6) as score, cast(rank as integer) as rank from fi where rank <= 5"""
+)
+def vector_index_filtered(spark, d):
+    """The nearest vectors of some labels: the filter holds inside the lists (top-k report)."""
+    index, q = _stored_vectors(spark, d)
+    return _rounded(index.exact(q, 5, where=F.col("label").between(2, 6)))
