@@ -250,12 +250,17 @@ def content_tags(pages: DataFrame, rules: list[dict]) -> DataFrame:
     return hits.select("paper_id", "category", "value", F.lit("content_rule").alias("source"), F.least(F.lit(0.99), F.col("c") + 0.04).alias("confidence"), F.col("first.page").alias("page"), F.array_join("first.words", ", ").alias("evidence"))
 
 
-def _rule_hits(rows: DataFrame, rules: list[dict], text: str, *more: str) -> DataFrame:
-    found, lowered = [], F.lower(F.coalesce(F.col(text), F.lit("")))
+def keyword_hits(text: Column, rules: list[dict]) -> Column:
+    """An array of the rules that a text meets: category, value, confidence c, and the words found."""
+    found, lowered = [], F.lower(F.coalesce(text, F.lit("")))
     for r in rules:
         words = F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(k.lower())), F.lit(k)) for k in r["keywords"]]))
         found.append(F.struct(F.lit(r["category"]).alias("category"), F.lit(r["value"]).alias("value"), F.lit(float(r["confidence"])).alias("c"), words.alias("words")))
-    return rows.select("paper_id", *more, F.explode(F.filter(F.array(*found), lambda t: F.size(t["words"]) > 0)).alias("t"))
+    return F.filter(F.array(*found), lambda t: F.size(t["words"]) > 0)
+
+
+def _rule_hits(rows: DataFrame, rules: list[dict], text: str, *more: str) -> DataFrame:
+    return rows.select("paper_id", *more, F.explode(keyword_hits(F.col(text), rules)).alias("t"))
 
 
 def new_files(listing: DataFrame, cache: DataFrame) -> DataFrame:

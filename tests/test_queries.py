@@ -6,7 +6,12 @@ import duckdb
 import pytest
 
 from evigrain import catalog_of_queries, queries_of_records  # noqa: F401 - register the queries
-from evigrain.registry import ORACLES, QUERIES
+from evigrain.registry import ORACLES as OWN_SQL
+from evigrain.registry import QUERIES as OWN
+from jobs.queries import ORACLES as JOBS_SQL
+from jobs.queries import QUERIES as JOBS
+
+QUERIES, ORACLES = OWN | JOBS, OWN_SQL | JOBS_SQL
 
 
 @pytest.fixture(scope="session")
