@@ -35,6 +35,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if fits(df, rows, size) else df
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it is scanned in fewer tasks, as small tables in one file are; larger ones are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints, set for this session: spark.checkpoint.dir, or on a local master a new one.
 

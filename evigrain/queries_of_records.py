@@ -554,3 +554,43 @@ def service_answers(spark, d):
     rows += [("detail", 1, service.paper_detail(papers, tags, 1)["title"])]
     return spark.createDataFrame([(a, str(b), str(c)) for a, b, c in rows], "part string, name string, value string")
 
+
+
+# --- PDF files ------------------------------------------------------------------------------------------
+
+
+def _pdf_files(docs):
+    """(path, content): a PDF of each document, a page a line, its lines' first words as bookmarks below its source; some
+    are encrypted, some lack their trailer, some their head."""
+    obj = lambda n, body: F.concat(n.cast("string"), F.lit(" 0 obj\n<< "), *body, F.lit(" >>\nendobj\n"))
+    text = lambda *parts: [F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts]
+    page, mark = (lambda i: F.lit(10) + i * 2), (lambda i: F.lit(11) + i * 2)
+    lines = F.split("text", "\n")
+    rows = docs.select("doc_id", "source", F.transform(lines, lambda x: F.regexp_extract(F.lower(x), tx.LATIN_TOKEN, 0)).alias("titles"))
+    rows = rows.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("titles") - 1), lambda i: F.element_at("titles", i + 1) != ""))
+    some, at, n = F.size("at") > 0, F.col("at"), F.size("titles")
+    pages = F.transform(F.sequence(F.lit(0), n - 1), lambda i: obj(page(i), text("/Type /Page /Parent 2 0 R")))
+    following = lambda j: F.when(j + 1 < F.size(at), F.concat(F.lit(" /Next "), mark(F.get(at, j + 1)).cast("string"), F.lit(" 0 R"))).otherwise("")
+    marks = F.transform(at, lambda i, j: obj(mark(i), text("/Title (", F.element_at("titles", i + 1), ") /Parent 4 0 R /Dest [", page(i), " 0 R /Fit]", following(j))))
+    kids = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(page(i).cast("string"), F.lit(" 0 R"))), " ")
+    below = F.when(some, F.concat(F.lit(" /First "), mark(F.get(at, 0)).cast("string"), F.lit(" 0 R"))).otherwise("")
+    fixed = [obj(F.lit(1), text("/Type /Catalog /Pages 2 0 R /Outlines 3 0 R")), obj(F.lit(2), text("/Type /Pages /Count ", n, " /Kids [", kids, "]")), obj(F.lit(3), text("/Type /Outlines /First 4 0 R")), obj(F.lit(4), text("/Title (", F.col("source"), ") /Parent 3 0 R /Dest [10 0 R /Fit]", below))]
+    key = F.col("doc_id")
+    tail = F.when(key % 13 == 5, "").otherwise(F.concat(F.lit("trailer\n<< /Root 1 0 R"), F.when(key % 11 == 0, " /Encrypt 9 0 R").otherwise(""), F.lit(" >>\nstartxref\n0\n%%EOF")))
+    whole = F.concat(F.when(key % 17 == 3, "").otherwise("%PDF-1.4\n"), *fixed, F.array_join(pages, ""), F.array_join(marks, ""), tail)
+    return rows.select(key.cast("string").alias("path"), whole.cast("binary").alias("content"))
+
+
+@query(
+    f"""with l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_extract(lower(x), '{tx.LATIN_TOKEN}')) as t from documents),
+s as (select *, case when doc_id % 17 = 3 then 'not_pdf' when doc_id % 13 = 5 then 'broken' when doc_id % 11 = 0 then 'encrypted' else 'ok' end as status from l)
+select doc_id, status, case when status = 'ok' then len(t) else 0 end as page_count,
+  case when status = 'ok' then array_to_string(list_filter(list_transform(t, lambda x, i: case when x <> '' then x || '@' || i end), lambda x: x is not null), ',') else '' end as bookmarks from s"""
+)
+def pdf_documents(spark, d):
+    """Pages and bookmarks of PDF files made of all documents, read as objects and references."""
+    from .sources import pdf
+
+    got = pdf.summary(_pdf_files(table(spark, d, "documents").where("text is not null")))
+    below = F.transform(F.filter("toc", lambda x: x["level"] == 2), lambda x: F.concat(x["title"], F.lit("@"), x["page"].cast("string")))
+    return got.select(F.col("path").cast("long").alias("doc_id"), "status", F.col("page_count").cast("long").alias("page_count"), F.array_join(below, ",").alias("bookmarks"))

@@ -48,14 +48,20 @@ def owner_of(path: Column, root: str) -> Column:
     return F.when(F.contains(rest, F.lit("/")), F.element_at(F.split(rest, "/"), 1)).otherwise("")
 
 
-def accept_uploads(files: DataFrame, known: DataFrame) -> DataFrame:
-    """Files (path, length, content) with paper_id and status: too_large, not_pdf, duplicate or accepted."""
+def accept_uploads(files: DataFrame, known: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Files (path, length, content) with paper_id and status: too_large, not_pdf, duplicate or accepted.
+
+    With facts, (path, status, page_count) of sources.pdf.summary, also encrypted and broken, and page_count.
+    """
     rows = files.withColumn("paper_id", F.sha2("content", 256))
     first = first_of(rows.select("paper_id", "path"), ["paper_id"], [F.col("path")]).withColumn("_first", F.lit(True))
     seen = known.select("paper_id").distinct().withColumn("_seen", F.lit(True))
     rows = rows.join(first, ["paper_id", "path"], "left").join(seen, "paper_id", "left")
     status = F.when(F.col("length") > MAX_UPLOAD, "too_large").when(~is_pdf(F.col("content")), "not_pdf").when(F.col("_seen").isNotNull() | F.col("_first").isNull(), "duplicate").otherwise("accepted")
-    return rows.withColumn("status", status).drop("_seen", "_first")
+    if facts is not None:
+        rows = rows.join(facts.select("path", F.col("status").alias("_said"), "page_count"), "path", "left")
+        status = F.when((status == "accepted") & F.col("_said").isin("encrypted", "broken", "not_pdf"), F.col("_said")).otherwise(status)
+    return rows.withColumn("status", status).drop("_seen", "_first", "_said")
 
 
 def parsed_papers(spark: SparkSession, path: str) -> DataFrame:
