@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions import vectors as vx
 from .operators import catalog, evaluation, evidence, inverted, layout, matching, profiles, retrieval, vector_index
-from .operators.shared import first_of, shared_path, top_k
+from .operators.shared import first_of, shared_path, small, top_k
 from .plans import filters
 from .registry import ORACLES, QUERIES, query, table
 
@@ -142,7 +142,7 @@ def eval_metrics(spark, d):
     """Recall, MRR and nDCG of the vector ranking; relevant are vectors of the query's label."""
     v = table(spark, d, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    rel = v.join(F.broadcast(q), "label").select("query_id", F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 3 + 1).alias("relevance"))
+    rel = v.join(small(q), "label").select("query_id", F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 3 + 1).alias("relevance"))
     return evaluation.evaluate(rel, _dense(spark, d, 10))
 
 
@@ -326,7 +326,7 @@ def recurring_blocks(spark, d):
     """Lines that recur in a source's documents, as running heads recur on pages."""
     docs = table(spark, d, "documents")
     pages = docs.groupBy("source").agg(F.countDistinct("doc_id").alias("pages"))
-    rows = docs.select("doc_id", "source", F.explode(F.split("text", "\n")).alias("key")).where(F.trim("key") != "").join(F.broadcast(pages), "source")
+    rows = docs.select("doc_id", "source", F.explode(F.split("text", "\n")).alias("key")).where(F.trim("key") != "").join(small(pages), "source")
     return layout.recurring(rows, "source", "doc_id", "key", "pages")
 
 

@@ -46,7 +46,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     plain = best.where("not overview").drop("overview")
     first = chunks.select("file_name").distinct().orderBy("file_name").limit(k)
     wide = questions.where("overview").select(F.col("question_id").alias("query_id"), "embedding")
-    near = grouped_search(chunks.join(F.broadcast(first), "file_name"), wide, "file_name", 1)
+    near = grouped_search(chunks.join(small(first), "file_name"), wide, "file_name", 1)
     by = [F.round("score", 9).desc(), F.col("chunk_id")]
     own = near.select("query_id", "chunk_id", "score", F.struct(F.lit(0).alias("a"), F.col("file_name").alias("b"), F.lit(0).alias("c")).alias("turn"))
     rest = best.where("overview").select("query_id", "chunk_id", "score", F.struct(F.lit(1).alias("a"), F.lit("").alias("b"), F.col("rank").alias("c")).alias("turn"))

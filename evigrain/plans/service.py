@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,19 @@ def paper_detail(papers: DataFrame, tags: DataFrame, paper_id: str) -> dict:
         raise KeyError(paper_id)
     own = catalog.visible_tags(tags.where(F.col("paper_id") == paper_id), CARD_ORDER, HIDDEN, DETAIL_TAGS).orderBy("place")
     return row[0].asDict() | {"tags": [t["value"] for t in own.collect()]}
+
+
+def answers(papers: DataFrame, tags: DataFrame, page: int, paper_id, limit: int = 200) -> DataFrame:
+    """(part, name, value): what health, stats, teachers, a page and a paper's detail say, as one table; nothing is collected."""
+    say = lambda part, df, name, value: df.select(F.lit(part).alias("part"), name.cast("string").alias("name"), value.cast("string").alias("value"))
+    rows = catalog.search(papers, tags)
+    parts = [
+        say("health", papers.agg(F.count("*").alias("n")), F.lit("papers"), F.col("n")),
+        say("stats", papers.groupBy("ingestion_status").agg(F.count("*").alias("n")), F.col("ingestion_status"), F.col("n")),
+        say("stats", catalog.stats(papers), F.lit("owners"), F.col("owners")),
+        say("teachers", catalog.facets(rows, "teacher", limit).where("teacher <> ''"), F.col("teacher"), F.col("papers")),
+        say("teachers", catalog.facet_count(rows, "teacher"), F.lit("(total)"), F.col("facets")),
+        say("page", catalog.page(rows, [F.lower("teacher"), F.lower("title"), F.col("paper_id")], page, 18)[0], F.col("paper_id"), F.col("title")),
+        say("detail", papers.where(F.col("paper_id") == paper_id), F.col("paper_id"), F.col("title")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

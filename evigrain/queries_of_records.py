@@ -117,12 +117,13 @@ def metric_summary(spark, d):
 
 
 @query(
-    """with r as (select l_orderkey || '-' || l_linenumber as id, l_linenumber as m, l_suppkey || '-' || l_partkey as c from lineitem where l_orderkey % 4 <> 0)
-select 'm' || a.m as definition_id, count(*) as pairs from r a join r b on a.m = b.m and a.c = b.c and a.id < b.id group by a.m"""
+    """with r as (select l_orderkey || '-' || l_linenumber as id, l_linenumber as m, l_suppkey || '-' || l_partkey as c from lineitem where l_orderkey % 4 <> 0),
+g as (select *, min(id) over (partition by m, c) as group_id, count(*) over (partition by m, c) as members from r)
+select 'm' || m as definition_id, group_id, members, id as metric_id from g where members > 1"""
 )
 def comparable_records(spark, d):
-    """Pairs of records with the same metric, unit and a condition that is said."""
-    return metrics.comparable(_records(spark, d)).groupBy("definition_id").agg(F.count("*").alias("pairs"))
+    """Groups of records with the same metric, unit and a condition that is said."""
+    return metrics.comparable(_records(spark, d)).select("definition_id", "group_id", "members", "metric_id")
 
 
 @query(
@@ -300,10 +301,17 @@ def chunk_outline(spark, d):
     return got.select(F.regexp_extract("file_name", r"\d+", 0).cast("long").alias("p_partkey"), "chunk_id", "section_path", "section_type", F.length("text").alias("characters"), "page_start", "block_start", "block_end")
 
 
-@query("select source as file_name, cast(sum(length(text)) as bigint) as characters, count(*) as chunks, round(avg(length(text)), 6) as mean_length from documents group by 1")
+@query(
+    """with k as (select source as file_name, doc_id, row_number() over (partition by source order by md5('7:' || doc_id), doc_id) as n from documents where text is not null),
+t as (select file_name, array_to_string(list(doc_id order by doc_id), ',') as samples from k where n <= 3 group by 1)
+select source as file_name, cast(sum(length(text)) as bigint) as characters, count(*) as chunks, round(avg(length(text)), 6) as mean_length, samples
+from documents join t on file_name = source where text is not null group by source, samples"""
+)
 def chunk_stats(spark, d):
+    """Sizes by group, and three of its chunks, chosen by a seed."""
     docs = table(spark, d, "documents").withColumnRenamed("source", "file_name").where("text is not null")
-    return layout.chunk_summary(docs, ["file_name"]).withColumn("mean_length", F.round("mean_length", 6))
+    got = layout.chunk_summary(docs, ["file_name"], 3, 7, "doc_id").withColumn("mean_length", F.round("mean_length", 6))
+    return got.withColumn("samples", F.array_join(F.transform("samples", lambda x: x.cast("string")), ","))
 
 
 @query("select event_type as paper_id, count(distinct user_id) as pages, count(*) as blocks, count_if(event_id % 3 = 0) as figures, count_if(event_id % 3 = 1) as tables, cast(sum(event_id % 4) as bigint) as scripts from events group by 1")
@@ -547,13 +555,7 @@ def service_answers(spark, d):
         F.array().cast(EMPTY).alias("keywords"), F.lit("unclassified").alias("direction"), F.when(F.col("p_size") > 25, "indexed").otherwise("parsed").alias("ingestion_status"), F.col("p_size").alias("year"),
     )
     tags = spark.createDataFrame([], "paper_id long, category string, value string, normalized_value string, confidence double, review_status string")
-    stats, people = service.stats(papers), service.teachers(papers, tags)
-    rows = [("health", "papers", service.health(papers)["papers"]), ("stats", "owners", stats["owners"]), *[("stats", k, v) for k, v in stats["status_counts"].items()]]
-    rows += [("teachers", t["teacher"], t["papers"]) for t in people["items"]] + [("teachers", "(total)", people["total"])]
-    rows += [("page", i["paper_id"], i["title"]) for i in service.paper_page(papers, tags, page=2)["items"]]
-    rows += [("detail", 1, service.paper_detail(papers, tags, 1)["title"])]
-    return spark.createDataFrame([(a, str(b), str(c)) for a, b, c in rows], "part string, name string, value string")
-
+    return service.answers(papers, tags, 2, 1)
 
 
 # --- PDF files ------------------------------------------------------------------------------------------
@@ -594,3 +596,51 @@ def pdf_documents(spark, d):
     got = pdf.summary(_pdf_files(table(spark, d, "documents").where("text is not null")))
     below = F.transform(F.filter("toc", lambda x: x["level"] == 2), lambda x: F.concat(x["title"], F.lit("@"), x["page"].cast("string")))
     return got.select(F.col("path").cast("long").alias("doc_id"), "status", F.col("page_count").cast("long").alias("page_count"), F.array_join(below, ",").alias("bookmarks"))
+
+
+# --- catalogs in buckets ----------------------------------------------------------------------------------
+
+
+@query("select sha256(text) as content_id, count(distinct text) as texts from documents group by 1")
+def stream_dedupe_stored(spark, d):
+    """A file stream deduplicated against a stored catalog of digests, without state; a second run adds nothing."""
+    from .sources.buckets import catalog as buckets
+    from .streaming import ingest
+
+    path, out = f"{d}/documents.parquet", shared_path(spark, "stored")
+    known = buckets(spark, f"{out}/known", "content_id string", "content_id", 16)
+    for _ in range(2):
+        rows = spark.readStream.schema("text string").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(path)
+        ingest.once_per_content_stored(rows, F.sha2("text", 256), known, f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.schema("text string, content_id string").parquet(f"{out}/rows").groupBy("content_id").agg(F.count("*").alias("texts"))
+
+
+@query("select o_custkey, count(*) as orders, max(o_orderdate) as last, coalesce(min(case when o_orderkey % 2 = 1 then o_orderkey end), min(o_orderkey)) as first_order from orders group by 1")
+def bucket_upserts(spark, d):
+    """Upserts in two batches, each applied twice, into a catalog of which only the touched buckets are rewritten."""
+    from .sources.buckets import catalog as buckets
+
+    known = buckets(spark, shared_path(spark, "upserts"), "o_custkey long, orders long, last timestamp, first_order long", "o_custkey", 8)
+    o = table(spark, d, "orders").withColumn("last", F.col("o_orderdate").cast("timestamp"))
+    combine = {"orders": lambda was, now: was + now, "last": lambda was, now: F.greatest(was, now)}
+    for batch in (0, 1):
+        part = o.where(F.col("o_orderkey") % 2 == 1 - batch).groupBy("o_custkey").agg(F.count("*").alias("orders"), F.max("last").alias("last"), F.min("o_orderkey").alias("first_order"))
+        for _ in range(2):
+            known.upsert(part, batch, combine)
+    return known.rows().select("o_custkey", "orders", "last", "first_order")
+
+
+@query(
+    """with o as (select *, row_number() over (order by value, event_id) as k, count(*) over () as n from events),
+g as (select event_type, value, row_number() over (partition by event_type order by value) as k, count(*) over (partition by event_type) as n from events)
+select coalesce(event_type, '(all)') as event_type, n, p50, p95 from (
+  select null as event_type, max(n) as n, avg(case when k in ((n + 1) // 2, n // 2 + 1) then value end) as p50, max(case when k = (n * 95 + 99) // 100 then value end) as p95 from o
+  union all select event_type, max(n), avg(case when k in ((n + 1) // 2, n // 2 + 1) then value end), max(case when k = (n * 95 + 99) // 100 then value end) from g group by event_type)"""
+)
+def exact_quantiles(spark, d):
+    """Median and nearest-rank 95th percentile of each group, and of all rows as one, by histograms that narrow down."""
+    from .operators.evaluation import latency
+
+    e = table(spark, d, "events")
+    both = e.select("event_type", "value").unionByName(e.select(F.lit("(all)").alias("event_type"), "value"))
+    return latency(both, "value", ["event_type"], gathered=100).select("event_type", "n", "p50", "p95")

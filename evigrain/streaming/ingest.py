@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.buckets import Catalog
+
 
 def new_rows(spark: SparkSession, path: str, schema, files_per_batch: int = 100, form: str = "parquet") -> DataFrame:
     """A stream of the rows of a folder's files, each file once."""
@@ -38,3 +40,20 @@ def run_batches(rows: DataFrame, work, checkpoint: str) -> StreamingQuery:
     query = rows.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def once_per_content_stored(rows: DataFrame, digest: Column, known: Catalog, sink: str, checkpoint: str) -> StreamingQuery:
+    """Writes to sink/batch=N the rows whose digest, content_id, is new; the stream itself keeps no state.
+
+    What is known stands in a catalog in hash buckets (key content_id); a batch reads and rewrites only the buckets of its
+    own digests. A batch that comes again after a failure finds the same rows new and replaces its folder. Of rows with one
+    digest in a batch one is kept.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        first = batch.withColumn("content_id", digest).dropDuplicates(["content_id"])
+        known.fresh(first, number).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        done = batch.sparkSession.read.schema("content_id string").parquet(f"{sink}/batch={number}")
+        known.upsert(done, number)
+
+    return run_batches(rows, work, checkpoint)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigrain.functions import vectors as vx
-from evigrain.operators import catalog, evidence, retrieval, solutions, structured
+from evigrain.operators import catalog, evaluation, evidence, layout, metrics, retrieval, solutions, structured
 from evigrain.plans import batches, experiment, workflow
 from evigrain.sources import files
 from evigrain.streaming import ingest, progress
@@ -189,3 +189,58 @@ def test_installs_and_progress(spark, tmp_path):
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     stop()
     assert any(e.get("rows") == 3 for e in seen) and retrieval is not None
+
+
+@pytest.mark.parametrize("gathered", [0, 50, 10**6])
+def test_quantiles_of_groups_of_any_size(spark, gathered):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"one": [4.5], "two": [1.0, 2.0], "same": [7.0] * 90, "wide": [-1.7e308, 1.7e308, 0.0, 5e-324, 1.0], "skew": [*rng.lognormal(0, 9, 400).tolist(), *[3.25] * 100], "many": rng.normal(size=2000).round(2).tolist(), "near": [1.0 + k * 2**-52 for k in range(300)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("many", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r for r in evaluation.latency(df, "v", ["g"], gathered).collect()}
+    for g, vs in groups.items():
+        vs = sorted(vs)
+        n = len(vs)
+        assert (got[g].n, got[g].p95, got[g].max) == (n, vs[-(-95 * n // 100) - 1], vs[-1])
+        assert got[g].p50 == pytest.approx(vs[(n - 1) // 2] / 2 + vs[n // 2] / 2)
+    whole = evaluation.latency(df.where("g in ('many', 'skew')"), "v", [], gathered).first()
+    both = sorted(groups["many"] + groups["skew"])
+    assert (whole.n, whole.p95) == (2500, both[-(-95 * 2500 // 100) - 1]) and whole.p50 == pytest.approx((both[1249] + both[1250]) / 2)
+
+
+def test_comparable_groups(spark):
+    rows = [("a", "m", "u", "c"), ("b", "m", "u", "c"), ("c", "m", "u", "d"), ("d", "m", "u", ""), ("e", "m", "u", ""), ("f", "m", "v", "c"), ("0", "m", "u", "c")]
+    df = spark.createDataFrame(rows, "metric_id string, definition_id string, canonical_unit string, test_condition string")
+    got = sorted((r.group_id, r.members, r.metric_id) for r in metrics.comparable(df).collect())
+    assert got == [("0", 3, "0"), ("0", 3, "a"), ("0", 3, "b")]
+
+
+def test_chunk_samples_do_not_depend_on_order(spark):
+    df = spark.createDataFrame([(f"c{k}", "f" if k % 2 else "g", "x" * k) for k in range(30)], "chunk_id string, file_name string, text string")
+    a, b = (sorted(map(tuple, layout.chunk_summary(d, ["file_name"], 3, 1).collect())) for d in (df, df.orderBy("text").repartition(7)))
+    assert a == b and all(len(r[-1]) == 3 for r in a)
+    assert a != sorted(map(tuple, layout.chunk_summary(df, ["file_name"], 3, 2).collect()))
+    assert len(layout.chunk_summary(df, [], 40).first().samples) == 30
+
+
+def test_stored_digests_take_the_place_of_state(spark):
+    from evigrain.operators.shared import shared_path
+    from evigrain.sources import buckets
+    from evigrain.streaming import ingest
+
+    at = shared_path(spark, "stored")
+    known = buckets.catalog(spark, f"{at}/known", "content_id string", "content_id", 4)
+    run = lambda: ingest.once_per_content_stored(spark.readStream.schema("id long, t string").option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*"), F.sha2("t", 256), known, f"{at}/out", f"{at}/progress")
+    put = lambda name, *rows: spark.createDataFrame(list(rows), "id long, t string").coalesce(1).write.parquet(f"{at}/in/{name}")
+    kept = lambda: sorted((r.id, r.t) for r in spark.read.schema("id long, t string, content_id string").parquet(f"{at}/out").collect())
+    put("a", (1, "x"), (2, "y"))
+    run()
+    put("b", (3, "x"), (4, "z"))
+    run()
+    run()
+    assert kept() == [(1, "x"), (2, "y"), (4, "z")] and known.rows().count() == 3
+    # the second batch again, as after a failure between its two writes
+    batch = spark.createDataFrame([(3, "x"), (4, "z")], "id long, t string").withColumn("content_id", F.sha2("t", 256))
+    assert [r.id for r in known.fresh(batch, 1).collect()] == [4]
