@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.shared import over_cores
 from .common import FILTER_BITS, attach_by_key, connected_components, discard, id_filter, materialize, partitions, read_table, runs_of, slices, split_by_filter, tidy, utf8_view
 
 DEPTH = 3
@@ -49,16 +50,42 @@ def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+#: White space but the blank and the line end.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
+def traits(text: str) -> tuple[bool, bool]:
+    """Whether a text's lines are their tokens with one blank between each, and whether it has a digit."""
+    odd = "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _OTHER_SPACE)
+    return not odd, bool(_DIGIT.search(text))
+
+
+def spelled(line: str, plain: bool, digits: bool) -> tuple[str, str]:
+    """A line's tokens with one blank between each: with those that have a digit as <*>, and as they are."""
+    if digits and _DIGIT.search(line):
+        own = line.split()
+        return " ".join(["<*>" if _DIGIT.search(t) else t for t in own]), " ".join(own)
+    own = line if plain else " ".join(line.split())
+    return own, own
+
+
+def leaf_of(tokens: str) -> int:
+    n = tokens.count(" ") + 1
+    return min(n, (1 << WIDTH_BITS) - 1) << HASH_BITS | _hash(f"{n} {begin(tokens)}") & ((1 << HASH_BITS) - 1)
+
+
+def begin(tokens: str) -> str:
+    return " ".join(tokens.split(" ", DEPTH)[:DEPTH])
+
+
+def end(tokens: str) -> str:
+    return " ".join(tokens.rsplit(" ", DEPTH)[-DEPTH:])
+
+
 def parse(line: str) -> tuple[int, int, list[str]] | None:
     """(leaf, line key, tokens) of a line; None for a blank one."""
-    tokens = line.split()
-    if not tokens:
-        return None
-    if _DIGIT.search(line):
-        tokens = ["<*>" if _DIGIT.search(t) else t for t in tokens]
-    width = min(len(tokens), (1 << WIDTH_BITS) - 1)
-    leaf = width << HASH_BITS | _hash(f"{len(tokens)} {' '.join(tokens[:DEPTH])}") & ((1 << HASH_BITS) - 1)
-    return leaf, _hash(" ".join(tokens)), tokens
+    tokens = spelled(line, False, True)[0]
+    return (leaf_of(tokens), _hash(tokens), tokens.split(" ")) if tokens else None
 
 
 def at_once(lines: int = LINES, tokens: int = TOKENS) -> Column:
@@ -68,23 +95,17 @@ def at_once(lines: int = LINES, tokens: int = TOKENS) -> Column:
     return F.when(width < (1 << WIDTH_BITS) - 1, fit).otherwise(1).cast("int")
 
 
-def ends(tokens: list[str]) -> tuple[int, int]:
-    """Keys of the first and of the last DEPTH tokens of a line."""
-    return _hash(" ".join(tokens[:DEPTH])), _hash(" ".join(tokens[-DEPTH:]))
-
-
 def _wrapped(n: int) -> int:
     return (n + _HALF) % (2 * _HALF) - _HALF
 
 
-def exact_lines(text: str) -> dict[int, tuple[tuple[int, int, list[str]], list[str]]]:
-    """{key: (parsed line, its tokens as they are)} of a text's different lines."""
-    out = {}
+def exact_lines(text: str) -> dict[int, tuple[str, str]]:
+    """{key: (tokens with <*>, tokens as they are)} of a text's different lines."""
+    out, (plain, digits) = {}, traits(text)
     for line in set(text.split("\n")):
-        p = parse(line)
-        if p:
-            own = line.split()
-            out[p[1] if own == p[2] else _hash("\0" + " ".join(own))] = p, own
+        form, own = spelled(line, plain, digits)
+        if form:
+            out[_hash(form) if form is own else _hash("\0" + own)] = form, own
     return out
 
 
@@ -212,10 +233,10 @@ def line_table(docs: DataFrame) -> DataFrame:
                     exact = exact_lines(text)
                     if not exact:
                         continue
-                    found = {p[:2]: p[2] for p, _ in exact.values()}
-                    both = [ends(t) for t in found.values()]
+                    found = {form: k if form is own else None for k, (form, own) in exact.items()}
+                    both = [(_hash(begin(f)), _hash(end(f))) for f in found]
                     ident, key = ids[a + i].as_py(), _wrapped(sum(exact))
-                    rows += [(ident, key, *k, *by) for k, by in zip(found, company(both))]
+                    rows += [(ident, key, leaf_of(f), _hash(f) if k is None else k, *by) for (f, k), by in zip(found.items(), company(both))]
                     rows.append((ident, key, None, None, _wrapped(sum({h for h, _ in both})), _wrapped(sum({t for _, t in both}))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [c.split()[0] for c in LINE.split(", ")])
@@ -248,12 +269,12 @@ def told_apart(docs: DataFrame, lines: DataFrame, documents: int) -> DataFrame:
                     exact = exact_lines(text)
                     if _wrapped(sum(exact)) != want:
                         continue  # another row with this id
-                    ends_ = [ends(p[2]) for p, _ in exact.values()]
+                    ends_ = [(_hash(begin(form)), _hash(end(form))) for form, _ in exact.values()]
                     h, t = (_wrapped(sum({e[k] for e in ends_})) for k in (0, 1))
-                    for (k, ((leaf, line, _), own)), (head, tail) in zip(exact.items(), ends_):
-                        first, last = ends(own)
-                        rows.append((want, leaf, line, k, h, head, last))
-                        rows.append((want, leaf, line, k, t, tail, first))
+                    for (k, (form, own)), (head, tail) in zip(exact.items(), ends_):
+                        leaf, line = leaf_of(form), _hash(form)
+                        rows.append((want, leaf, line, k, h, head, _hash(end(own))))
+                        rows.append((want, leaf, line, k, t, tail, _hash(begin(own))))
                 if rows:
                     side = pa.array(np.arange(len(rows), dtype=np.int32) % 2)
                     yield pa.RecordBatch.from_arrays([side, *(pa.array(c, pa.int64()) for c in zip(*rows))], ["side", "text", "leaf", "line", "exact", "alike", "end", "other"])
@@ -283,7 +304,7 @@ def told_apart(docs: DataFrame, lines: DataFrame, documents: int) -> DataFrame:
     nought = F.lit(0).cast("long")
     changed = changed.select("doc_id", "text", "leaf", "line", F.col("heads").bitwiseXOR(F.col("h").bitwiseXOR(F.coalesce("own_h", nought))).alias("heads"), F.col("tails").bitwiseXOR(F.col("t").bitwiseXOR(F.coalesce("own_t", nought))).alias("tails"))
     same = split_by_filter(lines, "text", bits, inside=False).unionByName(maybe.join(by_text.select("text"), "text", "left_anti").select(*lines.columns))
-    return materialize(same.unionByName(changed), "told-lines")
+    return same.unionByName(materialize(changed, "told-lines"))
 
 
 def leaf_lines(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -296,13 +317,15 @@ def leaf_lines(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for _, texts in _texts(batch, 1):
                 rows = []
                 for text in texts:
+                    plain, digits = traits(text)
                     for line in set(text.split("\n")):
-                        p = parse(line)
-                        if p and bits[p[0] & (FILTER_BITS - 1)] and p[:2] not in seen:
+                        form = spelled(line, plain, digits)[0]
+                        leaf = leaf_of(form) if form else None
+                        if form and bits[leaf & (FILTER_BITS - 1)] and (k := (leaf, _hash(form))) not in seen:
                             if len(seen) > 1_000_000:  # what is sent twice is counted once later
                                 seen.clear()
-                            seen.add(p[:2])
-                            rows.append((p[0], p[1], " ".join(p[2])))
+                            seen.add(k)
+                            rows.append((*k, form))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))], ["leaf", "line", "tokens"])
 
@@ -389,7 +412,8 @@ def clean(docs: DataFrame, documents: int = DOCUMENTS, text: str = "text", key:
                     kept = whole = t.split("\n")
                     drop = np.sort(np.array(gone[i].as_py() or [], np.int64)) if known is None else known
                     if len(drop):
-                        keys = [p[1] if (p := parse(r)) else None for r in whole]
+                        plain, digits = traits(t)
+                        keys = [_hash(form) if (form := spelled(r, plain, digits)[0]) else None for r in whole]
                         some = np.array([k for k in keys if k is not None], np.int64)
                         place = np.minimum(np.searchsorted(drop, some), len(drop) - 1)
                         bad = set(some[drop[place] == some].tolist())
@@ -423,4 +447,4 @@ def _with_drops(docs: DataFrame, lines: DataFrame, found: DataFrame, key: str) -
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     """documents without the lines of recurring templates; see clean() for nulls, repeats and empty tables."""
-    return clean(read_table(spark, sf_dir, "documents"), report=True)
+    return clean(over_cores(read_table(spark, sf_dir, "documents")), report=True)
