@@ -134,3 +134,26 @@ def test_summaries(spark):
     assert tuple(layout.chunk_summary(c, ["file_name"]).first()) == ("f", 4, 2, 2.0)
     b = spark.createDataFrame([("f", 1, "paragraph", 2), ("f", 2, "figure_caption", 0)], "file_name string, page int, block_type string, script_span_count int")
     assert tuple(layout.layout_audit(b, ["file_name"]).first()) == ("f", 2, 2, 1, 0, 2)
+
+
+def test_nearest_images_of_crowded_pages(spark):
+    """Random boxes, many on one page, against all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    box = lambda w, h: (lambda x, y: (x, y, x + w, y + h))(float(rng.uniform(-50, 600)), float(rng.uniform(-50, 900)))
+    captions = [(f"c{k}", "d", int(k % 5 == 0), *box(float(rng.uniform(20, 500)), 20.0), 842.0) for k in range(120)]
+    images = [(f"i{k:04d}", "d", int(k % 5 == 0), *box(float(rng.uniform(30, 600)), float(rng.uniform(30, 300)))) for k in range(400)]
+    c = spark.createDataFrame(captions, "caption_id string, doc_id string, page int, x0 double, y0 double, x1 double, y1 double, page_height double")
+    i = spark.createDataFrame(images, "image_id string, doc_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    want = {}
+    for cid, _, page, x0, y0, x1, y1, height in captions:
+        found = []
+        for iid, _, p, a0, b0, a1, b1 in images:
+            share = max(0.0, min(a1, x1) - max(a0, x0)) / max(1.0, min(a1 - a0, x1 - x0))
+            gap = max(0.0, y0 - b1)
+            if p == page and a1 - a0 >= 55 and b1 - b0 >= 45 and b1 <= y1 + 18 and share >= 0.12 and gap <= height * 0.42:
+                found.append((gap, -(a1 - a0) * (b1 - b0), iid))
+        want[cid] = min(found)[2] if found else None
+    got = {r.caption_id: r.image_id for r in layout.nearest_images(c, i).collect()}
+    assert got == want and any(want.values()) and not all(want.values())
