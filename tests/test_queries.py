@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from evigrain import catalog_of_queries, queries_of_records  # noqa: F401 - register the queries
+from evigrain import catalog_of_queries, queries_of_records, queries_of_texts  # noqa: F401 - register the queries
 from evigrain.registry import ORACLES as OWN_SQL
 from evigrain.registry import QUERIES as OWN
 from jobs.queries import ORACLES as JOBS_SQL
