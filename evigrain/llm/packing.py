@@ -133,7 +133,8 @@ class ChunkTokenizer:
     special token's spelling, in any case, as the vocabulary reads those before it cuts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.memory = memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -196,7 +197,7 @@ class ChunkTokenizer:
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
     def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > MEMORY:
+        if len(self.index) > self.memory:
             self.clear()
         chunks, counts = chunks_of(data, offsets)
         chunks = chunks.dictionary_encode()
@@ -210,18 +211,18 @@ class ChunkTokenizer:
 
 
 @lru_cache(maxsize=1)
-def tokenizer(path: str) -> ChunkTokenizer:
+def tokenizer(path: str, memory: int = MEMORY) -> ChunkTokenizer:
     """One a worker, so that its memory serves all tasks there."""
-    return ChunkTokenizer(path)
+    return ChunkTokenizer(path, memory)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, local long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def cut_pieces(docs: DataFrame, path: str, window: int, end: int, text: str, key: str, run_bytes: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, window: int, end: int, text: str, key: str, run_bytes: int, memory: int) -> DataFrame:
     def run(batches):
-        tok, part, seen = tokenizer(path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        tok, part, seen = tokenizer(path, memory), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for batch in batches:
             keys, texts = batch.column(0).cast(pa.int64()), batch.column(1)
             data, offsets = utf8_view(texts)
@@ -245,14 +246,14 @@ def cut_pieces(docs: DataFrame, path: str, window: int, end: int, text: str, key
     return docs.select(key, text).mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, text: str = "text", key: str = "doc_id", run_bytes: int = RUN) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, text: str = "text", key: str = "doc_id", run_bytes: int = RUN, memory: int = MEMORY) -> DataFrame:
     """One row per piece, with the sequence that holds it and its offset there.
 
     Null and empty texts are the end id alone. Repeated rows and keys are packed as often as they occur. An empty
     table gives an empty result. Of a sequence that isn't full, only its end is padding. run_bytes: texts that a worker
-    tokenizes at once, which trades its memory against its time and changes no result.
+    tokenizes at once, and memory: chunks that it remembers; they trade its memory against its time and change no result.
     """
-    pieces = materialize(cut_pieces(docs, path, window, end, text, key, run_bytes), "pieces")
+    pieces = materialize(cut_pieces(docs, path, window, end, text, key, run_bytes, memory), "pieces")
     # ranks among equal lengths: counted within each task above, so that one frequent length is nobody's burden
     tasks = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
