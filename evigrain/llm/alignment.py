@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.shared import over_cores
 from .common import materialize, partitions, read_table, slices, tidy, utf8_view
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -391,4 +392,4 @@ def op12_tokenizer_alignment(spark, sf_dir: str) -> DataFrame:
     """Every whole text of documents, aligned between the two vocabularies; see align_table() for edge cases."""
     import public_tokenizers as P
 
-    return align_table(read_table(spark, sf_dir, "documents"), P.path(A_FILE), P.path(B_FILE))
+    return align_table(over_cores(read_table(spark, sf_dir, "documents")), P.path(A_FILE), P.path(B_FILE))

@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..operators.shared import over_cores
 from .common import mix, read_table, slices, tidy, utf8_view
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -242,4 +243,4 @@ def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Every whole text of documents encoded and decoded again; see encode_table() for nulls and repeats."""
     import public_tokenizers as P
 
-    return encode_table(read_table(spark, sf_dir, "documents"), P.path(VOCABULARY), P.PATTERN)
+    return encode_table(over_cores(read_table(spark, sf_dir, "documents")), P.path(VOCABULARY), P.PATTERN)

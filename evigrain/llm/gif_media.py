@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.shared import over_cores
 from .common import materialize, read_table, tidy, utf8_view
 
 WIDTH = 64
@@ -412,4 +413,4 @@ def described(media: DataFrame) -> DataFrame:
 
 def op5_gif_media(spark, sf_dir: str) -> DataFrame:
     """Every whole text stored as a GIF; the table of its timed frames is written and the features come from that."""
-    return described(materialize(read_back(materialize(store(read_table(spark, sf_dir, "documents")), "gif")), "frames"))
+    return described(materialize(read_back(materialize(store(over_cores(read_table(spark, sf_dir, "documents"))), "gif")), "frames"))

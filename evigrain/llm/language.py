@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.shared import over_cores, top_k
 from .common import read_table, slices, tidy, utf8_view
-from ..operators.shared import top_k
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -231,5 +231,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
 
 def op11_language_id(spark, sf_dir: str) -> DataFrame:
     """Every whole text of documents, by a network fitted on rows that aren't held out; see predict() for edge cases."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = over_cores(read_table(spark, sf_dir, "documents"))
     return predict(docs, fit(docs))
