@@ -206,8 +206,7 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("shape", SHAPES)
-@pytest.mark.parametrize("shared", [1, 10])
+@pytest.mark.parametrize(("shape", "shared"), [*((shape, 10) for shape in SHAPES), ("a title", 1), ("a time stamp", 1)])
 def test_boilerplate_beside_lines_of_any_form(spark, shape, shared):
     boiler = [f"footer {chr(97 + k)} says that {chr(97 + k)} rights are ours" for k in range(shared)]
     rows = [(i, "\n".join([*boiler[: shared // 2], *SHAPES[shape](i), *boiler[shared // 2 :]])) for i in range(200)]
