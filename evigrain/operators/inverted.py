@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.files import exists
-from .shared import fits, require_none, top_k
+from .shared import fits, over_cores, require_none, top_k
 
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {"tokens": tx.tokens, "latin_tokens": tx.latin_tokens}
 #: Documents of a shard of a segment.
@@ -62,12 +62,12 @@ class InvertedIndex:
         Ids are not null, unlike each other and those of other segments, else nothing is written. Null and empty texts
         count as documents without terms.
         """
-        rows = chunks.select(F.col(key).alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        require_none(rows.where("chunk_id is null").select("chunk_id"), "a chunk has no id")
-        require_none(rows.groupBy("chunk_id").count().where("count > 1"), "two chunks have one id")
+        rows = over_cores(chunks.select(F.col(key).alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+        ids = chunks.select(F.col(key).alias("chunk_id"))
+        require_none(ids.groupBy("chunk_id").count().where("count > 1 or chunk_id is null"), "a chunk has no id, or two chunks have one")
         if exists(self.spark, f"{self.path}/docs"):
             others = self._read("docs").where(F.col("segment") != segment).select("chunk_id")
-            require_none(rows.select("chunk_id").join(others, "chunk_id", "left_semi"), "a chunk is in another segment")
+            require_none(ids.join(others, "chunk_id", "left_semi"), "a chunk is in another segment")
         terms = rows.select("chunk_id", TOKENIZERS[self.tokenizer](F.col("text")).alias("terms"))
         docs = terms.select("chunk_id", F.size("terms").alias("length"))
         self._write(docs, "docs", segment)
@@ -81,8 +81,8 @@ class InvertedIndex:
         dealt = placed.repartition("bucket", "shard")
         best = _impact(F.col("tf"), F.col("length"), (total or 0) / n if total else 1.0, 1.5, 0.75)
         w = Window.partitionBy("bucket", "shard", "term").orderBy(best.desc(), "chunk_id")
-        ranked = dealt.withColumn("at", F.row_number().over(w) - 1).withColumn("block", F.floor(F.col("at") / self.block).cast("int"))
-        posting = F.array_sort(F.collect_list(F.struct("at", "chunk_id", "tf", "length")))
+        ranked = dealt.withColumn("block", F.floor((F.row_number().over(w) - 1) / self.block).cast("int"))
+        posting = F.collect_list(F.struct("chunk_id", "tf", "length"))
         blocks = ranked.groupBy("bucket", "shard", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("top_tf"), F.min(F.col("length") / F.col("tf")).alias("least_ratio"), posting.alias("p"))
         stored = blocks.select("bucket", "term", "shard", "block", "n", "top_tf", "least_ratio", F.col("p.chunk_id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"))
         self._write(stored.sortWithinPartitions("bucket", "term", "block"), "postings", segment, "bucket")
@@ -116,20 +116,25 @@ class InvertedIndex:
         counted = F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)
         return self._read("postings").select("term", "n", counted.alias("c")).groupBy("term").agg(F.sum("n").alias("documents"), F.sum("c").alias("occurrences"))
 
-    def _bounded(self, queries: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    def _mean(self) -> tuple[int, float]:
+        """(documents, their mean length), 1 where there is no term."""
+        n, total = self._read("stats").agg(F.sum("n"), F.sum("total")).first()
+        return n or 0, total / n if n and total else 1.0
+
+    def _bounded(self, queries: DataFrame, n: int, mean: float, k: int, k1: float, b: float) -> DataFrame:
         """Blocks of the queries' terms, each with its query, the term's weight, its bound, and what the rest can add."""
         term = F.explode(TOKENIZERS[self.tokenizer](F.col("query"))).alias("term")
         wanted = queries.select("query_id", term).groupBy("query_id", "term").agg(F.count("*").alias("times"))
         few = F.broadcast if fits(wanted) else lambda df: df
-        named = [r[0] for r in wanted.select("term").distinct().limit(NAMED + 1).collect()]
-        used = [r[0] for r in wanted.select(self.bucket_of(F.col("term"))).distinct().collect()]  # `buckets` numbers at most
-        rows = self._read("postings").where(F.col("bucket").isin(used))
+        named = wanted.select("term", self.bucket_of(F.col("term")).alias("bucket")).distinct().limit(NAMED + 1).collect()
+        rows = self._read("postings")
         if len(named) <= NAMED:
-            rows = rows.where(F.col("term").isin(named))
-        n, total = self._read("stats").agg(F.sum("n"), F.sum("total")).first()
-        mean = total / n if n and total else 1.0
+            rows = rows.where(F.col("bucket").isin(sorted({r["bucket"] for r in named})) & F.col("term").isin([r["term"] for r in named]))
+        else:
+            used = wanted.select(self.bucket_of(F.col("term"))).distinct().collect()  # `buckets` numbers at most
+            rows = rows.where(F.col("bucket").isin([r[0] for r in used]))
         found = few(rows.join(few(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df")))
-        idf = F.log(1 + (F.lit(float(n or 0)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weights = wanted.join(found, "term").select("query_id", "term", (F.col("times") * idf).alias("weight"))
         blocks = rows.join(few(weights), "term").withColumn("bound", F.col("weight") * _bound(F.col("top_tf"), F.col("least_ratio"), mean, k1, b))
         best = blocks.groupBy("query_id", "term").agg(F.max("bound").alias("most"))
@@ -138,7 +143,7 @@ class InvertedIndex:
         probed = self._scores(top_k(blocks, ["query_id"], [F.col("bound").desc(), "term", "segment", "shard", "block"], PROBE, "_n").drop("_n"), mean, k1, b)
         reached = top_k(probed, ["query_id"], [F.col("score").desc(), "chunk_id"], k, "_n").where(F.col("_n") == k).select("query_id", F.col("score").alias("reached"))
         # one row a query; without k documents so far there is nothing to beat
-        return blocks.join(few(reached), "query_id", "left").withColumn("mean", F.lit(mean)).withColumn("reached", F.coalesce("reached", F.lit(0.0)))
+        return blocks.join(few(reached), "query_id", "left").withColumn("reached", F.coalesce("reached", F.lit(0.0)))
 
     @staticmethod
     def _scores(blocks: DataFrame, mean: float, k1: float, b: float) -> DataFrame:
@@ -150,17 +155,17 @@ class InvertedIndex:
     def search(self, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
         """(query_id, chunk_id, score, rank): each query's k best chunks of a positive score, as bm25_search gives them."""
         _checked(k, k1, b)
-        blocks = self._bounded(queries, k, k1, b)
+        n, mean = self._mean()
+        blocks = self._bounded(queries, n, mean, k, k1, b)
         kept = blocks.where(F.col("bound") + F.col("rest") + MARGIN >= F.col("reached"))
-        n, total = self._read("stats").agg(F.sum("n"), F.sum("total")).first()
-        scores = self._scores(kept, total / n if n and total else 1.0, k1, b).where("score > 0")
+        scores = self._scores(kept, mean, k1, b).where("score > 0")
         return top_k(scores, ["query_id"], [F.round("score", 9).desc(), F.col("chunk_id").cast("string")], k)
 
     def pruning(self, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
         """(query_id, blocks, kept, postings, postings_kept): what the bounds save a search."""
         _checked(k, k1, b)
         keep = F.col("bound") + F.col("rest") + MARGIN >= F.col("reached")
-        found = self._bounded(queries, k, k1, b).groupBy("query_id")
+        found = self._bounded(queries, *self._mean(), k, k1, b).groupBy("query_id")
         return found.agg(F.count("*").alias("blocks"), F.count_if(keep).alias("kept"), F.sum("n").alias("postings"), F.sum(F.when(keep, F.col("n")).otherwise(0)).alias("postings_kept"))
 
 

@@ -160,3 +160,37 @@ def experiment_runs(spark, d):
     experiment.run_experiment(v, q, ["dense"], out, k=10)
     runs = spark.read.schema("query_id string, method string, chunk_ids array<string>").json(f"{out}/dense")
     return runs.select(F.col("query_id").cast("long").alias("query_id"), "method", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+@query(
+    DENSE_SQL
+    + """, fi as (select distinct 'f' || label as f from v order by f limit 5),
+near as (select query_id, chunk_id, f, least(1, greatest(0, score)) as score from c join fi on f = 'f' || label where query_id % 200 = 0),
+own as (select * from (select *, row_number() over (partition by query_id, f order by round(score, 9) desc, cast(chunk_id as varchar)) as n from near) where n = 1),
+al as (select query_id, chunk_id, score, 0 as a, f as b, 0 as k from own union all select query_id, chunk_id, score, 1, '', rank from de where rank <= 5 and query_id % 200 = 0),
+un as (select * from (select *, row_number() over (partition by query_id, chunk_id order by a, b, k) as n from al) where n = 1),
+me as (select * from (select * exclude (n), row_number() over (partition by query_id order by a, b, k) as n from un) where n <= 5)
+select query_id as question_id, chunk_id, round(score, 6) as score, cast(row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as integer) as rank from me
+union all select query_id, chunk_id, round(score, 6), cast(rank as integer) from de where rank <= 5 and query_id % 200 <> 0"""
+)
+def retrieved_answers(spark, d):
+    """Chunks for questions: plain ones get the nearest, overviews the best of each of the first papers (top-k report)."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("f"), "label").alias("file_name"))
+    q = v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("question_id"), (F.col("chunk_id") % 200 == 0).alias("overview"), "embedding")
+    return answers.retrieve(v, q, 5).select("question_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    """select p_partkey, sha256('d' || p_partkey) as paper_id, case when p_partkey % 3 = 0 and trim(p_name) <> '' then trim(p_name) else 'f' || p_partkey end as title, case when p_partkey % 3 = 0 then p_brand else '' end as teacher,
+  case when p_partkey % 3 = 0 and p_size % 2 = 0 then p_type else 'unclassified' end as direction, nullif(p_size % 7, 0)::integer as page_count, case when p_partkey % 2 = 0 then 'v2' else 'legacy' end as parser_version from part"""
+)
+def parsed_catalog(spark, d):
+    """Catalog rows of parsed papers: a seed's metadata where it has some, defaults elsewhere."""
+    part = table(spark, d, "part")
+    name = F.concat(F.lit("f"), "p_partkey", F.lit(".pdf")).alias("file_name")
+    parsed = part.select(name, (F.col("p_size") % 7).alias("total_pages"), F.when(F.col("p_partkey") % 2 == 0, "v2").otherwise(" ").alias("parser_version"))
+    text = lambda c: F.lit(None).cast(c)
+    seed = part.where("p_partkey % 3 = 0").select(name, F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("title"), text("array<string>").alias("authors"), F.col("p_brand").alias("teacher"), text("int").alias("year"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise("").alias("direction"), text("string").alias("authorization_note"))
+    digests = part.select(name, F.sha2(F.concat(F.lit("d"), "p_partkey"), 256).alias("paper_id"), F.lit("p").alias("file_path"))
+    got = catalog.parsed_as_papers(parsed, seed, digests, F.lit("1"))
+    return got.select(F.regexp_extract("file_name", r"\d+", 0).cast("long").alias("p_partkey"), "paper_id", "title", "teacher", "direction", "page_count", "parser_version")

@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 
 from evigrain.functions.text import latin_tokens
 from evigrain.operators.catalog import keyword_hits
+from evigrain.operators.shared import over_cores
 from evigrain.sources.buckets import Catalog, catalog
 from evigrain.streaming.ingest import run_batches
 
@@ -61,7 +62,7 @@ def apply(rows: DataFrame, batch: int, target: str, config: dict) -> dict:
     """Merge a batch; its figures. Applying it again leaves everything as it is."""
     spark = rows.sparkSession
     known = library(spark, target, config)
-    held = checked(rows).persist()
+    held = checked(over_cores(rows)).persist()
     try:
         found = contents(held.where("reason is null"), config["rules"])
         earlier = lambda was, now, c: F.when(F.col("_new_first_id") < F.col("first_id"), now).otherwise(was)
