@@ -196,13 +196,16 @@ def held_out(key: str):
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Fit on rows with a language and an id that isn't held out, chosen by a hash of their id; pieces at places by hash."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.crc32(F.col(key).cast("string")) % FOLDS != HELD))
-    common = [r["lang"] for r in known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not common:
+    counts = {r["lang"]: r["count"] for r in known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not counts:
         return Model([], {})
+    most = max(1, min(ROWS, TRAIN_ROWS // len(counts)))  # TRAIN_ROWS rows, or one a language
     free = F.greatest(F.lit(1), F.length(text) - WINDOW + 1)
     pieces = F.array(*[F.substring(F.col(text), (F.pmod(F.xxhash64(key, F.lit(k)), free) + 1).cast("int"), F.lit(WINDOW)) for k in range(SEGMENTS)])
-    rows = known.where(F.col(lang).isin(common)).select(F.col(lang).alias("lang"), F.xxhash64(key).alias("h"), F.array_distinct(pieces).alias("pieces"))
-    chosen = top_k(rows, ["lang"], [F.col("h"), F.col("pieces")], max(1, min(ROWS, TRAIN_ROWS // len(common))), "_n").collect()  # TRAIN_ROWS rows, or one a language
+    # rows with a hash that is small enough for a few times the sample; so no task sends more, however many there are
+    h, few = F.pmod(F.xxhash64(key), F.lit(1 << 30)), F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1 << 30, (1 << 30) * 8 * most // n + 1))])
+    rows = known.where(h < F.element_at(few, F.col(lang))).select(F.col(lang).alias("lang"), h.alias("h"), F.array_distinct(pieces).alias("pieces"))
+    chosen = top_k(rows, ["lang"], [F.col("h"), F.col("pieces")], most, "_n").collect()
     return train(sorted({(r["lang"], t) for r in chosen for t in r["pieces"] if t}))
 
 
