@@ -44,10 +44,19 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents as pieces of token sequences; one without text is its end token."""
+    """The kept documents as pieces of token sequences; one without text is its end token.
+
+    Executors' heaps are large after four stages, so tokens are made in small batches, which changes no result.
+    """
     import public_tokenizers as P
 
-    return packing.pack(docs, P.path(packing.VOCABULARY), run_bytes=2 << 20)
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(4 << 20))
+    try:
+        return packing.pack(docs, P.path(packing.VOCABULARY), run_bytes=512 << 10, memory=100_000)
+    finally:
+        spark.conf.set(size, before)
 
 
 STAGES = [
