@@ -13,6 +13,7 @@ off can't be nearer. Filters are conditions on the stored columns and hold insid
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ SAMPLE = 20_000
 #: Codewords of a part of the residual.
 WORDS = 256
 ROUNDS = 12
+#: Share of the lists that a search looks into if nothing else is said: enough for vectors without any clusters.
+PROBED = 0.625
 #: Added to distances that decide what is left out.
 SLACK = 1e-6
 
@@ -153,20 +156,24 @@ class VectorIndex:
                 part = part.take(pa.array(place)).append_column("at", pa.array(np.arange(len(place), dtype=np.int32)))
                 yield self.spark.createDataFrame(part), v
 
-    def search(self, queries: DataFrame, k: int = 10, probe: int = 8, again: int = 10, where: Column | None = None) -> DataFrame:
+    def _probe(self, k: int, probe: int | None, again: int) -> int:
+        probe = ceil(PROBED * len(self.model.centres)) if probe is None else probe
+        if k <= 0 or probe <= 0 or again <= 0:
+            raise ValueError("k, probe and again must be positive")
+        return probe
+
+    def search(self, queries: DataFrame, k: int = 10, probe: int | None = None, again: int = 10, where: Column | None = None) -> DataFrame:
         """(query_id, chunk_id, score, rank): of the `probe` nearest lists the best k, chosen from k * again by codes.
 
-        Approximate: a near row of a list farther off, or whose code misleads, may be missing; scores given are exact.
+        Without `probe`, PROBED of the lists; vectors that lie in clusters need far fewer than that. Approximate: a near row of a list farther off, or whose code misleads, may be missing; scores given are exact.
         """
-        if k <= 0 or probe <= 0 or again <= 0:
-            raise ValueError("k, probe and again must be positive")
+        probe = self._probe(k, probe, again)
         found = [self._search(q, v, k, probe, again, where) for q, v in self._blocks(queries)]
         return self._ranked(found, queries, k)
 
-    def exact(self, queries: DataFrame, k: int = 10, probe: int = 8, again: int = 10, where: Column | None = None) -> DataFrame:
+    def exact(self, queries: DataFrame, k: int = 10, probe: int | None = None, again: int = 10, where: Column | None = None) -> DataFrame:
         """(query_id, chunk_id, score, rank): the best k of all rows, as dense_search gives them."""
-        if k <= 0 or probe <= 0 or again <= 0:
-            raise ValueError("k, probe and again must be positive")
+        probe = self._probe(k, probe, again)
         found = []
         for q, v in self._blocks(queries):
             first = top_k(self._search(q, v, k, probe, again, where), ["at"], [F.col("score").desc(), "chunk_id"], k, "_n")

@@ -139,6 +139,16 @@ def test_recall_of_the_approximate_search(spark, stored, asked, index):
     assert filtered.agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_recall_on_vectors_without_clusters(spark):
+    """The embeddings table's vectors, by the settings that hold if nothing is said."""
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").withColumnRenamed("vec_id", "chunk_id")
+    made = vector_index.train(spark, shared_path(spark, "vectors"), v, lists=32, parts=16)
+    made.add(v, 0)
+    q = v.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    assert vector_index.recall(made.search(q, 10), retrieval.dense_search(v, q, 10)).agg(F.avg("recall")).first()[0] >= 0.9
+    same(made.exact(q, 10), retrieval.dense_search(v, q, 10))
+
+
 def test_lists_hold_all_usable_rows_once(spark, stored, index):
     assert index.rows().count() == 3000 == index.rows().select("chunk_id").distinct().count() and index.lists().agg(F.sum("n")).first()[0] == 3000
     again = vector_index.open_index(spark, index.path)
