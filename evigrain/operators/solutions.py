@@ -126,19 +126,36 @@ def route(supported: DataFrame, gates: DataFrame) -> tuple[DataFrame, DataFrame]
 def cyclic_nodes(nodes: DataFrame, edges: DataFrame, graph: str = "need_id") -> DataFrame:
     """Nodes that can't be taken off a graph from its sources, that is on or behind a cycle. Edges to unknown nodes are an error.
 
-    Sources are taken off level by level until none is left, however deep the graph; each level is written to the
-    checkpoint folder, so that lineage stays short.
+    A node with one edge into it goes when the node before it goes, so it stands with the last one before it that has none
+    or several: chains are skipped by jumps of doubled length. Of the nodes with several edges, those that can go are taken
+    off level by level. All steps are written to the checkpoint folder, so that lineage stays short.
     """
     for end in ("source", "target"):
         require_none(edges.select(graph, F.col(end).alias("node_id")).join(nodes.select(graph, "node_id"), [graph, "node_id"], "left_anti"), "an edge has an unknown end")
     checkpoint_dir(nodes.sparkSession)
-    left, live = nodes.select(graph, "node_id").distinct(), edges.select(graph, "source", "target").distinct()
+    live = edges.select(graph, "source", "target").distinct().checkpoint()
+    into = live.groupBy(graph, F.col("target").alias("node_id")).agg(F.count("*").alias("n"), F.min("source").alias("at"))
+    known = nodes.select(graph, "node_id").distinct().join(into, [graph, "node_id"], "left").select(graph, "node_id", F.coalesce("n", F.lit(0)).alias("n"), "at").checkpoint()
+    single = known.where("n = 1").select(graph, "node_id", "at")
+    for _ in range(single.count().bit_length()):
+        further = single.select(graph, F.col("node_id").alias("at"), F.col("at").alias("_at"))
+        single = single.join(further, [graph, "at"], "left").select(graph, "node_id", F.coalesce("_at", "at").alias("at")).checkpoint()
+    # where all chains have been skipped, what still stands with a node of one edge is on or behind a cycle of such nodes
+    ends = single.join(known.select(graph, F.col("node_id").alias("at"), F.col("n").alias("of")), [graph, "at"])
+    round_ = ends.where("of = 1").select(graph, "node_id")
+    stands = ends.where("of > 1").select(graph, "node_id", "at").unionByName(known.where("n > 1").select(graph, "node_id", F.col("node_id").alias("at"))).checkpoint()
+    joints = live.join(known.where("n > 1").select(graph, F.col("node_id").alias("target")), [graph, "target"], "left_semi")
+    stuck = joints.join(round_.withColumnRenamed("node_id", "source"), [graph, "source"], "left_semi").select(graph, F.col("target").alias("node_id")).distinct().checkpoint()
+    live = joints.join(stands.withColumnRenamed("node_id", "source"), [graph, "source"]).select(graph, F.col("at").alias("source"), "target").distinct().checkpoint()
+    left = known.where("n > 1").select(graph, "node_id")
     before, now = None, left.count()
     while now and now != before:
-        left = left.join(live.select(graph, F.col("target").alias("node_id")), [graph, "node_id"], "left_semi").checkpoint()
+        held = live.select(graph, F.col("target").alias("node_id")).unionByName(stuck)
+        left = left.join(held, [graph, "node_id"], "left_semi").checkpoint()
         live = live.join(left.select(graph, F.col("node_id").alias("source")), [graph, "source"], "left_semi").select(graph, "source", "target").checkpoint()
         before, now = now, left.count()
-    return left
+    behind = stands.join(left.withColumnRenamed("node_id", "at"), [graph, "at"], "left_semi").select(graph, "node_id")
+    return round_.unionByName(behind)
 
 
 def transfer(profiles: DataFrame, supported: DataFrame, questions: DataFrame) -> DataFrame:

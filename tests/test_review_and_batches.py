@@ -244,3 +244,26 @@ def test_stored_digests_take_the_place_of_state(spark):
     # the second batch again, as after a failure between its two writes
     batch = spark.createDataFrame([(3, "x"), (4, "z")], "id long, t string").withColumn("content_id", F.sha2("t", 256))
     assert [r.id for r in known.fresh(batch, 1).collect()] == [4]
+
+
+def test_cycles_of_random_graphs_and_long_chains(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    graphs = {}
+    for g in range(40):
+        n = int(rng.integers(1, 12))
+        graphs[f"g{g}"] = n, {(int(a), int(b)) for a, b in rng.integers(0, n, (int(rng.integers(0, n + 4)), 2)) if g % 3 or a < b}
+    graphs["chain"] = 700, {(k, k + 1) for k in range(699)}
+    graphs["ring"] = 300, {(k, (k + 1) % 200) for k in range(200)} | {(k, k + 1) for k in range(199, 299)}
+    graphs["joined"] = 9, {(0, 1), (1, 2), (2, 1), (2, 3), (4, 3), (3, 5), (6, 7), (4, 7), (7, 8)}
+    want = set()
+    for g, (n, edges) in graphs.items():
+        left = set(range(n))
+        while gone := {x for x in left if not any(b == x and a in left for a, b in edges)}:
+            left -= gone
+        want |= {(g, x) for x in left}
+    nodes = spark.createDataFrame([(g, x) for g, (n, _) in graphs.items() for x in range(n)], "need_id string, node_id long")
+    edges = spark.createDataFrame([(g, a, b) for g, (_, es) in graphs.items() for a, b in es], "need_id string, source long, target long")
+    got = [(r.need_id, r.node_id) for r in solutions.cyclic_nodes(nodes, edges).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and ("ring", 250) in want and ("joined", 5) in want
