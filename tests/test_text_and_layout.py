@@ -157,3 +157,14 @@ def test_nearest_images_of_crowded_pages(spark):
         want[cid] = min(found)[2] if found else None
     got = {r.caption_id: r.image_id for r in layout.nearest_images(c, i).collect()}
     assert got == want and any(want.values()) and not all(want.values())
+
+
+def test_equal_boxes_meet_once(spark):
+    """Many equal captions and images of a page give the rows that all pairs give, from joins of unlike boxes only."""
+    c = spark.range(4000).select(F.col("id").alias("caption_id"), F.lit("d").alias("doc_id"), F.lit(1).alias("page"), (F.col("id") % 2 * 900.0).alias("x0"), F.lit(400.0).alias("y0"), (F.col("id") % 2 * 900.0 + 100).alias("x1"), F.lit(420.0).alias("y1"), F.lit(1000.0).alias("page_height"))
+    i = spark.range(4000).select(F.col("id").alias("image_id"), F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.lit(0.0).alias("x0"), (F.col("id") % 3 * 40.0).alias("y0"), F.lit(200.0).alias("x1"), (F.col("id") % 3 * 40.0 + 200).alias("y1"))
+    got = layout.nearest_images(c, i)
+    rows = {r.caption_id: (r.image_id, r.gap) for r in got.collect()}
+    assert len(rows) == 4000 and all(v == ((2, 120.0) if k % 2 == 0 else (None, None)) for k, v in rows.items())
+    joined = got._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count("Aggregate") >= 3 and "min(image_id" in joined
