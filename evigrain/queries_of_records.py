@@ -117,13 +117,13 @@ def metric_summary(spark, d):
 
 
 @query(
-    """with r as (select l_orderkey || '-' || l_linenumber as id, l_linenumber as m, l_suppkey || '-' || l_partkey as c from lineitem where l_orderkey % 4 <> 0),
-g as (select *, min(id) over (partition by m, c) as group_id, count(*) over (partition by m, c) as members from r)
-select 'm' || m as definition_id, group_id, members, id as metric_id from g where members > 1"""
+    """with r as (select l_orderkey || '-' || l_linenumber as id, l_linenumber as m, l_suppkey || '-' || l_partkey as c, l_orderkey % 4 = 0 as unsaid from lineitem),
+g as (select *, min(id) over (partition by m, c) as group_id, count(*) over (partition by m, c) as members from r where not unsaid)
+select 'm' || m as definition_id, id as metric_id, group_id, members, members - 1 as n_links from g union all select 'm' || m, id, id, 1, 0 from r where unsaid"""
 )
 def comparable_records(spark, d):
-    """Groups of records with the same metric, unit and a condition that is said."""
-    return metrics.comparable(_records(spark, d)).select("definition_id", "group_id", "members", "metric_id")
+    """Every record with its group of the same metric, unit and said condition, and the number of others there."""
+    return metrics.comparable_links(_records(spark, d)).select("definition_id", "metric_id", "group_id", "members", "n_links")
 
 
 @query(

@@ -267,3 +267,11 @@ def test_cycles_of_random_graphs_and_long_chains(spark):
     edges = spark.createDataFrame([(g, a, b) for g, (_, es) in graphs.items() for a, b in es], "need_id string, source long, target long")
     got = [(r.need_id, r.node_id) for r in solutions.cyclic_nodes(nodes, edges).collect()]
     assert len(got) == len(set(got)) and set(got) == want and ("ring", 250) in want and ("joined", 5) in want
+
+
+def test_every_record_has_its_number_of_comparable_ones(spark):
+    rows = [("a", "m", "u", "c"), ("b", "m", "u", "c"), ("c", "m", "u", "d"), ("d", "m", "u", ""), ("e", "m", "u", ""), ("f", "m", "v", "c"), ("0", "m", "u", "c"), ("n", "m", "u", None)]
+    df = spark.createDataFrame(rows, "metric_id string, definition_id string, canonical_unit string, test_condition string")
+    got = {r.metric_id: (r.group_id, r.members, r.n_links) for r in metrics.comparable_links(df).collect()}
+    assert got == {k: ("0", 3, 2) for k in "0ab"} | {k: (k, 1, 0) for k in "cdefn"}
+    assert sum(n for _, _, n in got.values()) == 2 * sum(n * (n - 1) // 2 for n in (3,))
