@@ -160,3 +160,16 @@ def test_lists_hold_all_usable_rows_once(spark, stored, index):
         vector_index.train(spark, index.path, stored.where("chunk_id < 100"))
     with pytest.raises(ValueError, match="width"):
         vector_index.train(spark, shared_path(spark, "vectors"), stored)
+
+
+def test_products_are_bounded_however_many_queries_come(spark):
+    parts = retrieval.blocks_of(4096, 10_000)
+    assert [q for part in parts for q in range(4096)[part]] == list(range(4096))
+    assert max(len(range(4096)[part]) for part in parts) * 10_000 <= retrieval.CELLS
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 4))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "chunk_id long, embedding array<double>").coalesce(1)
+    got = retrieval.dense_search(rows, rows.where("chunk_id < 1200").withColumnRenamed("chunk_id", "query_id"), 2)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = np.argsort(-(u[:1200] @ u.T), axis=1, kind="stable")[:, :2]
+    assert {(r.query_id, r["rank"]): r.chunk_id for r in got.collect()} == {(q, i + 1): c for q, own in enumerate(want.tolist()) for i, c in enumerate(own)}
