@@ -23,7 +23,7 @@ from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField,
 
 from ..functions.vectors import cosine
 from ..sources.files import exists
-from .retrieval import QUERY_BLOCK, _matrix
+from .retrieval import QUERY_BLOCK, _matrix, blocks_of
 from .shared import require_none, small, top_k
 
 #: Rows that train() fits on, chosen by a hash of their vector; all other rows are only indexed.
@@ -215,15 +215,14 @@ class VectorIndex:
                 own = batch.column(1).to_numpy()
                 code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(own), len(adds))
                 for j in np.unique(own):
-                    who, at = np.flatnonzero(wanted[:, j]), np.flatnonzero(own == j)
-                    if not len(who):
-                        continue
-                    guess = np.repeat(near[who, j][:, None], len(at), axis=1)
-                    for m, table in enumerate(adds):
-                        guess += table[who][:, code[at, m]]
-                    low = np.partition(guess, -most, axis=1)[:, -most] if len(at) > most else np.full(len(who), -np.inf)
-                    a, b = np.nonzero(guess >= low[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(who[a].astype(np.int32)), batch.column(0).take(pa.array(at[b])), pa.array(np.full(len(a), j, np.int32)), pa.array(guess[a, b])], ["at", "chunk_id", "list", "guess"])
+                    asking, at = np.flatnonzero(wanted[:, j]), np.flatnonzero(own == j)
+                    for who in (asking[part] for part in blocks_of(len(asking), len(at))):
+                        guess = np.repeat(near[who, j][:, None], len(at), axis=1)
+                        for m, table in enumerate(adds):
+                            guess += table[who][:, code[at, m]]
+                        low = np.partition(guess, -most, axis=1)[:, -most] if len(at) > most else np.full(len(who), -np.inf)
+                        a, b = np.nonzero(guess >= low[:, None])
+                        yield pa.RecordBatch.from_arrays([pa.array(who[a].astype(np.int32)), batch.column(0).take(pa.array(at[b])), pa.array(np.full(len(a), j, np.int32)), pa.array(guess[a, b])], ["at", "chunk_id", "list", "guess"])
 
         best = top_k(rows.mapInArrow(run, schema), ["at"], [F.col("guess").desc(), "chunk_id"], most, "_n").drop("_n", "guess")
         stored = self._chosen(self.rows(), where, wanted).select("chunk_id", "list", "embedding")
@@ -247,16 +246,15 @@ class VectorIndex:
                 own, off = batch.column(1).to_numpy(), batch.column(2).to_numpy()
                 for place, x in _matrix(batch.column(3)).values():
                     for j in np.unique(own[place]):
-                        who, at = np.flatnonzero(wanted[:, j]), np.flatnonzero(own[place] == j)
-                        if not len(who):
-                            continue
-                        may = np.abs(far[who, j][:, None] - off[place[at]]) <= reach[who][:, None]
-                        some = may.any(axis=0)
-                        at, may = at[some], may[:, some]
-                        score = np.where(may, v[who] @ x[at].T, -np.inf)
-                        low = np.partition(score, -k, axis=1)[:, -k] if len(at) > k else np.full(len(who), -np.inf)
-                        a, b = np.nonzero(may & (score >= low[:, None] - 1e-8))
-                        yield pa.RecordBatch.from_arrays([pa.array(who[a].astype(np.int32)), batch.column(0).take(pa.array(place[at[b]])), pa.array(score[a, b])], ["at", "chunk_id", "score"])
+                        asking, here = np.flatnonzero(wanted[:, j]), np.flatnonzero(own[place] == j)
+                        for who in (asking[part] for part in blocks_of(len(asking), len(here))):
+                            may = np.abs(far[who, j][:, None] - off[place[here]]) <= reach[who][:, None]
+                            some = may.any(axis=0)
+                            at, may = here[some], may[:, some]
+                            score = np.where(may, v[who] @ x[at].T, -np.inf)
+                            low = np.partition(score, -k, axis=1)[:, -k] if len(at) > k else np.full(len(who), -np.inf)
+                            a, b = np.nonzero(may & (score >= low[:, None] - 1e-8))
+                            yield pa.RecordBatch.from_arrays([pa.array(who[a].astype(np.int32)), batch.column(0).take(pa.array(place[at[b]])), pa.array(score[a, b])], ["at", "chunk_id", "score"])
 
         return rows.mapInArrow(run, schema).join(small(q.select("at", "query_id")), "at")
 
