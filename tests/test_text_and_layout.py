@@ -168,3 +168,16 @@ def test_equal_boxes_meet_once(spark):
     assert len(rows) == 4000 and all(v == ((2, 120.0) if k % 2 == 0 else (None, None)) for k, v in rows.items())
     joined = got._jdf.queryExecution().optimizedPlan().toString()
     assert joined.count("Aggregate") >= 3 and "min(image_id" in joined
+
+
+def test_documents_are_unfolded_some_at_a_time(spark):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist([{"file_name": str(k), "text": "x" * 1000} for k in range(10_000)])
+    parts = list(layout._slices(batch))
+    assert [r["file_name"] for part in parts for r in part] == [str(k) for k in range(10_000)]
+    assert max(len(part) for part in parts) * batch.nbytes / 10_000 <= layout.UNFOLDED
+    docs = spark.range(50).coalesce(1).select(F.concat("id", F.lit(".pdf")).alias("file_name"), F.expr("array(named_struct('page', 1, 'text', 'body', 'blocks', cast(null as array<struct<block_number:int,block_type:string,text:string>>)))").alias("pages"), F.expr("cast(null as array<struct<level:int,title:string,page:int>>)").alias("toc"))
+    got = layout.chunk_documents(docs)
+    assert sorted(r.chunk_id for r in got.collect()) == sorted(f"{k}_chunk_0001" for k in range(50))
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
