@@ -12,6 +12,7 @@ from ..functions.text import compact, json_object, squeeze
 from .evidence import SECTION_PLAN
 from .matching import ordered_distinct
 from .needs import COMPARISONS, UNKNOWN
+from .shared import over_cores
 
 # The fields of an extraction, and the comparisons an edit may use.
 LIST_FIELDS = ("research_direction", "core_technologies", "materials", "methods", "equipment", "applications", "innovations", "limitations", "industry_potential")
@@ -27,7 +28,7 @@ def parse_extractions(rows: DataFrame, answer: str = "answer", labels: str = "la
     """
     raw = F.from_json(json_object(F.col(answer)), EXTRACTION)
     clean = lambda c: F.filter(F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), squeeze)), lambda v: v != "")
-    rows = rows.withColumn("_r", raw)
+    rows = over_cores(rows).withColumn("_r", raw)
     lists = {f: clean(F.col(f"_r.{f}")) for f in LIST_FIELDS}
     proof = F.transform(F.coalesce("_r.evidence_map", F.array().cast("array<struct<field:string,claim:string,source_labels:array<string>>>")), lambda e: F.struct(e["field"].alias("field"), squeeze(e["claim"]).alias("claim"), F.array_distinct(e["source_labels"]).alias("source_labels")))
     record = F.struct(squeeze(F.coalesce("_r.research_problem", F.lit(""))).alias("research_problem"), *[c.alias(f) for f, c in lists.items()], proof.alias("evidence_map"))
@@ -82,7 +83,7 @@ def parse_readings(rows: DataFrame, answer: str = "answer") -> DataFrame:
     Texts are squeezed, repeated labels and empty entries dropped, lists cut at what a reading may have. Whatever is said
     needs labels, all known; a figure's or formula's reading must cite that figure or formula.
     """
-    rows = rows.withColumn("_r", F.from_json(json_object(F.col(answer)), READING)).withColumn("_known", F.array_distinct(F.concat("evidence_labels", "figure_labels", "formula_labels")))
+    rows = over_cores(rows).withColumn("_r", F.from_json(json_object(F.col(answer)), READING)).withColumn("_known", F.array_distinct(F.concat("evidence_labels", "figure_labels", "formula_labels")))
     labels = lambda x: F.coalesce(F.array_distinct(F.transform(x["source_labels"], lambda v: F.trim(v))), F.array().cast("array<string>"))
     text = lambda c: squeeze(F.coalesce(c, F.lit("")))
 

@@ -275,3 +275,9 @@ def test_every_record_has_its_number_of_comparable_ones(spark):
     got = {r.metric_id: (r.group_id, r.members, r.n_links) for r in metrics.comparable_links(df).collect()}
     assert got == {k: ("0", 3, 2) for k in "0ab"} | {k: (k, 1, 0) for k in "cdefn"}
     assert sum(n for _, _, n in got.values()) == 2 * sum(n * (n - 1) // 2 for n in (3,))
+
+
+def test_answers_of_a_small_table_are_parsed_by_all_cores(spark):
+    rows = spark.range(20).coalesce(1).select(F.col("id").alias("paper_id"), F.lit("{}").alias("answer"), F.array(F.lit("S01")).alias("labels"))
+    got = structured.parse_extractions(rows)
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and got.count() == 20
