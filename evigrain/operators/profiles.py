@@ -30,12 +30,12 @@ def claims(records: DataFrame) -> DataFrame:
     return each.select("teacher", "title", "author", "s.field", "s.claim", sources.alias("sources"))
 
 
-def group_claims(rows: DataFrame, group: list[str], value: str = "value") -> DataFrame:
+def group_claims(rows: DataFrame, group: list[str], value: str = "value", alike=claim_key) -> DataFrame:
     """(group, key, value, occurrences, papers): equal claims as one, in the wording that is most frequent, then shortest.
 
-    Claims are folded and shuffled once, counted by wording and title; wordings and papers both come from those counts.
+    alike gives what makes two claims the same. Claims are folded and shuffled once, counted by wording and title; wordings and papers both come from those counts.
     """
-    keyed = rows.withColumn("_v", squeeze(F.col(value))).where("_v <> ''").withColumn("key", claim_key(F.col("_v")))
+    keyed = rows.withColumn("_v", squeeze(F.col(value))).where("_v <> ''").withColumn("key", alike(F.col("_v")))
     each = keyed.groupBy(*group, "key", "_v", "title").agg(F.count("*").alias("n"))
     words = each.groupBy(*group, "key", "_v").agg(F.sum("n").alias("n"))
     best = words.groupBy(*group, "key").agg(F.min(F.struct((-F.col("n")).alias("n"), F.length("_v").alias("l"), F.lower("_v").alias("f"), F.col("_v").alias("v"))).alias("b"))

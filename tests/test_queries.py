@@ -43,3 +43,15 @@ def test_equals_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_claims_of_sharp_letters_equal_sql(spark, tmp_path):
+    lines = ["Das ieß hier.", "Das ies hier.", "ＡＢ x²", "x2", "Große Straße", "GROSSE strasse", "ÄÖ ab", "ab"]
+    rows = [(k, "\n".join(lines), "en", "src0", 1) for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["claim_representative"](spark, str(tmp_path))
+    cols = sorted(got.columns)
+    want = con.sql(f"select {', '.join(cols)} from ({ORACLES['claim_representative']})").fetchall()
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(want) and len(want) > 4
