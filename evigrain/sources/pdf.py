@@ -163,7 +163,7 @@ def outline(known: DataFrame, root: DataFrame, pages: DataFrame) -> DataFrame:
     """(path, place, level, title, page): the bookmarks in reading order that have a title and lead to a page of the file.
 
     Siblings are a chain from each to the next; their places in it are found by doubling jumps, so a long chain takes few
-    rounds, and an item's place in the whole from those of its parents, a round a level.
+    rounds, however many files there are, and an item's place in the whole from those of its parents, a round a level.
     """
     checkpoint_dir(known.sparkSession)
     to = F.regexp_extract("body", r"/(?:Dest|D)\s*\[\s*(\d+)\s+\d+\s+R", 1)
@@ -171,9 +171,11 @@ def outline(known: DataFrame, root: DataFrame, pages: DataFrame) -> DataFrame:
     before = items.where("next is not null").select("path", F.col("next").alias("number"), F.col("number").alias("jump"))
     ranked = items.join(first_of(before, ["path", "number"], [F.col("jump")]), ["path", "number"], "left")
     ranked = ranked.select("path", "number", "jump", F.when(F.col("jump").isNotNull(), 1).otherwise(0).alias("rank")).checkpoint()
-    for _ in range(items.count().bit_length()):
+    # a chain has at most as many items as its file
+    longest = items.groupBy("path").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(longest.bit_length()):
         far = ranked.select("path", F.col("number").alias("jump"), F.col("jump").alias("_jump"), F.col("rank").alias("_rank"))
-        ranked = ranked.join(far, ["path", "jump"], "left").select("path", "number", F.col("_jump").alias("jump"), (F.col("rank") + F.coalesce("_rank", F.lit(0))).alias("rank")).checkpoint()
+        ranked = ranked.join(far.hint("merge"), ["path", "jump"], "left").select("path", "number", F.col("_jump").alias("jump"), (F.col("rank") + F.coalesce("_rank", F.lit(0))).alias("rank")).checkpoint()
     # every chain is done in these rounds, but one that leads back to itself never ends: its items have no place
     placed = items.join(ranked.where("jump is null").select("path", "number", "rank"), ["path", "number"])
     tops = root.where("root is not null").select("path", F.col("root").alias("number")).join(known, ["path", "number"]).select("path", _ref("Outlines").alias("parent"))

@@ -96,3 +96,15 @@ def test_uploads_use_what_the_file_says(spark):
 @pytest.mark.parametrize(("token", "text"), [(rb"(a\(b\)\\)", "a(b)\\"), (rb"(\101\n\x)", "A\nx"), (b"<48 6>", "H`"), (b"(\xfe\xff\x4e\x00)", "一"), (b"(a\\\nb)", "ab"), (b"<>", "")])
 def test_strings(token, text):
     assert pdf.text_string(token) == text
+
+
+def test_rounds_follow_the_longest_chain_not_the_number_of_files(spark, monkeypatch):
+    body = lambda k: "\n".join([f"1 0 obj\n<< /Type /Catalog /Pages 2 0 R /Outlines 3 0 R >>\nendobj", "2 0 obj\n<< /Type /Pages /Kids [10 0 R] >>\nendobj", "10 0 obj\n<< /Type /Page >>\nendobj", "3 0 obj\n<< /Type /Outlines /First 4 0 R >>\nendobj", f"4 0 obj\n<< /Title (a{k}) /Parent 3 0 R /Dest [10 0 R /Fit] /Next 5 0 R >>\nendobj", "5 0 obj\n<< /Title (b) /Parent 3 0 R /Dest [10 0 R /Fit] >>\nendobj"])
+    files = spark.createDataFrame([(str(k), f"%PDF-1.4\n{body(k)}\ntrailer\n<< /Root 1 0 R >>\nstartxref\n0\n%%EOF".encode()) for k in range(300)], "path string, content binary")
+    kind, calls = type(files), []
+    plain = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a: calls.append(1) or plain(self, *a))
+    got = pdf.summary(files).collect()
+    assert len(got) == 300 and all([t.title for t in r.toc] == [f"a{r.path}", "b"] for r in got)
+    # 600 bookmarks in chains of two: two rounds, not ten
+    assert len(calls) <= 14
