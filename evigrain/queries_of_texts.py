@@ -8,7 +8,7 @@ from .catalog_of_queries import DENSE_SQL
 from .functions import text as tx
 from .functions import vectors as vx
 from .operators import catalog, evidence, layout, matching, retrieval
-from .operators.shared import shared_path
+from .operators.shared import shared_path, small
 from .plans import answers, experiment
 from .registry import query, table
 from .sources import files
@@ -136,7 +136,9 @@ g as (select query_id, chunk_id, sum(w) as score from u group by all)"""
 def _chunks(spark, d):
     """(chunk_id, text, embedding): the documents that have a vector; and as queries those with an id divisible by 100."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    rows = table(spark, d, "documents").select("doc_id", "text").join(v, "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    # texts without a vector stay out of the join's shuffle
+    texts = table(spark, d, "documents").select("doc_id", "text").join(small(v.select("doc_id")), "doc_id", "left_semi")
+    rows = texts.join(v, "doc_id").withColumnRenamed("doc_id", "chunk_id")
     return rows, rows.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"), "embedding")
 
 
