@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigrain.functions.text import latin_tokens
-from evigrain.operators import retrieval
+from evigrain.operators import inverted, retrieval
+from evigrain.operators.shared import shared_path
 
 from .test_indexes import texts
 
@@ -33,3 +34,18 @@ def test_no_row_for_each_query_and_chunk_is_shuffled(spark, chunks, monkeypatch)
     docs = chunks.select("chunk_id", latin_tokens(F.coalesce("text", F.lit(""))).alias("terms"))
     plain = got(retrieval._bm25_by_rows(docs, wanted, terms, F.broadcast, 4, 1.5, 0.75))
     assert got(found) == got(parts) == plain and plain
+
+
+def test_index_shuffles_lists_and_unfolds_postings_once(spark, chunks, monkeypatch):
+    monkeypatch.setattr(inverted, "SHARD", 90)
+    monkeypatch.setattr(inverted, "NAMED", 2)
+    path = shared_path(spark, "index")
+    index = inverted.create(spark, path, "latin_tokens", buckets=4, block=8)
+    index.add(chunks, 0)
+    stored = spark.read.parquet(f"{path}/postings")
+    assert stored.select("shard").distinct().count() > 1 and stored.agg(F.max("n")).first()[0] == 8
+    assert spark.read.schema("run long").parquet(f"{path}/runs").count() == 0
+    queries = chunks.where("chunk_id % 60 = 0").select(F.col("chunk_id").alias("query_id"), F.col("text").alias("query"))
+    found = index.search(queries, 3)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert got(found) == got(retrieval.bm25_search(chunks, queries, 3, tokenizer=latin_tokens))
