@@ -155,6 +155,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def trim() -> None:
+    """Give this process's unused memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run):
     """run, giving unused memory back to the system when a task ends: workers live on, and executors are small."""
 
@@ -162,10 +170,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            trim()
 
     return outer
 
@@ -211,12 +216,8 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     while True:
         both = cur.select("u", "v").union(cur.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.where("v > u")
-            .join(low, "u")
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-            .distinct()
-        )
+        # a row for each edge at most, so repeated ones wait for the distinct of the small-star step
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")

@@ -253,11 +253,10 @@ def told_apart(docs: DataFrame, lines: DataFrame, documents: int) -> DataFrame:
     whole = lines.where("leaf is null").select("doc_id", "text", F.col("heads").alias("h"), F.col("tails").alias("t"))
     lines = lines.where("leaf is not null")
     each = materialize(whole.groupBy("text", "h", "t").agg(F.min("doc_id").alias("doc_id")), "texts")
-    alike = {}
-    for side in ("h", "t"):
-        alike[side] = each.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") >= documents)
-    some = each.join(alike["h"].select("h"), "h", "left_semi").unionByName(each.join(alike["t"].select("t"), "t", "left_semi")).select("doc_id", "text").where("doc_id is not null")
-    some = materialize(some.distinct(), "alike")
+    # both sides are counted and joined at once, as each shuffle costs the driver a task for each partition
+    sides = each.select("doc_id", "text", F.posexplode(F.array("h", "t")).alias("side", "alike"))
+    large = materialize(sides.groupBy("side", "alike").agg(F.count("*").alias("n")).where(F.col("n") >= documents).select("side", "alike"), "large")
+    some = materialize(sides.join(large, ["side", "alike"], "left_semi").select("doc_id", "text").where("doc_id is not null").distinct(), "alike")
     if some.isEmpty():
         return lines
 
@@ -283,11 +282,12 @@ def told_apart(docs: DataFrame, lines: DataFrame, documents: int) -> DataFrame:
     # an id whose rows have one text gives it once for each row; equal rows are one text
     near = split_by_filter(docs, "doc_id", bits, inside=True).join(some.withColumnRenamed("text", "key"), "doc_id").select("doc_id", docs.columns[1], "key")
     own = near.mapInArrow(tidy(read), "side int, text long, leaf long, line long, exact long, alike long, end long, other long").distinct()
-    large = alike["h"].select(F.lit(0).alias("side"), F.col("h").alias("alike")).unionByName(alike["t"].select(F.lit(1).alias("side"), F.col("t").alias("alike")))
     own = materialize(own.join(large, ["side", "alike"], "left_semi"), "near-lines")
     at = ["side", "alike", "end"]
-    top = lambda c: own.groupBy(*at, c).agg(F.count("*").alias("n")).groupBy(*at).agg(F.max("n").alias(f"top_{c}"), F.sum("n").alias(f"all_{c}"))
-    shares = top("exact").join(top("other"), at).join(top("line"), at)
+    kinds = ["exact", "other", "line"]
+    shares = own.select(*at, F.posexplode(F.array(*kinds)).alias("kind", "k")).groupBy(*at, "kind", "k").agg(F.count("*").alias("n"))
+    of = lambda k: F.when(F.col("kind") == k, F.col("n"))
+    shares = shares.groupBy(*at).agg(*[f(of(k)).alias(f"{name}_{c}") for k, c in enumerate(kinds) for name, f in (("top", F.max), ("all", F.sum))])
     least = lambda c: 2 * F.col(f"top_{c}") < F.col(f"all_{c}")
     marks = shares.where(least("exact") & (least("other") | ~least("line"))).select(*at)
     told = materialize(own.join(marks, at, "left_semi"), "own-lines")
@@ -300,7 +300,7 @@ def told_apart(docs: DataFrame, lines: DataFrame, documents: int) -> DataFrame:
     bits = id_filter(by_text.select("text"))
     sizes = lines.select("text").join(by_text.select("text"), "text", "left_semi").groupBy("text").agg(F.count("*").alias("n"))
     maybe = split_by_filter(lines, "text", bits, inside=True)
-    changed = attach_by_key(maybe, by_text.join(sizes, "text"), "text", "n").drop("n").join(by_line, ["text", "leaf", "line"], "left")
+    changed = attach_by_key(maybe, materialize(by_text.join(sizes, "text"), "told-sizes"), "text", "n").drop("n").join(by_line, ["text", "leaf", "line"], "left")
     nought = F.lit(0).cast("long")
     changed = changed.select("doc_id", "text", "leaf", "line", F.col("heads").bitwiseXOR(F.col("h").bitwiseXOR(F.coalesce("own_h", nought))).alias("heads"), F.col("tails").bitwiseXOR(F.col("t").bitwiseXOR(F.coalesce("own_t", nought))).alias("tails"))
     same = split_by_filter(lines, "text", bits, inside=False).unionByName(maybe.join(by_text.select("text"), "text", "left_anti").select(*lines.columns))
@@ -342,11 +342,13 @@ def unlike(pairs: DataFrame, documents: int) -> DataFrame:
     pairs = materialize(pairs.select(*at, "heads", "tails").distinct(), "pairs")
     by_head = pairs.groupBy(*at, "heads").agg(F.min("tails").alias("tails"), F.max("tails").alias("other"))
     by_tail = pairs.groupBy(*at, "tails").agg(F.min("heads").alias("heads"), F.max("heads").alias("other"))
-    apart = by_head.where("tails = other").drop("other").join(by_tail.where("heads = other").drop("other"), [*at, "heads", "tails"])
+    # a pair is apart when its heads have its tails only, and its tails its heads only: then both sides give the same row
+    ends_ = by_head.select(*at, "heads", F.when(F.col("tails") == F.col("other"), F.col("tails")).alias("tails"), F.lit(1).alias("h"), F.lit(0).alias("t"))
+    ends_ = ends_.unionByName(by_tail.select(*at, F.when(F.col("heads") == F.col("other"), F.col("heads")).alias("heads"), "tails", F.lit(0).alias("h"), F.lit(1).alias("t")))
+    ends_ = ends_.groupBy(*at, "heads", "tails").agg(F.sum("h").alias("h"), F.sum("t").alias("t"))
     # groups are at least as many as pairs apart, and at most as many as heads or tails
-    bounds = by_head.groupBy(*at).agg(F.count("*").alias("h")).where(F.col("h") >= documents)
-    bounds = bounds.join(by_tail.groupBy(*at).agg(F.count("*").alias("t")).where(F.col("t") >= documents), at)
-    bounds = materialize(bounds.join(apart.groupBy(*at).agg(F.count("*").alias("n")), at, "left").select(*at, F.coalesce("n", F.lit(0)).alias("n")), "bounds")
+    bounds = ends_.groupBy(*at).agg(F.sum("h").alias("h"), F.sum("t").alias("t"), F.sum(F.col("h") * F.col("t")).alias("n"))
+    bounds = materialize(bounds.where((F.col("h") >= documents) & (F.col("t") >= documents)).select(*at, "n"), "bounds")
     sure, open_ = bounds.where(F.col("n") >= documents).select(*at), bounds.where(F.col("n") < documents).select(*at)
     if open_.isEmpty():
         return sure

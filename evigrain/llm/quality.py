@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, read_table, slices, tidy, utf8_view, word_hashes
+from .common import labelled_sample, read_table, slices, tidy, trim, utf8_view, word_hashes
 
 PASSAGE = 512
 #: Bounds of the fit: labelled rows of each class, and bytes of their texts.
@@ -182,7 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     known = known.where(F.crc32(F.col(key).cast("string")) % FOLDS != 0)
     rows = labelled_sample(docs, known, TRAIN, TRAIN_BYTES, text, key).collect()  # TRAIN and TRAIN_BYTES bound it
     rows = sorted((r[key], r["t"], r["y"]) for r in rows)
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    model = train([r[1] for r in rows], [r[2] for r in rows])
+    del rows
+    trim()  # the driver lives on
+    return model
 
 
 SCORES = "doc_id long, held_out boolean, score double, predicted int"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _LOWER, _power, labelled_sample, materialize, mix, read_table, slices, tidy, utf8_view
+from .common import _BYTE, _LOWER, _power, labelled_sample, materialize, mix, read_table, slices, tidy, trim, utf8_view
 
 #: Bounds of the fit: labelled rows of each class, and bytes of their texts.
 TRAIN, TRAIN_BYTES = 2000, 32 << 20
@@ -219,7 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     rows = sorted((tuple(r) for r in sample.select(key, "y", "t").mapInArrow(tidy(hits), "key long, y int, f array<int>, n array<int>").collect()), key=str)
     size = np.array([len(r[2]) for r in rows], np.int64)
     flat = lambda i: np.array([v for r in rows for v in r[i]], np.int64)
-    return learn(features, np.repeat(np.arange(len(rows)), size), flat(2), flat(3), np.array([r[1] for r in rows], np.int64))
+    model = learn(features, np.repeat(np.arange(len(rows)), size), flat(2), flat(3), np.array([r[1] for r in rows], np.int64))
+    del rows
+    trim()  # the driver lives on
+    return model
 
 
 SCORES = "doc_id long, p_toxic double, expected_severity double, grade int, rejected boolean"

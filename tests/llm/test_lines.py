@@ -244,3 +244,27 @@ def test_own_lines_with_repeated_ids_and_without_ids(spark):
     # rows without an id are read, but nothing tells them apart from those alike
     lost = [(None, t) for _, t in rows[:40]]
     assert len({r.text for r in l.clean(spark.createDataFrame(lost, "doc_id long, text string")).collect()}) == 40
+
+
+def test_shuffles_stay_few(spark):
+    """Each shuffle costs the driver a task for each partition, so what has several sides is counted and joined at once."""
+    boiler = [f"footer {chr(97 + k)} says that {chr(97 + k)} rights are ours" for k in range(3)]
+    rows = [(i, "\n".join([*boiler, f"the title is {own(i, 2)}"])) for i in range(40)]
+    rows += [(100 + i, "\n".join([own(k + (i == k) * 50, 9) for k in range(6)])) for i in range(6)]
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc = spark.sparkContext
+    sc.setJobGroup("few-shuffles", "")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.text for r in l.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("few-shuffles")]
+        stages = {s for j in jobs for s in j.stageIds}
+        full = [s for s in map(sc.statusTracker().getStageInfo, stages) if s and s.numCompletedTasks >= 16]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dict(brute(rows)) and got[0] == f"the title is {own(0, 2)}"
+    assert len(full) <= 28, len(full)
