@@ -137,6 +137,12 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
+def may_hold(ids: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Which ids may be among those of an id filter; null ids can't."""
+    ids = ids.cast(pa.int64())
+    return bits[ids.fill_null(0).to_numpy(zero_copy_only=False) & (FILTER_BITS - 1)] & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
 def split_by_filter(rows: DataFrame, key: str, bits: np.ndarray, inside: bool) -> DataFrame:
     """The rows whose id may be (inside) or can't be among those of an id filter; null ids can't. No shuffle."""
     packed, at = np.packbits(bits), rows.columns.index(key)
@@ -144,8 +150,7 @@ def split_by_filter(rows: DataFrame, key: str, bits: np.ndarray, inside: bool) -
     def run(batches):
         bits = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            ids = batch.column(at).cast(pa.int64())
-            hit = bits[ids.fill_null(0).to_numpy(zero_copy_only=False) & (FILTER_BITS - 1)] & ids.is_valid().to_numpy(zero_copy_only=False)
+            hit = may_hold(batch.column(at), bits)
             yield batch.filter(pa.array(hit if inside else ~hit))
 
     return rows.mapInArrow(tidy(run), rows.schema)

@@ -4,8 +4,14 @@ Level 0. Almost all pairs of documents are at distance 1, so document pivots can
 would be a boundary document of every region. The first pivots are therefore the one-shingle sets {s}: a document's
 nearest are those of its own shingles, ties broken by one global order (rare first). A pair within r shares a shingle
 among the first n - ceil((1 - r) n) + 1 of each, so these are the regions that a document is replicated to, and sizes
-give the triangle inequality's window, as 1 - min/max <= distance. Documents that meet in a region within the window
-are joined to its first; components of these meetings are the regions of the next level, and most documents are alone.
+and positions give the triangle inequality's window: what stands before the first shared shingle is in one set only, so
+a document meets partners of limited size there. Documents that meet in a region within the window are joined to its
+first; components of these meetings are the regions of the next level, and most documents are alone.
+
+Rarity is counted in a fixed number of buckets, so the larger the corpus, the more chance is in the order, the more
+documents meet by a shared passage, and chains of such meetings hold much of the corpus. Documents of regions that are
+too large for one task therefore meet again, in an order counted over them alone, until such regions shrink no more;
+linked documents meet under every order.
 
 Level 1. Each region's documents come together once. Pivots are documents, farthest first; a document goes to its
 nearest pivot's region and, as a boundary document, to each region whose pivot is within 2 r of that distance. Regions
@@ -13,7 +19,7 @@ are joined again in the same way, until pivots divide no more; then only pairs i
 whose components differ are compared. What is within r of a pivot is joined at once. A region with more shingles than
 a task should hold is dealt into blocks, and each pair of blocks is joined.
 
-Equal shingle sets are one class: they are recognised by digest, and only a task's first is sent on.
+Equal shingle sets are one class: they are recognised by digest, and one row of a class is sent on, or a few.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ from .common import (
     discard,
     id_filter,
     materialize,
+    may_hold,
     partitions,
     read_table,
     runs_of,
@@ -53,6 +60,9 @@ PARTS = 1024
 WIDTH = (1 << BUCKET_BITS) // PARTS
 
 
+#: Regions of more than one block are divided again while this share of their shingles or less stays in such regions.
+SHRINK = 0.8
+
 FACTS = ["kind", "id", "n", "digest", "counts"]
 
 
@@ -60,31 +70,45 @@ def digest_of(shingles: np.ndarray) -> str:
     return hashlib.sha256(shingles.tobytes()).hexdigest()[:40]
 
 
-def profile(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: (doc_id, number of shingles, digest of the set) of each row; kind 1: a task's counts of a part of the buckets."""
+def bucket_of(s: np.ndarray, turn: int, bits: int) -> np.ndarray:
+    """Buckets of shingles, from other bits of their hashes in each turn."""
+    return ((s << np.uint64(20 * (turn % 3))) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def only(batches, packed: np.ndarray | None):
+    """Batches of (id, text) without the rows that an id filter, packed, leaves out."""
+    bits = None if packed is None else np.unpackbits(packed).astype(bool)
+    for batch in batches:
+        yield batch if bits is None else batch.filter(pa.array(may_hold(batch.column(0), bits)))
+
+
+def profile(docs: DataFrame, size: int, turn: int = 0, bits: np.ndarray | None = None) -> DataFrame:
+    """kind 0: (doc_id, number of shingles, digest of the set) of each row, in the first turn; kind 1: a task's counts of a part of the buckets."""
+    packed = None if bits is None else np.packbits(bits)
 
     def run(batches):
         counts, held, pending = np.zeros(1 << BUCKET_BITS, np.uint8), [], 0
-        shift = np.uint64(64 - BUCKET_BITS)
 
         def add():
             if held:
-                at, n = np.unique((np.concatenate(held) >> shift).astype(np.int32), return_counts=True)
+                at, n = np.unique(bucket_of(np.concatenate(held), turn, BUCKET_BITS), return_counts=True)
                 counts[at] = np.minimum(counts[at] + n, 255)
                 held.clear()
 
-        for batch in batches:
+        for batch in only(batches, packed):
             n, digests = [], []
             for s in shingle_sets(batch.column(1), size):
-                n.append(len(s))
-                digests.append(digest_of(s) if len(s) else None)
+                if not turn:
+                    n.append(len(s))
+                    digests.append(digest_of(s) if len(s) else None)
                 held.append(s)
                 pending += len(s)
                 if pending > 2_000_000:
                     add()
                     pending = 0
             k = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.nulls(k, pa.binary())], FACTS)
+            if k:
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.nulls(k, pa.binary())], FACTS)
         add()
         parts = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(counts.reshape(PARTS, WIDTH)) if c.any()]
         k = len(parts)
@@ -122,33 +146,39 @@ def bucket_levels(facts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def meetings(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(a, b): documents that meet in the region of a shingle pivot, each with the first one of its stretch there."""
+def meetings(docs: DataFrame, rank: np.ndarray, size: int, percent: int, turn: int = 0, bits: np.ndarray | None = None) -> DataFrame:
+    """(a, b): documents that meet in the region of a shingle pivot, each with the first one of its stretch there.
+
+    Only ids that a filter's bits may hold. In turn 0 a task sends the first of equal sets; later turns send all, as the
+    filter may let in an equal one that was not sent before.
+    """
+    packed = None if bits is None else np.packbits(bits)
 
     def emit(batches):
-        shift, seen = np.uint64(64 - BUCKET_BITS), set()
-        for batch in batches:
+        seen = set()
+        for batch in only(batches, packed):
             ids = batch.column(0).cast(pa.int64()).to_pylist()
             tokens, owner, sizes, held = [], [], [], 0
 
             def flush():
                 count = np.array([len(t) for t in tokens], np.int64)
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(owner, np.int64), count)), pa.array(np.repeat(np.array(sizes, np.int32), count))], ["token", "id", "n"]
-                )
+                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                at = (np.repeat(np.array(sizes, np.int64), count) << 32) | place
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(owner, np.int64), count)), pa.array(at)], ["token", "id", "at"])
 
             for ident, s in zip(ids, shingle_sets(batch.column(1), size)):
                 n = len(s)
                 if not n or ident is None:
                     continue
-                own = digest_of(s)
-                if own in seen:
-                    continue
-                if len(seen) > 1_000_000:  # what is sent twice meets itself
-                    seen.clear()
-                seen.add(own)
+                if not turn:
+                    own = digest_of(s)
+                    if own in seen:
+                        continue
+                    if len(seen) > 1_000_000:  # what is sent twice meets itself
+                        seen.clear()
+                    seen.add(own)
                 first = n - (percent * n + 99) // 100 + 1
-                tokens.append(s[np.argsort(rank[(s >> shift).astype(np.int64)], kind="stable")[:first]])
+                tokens.append(s[np.argsort(rank[bucket_of(s, turn, BUCKET_BITS)], kind="stable")[:first]])
                 owner.append(ident)
                 sizes.append(n)
                 held += first
@@ -159,27 +189,64 @@ def meetings(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> Data
                 yield flush()
 
     def meet(batches):
-        last, head, before = None, 0, 0
+        last, head, smallest, top = None, 0, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, ident, n = (batch.column(i).to_numpy() for i in range(3))
+            token, ident, at = (batch.column(i).to_numpy() for i in range(3))
+            n, place = at >> 32, at & 0xFFFFFFFF
+            # the largest partner whose first shared shingle can stand here: the sets share n - place at most
+            reach = (100 + percent) * (n - place) // percent - n
             new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))
-            if last is not None:
-                new[0] = token[0] != last or 100 * int(before) < percent * int(n[0])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-            first = np.where(at >= 0, ident[at], head)
-            pair = np.unique(np.stack([first, ident], 1)[~new], axis=0)
+            new[1:] = token[1:] != token[:-1]
+            run = (np.cumsum(new) - 1) << 33
+            new[0] = last is None or token[0] != last
+            far = run + reach
+            if not new[0]:
+                far[0] = max(far[0], top)
+            far = np.maximum.accumulate(far) - run
+            new[0] |= n[0] > top
+            new[1:] |= n[1:] > far[:-1]
+            began = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
+            first, least = np.where(began >= 0, ident[began], head), np.where(began >= 0, n[began], smallest)
+            pair = np.unique(np.stack([first, ident], 1)[~new & (reach >= least)], axis=0)
             pair = pair[pair[:, 0] != pair[:, 1]]
-            last, head, before = token[-1], first[-1], n[-1]
+            last, head, smallest, top = token[-1], first[-1], least[-1], far[-1]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    found = docs.mapInArrow(tidy(emit), "token long, id long, n int")
-    found = found.repartition(partitions(docs.sparkSession), "token").sortWithinPartitions("token", "n", "id")
+    found = docs.mapInArrow(tidy(emit), "token long, id long, at long")
+    found = found.repartition(partitions(docs.sparkSession), "token").sortWithinPartitions("token", "at", "id")
     return found.mapInArrow(tidy(meet), "a long, b long").distinct()
 
 
+def in_blocks(regions: DataFrame, sizes: DataFrame, region: int) -> tuple[DataFrame, int]:
+    """regions (doc_id, region) with the number of blocks of each row's region, and the shingles in regions of several."""
+    weight = regions.join(sizes, "doc_id").groupBy("region").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
+    blocks = F.ceil(F.col("n") * 2 / region).cast("int")
+    blocks = materialize(weight.select("region", "c", "n", F.when(blocks <= 2, 1).otherwise(blocks).alias("blocks")), "blocks")
+    placed = materialize(attach_by_key(regions, blocks, "region", "c").select("doc_id", "region", "blocks"), "placed")
+    held = blocks.where("blocks > 1").agg(F.sum("n")).first()[0] or 0
+    discard(blocks)
+    return placed, held
+
+
+def divided(docs: DataFrame, placed: DataFrame, size: int, percent: int, turn: int) -> DataFrame:
+    """(doc_id, region) after the documents in regions of several blocks have met again, in an order of their own.
+
+    Links are within a region and within a component of the new meetings, so a region is a pair of these, by its hash;
+    regions whose hashes agree are one. Documents that meet none are alone and go.
+    """
+    large = placed.where("blocks > 1")
+    bits = id_filter(large.select("doc_id"))
+    rank = bucket_levels(profile(docs, size, turn, bits))
+    met = materialize(meetings(docs, rank, size, percent, turn, bits), "meetings")
+    found = connected_components(met, "regions")
+    again = large.join(found.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", F.xxhash64("region", "component").alias("region"))
+    out = materialize(placed.where("blocks = 1").select("doc_id", "region").unionByName(again), "regions")
+    discard(met)
+    return out
+
+
 class Region:
     """Exact joining of one region's documents: labels become equal where a chain of links connects documents."""
 
@@ -270,14 +337,25 @@ def near_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     facts = materialize(profile(docs, size), "shingles")
     known = facts.where("kind = 0").select(F.col("id").alias("doc_id"), "n", "digest")
-    met = materialize(meetings(docs, bucket_levels(facts), size, percent), "meetings")
+    # one row of each class of equal sets is sent on, and ids that stand for several classes
+    firsts = known.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    kind = F.xxhash64("digest")
+    several = known.where("n > 0").groupBy("doc_id").agg(F.min(kind).alias("a"), F.max(kind).alias("b")).where("a <> b").select("doc_id")
+    met = materialize(meetings(docs, bucket_levels(facts), size, percent, bits=id_filter(firsts.unionByName(several))), "meetings")
     regions = materialize(connected_components(met, "regions").withColumnRenamed("id", "doc_id").withColumnRenamed("component", "region"), "regions")
     discard(met)
-    bits = id_filter(regions.select("doc_id"))
-    weight = regions.join(known.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
-    blocks = weight.groupBy("region").agg(F.sum("n").alias("n"), F.count("*").alias("c")).select("region", "c", F.ceil(F.col("n") * 2 / region).cast("int").alias("blocks"))
-    blocks = blocks.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
-    dealt = attach_by_key(regions, materialize(blocks, "blocks"), "region", "c").select("doc_id", "region", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("b"))
+    sizes = known.groupBy("doc_id").agg(F.max("n").alias("n"))
+    placed, held = in_blocks(regions, sizes, region)
+    turn, before = 0, None
+    while held and (before is None or held <= SHRINK * before):
+        turn, before = turn + 1, held
+        finer = divided(docs, placed, size, percent, turn)
+        discard(regions)
+        discard(placed)
+        regions = finer
+        placed, held = in_blocks(regions, sizes, region)
+    bits = id_filter(placed.select("doc_id"))
+    dealt = placed.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc_id", "region", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     texts = split_by_filter(docs, "doc_id", bits, inside=True).join(dealt, "doc_id").select("region", "i", "j", "doc_id", "text")
     # a task's first of equal sets was sent on, so a doc_id that met another is here once, or as often as it is repeated
@@ -295,6 +373,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     links = materialize(gathered.mapInArrow(tidy(run), "a long, b long").where("a <> b"), "links")
     discard(regions)
+    discard(placed)
     labels = connected_components(links, "components").withColumnRenamed("id", "doc_id").withColumnRenamed("component", "label")
     classes = known.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     named = known.join(labels, "doc_id").groupBy("digest").agg(F.min("label").alias("label"))

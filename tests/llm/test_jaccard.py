@@ -2,6 +2,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from evigrain.llm import jaccard_join as j
 from evigrain.llm.common import read_table
@@ -91,3 +92,58 @@ def test_against_brute_force(spark):
 def test_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in read_table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in j.op9_jaccard_join(spark, sf_dir).collect()) == brute(rows)
+
+
+def sharing(n=160):
+    """Documents of their own words with a passage of the one before, so chains hold all of them, and some near copies."""
+    rng = np.random.default_rng(3)
+    word = iter(range(10**6))
+    passages = [[f"p{next(word)}" for _ in range(30)] for _ in range(n + 1)]
+    rows = []
+    for i in range(n):
+        own = [[f"w{next(word)}" for _ in range(70)] for _ in range(2)]
+        rows.append((5000 - i, " ".join([*own[0], *passages[i], *own[1], *passages[i + 1]])))
+    for i in range(0, n, 8):
+        w = rows[i][1].split()
+        w[int(rng.integers(0, 200))] = "other"
+        rows += [(7000 + i, " ".join(w)), (8000 + i, rows[i][1])]
+    return rows
+
+
+def test_chains_of_shared_passages_are_divided(spark, monkeypatch):
+    """In an order that hardly knows what is rare, chains of meetings are no region that is dealt into blocks."""
+    rows = sharing()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, was = [], j.materialize
+
+    def seen(df, tag, *more):
+        out = was(df, tag, *more)
+        if tag == "placed":
+            kept.append(out.agg({"blocks": "sum"}).first()[0] - out.count())
+        return out
+
+    monkeypatch.setattr(j, "materialize", seen)
+    monkeypatch.setattr(j, "BUCKET_BITS", 10)
+    monkeypatch.setattr(j, "WIDTH", 1)
+    assert sorted(tuple(r) for r in j.near_components(df, region=3000).collect()) == brute(rows)
+    assert len(kept) > 1 and kept[0] > 0 and kept[-1] < kept[0] / 3
+
+
+def test_meetings_need_room_for_the_shared_part(spark):
+    """Sets of 100 shingles within the radius share 86, so two that first meet behind the 15th place don't meet at all."""
+    rank = np.zeros(1 << j.BUCKET_BITS, np.uint8)
+    of = lambda text: next(iter(j.shingle_sets(pa.array([text]), 5)))
+    passage = min((f"s{k} t u v w" for k in range(100)), key=lambda p: abs(int(of(p)[0]) - (1 << 64) * 0.15))
+    shared = of(passage)[0]
+
+    def text(tag, lo, hi):
+        """100 shingles, of which the shared one stands between lo and hi in the order, with equal ranks that of hashes."""
+        for k in range(10_000):
+            w = [f"{tag}{k}.{i}" for i in range(99)]
+            t = " ".join([*w[:50], passage, *w[50:]])
+            if lo <= np.searchsorted(of(t), shared) < hi:
+                return t
+
+    rows = [(1, text("a", 0, 15)), (2, text("b", 0, 15)), (3, text("c", 15, 26)), (4, text("d", 15, 26))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [sorted(r) for r in j.meetings(df, rank, 5, 75).collect()] == [[1, 2]]
