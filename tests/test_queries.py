@@ -55,3 +55,9 @@ def test_claims_of_sharp_letters_equal_sql(spark, tmp_path):
     cols = sorted(got.columns)
     want = con.sql(f"select {', '.join(cols)} from ({ORACLES['claim_representative']})").fetchall()
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(want) and len(want) > 4
+
+
+def test_fusion_asks_for_all_items(spark, sf_dir, duck):
+    """Each vector and each benchmark item is a query, not those with an id divisible by 100 only."""
+    asked = {r[0] for r in duck.sql("select vec_id from embeddings union select item_id from benchmark").fetchall()}
+    assert {r.query_id for r in QUERIES["rrf_fusion"](spark, sf_dir).select("query_id").distinct().collect()} == asked
