@@ -63,6 +63,9 @@ WIDTH = (1 << BUCKET_BITS) // PARTS
 #: Regions of more than one block are divided again while this share of their shingles or less stays in such regions.
 SHRINK = 0.8
 
+#: Texts of a batch that are copied, or whose first shingles are sent, at a time.
+PART = 256
+
 FACTS = ["kind", "id", "n", "digest", "counts"]
 
 
@@ -76,10 +79,15 @@ def bucket_of(s: np.ndarray, turn: int, bits: int) -> np.ndarray:
 
 
 def only(batches, packed: np.ndarray | None):
-    """Batches of (id, text) without the rows that an id filter, packed, leaves out."""
-    bits = None if packed is None else np.unpackbits(packed).astype(bool)
+    """Batches of (id, text) without the rows that an id filter, packed, leaves out; those are copied, so in small parts."""
+    if packed is None:
+        yield from batches
+        return
+    bits = np.unpackbits(packed).view(bool)
     for batch in batches:
-        yield batch if bits is None else batch.filter(pa.array(may_hold(batch.column(0), bits)))
+        hit = pa.array(may_hold(batch.column(0), bits))
+        for at in range(0, batch.num_rows, PART):
+            yield batch.slice(at, PART).filter(hit.slice(at, PART))
 
 
 def profile(docs: DataFrame, size: int, turn: int = 0, bits: np.ndarray | None = None) -> DataFrame:
@@ -91,7 +99,7 @@ def profile(docs: DataFrame, size: int, turn: int = 0, bits: np.ndarray | None =
 
         def add():
             if held:
-                at, n = np.unique(bucket_of(np.concatenate(held), turn, BUCKET_BITS), return_counts=True)
+                at, n = np.unique(np.concatenate(held), return_counts=True)
                 counts[at] = np.minimum(counts[at] + n, 255)
                 held.clear()
 
@@ -101,9 +109,9 @@ def profile(docs: DataFrame, size: int, turn: int = 0, bits: np.ndarray | None =
                 if not turn:
                     n.append(len(s))
                     digests.append(digest_of(s) if len(s) else None)
-                held.append(s)
+                held.append(bucket_of(s, turn, BUCKET_BITS))
                 pending += len(s)
-                if pending > 2_000_000:
+                if pending > 1_000_000:
                     add()
                     pending = 0
             k = len(n)
@@ -182,7 +190,7 @@ def meetings(docs: DataFrame, rank: np.ndarray, size: int, percent: int, turn: i
                 owner.append(ident)
                 sizes.append(n)
                 held += first
-                if held > 500_000:
+                if held > 200_000:
                     yield flush()
                     tokens, owner, sizes, held = [], [], [], 0
             if tokens:
